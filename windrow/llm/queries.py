@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from windrow.llm.bpe import Vocabulary, op7_bpe
 from windrow.llm.common import table
+from windrow.llm.langid import op9_langid
 from windrow.llm.simhash import op4_simhash
+from windrow.llm.toxicity import op1_toxicity
+from windrow.llm.urlfilter import op10_urls
+
+
+def vocabulary(spark) -> Vocabulary:
+    return Vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
 
 QUERIES = {
+    "op1_toxicity": lambda spark, d: op1_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_simhash": lambda spark, d: op4_simhash(table(spark, d, "documents")),
+    "op7_bpe": lambda spark, d: op7_bpe(table(spark, d, "documents"), vocabulary(spark)),
+    "op9_langid": lambda spark, d: op9_langid(table(spark, d, "documents")),
+    "op10_urls": lambda spark, d: op10_urls(table(spark, d, "pages")),
 }
 
 SQL: dict[str, str] = {}
