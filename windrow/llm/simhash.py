@@ -48,39 +48,46 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, T.StructType([T.StructField("id", T.LongType()), T.StructField("fp", T.LongType())]))
 
 
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >= 1 << 63 else mask
-
-
-def ball_masks(radius: int) -> tuple[list[int], list[int]]:
-    """Flip masks for (every fingerprint, those of odd weight beside).
+def ball_flips(radius: int) -> tuple[list[int], list[int]]:
+    """Flips that make the variants of (every fingerprint, those of odd weight beside), coded i + 64 * j for bits i <= j.
 
     For a radius r of 1 to 3, two fingerprints at distance d <= r meet at a variant that lies within floor(r / 2) flips
     of the one and ceil(r / 2) flips of the other.  Two savings keep this exact: at d = 3 the two weights differ in
     parity, so only odd ones flip two bits; and of any three bits two lie in the same half of the word, so only pairs
-    within a half are flipped.
+    within a half are flipped.  -1 is no flip.
     """
     if not 1 <= radius <= 3:
         raise ValueError("radius must be 1, 2 or 3")
-    one = [1 << i for i in range(BITS)]
     half = BITS // 2
-    two = [one[i] | one[j] for lo in (0, half) for i, j in combinations(range(lo, lo + half), 2)] if radius == 3 else []
-    return [_signed(m) for m in [0, *one]], [_signed(m) for m in two]
+    two = [i + BITS * j for lo in (0, half) for i, j in combinations(range(lo, lo + half), 2)] if radius == 3 else []
+    return [-1, *(i + BITS * i for i in range(BITS))], two
+
+
+def _mask(flips):
+    """The bits that a coded flip turns."""
+    one = F.lit(1).cast("long")
+    i, j = F.expr("cast(flips % 64 as int)"), F.expr("cast(flips div 64 as int)")
+    bits = F.call_function("shiftleft", one, i).bitwiseOR(F.call_function("shiftleft", one, j))
+    return F.when(flips < 0, F.lit(0).cast("long")).otherwise(bits)
 
 
 def near_edges(fps: DataFrame, radius: int = 3) -> DataFrame:
     """(a, b): edges between distinct fingerprints whose components are those of all pairs within ``radius`` bits.
 
-    ``fps`` has one row per distinct ``fp``.  Variants are shuffled on their value.  A bucket holds at most 2,081
+    ``fps`` has one row per distinct ``fp``.  Variants are shuffled on their value, each with its coded flips, from which
+    the fingerprint is made again (two bytes that compress to less than eight).  A bucket holds at most 2,081
     fingerprints (those within two flips of its value), whatever the input.  Its least member within one flip is linked
     to each other member: 1 + 2 <= 3 bits, so links need no pair search within a bucket; each is still verified.
     """
-    all_masks, odd_masks = ball_masks(radius)
-    near = [F.lit(m) for m in all_masks]
-    wide = [F.lit(m) for m in all_masks + odd_masks]
-    masks = F.when(F.bit_count("fp") % 2 == 1, F.array(*wide)).otherwise(F.array(*near))
-    v = fps.select("fp", F.explode(masks).alias("m")).select(F.col("fp").bitwiseXOR(F.col("m")).alias("key"), "fp")
-    close = F.when(F.bit_count(F.col("key").bitwiseXOR(F.col("fp"))) <= 1, F.col("fp"))
+    spark = fps.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, min(100_000, fps.count() // 20_000))
+    every, odd = ball_flips(radius)
+    codes = F.when(F.bit_count("fp") % 2 == 1, F.array(*map(F.lit, every + odd))).otherwise(F.array(*map(F.lit, every)))
+    v = fps.repartition(tasks, "fp").select("fp", F.explode(codes).alias("flips"))
+    flips = F.col("flips")
+    v = v.select(F.col("fp").bitwiseXOR(_mask(flips)).alias("key"), "flips").repartition("key")
+    v = v.withColumn("fp", F.col("key").bitwiseXOR(_mask(flips)))
+    close = F.when((flips < 0) | F.expr("flips % 64 = flips div 64"), F.col("fp"))
     v = v.withColumn("rep", F.min(close).over(Window.partitionBy("key"))).where("rep is not null and rep != fp")
     v = v.where(F.bit_count(F.col("rep").bitwiseXOR(F.col("fp"))) <= radius)
     return v.select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct()
