@@ -72,7 +72,7 @@ class MilModel:
         return found
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 0.1, l1: float = 2e-4, l2: float = 1e-4, least_docs: int = 4) -> MilModel:
+def fit(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 0.2, l1: float = 6e-3, l2: float = 1e-4, least_docs: int = 4) -> MilModel:
     """Fit on a bounded sample.  Without examples of both classes the model scores every sentence near 0."""
     y = np.array(labels, dtype=float)
     if len(y) == 0 or y.min() == y.max():
