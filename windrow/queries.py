@@ -202,9 +202,10 @@ def _(spark, d):
     return models.eligibility(series(spark, d)).select("species", "n", "positives", *r6("positive_weight"), "eligible")
 
 
-@query("b17_b18_interactions", f"WITH {HOURLY}, {WINDOWS}, x AS (SELECT *, tmean * (100 - rh) / 100 AS dw FROM w) SELECT station, ts, round(tmean * sun / 3600, 6) AS temp_x_sunshine, round(dw, 4) AS dry_warm, round(wsmax * dw, 4) AS wind_x_dry_warm, round(greatest(0, -cos(radians(wdir))), 6) AS wind_from_south, round(wsmax * greatest(0, cos(radians(wdir))), 6) AS transport_north FROM x")
+@query("b17_b18_interactions", f"WITH {HOURLY}, {WINDOWS}, x AS (SELECT *, tmax * (100 - floor(rh)) / 100 AS dw FROM w) SELECT station, ts, round(tmax * sun / 3600, 6) AS temp_x_sunshine, round(dw, 4) AS dry_warm, round(wsmax * dw, 4) AS wind_x_dry_warm, round(greatest(0, -cos(radians(wdir))), 6) AS wind_from_south, round(wsmax * greatest(0, cos(radians(wdir))), 6) AS transport_north FROM x")
 def _(spark, d):
-    return features.interactions(weather3(spark, d)).select("station", "ts", *r6("temp_x_sunshine", "wind_from_south", "transport_north"), *[F.round(c, 4).alias(c) for c in ("dry_warm", "wind_x_dry_warm")])
+    w = weather3(spark, d).withColumns({"temperature_mean": F.col("temperature_max"), "humidity_mean": F.floor("humidity_mean").cast("double")})  # whole numbers: no ties in rounding
+    return features.interactions(w).select("station", "ts", *r6("temp_x_sunshine", "wind_from_south", "transport_north"), *[F.round(c, 4).alias(c) for c in ("dry_warm", "wind_x_dry_warm")])
 
 
 @query("b20_past_only", f"WITH {SERIES} SELECT * FROM s WHERE ts <= TIMESTAMP '2024-01-15 12:00:00'")

@@ -48,7 +48,9 @@ def chunked_measurements(spark: SparkSession, paths: list[str], species: list[st
 def hourly_weather(spark: SparkSession, path: str, station: str) -> DataFrame:
     """(station, time, a column per parameter); parameters that the payload lacks are null."""
     raw = spark.read.schema(WEATHER_JSON).option("multiLine", True).json(path)
-    each = raw.select(F.inline(F.arrays_zip(*[F.col(f"hourly.{n}").alias(n) for n in ("time", *HOURLY)])))
+    empty = F.array().cast("array<double>")  # a null array would null all of arrays_zip
+    arrays = [F.col("hourly.time").alias("time"), *[F.coalesce(F.col(f"hourly.{n}"), empty).alias(n) for n in HOURLY]]
+    each = raw.select(F.inline(F.arrays_zip(*arrays)))
     return each.select(F.lit(station).alias("station"), F.col("time").try_cast("timestamp_ntz").alias("time"), *HOURLY)
 
 
