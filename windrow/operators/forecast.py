@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from windrow.functions.scalar import blend
+
 KEYS = ["station", "species"]
 
 
@@ -40,6 +42,20 @@ def fallback(last: DataFrame, steps: DataFrame, decay: float = 0.8) -> DataFrame
     return each.select(*KEYS, F.col("z.s.ts").alias("ts"), F.col("z.out").alias("value"), F.col("z.s.observed").isNotNull().alias("is_observed"))
 
 
+def assimilate(forecast: DataFrame, observed: DataFrame, expert: DataFrame) -> DataFrame:
+    """``forecast`` with value, is_observed: the observed value where there is one, else the forecast blended with the
+    expert's level of that (species, day), where there is one.  Needs the species' level limits."""
+    df = forecast.withColumn("date", F.to_date("ts")).join(observed.select(*KEYS, "ts", "observed"), [*KEYS, "ts"], "left").join(expert.select("species", "date", F.col("level").alias("expert")), ["species", "date"], "left")
+    blended = blend(F.col("value"), F.col("expert"), F.col("low_max"), F.col("moderate_max"), F.col("high_max"))
+    return df.withColumn("value", F.coalesce("observed", blended)).withColumn("is_observed", F.col("observed").isNotNull()).drop("date", "observed", "expert")
+
+
+def ranked(df: DataFrame) -> DataFrame:
+    """(station, ts, species): the species of each window by falling value, then by name."""
+    names = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("value")).alias("v"), "species"))), lambda s: s["species"])
+    return df.groupBy("station", "ts").agg(names.alias("species"))
+
+
 def emitted(forecast: DataFrame) -> DataFrame:
     return forecast.where(F.col("value") > 0.5)
 

@@ -58,15 +58,21 @@ class Staged:
         return Staged(stages[0], stages[1], stages[2], spark.read.parquet(f"{folder}/leaves"), extreme)
 
 
-def weighted_leaf_quantiles(scored: DataFrame, alpha: float) -> DataFrame:
-    """(tree, leaf, q): the least target at which a leaf's cumulative weight reaches ``alpha`` of its weight.
+def weighted_quantiles(rows: DataFrame, keys: list[str], alpha: float) -> DataFrame:
+    """(keys, q): the least label at which a group's cumulative weight reaches ``alpha`` of its weight.
 
-    Targets of a leaf are first summed by value, so a leaf's window runs over its distinct targets.
+    Labels of a group are first summed by value, so its window runs over distinct labels.
     """
-    each = scored.select(F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"), "label", "weight").groupBy("tree", "leaf", "label").agg(F.sum("weight").alias("weight"))
-    w = Window.partitionBy("tree", "leaf")
+    each = rows.groupBy(*keys, "label").agg(F.sum("weight").alias("weight"))
+    w = Window.partitionBy(*keys)
     each = each.withColumn("share", F.sum("weight").over(w.orderBy("label")) / F.sum("weight").over(w))
-    return each.where(F.col("share") >= alpha - 1e-12).groupBy("tree", "leaf").agg(F.min("label").alias("q"))
+    return each.where(F.col("share") >= alpha - 1e-12).groupBy(*keys).agg(F.min("label").alias("q"))
+
+
+def weighted_leaf_quantiles(scored: DataFrame, alpha: float) -> DataFrame:
+    """(tree, leaf, q) of a scored training frame."""
+    each = scored.select(F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"), "label", "weight")
+    return weighted_quantiles(each, ["tree", "leaf"], alpha)
 
 
 def fit(frame: DataFrame, features: list[str], iterations: int = 20, trees: int = 20, depth: int = 5, alpha: float = DEFAULT_TUNING[2], seed: int = 42) -> Staged:
@@ -97,4 +103,11 @@ def predict(model: Staged, rows: DataFrame, key: list[str]) -> DataFrame:
     return out.withColumn("predicted", stage_blend(F.col("p"), F.col("regression"), F.col("extreme")))
 
 
+def fit_summary(results: DataFrame) -> DataFrame:
+    """(n, rmse, accuracy): error, and how often activity was told right, on rows of (actual, predicted)."""
+    error = F.col("predicted") - F.col("actual")
+    right = (F.col("actual") > 0) == (F.col("predicted") > 0)
+    return results.agg(F.count("*").alias("n"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(right.cast("double")).alias("accuracy"))
+
+
 __all__ = ["SPECIES", "Staged", "eligibility", "fit", "predict", "weighted_leaf_quantiles"]

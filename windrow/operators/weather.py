@@ -48,3 +48,13 @@ def horizon(forecast: DataFrame, days: int) -> DataFrame:
     """Rows within ``days`` days of each station's first window."""
     first = forecast.groupBy("station").agg(F.min("ts").alias("_first"))
     return forecast.join(first, "station").where(F.col("ts") < F.col("_first") + F.make_dt_interval(F.lit(days))).drop("_first")
+
+
+def window_mean(rows: DataFrame, value: str, hours: int = 3) -> DataFrame:
+    """(station, species, ts, value): mean per window of an hourly external forecast."""
+    return rows.groupBy("station", "species", window_start(F.col("ts"), hours).alias("ts")).agg(F.avg(value).alias(value))
+
+
+def one_per_window(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One weather row per (station, ts) of a table that repeats it for each species; equal values, so the maximum stands for them."""
+    return rows.groupBy("station", "ts").agg(*[F.max(c).alias(c) for c in columns])

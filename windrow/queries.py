@@ -15,6 +15,9 @@ from pyspark.sql.window import Window
 from windrow.functions import scalar as sc
 from windrow.operators import align, evaluate, features, forecast, models, vegetation, weather
 from windrow.params import with_params
+from windrow.plans import pipelines
+from windrow.shared import scratch, written
+from windrow.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -595,6 +598,134 @@ def _(spark, d):
     return p.select("p_partkey", "level", F.expr("repeat('█', level)").alias("bar")).orderBy("p_partkey")
 
 
+# ---- more of the same families ----------------------------------------------------------------------------------------
+
+
+@query("b12_typical_onset", f"WITH {PARAMS} SELECT species, coalesce(CASE WHEN species = 'click' THEN 42.5 END, CASE WHEN length(species) % 2 = 0 THEN typical_onset_doy END, dayofyear(make_date(2023, season_start, 15)))::DOUBLE AS onset FROM p")
+def _(spark, d):
+    observed = F.when(F.col("species") == "click", 42.5)
+    table = F.when(F.length("species") % 2 == 0, F.col("typical_onset_doy"))
+    return params(spark, d).select("species", sc.typical_onset(observed, table, F.col("season_start")).alias("onset"))
+
+
+@query("b19_thresholds", f"{JOINED} SELECT station, species, ts, greatest(0, value * 3 - gdd_threshold) AS gdd_above_threshold, (value > activation_temp AND value % 13 < activation_temp AND value * 3 >= gdd_threshold)::INT::DOUBLE AS cold_to_warm_flip, value - value % 13 AS warm_after_cold FROM j")
+def _(spark, d):
+    v = F.col("value")
+    df = with_month(spark, d).withColumns({"temp_rolling_3d": v, "temp_rolling_7d": v % 13, "gdd": v * 3, "temperature_mean": v})
+    return features.threshold_features(df).select("station", "species", "ts", "gdd_above_threshold", "cold_to_warm_flip", "warm_after_cold")
+
+
+@query("c5_c6_assimilate", f"{JOINED}, o AS (SELECT station, species, ts, value + 7 AS observed FROM s WHERE hour(ts) = 6), x AS (SELECT species, ts::DATE AS date, (count(*) % 7) / 2.0 AS expert FROM s WHERE day(ts) % 3 = 0 GROUP BY 1, 2), n AS (SELECT j.*, observed, round_even(expert, 0)::INT AS target, {_NUMBER.format('(' + _LEVEL + ')')} AS own FROM j LEFT JOIN o USING (station, species, ts) LEFT JOIN x ON x.species = j.species AND x.date = j.ts::DATE), k AS (SELECT *, greatest(0, least(3, own + sign(target - own)))::INT AS step FROM n) SELECT station, species, ts, round(CASE WHEN observed IS NOT NULL THEN observed WHEN target IS NULL OR target = own THEN value ELSE greatest(0, 0.5 * value + 0.5 * ({_MID.format('step')})) END, 6)::DOUBLE AS value, observed IS NOT NULL AS is_observed FROM k")
+def _(spark, d):
+    s = series(spark, d)
+    observed = s.where(F.hour("ts") == 6).withColumn("observed", F.col("value") + 7)
+    expert = s.where(F.dayofmonth("ts") % 3 == 0).groupBy("species", F.to_date("ts").alias("date")).agg(((F.count("*") % 7) / 2.0).alias("level"))
+    return forecast.assimilate(with_month(spark, d), observed, expert).select("station", "species", "ts", *r6("value"), "is_observed")
+
+
+@query("d10_window_mean", f"SELECT station, species, time_bucket(INTERVAL 3 HOUR, ts) AS ts, round(avg(floor(value)), 6) AS value FROM ({READINGS}) GROUP BY 1, 2, 3")
+def _(spark, d):
+    return weather.window_mean(readings(spark, d).withColumn("value", F.floor("value").cast("double")), "value").select("station", "species", "ts", *r6("value"))
+
+
+@query("d11_one_per_window", f"WITH {SERIES}, {HOURLY}, {WINDOWS}, j AS (SELECT s.species, w.* FROM s JOIN w USING (station, ts)) SELECT station, ts, max(tmax) AS temperature_max, max(rain) AS precipitation_sum FROM j GROUP BY 1, 2")
+def _(spark, d):
+    joined = series(spark, d).join(weather3(spark, d), ["station", "ts"])
+    return weather.one_per_window(joined, ["temperature_max", "precipitation_sum"])
+
+
+@query("d19_fit_summary", f"WITH {RESULTS} SELECT count(*) AS n, round(sqrt(avg(error * error)), 6) AS rmse, round(avg(((actual > 0) = (predicted > 0))::INT), 6) AS accuracy FROM e")
+def _(spark, d):
+    return models.fit_summary(results(spark, d)).select("n", *r6("rmse", "accuracy"))
+
+
+@query("e16_delta", f"WITH {_SPARSE}, {_KNOTS}, l AS (SELECT station, d1 + i::INT AS date, CASE WHEN d2 IS NULL THEN y1 ELSE y1 + (y2 - y1) * t END AS v FROM u) SELECT station, date, round(coalesce(v - lag(v) OVER (PARTITION BY station ORDER BY date), 0), 5) AS ndvi_delta FROM l")
+def _(spark, d):
+    scaled = _sparse(spark, d).select("station", "date", (F.col("v") / 40).alias("ndvi"), (F.col("v") / 40).alias("evi"))
+    got = vegetation.interpolate(scaled, "linear")
+    return got.select("station", "date", F.round(F.col("ndvi_delta") * 40, 5).alias("ndvi_delta"))
+
+
+@query("f1_ranked", f"WITH {SERIES} SELECT station, ts, string_agg(species, ',' ORDER BY value DESC, species) AS species FROM s GROUP BY 1, 2")
+def _(spark, d):
+    return forecast.ranked(series(spark, d)).withColumn("species", F.array_join("species", ","))
+
+
+@query("g2_forecast_wins", f"WITH {SERIES}, a AS (SELECT * FROM s WHERE ts < TIMESTAMP '2024-01-20'), b AS (SELECT station, species, ts, value * 2 AS value FROM s WHERE ts >= TIMESTAMP '2024-01-18') SELECT coalesce(a.station, b.station) AS station, coalesce(a.species, b.species) AS species, coalesce(a.ts, b.ts) AS ts, coalesce(b.value, a.value) AS value FROM a FULL JOIN b ON a.station = b.station AND a.species = b.species AND a.ts = b.ts")
+def _(spark, d):
+    s = series(spark, d)
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    future = s.where(F.col("ts") >= at("2024-01-18")).withColumn("value", F.col("value") * 2)
+    return align.prefer(future, s.where(F.col("ts") < at("2024-01-20")), align.KEY).select("station", "species", "ts", "value")
+
+
+@query("j2_weighted_quantiles", f"WITH {SERIES}, c AS (SELECT species, value AS label, sum(1 + value % 3) AS w FROM s GROUP BY 1, 2), x AS (SELECT *, sum(w) OVER (PARTITION BY species ORDER BY label) / sum(w) OVER (PARTITION BY species) AS share FROM c) SELECT species, min(label) AS q FROM x WHERE share >= 0.85 - 1e-12 GROUP BY 1")
+def _(spark, d):
+    return models.weighted_quantiles(series(spark, d).select("species", F.col("value").alias("label"), (1 + F.col("value") % 3).alias("weight")), ["species"], 0.85)
+
+
+def _frame(spark, d) -> DataFrame:
+    return pipelines.training_frame(series(spark, d), weather3(spark, d), params(spark, d))
+
+
+MODEL_FEATURES = ["lag_1", "lag_2", "lag_8", "lag_56", "rolling_8", "max_8", "windows_since_active", "hour_of_day", "temperature_mean", "humidity_mean", "gdd", "dry_streak", "season_active"]
+
+
+@query("i3_training_frame", f"WITH {SERIES}, {HOURLY}, {WINDOWS}, {PARAMS}, j AS (SELECT s.*, month(s.ts)::INT AS month, row_number() OVER (PARTITION BY s.station, s.species ORDER BY s.ts) AS rn, lag(ln(1 + s.value)) OVER (PARTITION BY s.station, s.species ORDER BY s.ts) AS l1 FROM s JOIN w USING (station, ts)) SELECT station, species, ts, round(l1, 6) AS lag_1, (CASE WHEN season_start <= season_end THEN month BETWEEN season_start AND season_end ELSE month >= season_start OR month <= season_end END)::INT::DOUBLE AS season_active FROM j JOIN p USING (species) WHERE rn > 56")
+def _(spark, d):
+    return _frame(spark, d).select("station", "species", "ts", *r6("lag_1"), "season_active")
+
+
+@query("j1_j3_staged_model")
+def _(spark, d):
+    frame = written(_frame(spark, d), "frame")
+    model = models.fit(frame, MODEL_FEATURES, iterations=5, trees=5, depth=4)
+    return models.predict(model, frame, ["station", "species", "ts"]).select("station", "species", "ts", "value", "p", "regression", "predicted")
+
+
+@query("j7_recursive_forecast")
+def _(spark, d):
+    s, w, p = series(spark, d), weather3(spark, d), params(spark, d)
+    cut = F.lit("2024-01-30").cast("timestamp_ntz")
+    frame = written(pipelines.training_frame(s, w, p), "frame")
+    model = models.fit(frame.where(F.col("ts") < cut), MODEL_FEATURES, iterations=3, trees=3, depth=3)
+    ahead = pipelines.feature_frame(s, w, p, lags=False).where((F.col("ts") >= cut) & (F.col("ts") < cut + F.expr("interval 9 hours")))
+    return pipelines.recursive_forecast(model, ahead, forecast.recent_logs(s.where(F.col("ts") < cut)), written)
+
+
+# ---- K: streams ----------------------------------------------------------------------------------------------------
+
+_EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def _landed(spark, d) -> DataFrame:
+    e = spark.readStream.schema(_EVENTS).option("pathGlobFilter", "events.parquet").parquet(d)
+    return e.select(F.concat(F.lit("st"), (F.col("user_id") % 7).cast("string")).alias("station"), F.col("event_type").alias("species"), "ts", F.floor("value").cast("double").alias("value"))
+
+
+def _streamed(spark, stream: DataFrame, mode: str, key: list[str]) -> DataFrame:
+    """What a stream gave, the last row of each key; micro-batches are kept in the shared folder."""
+    path = scratch(spark, "stream")
+    streams.run_available(stream, lambda b, n: b.withColumn("_batch", F.lit(n)).write.mode("append").parquet(path), scratch(spark, "offsets"), mode)
+    return align.keep_last(spark.read.parquet(path), key, [F.col("_batch")]).drop("_batch")
+
+
+@query("k1_k2_stream_windows", f"SELECT station, species, time_bucket(INTERVAL 3 HOUR, ts) AS ts, count(*) AS n, sum(floor(value)) AS total, max(floor(value)) AS top FROM ({READINGS}) GROUP BY 1, 2, 3")
+def _(spark, d):
+    return _streamed(spark, streams.windowed(_landed(spark, d)), "update", align.KEY)
+
+
+@query("k3_stream_first_readings", f"SELECT DISTINCT station, species, time_bucket(INTERVAL 3 HOUR, ts) AS ts FROM ({READINGS})")
+def _(spark, d):
+    hourly_keys = _landed(spark, d).withColumn("ts", sc.window_start(F.col("ts")))
+    return _streamed(spark, streams.first_reading(hourly_keys).select("station", "species", "ts"), "append", align.KEY)
+
+
+@query("k4_stream_lag_state")
+def _(spark, d):
+    return _streamed(spark, streams.lag_state(_landed(spark, d)), "update", ["station", "species", "ts", "value", "logs"])
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Three-hour windows, lags and rolling means, levels, and each day's three highest species."""
     df = with_params(features.lag_features(series(spark, d)), params(spark, d))
