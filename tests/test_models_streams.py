@@ -32,11 +32,15 @@ def test_training_frame_is_complete(made):
     assert frame.select([F.count_if(F.col(c).isNull()).alias(c) for c in EVERY]).first() == tuple([0] * len(EVERY))
 
 
-def test_fit_predict_and_leaf_quantiles(spark, made):
+def test_fit_predict_and_leaf_quantiles(spark, made, tmp_path):
     model = models.fit(made[2], FEATURES, iterations=3, trees=4, depth=3, alpha=0.8)
     got = models.predict(model, made[2], ["station", "species", "ts"])
     r = got.agg(F.count("*").alias("n"), F.min("predicted").alias("lo"), F.min("p").alias("p0"), F.max("p").alias("p1")).first()
     assert r.n == 288 and r.lo >= 0 and 0 <= r.p0 <= r.p1 <= 1
+    model.save(str(tmp_path / "m"))
+    again = models.predict(models.Staged.load(spark, str(tmp_path / "m")), made[2], ["station", "species", "ts"])
+    key = ["station", "species", "ts"]
+    assert again.select(*key, F.round("predicted", 9)).subtract(got.select(*key, F.round("predicted", 9))).count() == 0
     covered = got.agg((F.sum(F.when(F.col("value") <= F.col("regression") + 1e-9, 1 + F.sqrt("value"))) / F.sum(1 + F.sqrt("value"))).alias("c")).first().c
     assert covered > 0.5
 

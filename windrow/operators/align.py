@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from windrow.functions.scalar import calendar
+from windrow.shared import exists
 
 KEY = ["station", "species", "ts"]
 
@@ -78,9 +79,7 @@ def upsert_table(path: str, new: DataFrame, staging: str) -> None:
     months = [r[0] for r in new.select("month_start").distinct().collect()]  # calendar months
     if not months:
         return
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    rows = upsert(spark.read.parquet(path).where(F.col("month_start").isin(months)), new) if exists else keep_last(new, KEY, [F.col("ingest_ts"), F.col("value")])
+    rows = upsert(spark.read.parquet(path).where(F.col("month_start").isin(months)), new) if exists(spark, path) else keep_last(new, KEY, [F.col("ingest_ts"), F.col("value")])
     staged = f"{staging}/{uuid.uuid4().hex}"
     rows.repartition("month_start").sortWithinPartitions(*KEY).write.parquet(staged)
     spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month_start").parquet(path)

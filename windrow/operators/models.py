@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from windrow.functions.scalar import regression_weight, stage_blend
 from windrow.params import SPECIES
+from windrow.shared import exists
 
 # Tuning classes of species as (classifier depth, regressor depth, quantile).
 TUNING = {
@@ -51,10 +52,7 @@ class Staged:
     @staticmethod
     def load(spark, folder: str) -> Staged:
         stages = PipelineModel.load(f"{folder}/stages").stages
-        try:
-            extreme = GBTRegressionModel.load(f"{folder}/extreme")
-        except Exception:
-            extreme = None
+        extreme = GBTRegressionModel.load(f"{folder}/extreme") if exists(spark, f"{folder}/extreme") else None
         return Staged(stages[0], stages[1], stages[2], spark.read.parquet(f"{folder}/leaves"), extreme)
 
 
