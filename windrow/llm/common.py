@@ -1,42 +1,20 @@
-"""Helpers that the text operators share: the shared folder, written intermediate tables, Arrow rows, word hashes."""
+"""Helpers that the text operators share: tables, Arrow rows, hashed remainders of ids."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrow.shared import shared_dir, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (local runs, tests) is a fresh local folder chosen and remembered.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
+__all__ = ["as_bytes", "column_rows", "remainder", "shared_dir", "table", "written"]
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts the lineage in a way that outlives executors, and it hides how the rows were partitioned, so that a later
-    join shuffles both of its sides and adaptive execution can split a hot key.
-    """
-    path = f"{shared_dir(df.sparkSession)}/windrow/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def column_rows(column: pa.ChunkedArray | pa.Array, step: int = 128) -> Iterator:
@@ -50,20 +28,6 @@ def as_bytes(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
 
 
-class WordHashes(dict):
-    """word bytes -> 64-bit hash, remembered up to a bounded number of words."""
-
-    def __init__(self, seed: int = 0, most: int = 200_000):
-        super().__init__()
-        self.seed, self.most = seed, most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, self.seed)
-        return value
-
-
 def remainder(doc_id: str, by: int):
     """crc32 of an id's decimal text, modulo ``by``; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(by))
