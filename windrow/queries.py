@@ -136,7 +136,7 @@ def _(spark, d):
     return series(spark, d)
 
 
-@query("b3_calendar", f"WITH {SERIES} SELECT DISTINCT ts, dayofyear(ts)::INT AS day_of_year, round(sin(2 * pi() * dayofyear(ts) / 365.25), 6) AS day_of_year_sin, round(cos(2 * pi() * dayofyear(ts) / 365.25), 6) AS day_of_year_cos, month(ts)::INT AS month, hour(ts)::INT AS hour_of_day, round(sin(2 * pi() * hour(ts) / 24), 6) AS hour_sin, round(cos(2 * pi() * hour(ts) / 24), 6) AS hour_cos FROM s")
+@query("b3_calendar", f"WITH {SERIES} SELECT DISTINCT ts, dayofyear(ts)::INT AS day_of_year, round(sin(2 * pi() * dayofyear(ts) / 365.25), 6) + 0.0 AS day_of_year_sin, round(cos(2 * pi() * dayofyear(ts) / 365.25), 6) + 0.0 AS day_of_year_cos, month(ts)::INT AS month, hour(ts)::INT AS hour_of_day, round(sin(2 * pi() * hour(ts) / 24), 6) + 0.0 AS hour_sin, round(cos(2 * pi() * hour(ts) / 24), 6) + 0.0 AS hour_cos FROM s")
 def _(spark, d):
     df = series(spark, d).select("ts").distinct().withColumns(sc.calendar(F.col("ts")))
     return df.select("ts", "day_of_year", *r6("day_of_year_sin", "day_of_year_cos"), "month", "hour_of_day", *r6("hour_sin", "hour_cos"))
@@ -181,7 +181,7 @@ def _(spark, d):
     return series(spark, d).withColumn("lg", F.log1p("value")).withColumn("back", F.expm1("lg")).select("station", "species", "ts", *r6("lg", "back"))
 
 
-@query("b11_b13_onset", f"{JOINED} SELECT station, species, ts, round(greatest(-3, least(5, (value - gdd_threshold) / greatest(gdd_threshold, 1))), 6) AS onset_anomaly, greatest(-60, dayofyear(ts) - typical_onset_doy)::DOUBLE AS days_since FROM j")
+@query("b11_b13_onset", f"{JOINED} SELECT station, species, ts, round(greatest(-3, least(5, (value - gdd_threshold) / greatest(gdd_threshold, 1))), 6) + 0.0 AS onset_anomaly, greatest(-60, dayofyear(ts) - typical_onset_doy)::DOUBLE AS days_since FROM j")
 def _(spark, d):
     usual = sc.typical_onset(F.lit(None).cast("double"), F.col("typical_onset_doy"), F.col("season_start"))
     df = with_month(spark, d).withColumn("onset_anomaly", sc.onset_anomaly(F.col("value"), F.col("gdd_threshold"))).withColumn("days_since", sc.days_since_onset(F.dayofyear("ts").cast("double"), usual))
@@ -205,7 +205,7 @@ def _(spark, d):
     return models.eligibility(series(spark, d)).select("species", "n", "positives", *r6("positive_weight"), "eligible")
 
 
-@query("b17_b18_interactions", f"WITH {HOURLY}, {WINDOWS}, x AS (SELECT *, tmax * (100 - floor(rh)) / 100 AS dw FROM w) SELECT station, ts, round(tmax * sun / 3600, 6) AS temp_x_sunshine, round(dw, 4) AS dry_warm, round(wsmax * dw, 4) AS wind_x_dry_warm, round(greatest(0, -cos(radians(wdir))), 6) AS wind_from_south, round(wsmax * greatest(0, cos(radians(wdir))), 6) AS transport_north FROM x")
+@query("b17_b18_interactions", f"WITH {HOURLY}, {WINDOWS}, x AS (SELECT *, tmax * (100 - floor(rh)) / 100 AS dw FROM w) SELECT station, ts, round(tmax * sun / 3600, 6) + 0.0 AS temp_x_sunshine, round(dw, 4) + 0.0 AS dry_warm, round(wsmax * dw, 4) + 0.0 AS wind_x_dry_warm, round(greatest(0, -cos(radians(wdir))), 6) AS wind_from_south, round(wsmax * greatest(0, cos(radians(wdir))), 6) AS transport_north FROM x")
 def _(spark, d):
     w = weather3(spark, d).withColumns({"temperature_mean": F.col("temperature_max"), "humidity_mean": F.floor("humidity_mean").cast("double")})  # whole numbers: no ties in rounding
     return features.interactions(w).select("station", "ts", *r6("temp_x_sunshine", "wind_from_south", "transport_north"), *[F.round(c, 4).alias(c) for c in ("dry_warm", "wind_x_dry_warm")])
@@ -368,7 +368,7 @@ def _(spark, d):
     return w.select("station", "ts", "temperature_max", "temperature_min", *r6("temperature_mean"), "precipitation_sum", "wind_speed_max", *r6("humidity_mean"), "sunshine_duration", "temp_slope_3h", "humidity_slope_3h", *r6("temp_variance_3h"), "soil_temperature_mean")
 
 
-@query("d2_circular_mean", f"WITH {HOURLY}, {WINDOWS} SELECT station, ts, round(sin(radians(wdir)), 6) AS s, round(cos(radians(wdir)), 6) AS c FROM w")
+@query("d2_circular_mean", f"WITH {HOURLY}, {WINDOWS} SELECT station, ts, round(sin(radians(wdir)), 6) + 0.0 AS s, round(cos(radians(wdir)), 6) + 0.0 AS c FROM w")
 def _(spark, d):
     return weather3(spark, d).select("station", "ts", F.round(F.sin(F.radians("wind_direction")), 6).alias("s"), F.round(F.cos(F.radians("wind_direction")), 6).alias("c"))
 
@@ -397,7 +397,7 @@ def _(spark, d):
     return o.select("species", *r6("mean", "std"), "lo", "hi", "years", "first_year", "last_year")
 
 
-_METRICS = "count(*) AS n, round(avg(abs_error), 6) AS mae, round(sqrt(avg(error * error)), 6) AS rmse, round(median(abs_error), 6) AS median_ae, round(avg((level_actual = level_predicted)::INT), 6) AS level_accuracy, max(actual) AS max_actual, round(avg(error), 6) AS bias"
+_METRICS = "count(*) AS n, round(avg(abs_error), 6) AS mae, round(sqrt(avg(error * error)), 6) AS rmse, round(median(abs_error), 6) AS median_ae, round(avg((level_actual = level_predicted)::INT), 6) AS level_accuracy, max(actual) AS max_actual, round(avg(error), 6) + 0.0 AS bias"
 
 
 def _metrics(df: DataFrame, by=()) -> DataFrame:
@@ -463,7 +463,7 @@ def _(spark, d):
 _X = "(PARTITION BY station ORDER BY ts"
 
 
-@query("e6_e8_intraday", f"WITH {HOURLY}, {WINDOWS}, x AS (SELECT *, max(tmean) OVER (PARTITION BY station, ts::DATE) AS top, lag(rain) OVER {_X}) AS pr, lag(tmean) OVER {_X}) AS pt FROM w) SELECT station, ts, round(CASE WHEN top > 0 THEN tmean / top ELSE 0 END, 6) AS temp_vs_daily_max, coalesce((pr > 0.1)::INT, 0)::DOUBLE AS precip_in_prior_window, round(coalesce(tmean - pt, 0), 6) AS temp_rate_of_change FROM x")
+@query("e6_e8_intraday", f"WITH {HOURLY}, {WINDOWS}, x AS (SELECT *, max(tmean) OVER (PARTITION BY station, ts::DATE) AS top, lag(rain) OVER {_X}) AS pr, lag(tmean) OVER {_X}) AS pt FROM w) SELECT station, ts, round(CASE WHEN top > 0 THEN tmean / top ELSE 0 END, 6) AS temp_vs_daily_max, coalesce((pr > 0.1)::INT, 0)::DOUBLE AS precip_in_prior_window, round(coalesce(tmean - pt, 0), 6) + 0.0 AS temp_rate_of_change FROM x")
 def _(spark, d):
     return features.intraday_features(weather3(spark, d)).select("station", "ts", *r6("temp_vs_daily_max"), "precip_in_prior_window", *r6("temp_rate_of_change"))
 
@@ -508,14 +508,15 @@ def _sparse(spark, d) -> DataFrame:
 _KNOTS = "k AS (SELECT station, date AS d1, v AS y1, lead(date) OVER q AS d2, lead(v) OVER q AS y2, lag(date) OVER q AS d0, lag(v) OVER q AS y0, lead(date, 2) OVER q AS d3, lead(v, 2) OVER q AS y3 FROM c WINDOW q AS (PARTITION BY station ORDER BY date)), g AS (SELECT *, unnest(range(0, CASE WHEN d2 IS NULL THEN 1 ELSE date_diff('day', d1, d2) END)) AS i, date_diff('day', d1, d2)::DOUBLE AS h FROM k), u AS (SELECT *, CASE WHEN d2 IS NULL THEN 0 ELSE i / h END AS t FROM g)"
 
 
-@query("e15_linear", f"WITH {_SPARSE}, {_KNOTS} SELECT station, d1 + i::INT AS date, round(CASE WHEN d2 IS NULL THEN y1 ELSE y1 + (y2 - y1) * t END, 6) AS v FROM u")
+@query("e15_linear", f"WITH {_SPARSE}, {_KNOTS} SELECT station, d1 + i::INT AS date, round(CASE WHEN d2 IS NULL THEN y1 ELSE y1 + (y2 - y1) * t END, 6) + 0.0 AS v FROM u")
 def _(spark, d):
     return vegetation.daily(_sparse(spark, d), "v", "linear").select("station", "date", *r6("v"))
 
 
-@query("e15_hermite", f"WITH {_SPARSE}, {_KNOTS}, m AS (SELECT *, CASE WHEN d0 IS NULL THEN (y2 - y1) / h ELSE (y2 - y0) / date_diff('day', d0, d2) END AS m1, CASE WHEN d3 IS NULL THEN (y2 - y1) / h ELSE (y3 - y1) / date_diff('day', d1, d3) END AS m2 FROM u) SELECT station, d1 + i::INT AS date, round(CASE WHEN d2 IS NULL THEN y1 ELSE (2*t*t*t - 3*t*t + 1) * y1 + (t*t*t - 2*t*t + t) * h * m1 + (3*t*t - 2*t*t*t) * y2 + (t*t*t - t*t) * h * m2 END, 4) AS v FROM m")
+@query("e15_hermite", f"WITH {_SPARSE.replace('::DOUBLE AS v', '::DOUBLE * 0.91373 AS v')}, {_KNOTS}, m AS (SELECT *, CASE WHEN d0 IS NULL THEN (y2 - y1) / h ELSE (y2 - y0) / date_diff('day', d0, d2) END AS m1, CASE WHEN d3 IS NULL THEN (y2 - y1) / h ELSE (y3 - y1) / date_diff('day', d1, d3) END AS m2 FROM u) SELECT station, d1 + i::INT AS date, round(CASE WHEN d2 IS NULL THEN y1 ELSE (2*t*t*t - 3*t*t + 1) * y1 + (t*t*t - 2*t*t + t) * h * m1 + (3*t*t - 2*t*t*t) * y2 + (t*t*t - t*t) * h * m2 END, 4) + 0.0 AS v FROM m")
 def _(spark, d):
-    return vegetation.daily(_sparse(spark, d), "v", "hermite").select("station", "date", F.round("v", 4).alias("v"))
+    odd = _sparse(spark, d).withColumn("v", F.col("v") * 0.91373)  # whole numbers would give ties in rounding
+    return vegetation.daily(odd, "v", "hermite").select("station", "date", F.round("v", 4).alias("v"))
 
 
 @query("e17_reindex", f"WITH {_SPARSE}, r AS (SELECT d.station, d.date, (SELECT arg_max(v, c.date) FROM c WHERE c.station = d.station AND c.date <= d.date) AS v FROM d) SELECT station, date, coalesce(v, 0) AS v FROM r")
@@ -639,7 +640,7 @@ def _(spark, d):
     return models.fit_summary(results(spark, d)).select("n", *r6("rmse", "accuracy"))
 
 
-@query("e16_delta", f"WITH {_SPARSE}, {_KNOTS}, l AS (SELECT station, d1 + i::INT AS date, CASE WHEN d2 IS NULL THEN y1 ELSE y1 + (y2 - y1) * t END AS v FROM u) SELECT station, date, round(coalesce(v - lag(v) OVER (PARTITION BY station ORDER BY date), 0), 5) AS ndvi_delta FROM l")
+@query("e16_delta", f"WITH {_SPARSE}, {_KNOTS}, l AS (SELECT station, d1 + i::INT AS date, CASE WHEN d2 IS NULL THEN y1 ELSE y1 + (y2 - y1) * t END AS v FROM u) SELECT station, date, round(coalesce(v - lag(v) OVER (PARTITION BY station ORDER BY date), 0), 5) + 0.0 AS ndvi_delta FROM l")
 def _(spark, d):
     scaled = _sparse(spark, d).select("station", "date", (F.col("v") / 40).alias("ndvi"), (F.col("v") / 40).alias("evi"))
     got = vegetation.interpolate(scaled, "linear")
