@@ -107,6 +107,13 @@ def test_main_text():
     assert htmltext.main_text(page) == f"Head&line {p} more {p} short"
 
 
+def test_main_text_without_an_article_element():
+    p = "Long enough a paragraph, with commas, and a full stop. It goes on for a while, as articles do."
+    page = f"""<body><div class="layout with-sidebar"><div id="content"><h2>Head</h2><p>{p}</p><ul><li>point one</li><li>point two</li></ul><p>{p}</p></div>
+    <div class="left-sidebar"><p>{p}</p></div></div><div class="site-footer"><p>{p}</p></div></body>"""
+    assert htmltext.main_text(page) == f"Head {p} point one point two {p}"
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<!--", "</p></p>", "<p>", "&am", "<a href='", "<script>x", "text only" * 1000])
 def test_html_edges(page):
     assert isinstance(htmltext.main_text(page), str)

@@ -41,7 +41,7 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Words in class, id and role that name what isn't the article.
 _OUTSIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|newsletter|subscri\w+|signup|login|social|share|sharing"
+    r"(?:^|[\s_-])(?<!with[_-])(?<!has[_-])(?<!no[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|newsletter|subscri\w+|signup|login|social|share|sharing"
     r"|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget\w*|related|recommend\w*|teasers?|footer|foot|header|masthead|copyright|comments?|comment-\w+|replies|reply|disqus|search|pagination|pager|tags?|toolbar|complementary|contentinfo|navigation)(?=$|[\s_-])",
     re.I,
 )
@@ -51,6 +51,7 @@ _OUTSIDE = re.compile(
 class Block:
     path: str
     container: int
+    inside: frozenset[int]
     text: str
     outside: bool
     links: int
@@ -66,8 +67,10 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            holder = next((s[2] for s in reversed(stack) if s[0] in ("article", "main")), stack[-2][2] if len(stack) > 1 else 0)
-            found.append(Block(stack[-1][1] if stack else "", holder, text, bool(stack and stack[-1][3]), links))
+            parent = stack[-2][2] if len(stack) > 1 else 0
+            holder = next((s[2] for s in reversed(stack) if s[0] in ("article", "main")), parent)
+            inside = frozenset([holder, *(s[2] for s in stack[:-1] if s[0] not in ("html", "body"))])
+            found.append(Block(stack[-1][1] if stack else "", holder, inside, text, bool(stack and stack[-1][3]), links))
         parts.clear()
         links = 0
 
@@ -139,7 +142,7 @@ def main_text(page: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
     score = np.minimum(np.bincount(path, fused) / n, 4 * length * (1 + marks))
     content = score >= min(share * float(np.std(fused)) if len(index) > 1 else 0.0, score.max())
     holders = {b.container for b, p in zip(candidates, path) if content[p] and (length[p] > 0)}
-    return " ".join(b.text for b in candidates if b.container in holders)
+    return " ".join(b.text for b in candidates if b.inside & holders)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

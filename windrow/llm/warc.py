@@ -142,7 +142,7 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, date: str
         def done() -> pa.RecordBatch:
             bundle.close()
             ids, spots = [p[0] for p in places], [p[1] for p in places]
-            cells = [pa.array(ids, pa.int64()), pa.array([bundle.path] * len(ids), pa.string())]
+            cells = [pa.array(ids, pa.int64()), pa.array([f"{folder}/{bundle.path.rpartition('/')[2]}"] * len(ids), pa.string())]
             cells += [pa.array([s[k] for s in spots], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))]
             places.clear()
             return pa.RecordBatch.from_arrays(cells, ["page_id", "bundle", "frame", "offset", "length"])
@@ -179,12 +179,12 @@ def read_archive(index: DataFrame, payloads: bool = True) -> DataFrame:
         return int(digits) if digits else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, readers = fs.LocalFileSystem(), {}
+        readers: dict[str, BundleReader] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 if row["bundle"] not in readers:
                     readers.clear()
-                    readers[row["bundle"]] = BundleReader(fs.FileSystem.from_uri(row["bundle"])[0] if "://" in row["bundle"] else files, row["bundle"])
+                    readers[row["bundle"]] = BundleReader(*fs.FileSystem.from_uri(row["bundle"]))
                 wanted, found = set(row["offsets"]), []
                 for offset, _, headers, http, payload in parse_records(readers[row["bundle"]].frame(row["frame"])):
                     if offset not in wanted:
