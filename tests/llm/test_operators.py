@@ -262,6 +262,8 @@ def test_bpe_is_tiktoken(spark):
         assert small.encode(t) == whole.encode_ordinary(t)
         assert small.decode(small.encode(t), leaf=3) == t.encode()
     got = bpe.op7_bpe(docs(spark, EDGE), v).orderBy("doc_id").collect()
+    apart = {r.id: bytes(r.decoded) for r in bpe.decode(bpe.encode(docs(spark, EDGE), v), v).collect()}
+    assert [apart[i] for i in range(len(EDGE))] == [(t or "").encode() for t in EDGE]
     for row, t in zip(got, EDGE):
         ids = whole.encode_ordinary(t or "")
         assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())

@@ -6,7 +6,6 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from windrow.llm.common import column_rows
+
 
 #: After this match a new pattern match always begins, whatever stands before it: of the public pattern's alternatives,
 #: one with a non-space holds white space at its first place only, so none goes on from a non-space into a space.
@@ -83,11 +84,6 @@ class TreeEncoder:
         return self.decode(ids[:half], leaf) + self.decode(ids[half:], leaf)
 
 
-@lru_cache(maxsize=2)
-def _encoder(ranks: bytes, pattern: str) -> TreeEncoder:
-    return TreeEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, pattern)
-
-
 class Vocabulary:
     """A vocabulary file's bytes (some MB at most), read once by the driver and broadcast."""
 
@@ -97,7 +93,8 @@ class Vocabulary:
         self.pattern = pattern
 
     def encoder(self) -> TreeEncoder:
-        return _encoder(self.raw.value, self.pattern)
+        """Made anew for each task, so that idle Python workers don't keep one."""
+        return TreeEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, self.raw.value.splitlines())}, self.pattern)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,6 +132,24 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return encoded.select("id", "ids").mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in fields]))
 
 
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass, so a task has one Python worker and ids don't travel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = vocabulary.encoder()
+        for batch in batches:
+            counts, ids_hash, decoded_hash = [], [], []
+            for text in column_rows(batch.column(1)):
+                ids = enc.encode(text or "")
+                counts.append(len(ids))
+                ids_hash.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                decoded_hash.append(hashlib.sha256(enc.decode(ids)).hexdigest())
+            cells = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(decoded_hash, pa.string())]
+            yield pa.RecordBatch.from_arrays(cells, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op7_bpe(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    back = decode(encode(docs, vocabulary), vocabulary)
-    return back.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(docs, vocabulary).withColumnRenamed("id", "doc_id")
