@@ -194,6 +194,17 @@ def test_passages_and_their_removal(spark):
     assert substring.passages(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_unlike_stretches_part_passages(spark):
+    one, two, other = words(52, 60), words(52, 61), [words(28, s) for s in (62, 63)]
+    long, more = words(110, 64), words(30, 65)
+    pairs = [(one + other[0] + two, one + other[1] + two, 104), (long, long[:55] + more + long[55:], 110), (one + more + two[:8], one + words(30, 66) + two[:8], 52)]
+    for first, second, equal in pairs:
+        rows = substring.passages(docs(spark, [" ".join(first), " ".join(second)])).collect()
+        held = {n for r in rows for n in range(r.start_word, r.end_word)}
+        assert len(held) >= equal and all(r.identity >= 0.8 and r.end_word - r.start_word >= 40 for r in rows)
+        assert len(held & {n for n, w in enumerate(second) if w in set(first)}) >= equal
+
+
 def test_chaining_matches_all_pairs_recursion():
     r = random.Random(5)
     for _ in range(30):
