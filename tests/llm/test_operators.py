@@ -205,6 +205,14 @@ def test_unlike_stretches_part_passages(spark):
         assert len(held & {n for n, w in enumerate(second) if w in set(first)}) >= equal
 
 
+def test_repeats_go_from_texts_whose_lower_case_is_longer(spark):
+    shared, own = words(60, 67), ["\u0130stanbul", *words(20, 68)]
+    texts = [" ".join(shared), " ".join(own + [w.upper() for w in shared] + ["D\u0130YARBAKIR"]), "\u0130 " + " ".join(shared), " ".join(shared[:50] + ["\u0130zmir"]), " ".join(own[:1] + shared[:45] + own[:1])]
+    kept = {r.doc_id: r.text for r in substring.remove_repeats(docs(spark, texts)).collect()}
+    assert kept[0] == texts[0] and kept[1].split() == own + ["D\u0130YARBAKIR"] and kept[2].split() == ["\u0130"]
+    assert kept[3].split() == ["\u0130zmir"] and kept[4].split() == own[:1] * 2
+
+
 def test_chaining_matches_all_pairs_recursion():
     r = random.Random(5)
     for _ in range(30):
