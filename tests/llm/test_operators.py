@@ -205,6 +205,31 @@ def test_unlike_stretches_part_passages(spark):
         assert len(held & {n for n, w in enumerate(second) if w in set(first)}) >= equal
 
 
+def test_repeats_of_frequent_lines_match_all_pairs(spark):
+    """Every word of an exact repeat of over 50 words is reported, though its lines stand in many documents of their own."""
+    r = random.Random(69)
+    lines = [words(15, 70 + i) for i in range(12)]
+    texts = [words(20, 100 + i) + lines[i % 12] + words(20, 200 + i) for i in range(48)]
+    for i in range(16):  # passages of four lines, each twice, and the lines by themselves between them
+        if i % 2 == 0:
+            passage = [w for line in r.sample(lines, 4) for w in line]
+        texts += [words(15, 300 + i) + passage + words(15, 400 + i), words(20, 500 + i) + r.choice(lines) + words(5, 600 + i)]
+    want, have = set(), set()
+    for i, t in enumerate(texts):
+        for o in texts[:i]:
+            for p in range(len(t)):
+                for q in range(len(o)):
+                    n = 0
+                    if t[p] == o[q] and (p == 0 or q == 0 or t[p - 1] != o[q - 1]):
+                        while p + n < len(t) and q + n < len(o) and t[p + n] == o[q + n]:
+                            n += 1
+                    if n > 50:
+                        want |= {(i, p + m) for m in range(n)}
+    for row in substring.passages(docs(spark, [" ".join(t) for t in texts])).collect():
+        have |= {(row.doc_id, n) for n in range(row.start_word, row.end_word)}
+    assert len(want) >= 8 * 60 and want <= have
+
+
 def test_repeats_go_from_texts_whose_lower_case_is_longer(spark):
     shared, own = words(60, 67), ["\u0130stanbul", *words(20, 68)]
     texts = [" ".join(shared), " ".join(own + [w.upper() for w in shared] + ["D\u0130YARBAKIR"]), "\u0130 " + " ".join(shared), " ".join(shared[:50] + ["\u0130zmir"]), " ".join(own[:1] + shared[:45] + own[:1])]
