@@ -1,9 +1,10 @@
 """Main text of web pages by tag-path ratios.
 
-Text blocks are grouped by their root-to-leaf tag path.  Each path has a text ratio (characters a block) and a
-punctuation ratio (punctuation marks a block); both are smoothed along the page, fused by multiplication, and averaged
-over the path.  Paths above a share of the page's standard deviation are content; they name the containers (the nearest
-article or main element, else the parent) whose remaining blocks, headings and short lists among them, belong to the text.
+Text blocks are grouped by their root-to-leaf tag path.  Each path has a text ratio (characters outside links a block)
+and a punctuation ratio (punctuation marks a block); both are smoothed along the page, fused by multiplication, and
+averaged over the path.  Paths over a share of the best are content.  The container is the innermost element that holds
+nearly all content; in it, blocks of content paths are the text, with the headings, short paragraphs and lists that stand
+among them.  Names (article, class, id, role) only weigh paths: inside article and main more, in adverts and the like not.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _RAW = frozenset("script style title textarea noscript template xmp iframe svg math object canvas".split())
 _NOT_TEXT = frozenset("head nav header footer aside form button select option dialog menu fieldset".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PLAIN = frozenset("p pre blockquote figcaption".split())
+_LISTED = frozenset("li dt dd td th caption".split())
 #: Elements that a new element of the kind ends.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -49,28 +52,29 @@ _OUTSIDE = re.compile(
 
 @dataclass
 class Block:
+    """A run of text: the path of its element, the numbers of the elements that hold it from the root on, its element's name."""
+
     path: str
-    container: int
-    inside: frozenset[int]
+    inside: tuple[int, ...]
+    tag: str
     text: str
     outside: bool
+    article: int  # the number of the innermost article or main element, 0 without one
     links: int
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order.  Text in elements that never hold text (scripts, styles, titles) is left out."""
     found: list[Block] = []
-    stack: list[tuple[str, str, int, bool]] = []  # name, path, number of the element, outside the article
+    stack: list[tuple[str, str, int, bool, int]] = []  # name, path, number of the element, outside, number of its article
     element, links, in_link, parts, at = 0, 0, 0, [], 0
 
     def end_block() -> None:
         nonlocal links
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            parent = stack[-2][2] if len(stack) > 1 else 0
-            holder = next((s[2] for s in reversed(stack) if s[0] in ("article", "main")), parent)
-            inside = frozenset([holder, *(s[2] for s in stack[:-1] if s[0] not in ("html", "body"))])
-            found.append(Block(stack[-1][1] if stack else "", holder, inside, text, bool(stack and stack[-1][3]), links))
+            top = stack[-1] if stack else ("", "", 0, False, 0)
+            found.append(Block(top[1], tuple(x[2] for x in stack), top[0], text, top[3], top[4], links))
         parts.clear()
         links = 0
 
@@ -113,10 +117,11 @@ def blocks(page: str) -> list[Block]:
         while stack and stack[-1][0] in _ENDS.get(name, ()):
             stack.pop()
         marks = " ".join(filter(None, (a or b or c for a, b, c in _MARK.findall(m["attrs"] or m["attrs2"] or ""))))
-        above = stack[-1] if stack else ("", "", 0, False)
+        above = stack[-1] if stack else ("", "", 0, False, 0)
         element += 1
         own = name + ("." + ".".join(sorted(set(marks.lower().split()))) if marks else "")
-        stack.append((name, f"{above[1]}/{own}", element, above[3] or name in _NOT_TEXT or (name not in ("html", "body", "article", "main") and bool(_OUTSIDE.search(marks)))))
+        outside = above[3] or name in _NOT_TEXT or (name not in ("html", "body", "article", "main") and bool(_OUTSIDE.search(marks)))
+        stack.append((name, f"{above[1]}/{own}", element, outside, element if name in ("article", "main") else above[4]))
     end_block()
     return found
 
@@ -127,22 +132,73 @@ def _smooth(values: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(values, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def main_text(page: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
-    """The page's main text; empty for a null or empty page, or one without content."""
-    candidates = [b for b in blocks(page or "") if not b.outside]
-    if not candidates:
-        return ""
+def path_scores(found: list[Block], sigma: float = 1.0, inside_article: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
+    """(path number of each block, score of each path): the mean over its blocks of the fused, smoothed ratios.
+
+    A path scores at most four times its own ratios, so that a menu beside long paragraphs doesn't pass by them, and
+    ``inside_article`` times as much within article or main elements.
+    """
     index: dict[str, int] = {}
-    path = np.array([index.setdefault(b.path, len(index)) for b in candidates])
+    path = np.array([index.setdefault(b.path, len(index)) for b in found], int)
     n = np.bincount(path)
-    length = np.bincount(path, [max(0, len(b.text) - b.links) for b in candidates]) / n
-    marks = np.bincount(path, [len(_PUNCTUATION.findall(b.text)) for b in candidates]) / n
+    length = np.bincount(path, [max(0, len(b.text) - b.links) for b in found]) / n
+    marks = np.bincount(path, [len(_PUNCTUATION.findall(b.text)) for b in found]) / n
     fused = _smooth(length[path], sigma) * (1 + _smooth(marks[path], sigma))
-    # the smoothed ratio of a path, held against its own, so that a menu beside long paragraphs doesn't pass by them
     score = np.minimum(np.bincount(path, fused) / n, 4 * length * (1 + marks))
-    content = score >= min(share * float(np.std(fused)) if len(index) > 1 else 0.0, score.max())
-    holders = {b.container for b, p in zip(candidates, path) if content[p] and (length[p] > 0)}
-    return " ".join(b.text for b in candidates if b.inside & holders)
+    return path, score * np.where(np.bincount(path, [bool(b.article) for b in found]) > 0, inside_article, 1.0)
+
+
+def content_blocks(found: list[Block], share: float = 0.2) -> np.ndarray:
+    """Which blocks are on content paths, those that score at least ``share`` of the best path."""
+    path, score = path_scores(found)
+    return ((score >= share * score.max()) & (score > 0))[path]
+
+
+def _container(found: list[Block], content: np.ndarray, most: float = 0.7) -> list[int]:
+    """The blocks of the innermost element with ``most`` of the content's characters, not going into article and main elements or single blocks."""
+    mass = [max(0, len(b.text) - b.links) if c else 0 for b, c in zip(found, content)]
+    here, level = list(range(len(found))), 0
+    while True:
+        of: dict[int, list[int]] = {}
+        for i in here:
+            if len(found[i].inside) > level:
+                of.setdefault(found[i].inside[level], []).append(i)
+        best = max(of, key=lambda e: sum(mass[i] for i in of[e]), default=0)
+        inner = of.get(best, [])
+        if sum(mass[i] for i in inner) < most * sum(mass[i] for i in here) or all(len(found[i].inside) == level + 1 for i in inner) and len(inner) == 1:
+            return here
+        here, level = inner, level + 1
+        if any(found[i].article == best for i in here):
+            return here
+
+
+def main_text(page: str | None) -> str:
+    """The page's main text; empty for a null or empty page, or one without text outside links."""
+    found = [b for b in blocks(page or "") if not b.outside]
+    if not found:
+        return ""
+    content = content_blocks(found)
+    if not content.any():
+        return ""
+    here = _container(found, content)
+    level = 0  # how deep the container is: elements that all blocks are in, but for one that is a sole block's own
+    while all(len(found[i].inside) > level + (len(here) == 1) and found[i].inside[level] == found[here[0]].inside[level] for i in here):
+        level += 1
+    child = [found[i].inside[level] if len(found[i].inside) > level else 0 for i in here]
+    holds = {c for i, c in zip(here, child) if content[i]}  # children of the container that hold content
+    first, last = min(i for i in here if content[i]), max(i for i in here if content[i])
+    text = []
+    for i, c in zip(here, child):
+        b = found[i]
+        if b.tag in _HEADINGS:
+            belongs = i < last or c in holds
+        elif b.tag in _LISTED:  # of a list without content too, if it follows some
+            belongs = i > first or c in holds
+        else:
+            belongs = b.tag in _PLAIN and (c in holds or first < i < last and len(b.inside) == level + 1)
+        if content[i] or belongs and 2 * b.links <= len(b.text):
+            text.append(b.text)
+    return " ".join(text)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
