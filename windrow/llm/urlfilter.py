@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+import importlib.resources
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: (rule, verdict); a rule is a host and a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-_BLOCK = "casino poker bets betting slots jackpot pills pharmacy viagra adult xxx porn sex dating spam phishing malware ads adserver tracker track clicks popunder warez crack torrent cheap free-win replica loans payday".split()
-_ALLOW = "news docs blog wiki school library museum science history garden recipes travel weather music sports university research journal forum photos letters city health books maps archive theatre cycling".split()
+#: The labelled table that comes with the package: a label (1 unwanted, 0 wanted) and a URL a line.
+LABELLED = "labelled_urls.txt"
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table that the query trains on: (url, 1 if unwanted)."""
-    shapes = ("http://{w}.example.com/en/1", "https://www.{w}-site.example.org/de/12.html", "http://m.the-{w}.example.net/fr/7?page=2")
-    return [(s.format(w=w), y) for y, words in ((1, _BLOCK), (0, _ALLOW)) for w in words for s in shapes]
+def labelled_urls(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(url, unwanted) of the package's table, or of such a file at ``path``, which Spark reads."""
+    if path is not None:
+        parts = F.split("value", " ", 2)
+        return spark.read.text(path).select(parts[1].alias("url"), parts[0].cast("int").alias("unwanted"))
+    lines = importlib.resources.files("windrow.llm").joinpath(LABELLED).read_text().splitlines()
+    return spark.createDataFrame([(u, int(y)) for y, _, u in (line.partition(" ") for line in lines)], "url string, unwanted int")
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -59,33 +63,48 @@ class UrlModel:
 
     def score(self, host: str, path: str) -> float:
         """Probability that the url is unwanted."""
-        at = url_buckets(host, path, self.bits)
-        return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[at].sum() / np.sqrt(max(1, len(at))), -30, 30))))
+        at, x = url_features(host, path, self.bits)
+        return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[at] @ x, -30, 30))))
 
 
-def url_buckets(host: str, path: str, bits: int, sizes=(3, 4, 5)) -> np.ndarray:
-    """Buckets of the distinct character n-grams of host and of path, whose ends are marked and whose digits are alike."""
-    found = []
+def url_features(host: str, path: str, bits: int, sizes=(3, 4, 5)) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, values) of the distinct character n-grams of host and of path, each part of length 1 as a vector.
+
+    Ends of the parts are marked, and runs of digits are alike.
+    """
+    found, values = [], []
     for kind, text in enumerate((f"^{host}$", f"^{path}$")):
-        b = np.frombuffer(re.sub(r"\d", "0", text.lower()).encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
-        h = np.full(len(b), 7 + kind, np.uint32)
+        b = np.frombuffer(re.sub(r"\d+", "0", text.lower()).encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+        h, grams = np.full(len(b), 7 + kind, np.uint32), []
         for n in range(1, max(sizes) + 1):
             if len(b) < n:
                 break
             h = h[: len(b) - n + 1] * np.uint32(0x01000193) + b[n - 1 :] * np.uint32(0x9E3779B1)
             if n in sizes:
-                found.append((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - bits))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+                grams.append((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - bits))
+        at = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint32)
+        found.append(at)
+        values.append(np.full(len(at), 1 / np.sqrt(max(1, len(at)))))
+    return np.concatenate(found), np.concatenate(values)
+
+
+def train(labelled: DataFrame, bits: int = 16, most: int = 20_000, **how) -> UrlModel:
+    """The model of a small labelled table (url, unwanted); of more than ``most`` rows those whose urls have the least hashes.
+
+    Rows without a label don't count; a null url counts as one without host and path.
+    """
+    rows = labelled.select(F.col("url").cast("string").alias("url"), F.col("unwanted").cast("int").alias("unwanted")).where("unwanted is not null")
+    return fit([(r.url, r.unwanted) for r in rows.orderBy(F.xxhash64("url"), "url", "unwanted").limit(most).collect()], bits, **how)
 
 
-def train(labelled: list[tuple[str, int]], bits: int = 16, rounds: int = 300, rate: float = 0.5, l2: float = 1e-3) -> UrlModel:
+def fit(labelled: list[tuple[str, int]], bits: int = 16, rounds: int = 200, rate: float = 0.5, l2: float = 0.01) -> UrlModel:
     """Full-batch Adagrad on a small (url, unwanted) table; an empty one or one of a single class gives its share."""
     w, b = np.zeros(1 << bits), 0.0
     if labelled:
-        rows = [url_buckets(*split_url(u), bits) for u, _ in labelled]
+        rows = [url_features(*split_url(u), bits) for u, _ in labelled]
         y = np.array([v for _, v in labelled], float)
-        at, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        x = np.repeat([1 / np.sqrt(max(1, len(r))) for r in rows], [len(r) for r in rows])
+        at, x = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+        of = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
         seen, seen_b = np.full(len(w), 1e-8), 1e-8
         for _ in range(rounds):
             z = b + np.bincount(of, w[at] * x, len(rows))
@@ -96,7 +115,7 @@ def train(labelled: list[tuple[str, int]], bits: int = 16, rounds: int = 300, ra
     return UrlModel(bits, w.astype(np.float32), float(b))
 
 
-def judge(pages: DataFrame, model: UrlModel, rules=RULES, threshold: float = 0.9) -> DataFrame:
+def judge(pages: DataFrame, model: UrlModel, rules=RULES, threshold: float = 0.65) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) per row: the rule's verdict, else block where the model says >= threshold.
 
     A null url, or one without "://", has empty host and path, so no rule, and the model judges the empty parts.
@@ -117,5 +136,6 @@ def judge(pages: DataFrame, model: UrlModel, rules=RULES, threshold: float = 0.9
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
-def op10_urls(pages: DataFrame) -> DataFrame:
-    return judge(pages, train(labelled_urls()))
+def op10_urls(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """``judge`` with the model of the labelled table, by default the package's."""
+    return judge(pages, train(labelled_urls(pages.sparkSession) if labelled is None else labelled))
