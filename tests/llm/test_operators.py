@@ -290,6 +290,39 @@ def test_templates_catch_new_numbers_and_names(spark):
     assert decontaminate.matches(docs(spark, texts).limit(0), bench.limit(0)).count() == 0
 
 
+PROBLEM = "Alice sells 12 apples for 3 dollars each, and Bob buys 5 pears for 2 dollars each; how much does Alice take in? Alice then spends 700 dollars on 25 boxes while Bob waits."
+
+
+@pytest.mark.parametrize("change", [
+    lambda t: t.replace("12", "40").replace("700", "1,250").replace(" 5 ", " 9 "), lambda t: t.replace("25", "twenty-five").replace("12", "thirty-two"), lambda t: t.replace("700 dollars", "$700"),
+    lambda t: t.replace("Alice", "Mary Ann").replace("Bob", "Jim"), str.lower, lambda t: t.replace("25", "25.5").replace("5 pears", "forty pears"), lambda t: t.replace("Alice", "Zoe").replace("12", "2,000"),
+])
+def test_reparameterised_questions_are_caught(spark, change):
+    bench = spark.createDataFrame([(1, PROBLEM)], "item_id long, text string")
+    texts = [" ".join(words(40, 1)) + ". " + change(PROBLEM) + " " + " ".join(words(40, 2)), " ".join(words(200, 3))]
+    got = decontaminate.matches(docs(spark, texts), bench).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(0, 1)] and got[0].containment >= 0.8
+
+
+def test_inconsistent_slots_are_rejected(spark):
+    bench = spark.createDataFrame([(1, PROBLEM)], "item_id long, text string")
+    names = iter(["Ann", "Tom", "Eve", "Kim", "Joe"])
+    other = " ".join(next(names) if w in ("Alice", "Bob") else w for w in PROBLEM.replace("3 dollars", "3 cents").replace("700 dollars", "700 years").split())
+    assert decontaminate.matches(docs(spark, [other]), bench, consistent=0.0).count() == 1
+    assert decontaminate.matches(docs(spark, [other]), bench).count() == 0
+
+
+def test_short_items_occur_word_for_word(spark):
+    bench = spark.createDataFrame([(1, "Two words"), (2, "Bob's 3 pears")], "item_id long, text string")
+    got = decontaminate.matches(docs(spark, ["then two Words, here", "two other words", "on Bob's 3 pears", "on Jim's 4 pears"]), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("text,value", [("1,000", "1000"), ("1000.0", "1000"), ("one thousand", "1000"), ("twenty-five", "25"), ("3/4", "3/4"), ("two hundred five", "205"), ("2 million", "2000000")])
+def test_number_values(text, value):
+    assert decontaminate.number_value(text) == value
+
+
 def test_slot_agreement():
     assert decontaminate.slot_agreement([("3", "5"), ("3", "5"), ("3", "6"), ("4", "4")]) == (4, 3, 1)
 
@@ -399,9 +432,34 @@ def test_url_parts_and_rules(spark, url, host, path, rule):
     assert r.verdict == ({"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}.get(rule, r.verdict))
 
 
-def test_url_model_generalises():
-    m = urlfilter.train(urlfilter.labelled_urls())
-    bad = [m.score(*urlfilter.split_url(f"http://www.{h}.example.com/en/77")) for h in ("casino-royal", "cheap-pills-now", "my-betting")]
-    good = [m.score(*urlfilter.split_url(f"http://www.{h}.example.com/en/77")) for h in ("city-library", "gardenblog", "zzyzx")]
-    assert min(bad) > 0.9 > max(good)
-    assert urlfilter.train([]).score("a", "b") == 0.5
+def test_url_model_held_out(spark):
+    """Five-fold cross-validation on the labelled table, and evidence from the path alone."""
+    rows = [(r.url, r.unwanted) for r in urlfilter.labelled_urls(spark).collect()]
+    assert len(rows) > 150 and 0.4 < sum(y for _, y in rows) / len(rows) < 0.6
+    random.Random(0).shuffle(rows)
+    told = []
+    for k in range(5):
+        m = urlfilter.fit([r for i, r in enumerate(rows) if i % 5 != k])
+        told += [(m.score(*urlfilter.split_url(u)) >= 0.7, y) for i, (u, y) in enumerate(rows) if i % 5 == k]
+    blocked = [y for says, y in told if says]
+    assert np.mean([says == y for says, y in told]) > 0.7 and np.mean(blocked) > 0.85 and sum(blocked) > 0.5 * sum(y for _, y in told)
+    m = urlfilter.train(urlfilter.labelled_urls(spark))
+    score = lambda u: m.score(*urlfilter.split_url(u))
+    assert score("http://pages.example.com/casino/bonus-spins") > 0.7 > score("http://pages.example.com/docs/install.html")
+    assert score("http://online-casino-bets.example/books") > 0.5 > score("http://adsl-help.example.com/router")
+    bad = [score(f"http://www.{h}.example.com/en/77") for h in ("casino-royal", "cheap-pills-now", "my-betting")]
+    good = [score(f"http://www.{h}.example.com/en/77") for h in ("city-library", "gardenblog", "zzyzx")]
+    assert min(bad) > 0.5 > max(good)
+    assert urlfilter.fit([]).score("a", "b") == 0.5 == urlfilter.train(urlfilter.labelled_urls(spark).limit(0)).score("a", "b")
+
+
+def test_url_verdicts_match_a_plain_loop(spark):
+    rows = [(i, u) for i, u in enumerate([None, "", "http://a.net/x", "http://b.example.net/en/1", "http://example.com/de/", "http://c.org/fr/9", "http://casino.example/slots/jackpot", "http://library.example/books"] * 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("verdict", F.lit("clash")).withColumn("score", F.lit(1))
+    m = urlfilter.train(urlfilter.labelled_urls(spark))
+    for r in urlfilter.op10_urls(pages).collect():
+        host, path = urlfilter.split_url(rows[r.page_id][1])
+        fit = max((rule for rule, _ in urlfilter.RULES if (host == rule.partition("/")[0] or host.endswith("." + rule.partition("/")[0])) and path.startswith("/" + rule.partition("/")[2])), key=len, default=None)
+        assert (r.host, r.path, r.rule) == (host, path, fit)
+        assert r.verdict == (dict(urlfilter.RULES)[fit] if fit else "block" if m.score(host, path) >= 0.7 else "allow")
+    assert urlfilter.op10_urls(pages).count() == 16 and urlfilter.op10_urls(pages.limit(0)).count() == 0

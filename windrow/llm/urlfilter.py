@@ -97,7 +97,7 @@ def train(labelled: DataFrame, bits: int = 16, most: int = 20_000, **how) -> Url
     return fit([(r.url, r.unwanted) for r in rows.orderBy(F.xxhash64("url"), "url", "unwanted").limit(most).collect()], bits, **how)
 
 
-def fit(labelled: list[tuple[str, int]], bits: int = 16, rounds: int = 200, rate: float = 0.5, l2: float = 0.01) -> UrlModel:
+def fit(labelled: list[tuple[str, int]], bits: int = 16, rounds: int = 200, rate: float = 0.5, l2: float = 0.001) -> UrlModel:
     """Full-batch Adagrad on a small (url, unwanted) table; an empty one or one of a single class gives its share."""
     w, b = np.zeros(1 << bits), 0.0
     if labelled:
@@ -115,7 +115,7 @@ def fit(labelled: list[tuple[str, int]], bits: int = 16, rounds: int = 200, rate
     return UrlModel(bits, w.astype(np.float32), float(b))
 
 
-def judge(pages: DataFrame, model: UrlModel, rules=RULES, threshold: float = 0.65) -> DataFrame:
+def judge(pages: DataFrame, model: UrlModel, rules=RULES, threshold: float = 0.7) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) per row: the rule's verdict, else block where the model says >= threshold.
 
     A null url, or one without "://", has empty host and path, so no rule, and the model judges the empty parts.
