@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from windrow.llm.common import as_bytes, column_rows, written
 from windrow.llm.components import connected_components
+from windrow.llm.substring import grams, word_codes
 
 BITS = 64
 _BLOCK = 1 << 15
@@ -93,34 +94,131 @@ def near_edges(fps: DataFrame, radius: int = 3) -> DataFrame:
     return v.select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, words_per_shingle: int = 3) -> DataFrame:
+SKETCH = "id long, tie long, fp long, wide long, n int, keys array<long>"
+
+
+def sketch(text: str, k: int = 5, block_words: int = 16, most_keys: int = 6) -> tuple[int, int, np.ndarray]:
+    """(SimHash, number, least block hashes) of the distinct word ``k``-grams of a text; all 0 or empty without words.
+
+    Blocks end after words that hash so, of some ``block_words`` words each, so that an edit spoils its own block only.
+    """
+    codes = word_codes(text)
+    if not len(codes):
+        return 0, 0, np.zeros(0, np.int64)
+    h = np.unique(grams(codes, min(k, len(codes))))
+    counts = np.zeros(BITS, np.int64)
+    for start in range(0, len(h), _BLOCK):
+        counts += np.unpackbits(h[start : start + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    two = grams(codes, 2) if len(codes) > 1 else codes
+    starts = np.append(0, np.flatnonzero(two[:-1] <= np.uint64((2**64 - 1) // block_words)) + 1)
+    blocks = np.unique(grams(np.add.reduceat(two, starts), 1))[:most_keys]
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0]), len(h), blocks.view(np.int64)
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int) -> DataFrame:
+    """(id, tie, fp, wide, n, keys): a row's fingerprint, and the sketch of its words; tie is the text's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, made = np.zeros(batch.num_rows, np.uint64), []
+            for i, text in enumerate(column_rows(batch.column(2))):
+                fps[i] = simhash((text or "").encode("utf-8", "surrogatepass"), words_per_shingle)
+                made.append(sketch(text or ""))
+            wide = np.array([m[0] for m in made], np.uint64).view(np.int64)
+            cells = [pa.array(fps.view(np.int64)), pa.array(wide), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cells], ["id", "tie", "fp", "wide", "n", "keys"])
+
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(run, SKETCH)
+
+
+def like_edges(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, k: int = 5, most_bits: int = 22, together: int = 1000) -> DataFrame:
+    """(a, b): edges between fingerprints whose texts share ``similarity`` of their distinct word ``k``-grams (Jaccard).
+
+    Candidates have a block in common.  Of a block's holders each is held against the one whose blocks most others have
+    (what edited copies are copies of), and against the one before it in an order of chance (in parts of some ``together``
+    holders), so that a block that a third of the texts have costs two pairs each.  Those whose SimHash of the k-grams
+    differs in over ``most_bits`` bits (some ten at a similarity of 0.8, 32 at none) or whose numbers of k-grams are too
+    unlike are left out; all others are verified on their whole texts.
+    """
+    nodes = written(found.groupBy("fp").agg(F.min(F.struct("id", "tie", "wide", "n", "keys")).alias("r")).select("fp", "r.*"), "like-nodes")
+    keyed = nodes.select("fp", "wide", "n", F.explode("keys").alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "like-keys")
+    held = written(keyed.join(shared, "key"), "like-held")
+    liked = written(held.groupBy("fp").agg(F.sum("many").alias("liked")), "like-counts")
+    held = written(held.join(liked, "fp"), "like-liked")
+    first = written(held.groupBy("key").agg(F.max(F.struct("liked", "fp", "wide", "n")).alias("f")).select("key", "f.*"), "like-firsts")
+    first = first.select("key", F.struct("fp", "wide", "n").alias("first"))
+    held = held.join(first, "key").withColumn("chance", F.xxhash64("fp", "key")).withColumn("part", F.pmod(F.xxhash64("chance"), F.ceil(F.col("many") / together)))
+    before = F.lag(F.struct("fp", "wide", "n")).over(Window.partitionBy("key", "part").orderBy("chance"))
+    pairs = held.withColumn("before", before).select("fp", "wide", "n", F.explode(F.array("first", "before")).alias("o"))
+    near = F.bit_count(F.col("wide").bitwiseXOR(F.col("o.wide"))) <= most_bits
+    pairs = pairs.where((F.col("fp") != F.col("o.fp")) & near & (F.least("n", "o.n") >= similarity * F.greatest("n", "o.n")))
+    pairs = written(pairs.select(F.least("fp", "o.fp").alias("a"), F.greatest("fp", "o.fp").alias("b")).distinct(), "like-pairs")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fps, texts in ((batch.column(c).slice(s, 256) for c in (0, 1)) for s in range(0, batch.num_rows, 256)):
+                codes = map(word_codes, texts.to_pylist())
+                sets = [np.unique(grams(c, min(k, len(c)))).tobytes() for c in codes]
+                yield pa.RecordBatch.from_arrays([fps, pa.array(sets, pa.binary())], ["fp", "grams"])
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "id", "tie"), "fp")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("tie"), F.col(text_col).cast("string").alias("text"))
+    sets = asked.join(texts, ["id", "tie"]).dropDuplicates(["fp"]).select("fp", "text").mapInArrow(shingles, "fp long, grams binary")
+    sets = written(sets, "like-grams")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("gb")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for x, y in zip(column_rows(batch.column(2), 64), column_rows(batch.column(3), 64)):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(same >= similarity * (len(x) + len(y) - same))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    return both.select("a", "b", "ga", "gb").mapInArrow(verify, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, words_per_shingle: int = 3, similarity: float | None = None) -> DataFrame:
     """(id, fp, component): one row per input row; component is the smallest id reachable over links of <= radius bits.
 
-    Equal fingerprints are one node, so a third of all rows being copies costs no more than one of them.  Repeated rows
-    give repeated results; null texts have fingerprint 0; a component whose ids are all null has the component null;
-    an empty table gives no rows.  Other columns are not read.
+    With a ``similarity``, texts that share so much of their word 5-grams are linked too, whatever their fingerprints,
+    and a column tie has the text's hash; rows without an id then take no part in these links.  Equal fingerprints are
+    one node, so a third of all rows being copies costs no more than one of them.  Repeated rows give repeated results;
+    null texts have fingerprint 0; a component whose ids are all null has the component null; an empty table gives no
+    rows.  Other columns are not read.
     """
-    fps = written(fingerprints(docs, id_col, text_col, words_per_shingle), "simhash")
-    nodes = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
+    found = fingerprints(docs, id_col, text_col, words_per_shingle) if similarity is None else sketches(docs, id_col, text_col, words_per_shingle)
+    found = written(found, "simhash")
+    nodes = written(found.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
     edges = near_edges(nodes.select("fp"), radius)
+    if similarity is not None:
+        edges = written(edges, "near-edges").unionByName(like_edges(found, docs, id_col, text_col, similarity))
     roots = connected_components(edges).withColumnRenamed("node", "fp")
     rooted = written(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     groups = written(rooted.groupBy("root").agg(F.min("least").alias("component")), "simhash-groups")
     named = written(rooted.join(groups, "root").select("fp", "component"), "simhash-named")
-    return fps.join(named, "fp").select("id", "fp", "component")
+    return found.join(named, "fp").select("id", *([] if similarity is None else ["tie"]), "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their near-duplicate group; repeated rows of that id stay once.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of their near-duplicate group; repeated rows of that id and text stay once.
 
-    Rows without an id can't stand for a group: they take no part and stay.
+    Groups are made of links within ``radius`` bits and of those of ``similarity`` in word 5-grams.  Of several texts of
+    the least id in a group the one with the least hash stays.  Rows without an id can't stand for a group: they take no
+    part and stay.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    found = near_duplicates(named, id_col, text_col, radius).where(F.col("id") == F.col("component"))
-    kept = named.join(found.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi").dropDuplicates([id_col])
+    found = near_duplicates(named, id_col, text_col, radius, similarity=similarity).where(F.col("id") == F.col("component"))
+    found = found.groupBy("component").agg(F.min("tie").alias("_tie")).select(F.col("component").alias(id_col), "_tie")
+    named = named.withColumn("_tie", F.xxhash64(F.col(text_col).cast("string")))
+    kept = named.join(found.distinct(), [id_col, "_tie"], "left_semi").dropDuplicates([id_col, "_tie"])
     return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op4_simhash(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` within three bits: a row per row, null and empty texts with fingerprint zero."""
     found = near_duplicates(docs)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
