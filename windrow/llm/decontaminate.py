@@ -203,9 +203,9 @@ class Template:
         return found
 
 
-def templates(text: str) -> list[Template]:
+def templates(text: str, tokens: tuple | None = None) -> list[Template]:
     """The text's template and, where it differs, the one with capitalised words as literals."""
-    tokens = _tokens(text)
+    tokens = tokens or _tokens(text)
     both = [Template(text, tokens)]
     return both + [Template(text, tokens, names=False)] if (tokens[3] == _NAME).any() else both
 
@@ -242,8 +242,8 @@ def windows(rows: DataFrame, id_col: str, text_col: str, width: int, short: tupl
             ids, ties = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, text in enumerate(column_rows(batch.column(2))):
                 tokens = _tokens(text or "")
-                literal = (tokens[0], tokens[1], tokens[2], np.zeros(len(tokens[3]), int), tokens[4])
-                made = [(v, t, width) for v, t in enumerate(templates(text or ""))]
+                literal = (*tokens[:3], np.zeros(len(tokens[3]), int), tokens[4])
+                made = [(v, t, width) for v, t in enumerate(templates(text or "", tokens))]
                 if item and len(made[0][1].code) < width:
                     made = [(2, plain(Template(text or "", literal)), len(literal[0]))] if len(literal[0]) else []
                 elif not item and short:
