@@ -166,13 +166,18 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, date: str
 RECORDS = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, url string, payload binary"
 
 
-def read_archive(index: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records that ``index`` names, read from their frames; payload is null for revisits, or for all if not wanted.
+def read_archive(index: DataFrame, payloads: bool = True, task_bytes: int = 1 << 24) -> DataFrame:
+    """The records that ``index`` (a written table) names, read from their frames; payload is null for revisits, or for all if not wanted.
 
-    Frames are dealt over tasks; each is fetched alone, by its bundle's seek table.  A response whose payload doesn't
-    match its digest raises an error.
+    Runs of frames are dealt over as many tasks as make some ``task_bytes`` of records each; the index alone is small, and
+    wouldn't tell.  Each frame is fetched alone, by its bundle's seek table.  A response whose payload doesn't match its
+    digest raises an error; an empty index gives no rows, and rows that name one record twice give it once.
     """
-    frames = index.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(100_000, -(-size // task_bytes)))
+    runs = index.withColumn("run", F.floor(F.col("frame") / 16)).repartition(tasks, "bundle", "run")
+    frames = runs.groupBy("bundle", "run", "frame").agg(F.array_sort(F.collect_set("offset")).alias("offsets"))
+    frames = frames.drop("run").sortWithinPartitions("bundle", "frame")
 
     def page(urn: str | None) -> int | None:
         digits = (urn or "").removeprefix("<urn:x-page:").removesuffix(">")
@@ -202,6 +207,7 @@ def read_archive(index: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def op2_warc(pages: DataFrame) -> DataFrame:
+    """Every page written to an archive in the shared folder and read back: a row per row; null html is an empty payload."""
     folder = f"{shared_dir(pages.sparkSession)}/windrow/warc-{uuid.uuid4().hex}"
     found = read_archive(write_archive(pages, folder), payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
