@@ -134,15 +134,17 @@ def document_frequencies(docs: DataFrame, features: Features) -> tuple[np.ndarra
 def train(docs: DataFrame, sample: int = 6000, max_chars: int = 20_000, features: Features = Features()) -> LanguageModel:
     """Learn from rows with a text and a lang: document frequencies from all of them, weights from a bounded sample.
 
-    The sample is the ``sample`` rows with the least hashed ids among texts of up to ``max_chars`` code points, without
-    repeated texts; a fifth of it is held back to fit the temperature.
+    The sample is some ``sample`` rows, an equal share of each lang (all rows of a rarer one), by hashed ids among texts
+    of up to ``max_chars`` code points, without repeated texts; a fifth of it is held back to fit the temperature.
     """
     known = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     df, rows = document_frequencies(known, features)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     small = known.where(F.length("text") <= max_chars)
-    ids = F.broadcast(small.select("doc_id").orderBy(*order).limit(sample).distinct())
-    got = small.join(ids, "doc_id").orderBy(*order, "text").limit(sample).select("text", "lang").collect()
+    counts = small.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()  # a row a language
+    each = sample / max(1, len(counts))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    part = (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) * F.create_map(*[F.lit(x) for r in counts for x in (r.lang, float(r["count"]))])[F.col("lang")] if counts else F.lit(0.0)
+    got = small.where(part < each).orderBy(*order, "text").limit(2 * sample).select("text", "lang").collect()
     got = [(t, c) for t, c in dict((r.text, r.lang) for r in got).items() if _LETTER.search(t)]
     classes = sorted({c for _, c in got})
     idf = np.log((1 + rows) / (1 + df)) + 0.1
@@ -168,5 +170,6 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def op9_langid(docs: DataFrame) -> DataFrame:
+    """``predict`` for every row, with the model of the rows whose id's checksum modulo 5 isn't 0."""
     model = train(docs.where(remainder("doc_id", 5) != 0))
     return predict(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
