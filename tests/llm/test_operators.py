@@ -167,6 +167,25 @@ def test_keep_one(spark):
     assert simhash.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_near_copies_by_word_grams(spark):
+    """Edited copies of a similarity of 0.8 or more in word 5-grams are one group, less like ones aren't."""
+    texts, base = [], [words(300, 2000 + i) for i in range(20)]
+    for i, b in enumerate(base):
+        edit = lambda n: " ".join(w if j % n else f"new{i}x{j}" for j, w in enumerate(b, 1))
+        texts += [" ".join(b), edit(60), edit(75), edit(12)]  # similarities 0.85, 0.88 and under 0.5
+    got = simhash.near_duplicates(docs(spark, texts), similarity=0.8).collect()
+    near = {r.id: r.component for r in got}
+    assert sum(near[4 * i + k] == 4 * i for i in range(20) for k in (1, 2)) >= 36 and all(near[4 * i + 3] == 4 * i + 3 for i in range(20))
+    kept = {r.doc_id for r in simhash.keep_one(docs(spark, texts)).collect()}
+    assert kept == {i for i, c in near.items() if i == c}
+
+
+def test_keep_one_with_other_texts_of_an_id(spark):
+    one, two = " ".join(words(50, 1)), " ".join(words(50, 2))
+    rows = spark.createDataFrame([(1, one), (2, two), (2, one), (2, two), (None, one), (3, two)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(rows).collect()) == sorted([(1, one), (2, two), (0, one)])
+
+
 def test_components_of_a_long_path(spark):
     r = list(range(300))
     random.Random(1).shuffle(r)
@@ -389,6 +408,31 @@ def test_next_row_over_many_buckets(spark):
     assert got == {a: str(b) for a, b in zip(s, s[1:] + s[:1])}
 
 
+def test_next_row_where_one_key_fills_many_buckets(spark):
+    r = random.Random(4)
+    rows = [(5, r.getrandbits(63) - 2**62) for _ in range(600)] + [(-(2**63), r.getrandbits(63) - 2**62) for _ in range(300)] + [(i, i) for i in range(10, 300)]
+    frame = spark.createDataFrame([(k, t, f"{k} {t}") for k, t in rows], "key long, tie long, text string")
+    got = {r.text: r.next.text for r in fingerprint.with_next(frame, "key", ["tie"], ["text"], rows_per_bucket=10, most_segments=16).collect()}
+    s = [f"{k} {t}" for k, t in sorted(rows)]
+    assert got == dict(zip(s, s[1:] + s[:1]))
+
+
+def test_likeness_is_near_the_share_of_clauses(spark):
+    """The mean error against a count of common clauses, over pairs that share 0 to 90 per cent."""
+    rows, want = [], []
+    for i in range(60):
+        a = [" ".join(words(3, 1000 * i + k)) for k in range(40)]
+        keep = 4 * (i % 10)
+        rows.append((i, ". ".join(a), ". ".join(a[:keep] + [" ".join(words(3, 50_000 + 1000 * i + k)) for k in range(40 - keep)])))
+        want.append(keep / 40)
+    df = spark.createDataFrame(rows, "i long, a string, b string")
+    va, vb = fingerprint.vector(F.col("a")), fingerprint.vector(F.col("b"))
+    df = df.select("i", va.alias("a"), vb.alias("b")).select("i", "a", "b", fingerprint._centred(F.col("a")).alias("x"), fingerprint._centred(F.col("b")).alias("y"))
+    got = df.orderBy("i").select(fingerprint.likeness(F.col("a"), F.col("b"), F.col("x"), F.col("y")).alias("v")).toPandas().v
+    error = got - want
+    assert np.sqrt((error[np.array(want) > 0.2] ** 2).mean()) < 0.08 and abs(error.mean()) < 0.04
+
+
 def test_fingerprint_edges(spark):
     d = docs(spark, ["sole"])
     assert fingerprint.op8_fingerprint(d).first().near_next == 1.0 and fingerprint.op8_fingerprint(d.limit(0)).count() == 0

@@ -1,7 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs, in DataFrame functions only.
 
 A document's vector is the lane-wise sum, modulo powers of two, of wide vectors hashed from its paragraphs: eight lanes
-of 32 bits that hold the paragraph's hashes, and 63 lanes of 20 bits that count the set bits in the hashes of its
+of 32 bits that hold the paragraph's hashes, and 252 lanes of 20 bits that count the set bits in the hashes of its
 clauses, with a lane that counts the clauses.  Sums don't depend on the order of paragraphs; a paragraph is inserted or
 deleted by adding or subtracting its vector.  The first lanes tell equality, the others likeness: centred on half the
 clauses they are a random projection of the multiset of clauses, so their cosine estimates how much two texts share.
@@ -9,12 +9,16 @@ clauses they are a random projection of the multiset of clauses, so their cosine
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from windrow.llm.common import written
+
 EXACT = 8  # lanes modulo 2**32
-PACKED = 21  # longs with three lanes modulo 2**20 each, 21 bits apart
+PACKED = 84  # longs with three lanes modulo 2**20 each, 21 bits apart; 21 longs of each hash of a clause
 _THREE = (1 << 0) | (1 << 21) | (1 << 42)
 _LANES = _THREE * ((1 << 20) - 1)
 _GUARDS = _THREE << 20
@@ -30,7 +34,7 @@ def _and(column: Column, mask: int) -> Column:
 
 
 def vector(text: Column) -> Column:
-    """array<bigint>: 8 exact lanes, 21 longs of three likeness lanes, the number of clauses; zeros for null or empty."""
+    """array<bigint>: 8 exact lanes, 84 longs of three likeness lanes, the number of clauses; zeros for null or empty."""
     text = F.coalesce(text, F.lit(""))
     paragraphs = F.filter(F.split(text, r"\n+"), lambda p: p != "")
     clauses = F.filter(F.transform(F.split(text, r"[\n.,;:!?|]+"), F.trim), lambda c: c != "")
@@ -39,12 +43,12 @@ def vector(text: Column) -> Column:
         return F.array(*[_and(acc[k] + _and(F.shiftright(h[k // 2], 32 * (k % 2)), _LOW32), _LOW32) for k in range(EXACT)])
 
     def near(acc: Column, h: Column) -> Column:
-        return F.array(*[_and(acc[k] + _and(F.shiftright(h, k), _THREE), _LANES) for k in range(PACKED)], _and(acc[PACKED] + 1, _LOW20))
+        return F.array(*[_and(acc[k] + _and(F.shiftright(h[k // 21], k % 21), _THREE), _LANES) for k in range(PACKED)], _and(acc[PACKED] + 1, _LOW20))
 
     wide = F.transform(paragraphs, lambda p: F.array(*[F.xxhash64(p, F.lit(k)) for k in range(EXACT // 2)]))
     zeros = lambda n: F.array(*[_long(0)] * n)
     first = F.aggregate(wide, zeros(EXACT), exact)
-    second = F.aggregate(F.transform(clauses, lambda c: F.xxhash64(c)), zeros(PACKED + 1), near)
+    second = F.aggregate(F.transform(clauses, lambda c: F.array(*[F.xxhash64(c, F.lit(k)) for k in range(PACKED // 21)])), zeros(PACKED + 1), near)
     return F.concat(first, second)
 
 
@@ -73,7 +77,7 @@ def as_hex(vec: Column) -> Column:
 
 
 def _centred(vec: Column) -> Column:
-    """The 63 likeness lanes as doubles, twice the count of set bits less the number of clauses."""
+    """The 252 likeness lanes as doubles, twice the count of set bits less the number of clauses."""
     n = vec[EXACT + PACKED]
     packed = F.slice(vec, EXACT + 1, PACKED)
     lanes = F.flatten(F.transform(packed, lambda x: F.array(*[_and(F.shiftright(x, s), _LOW20) for s in (0, 21, 42)])))
@@ -91,39 +95,67 @@ def likeness(a: Column, b: Column, lanes_a: Column, lanes_b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
 
 
-def with_next(rows: DataFrame, key: str, order: list[str], carried: list[str], rows_per_bucket: int = 200, most_buckets: int = 16_384) -> DataFrame:
+def with_next(rows: DataFrame, key: str, order: list[str], carried: list[str], rows_per_bucket: int = 200, most_segments: int = 4096, most_buckets: int = 2_000_000) -> DataFrame:
     """Each row with ``next``, a struct of the ``carried`` columns of the row after it by (key, order); the last has the first's.
 
-    One shuffle, no global window: the key's quantiles (``most_buckets`` numbers at most) cut the rows into buckets of
-    adjoining keys, and each bucket also gets a copy of the first row of the next.  ``key`` is a long without nulls, near
-    enough unique for a bucket to be small.
+    One shuffle of the rows, no global window: the key's quantiles (``most_segments`` at most) cut the rows into segments,
+    each segment is cut into equal ranges of the key, or of the first column of ``order``, a 64-bit hash, where one key
+    fills it, and each such bucket also gets a copy of the first row of the next one.  Those first rows' keys are
+    broadcast; beyond ``most_buckets`` buckets grow instead of them.  ``key`` is a long without nulls.
     """
     n = rows.count()
-    wanted = max(1, min(most_buckets, n // rows_per_bucket))
-    cuts = sorted({int(x) for x in rows.approxQuantile(key, [i / wanted for i in range(1, wanted)], 0.2 / wanted)}) if wanted > 1 else []
-    groups = [cuts[i : i + 128] for i in range(0, len(cuts), 128)]
-    if groups:  # two levels, so that each row is held against some 256 numbers at most
-        longs = lambda xs: F.array(*[_long(x) for x in xs])
+    per_bucket = max(rows_per_bucket, n // most_buckets)
+    wanted = max(1, min(most_segments, n // per_bucket))
+    cuts = [int(x) for x in rows.approxQuantile(key, [i / wanted for i in range(1, wanted)], 0.2 / wanted)] if wanted > 1 else []
+    times = Counter(cuts)
+    parts = max(1, -(-n // (wanted * per_bucket)))  # buckets of a segment
+    bounds: dict[int, int] = {}  # first key of a segment -> how many buckets, negative where they are ranges of the hash
+    for c in sorted(times):
+        bounds[c] = parts if times[c] == 1 else -parts * times[c]
+        if times[c] > 1:
+            bounds.setdefault(c + 1, parts)
+    lows = sorted(bounds)
+    longs = lambda xs: F.array(*[_long(x) for x in xs])
+    if lows:  # two levels, so that each row is held against some 256 numbers at most
+        groups = [lows[i : i + 64] for i in range(0, len(lows), 64)]
         at = F.size(F.filter(longs([g[0] for g in groups]), lambda b: b <= F.col(key)))
         within = F.size(F.filter(F.element_at(F.array(*map(longs, groups)), F.greatest(at, F.lit(1))), lambda b: b <= F.col(key)))
-        bucket = F.greatest(at - 1, F.lit(0)) * 128 + within
+        segment = F.greatest(at - 1, F.lit(0)) * 64 + within
     else:
-        bucket = F.lit(0)
-    rows = rows.withColumn("bucket", bucket.cast("int"))
-    firsts = rows.groupBy("bucket").agg(F.min(F.struct(key, *order)).alias("f")).orderBy("bucket").collect()  # a row a bucket
-    if not firsts:
-        return rows.withColumn("next", F.struct(*carried)).drop("bucket")
-    copies = [(*r.f, firsts[i - 1].bucket) for i, r in enumerate(firsts)]  # the first bucket's goes to the last
-    kinds = ", ".join(f"{c} {t}" for c, t in rows.select(key, *order).dtypes)
-    starts = rows.sparkSession.createDataFrame(copies, f"{kinds}, before int")
+        segment = F.lit(0)
+    low, high = [-(2**63), *lows], [*lows, 2**63 - 1]
+    many = [parts, *(bounds[x] for x in lows)]
+    rows = rows.withColumn("segment", segment.cast("int"))
+    spot = F.col("segment") + 1
+    ranges = F.element_at(longs(many), spot)
+    lo, hi = (F.element_at(longs(x), spot).cast("double") for x in (low, high))
+    if not lows or parts > 1:  # the outer segments end where the keys do
+        ends = rows.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
+        lo, hi = F.greatest(lo, F.lit(float(ends.a if ends.a is not None else 0))), F.least(hi, F.lit(float(ends.b if ends.b is not None else 0)) + 1)
+    share = F.when(ranges < 0, F.col(order[0]).cast("double") / 2.0**64 + 0.5).otherwise((F.col(key).cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0)))
+    sub = F.least(F.greatest(F.floor(share * F.abs(ranges)), F.lit(0)), F.abs(ranges) - 1).cast("long")
+    rows = rows.withColumn("sub", sub)
+    where = ["segment", "sub"]
+    firsts = written(rows.groupBy(*where).agg(F.min(F.struct(key, *order)).alias("f")), "bucket-firsts")
+    edges = firsts.groupBy("segment").agg(F.min("sub").alias("first"), F.max("sub").alias("last")).orderBy("segment").collect()  # a row a segment
+    if not edges:
+        return rows.withColumn("next", F.struct(*carried)).drop(*where)
+    spark = rows.sparkSession
+    over = [(r.segment, r.first, edges[i - 1].segment, edges[i - 1]["last"]) for i, r in enumerate(edges)]  # the first one's goes to the last
+    over = spark.createDataFrame([(a, b, c, d) for a, b, c, d in over], "segment int, sub long, home int, home_sub long")
+    before = F.lag("sub").over(Window.partitionBy("segment").orderBy("sub"))
+    starts = firsts.withColumn("before", before).join(F.broadcast(over), where, "left")
+    home = F.struct(F.coalesce("home", "segment").alias("segment"), F.coalesce("home_sub", "before").alias("sub"))
+    last = edges[-1]
+    wraps = (F.col("home") == last.segment) & (F.col("home_sub") == last["last"]) & (F.col("segment") == edges[0].segment)
+    starts = starts.select("f.*", home.alias("to"), F.when(wraps, 2).otherwise(1).alias("copy"))  # the copy of the very first row stands after all others
     marked = rows.join(F.broadcast(starts), [key, *order], "left")
-    late = F.col("before") >= F.col("bucket")  # the copy of the very first row stands after all others
-    homes = F.array(F.struct(F.col("bucket").alias("at"), F.lit(0).alias("copy")))
-    also = F.when(F.col("before").isNotNull(), F.array(F.struct(F.col("before").alias("at"), F.when(late, 2).otherwise(1).alias("copy"))))
+    homes = F.array(F.struct(F.struct(*where).alias("at"), F.lit(0).alias("copy")))
+    also = F.when(F.col("to").isNotNull(), F.array(F.struct(F.col("to").alias("at"), F.col("copy"))))
     marked = marked.withColumn("home", F.explode(F.concat(homes, F.coalesce(also, F.slice(homes, 1, 0)))))
     w = Window.partitionBy("home.at").orderBy(F.col("home.copy") > 0, key, *order)
     led = marked.withColumn("next", F.lead(F.struct(*carried)).over(w)).where("home.copy = 0")
-    return led.drop("bucket", "before", "home")
+    return led.drop(*where, "to", "copy", "home")
 
 
 def op8_fingerprint(docs: DataFrame) -> DataFrame:
