@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrow.functions.scalar import window_start
+from windrow.params import SOIL
 
 
 def circular_mean(degrees: Column) -> Column:
@@ -21,9 +22,8 @@ def slope(value: Column, ts: Column) -> Column:
 
 
 def first_present(df: DataFrame, names: list[str]) -> Column:
-    """Mean of the first of the named columns that the table has; 0 if it has none, or only nulls."""
-    present = [n for n in names if n in df.columns]
-    return F.coalesce(F.avg(present[0]), F.lit(0.0)) if present else F.lit(0.0)
+    """Mean of the first of the named columns that has one, else 0.  The reader leaves a payload only the first that it has."""
+    return F.coalesce(*[F.avg(n) for n in names if n in df.columns], F.lit(0.0))
 
 
 def to_windows(hourly: DataFrame, hours: int = 3) -> DataFrame:
@@ -39,8 +39,7 @@ def to_windows(hourly: DataFrame, hours: int = 3) -> DataFrame:
         F.avg(has("boundary_layer_height")).alias("boundary_layer_height"), F.avg(has("dew_point_2m")).alias("dew_point_mean"), F.max(has("cape")).alias("cape_max"),
         total("direct_radiation").alias("direct_radiation_sum"), F.max(has("is_day")).alias("is_day"),
         slope(t, at).alias("temp_slope_3h"), slope(rh, at).alias("humidity_slope_3h"), F.coalesce(F.var_samp(t), zero).alias("temp_variance_3h"),
-        first_present(hourly, ["soil_temperature_6cm", "soil_temperature_0_to_7cm"]).alias("soil_temperature_mean"),
-        first_present(hourly, ["soil_moisture_3_to_9cm", "soil_moisture_0_to_7cm"]).alias("soil_moisture_mean"),
+        first_present(hourly, SOIL["temperature"]).alias("soil_temperature_mean"), first_present(hourly, SOIL["moisture"]).alias("soil_moisture_mean"),
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from windrow.functions import scalar as sc
-from windrow.operators import align, evaluate, features, forecast, models, vegetation, weather
+from windrow.operators import align, evaluate, features, forecast, models, phenology, vegetation, weather
 from windrow.params import with_params
 from windrow.plans import pipelines
 from windrow.shared import scratch, written
@@ -50,12 +50,15 @@ PARAMS = (
     "(L * 5)::DOUBLE AS low_max, (L * 10)::DOUBLE AS moderate_max, (L * 20)::DOUBLE AS high_max FROM (SELECT DISTINCT event_type AS species, length(event_type) AS L FROM events))"
 )
 HOURLY = (
-    "h AS (SELECT 'st' || (user_id % 7) AS station, ts AS time, floor(value) - 20 AS t, (k % 5)::DOUBLE AS p, floor(value / 10) AS ws, CASE WHEN k < 5 THEN NULL ELSE floor(value * 7) % 360 END AS wd, k::DOUBLE AS rh, floor(value) * 10 AS sun "
+    "h AS (SELECT 'st' || (user_id % 7) AS station, ts AS time, floor(value) - 20 AS t, (k % 5)::DOUBLE AS p, floor(value / 10) AS ws, CASE WHEN k < 5 THEN NULL ELSE floor(value * 7) % 360 END AS wd, k::DOUBLE AS rh, floor(value) * 10 AS sun, "
+    "floor(value) * 3 AS sw, k * 20.0 AS pbl, floor(value) - 25 AS dew, CASE WHEN k > 2 THEN k * 7.0 END AS cape, floor(value) * 2 AS dr, (hour(ts) BETWEEN 6 AND 17)::INT::DOUBLE AS isd, "
+    "CASE WHEN user_id % 2 = 0 THEN floor(value) / 2 END AS s6, CASE WHEN user_id % 7 = 3 THEN NULL ELSE floor(value) / 4 END AS s7, CASE WHEN user_id % 2 = 0 THEN k / 100.0 END AS m9, CASE WHEN k < 90 THEN k / 200.0 END AS m7 "
     "FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))"
 )
 WINDOWS = (
     "w AS (SELECT station, time_bucket(INTERVAL 3 HOUR, time) AS ts, max(t) AS tmax, min(t) AS tmin, avg(t) AS tmean, coalesce(sum(p), 0) AS rain, max(ws) AS wsmax, avg(rh) AS rh, coalesce(sum(sun), 0) AS sun, "
     "((degrees(atan2(avg(sin(radians(coalesce(wd, 0)))), avg(cos(radians(coalesce(wd, 0)))))) % 360) + 360) % 360 AS wdir, arg_max(t, time) - arg_min(t, time) AS tslope, arg_max(rh, time) - arg_min(rh, time) AS rhslope, coalesce(var_samp(t), 0) AS tvar, "
+    "coalesce(sum(sw), 0) AS sw, avg(pbl) AS pbl, avg(dew) AS dew, max(cape) AS cape, coalesce(sum(dr), 0) AS dr, max(isd) AS isd, coalesce(avg(s6), avg(s7), 0) AS soilt, coalesce(avg(m9), avg(m7), 0) AS soilm, "
     "sum(t)::BIGINT // count(*) AS ti FROM h GROUP BY 1, 2)"
 )
 DAILY = "d AS (SELECT o_orderpriority AS station, o_orderdate::DATE AS date, ((sum(round(o_totalprice * 100)::BIGINT) // count(*)) % 40 - 5)::BIGINT AS temperature FROM orders GROUP BY 1, 2)"
@@ -95,6 +98,9 @@ def hourly(spark, d) -> DataFrame:
     return e.select(
         F.concat(F.lit("st"), (F.col("user_id") % 7).cast("string")).alias("station"), F.col("ts").alias("time"), (v - 20).alias("temperature_2m"), (F.col("k") % 5).cast("double").alias("precipitation"), F.floor(F.col("value") / 10).cast("double").alias("wind_speed_10m"),
         F.when(F.col("k") >= 5, F.floor(F.col("value") * 7).cast("double") % 360).alias("wind_direction_10m"), k.alias("relative_humidity_2m"), (v * 10).alias("sunshine_duration"),
+        (v * 3).alias("shortwave_radiation"), (k * 20).alias("boundary_layer_height"), (v - 25).alias("dew_point_2m"), F.when(k > 2, k * 7).alias("cape"), (v * 2).alias("direct_radiation"), F.hour("ts").between(6, 17).cast("double").alias("is_day"),
+        F.when(F.col("user_id") % 2 == 0, v / 2).alias("soil_temperature_6cm"), F.when(F.col("user_id") % 7 != 3, v / 4).alias("soil_temperature_0_to_7cm"),
+        F.when(F.col("user_id") % 2 == 0, k / 100).alias("soil_moisture_3_to_9cm"), F.when(k < 90, k / 200).alias("soil_moisture_0_to_7cm"),
     )
 
 
@@ -205,10 +211,11 @@ def _(spark, d):
     return models.eligibility(series(spark, d)).select("species", "n", "positives", *r6("positive_weight"), "eligible")
 
 
-@query("b17_b18_interactions", f"WITH {HOURLY}, {WINDOWS}, x AS (SELECT *, tmax * (100 - floor(rh)) / 100 AS dw FROM w) SELECT station, ts, round(tmax * sun / 3600, 6) + 0.0 AS temp_x_sunshine, round(dw, 4) + 0.0 AS dry_warm, round(wsmax * dw, 4) + 0.0 AS wind_x_dry_warm, round(greatest(0, -cos(radians(wdir))), 6) AS wind_from_south, round(wsmax * greatest(0, cos(radians(wdir))), 6) AS transport_north FROM x")
+@query("b17_b18_interactions", f"WITH {HOURLY}, {WINDOWS}, x AS (SELECT *, tmax * (100 - floor(rh)) / 100 AS dw, sin(radians(wdir)) AS sn, cos(radians(wdir)) AS cs FROM w) SELECT station, ts, round(tmax * sun / 3600, 6) + 0.0 AS temp_x_sunshine, round(dw, 4) + 0.0 AS dry_warm, round(wsmax * dw, 4) + 0.0 AS wind_x_dry_warm, round(sn, 6) + 0.0 AS wind_dir_sin, round(cs, 6) + 0.0 AS wind_dir_cos, round(greatest(0, -cs), 6) + 0.0 AS wind_from_south, round(greatest(0, cs), 6) + 0.0 AS wind_from_north, round(wsmax * greatest(0, -cs), 6) + 0.0 AS transport_south, round(wsmax * greatest(0, cs), 6) + 0.0 AS transport_north FROM x")
 def _(spark, d):
     w = weather3(spark, d).withColumns({"temperature_mean": F.col("temperature_max"), "humidity_mean": F.floor("humidity_mean").cast("double")})  # whole numbers: no ties in rounding
-    return features.interactions(w).select("station", "ts", *r6("temp_x_sunshine", "wind_from_south", "transport_north"), *[F.round(c, 4).alias(c) for c in ("dry_warm", "wind_x_dry_warm")])
+    names = ("temp_x_sunshine", "wind_dir_sin", "wind_dir_cos", "wind_from_south", "wind_from_north", "transport_south", "transport_north")
+    return features.interactions(w).select("station", "ts", *r6(*names), *[F.round(c, 4).alias(c) for c in ("dry_warm", "wind_x_dry_warm")])
 
 
 @query("b20_past_only", f"WITH {SERIES} SELECT * FROM s WHERE ts <= TIMESTAMP '2024-01-15 12:00:00'")
@@ -216,9 +223,9 @@ def _(spark, d):
     return series(spark, d).where(F.col("ts") <= F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
 
 
-@query("b22_valid_composites", f"WITH {DAILY} SELECT station, date, temperature / 30.0 AS ndvi FROM d WHERE temperature / 30.0 > -0.1 AND temperature / 30.0 < 1.0 AND temperature / 30.0 > -0.2")
+@query("b22_valid_composites", f"WITH {DAILY} SELECT station, date, (temperature * 2 - 8) / 70.0 AS ndvi FROM d WHERE (temperature * 2 - 8) / 70.0 < 1.0 AND (temperature * 2 - 8) / 70.0 > -0.2")
 def _(spark, d):
-    return vegetation.valid(daily(spark, d).select("station", "date", (F.col("temperature") / 30.0).alias("ndvi"))).where("ndvi > -0.1")
+    return vegetation.valid(daily(spark, d).select("station", "date", ((F.col("temperature") * 2 - 8) / 70.0).alias("ndvi")))
 
 
 @query("b23_complete", f"WITH {SERIES} SELECT station, species, ts, value, 0::DOUBLE AS evi, 0::DOUBLE AS ndvi FROM s")
@@ -362,10 +369,17 @@ def _(spark, d):
 # ---- D: aggregation ------------------------------------------------------------------------------------------------
 
 
-@query("d1_d5_windows", f"WITH {HOURLY}, {WINDOWS} SELECT station, ts, tmax AS temperature_max, tmin AS temperature_min, round(tmean, 6) AS temperature_mean, rain AS precipitation_sum, wsmax AS wind_speed_max, round(rh, 6) AS humidity_mean, sun AS sunshine_duration, tslope AS temp_slope_3h, rhslope AS humidity_slope_3h, round(tvar, 6) AS temp_variance_3h, 0::DOUBLE AS soil_temperature_mean FROM w")
+# name, SQL, whether the numbers need rounding
+_WEATHER_SQL = [
+    ("temperature_max", "tmax", 0), ("temperature_min", "tmin", 0), ("temperature_mean", "tmean", 6), ("precipitation_sum", "rain", 0), ("wind_speed_max", "wsmax", 0), ("wind_direction", "wdir % 359.999", 3), ("humidity_mean", "rh", 6), ("sunshine_duration", "sun", 0), ("shortwave_radiation_sum", "sw", 0),
+    ("boundary_layer_height", "pbl", 6), ("dew_point_mean", "dew", 6), ("cape_max", "cape", 0), ("direct_radiation_sum", "dr", 0), ("is_day", "isd", 0), ("temp_slope_3h", "tslope", 0), ("humidity_slope_3h", "rhslope", 0), ("temp_variance_3h", "tvar", 6), ("soil_temperature_mean", "soilt", 6), ("soil_moisture_mean", "soilm", 6),
+]
+
+
+@query("d1_d5_windows", f"WITH {HOURLY}, {WINDOWS} SELECT station, ts, " + ", ".join(f"round({x}, {n or 6}) + 0.0 AS {name}" for name, x, n in _WEATHER_SQL) + " FROM w")
 def _(spark, d):
-    w = weather3(spark, d)
-    return w.select("station", "ts", "temperature_max", "temperature_min", *r6("temperature_mean"), "precipitation_sum", "wind_speed_max", *r6("humidity_mean"), "sunshine_duration", "temp_slope_3h", "humidity_slope_3h", *r6("temp_variance_3h"), "soil_temperature_mean")
+    w = weather3(spark, d).withColumn("wind_direction", F.col("wind_direction") % 359.999)  # 0 and 360 are one direction
+    return w.select("station", "ts", *[F.round(F.col(name).cast("double"), n or 6).alias(name) for name, _, n in _WEATHER_SQL])
 
 
 @query("d2_circular_mean", f"WITH {HOURLY}, {WINDOWS} SELECT station, ts, round(sin(radians(wdir)), 6) + 0.0 AS s, round(cos(radians(wdir)), 6) + 0.0 AS c FROM w")
@@ -378,12 +392,12 @@ def _(spark, d):
     return align.pivot_species(series(spark, d), ["click", "view"])
 
 
-_ONSET = "o AS (SELECT l_returnflag AS species, year(l_shipdate)::INT AS year, round_even(avg(dayofyear(l_shipdate)), 0)::INT AS onset_doy FROM lineitem WHERE l_suppkey % 5 = 0 GROUP BY 1, 2)"
+_ONSET = "o AS (SELECT l_returnflag AS species, year(l_shipdate)::INT AS year, round_even(avg(dayofyear(l_shipdate)), 0)::INT AS onset_doy FROM lineitem WHERE l_suppkey % 5 = 0 AND l_linenumber = 5 GROUP BY 1, 2)"
 
 
 def _onset(spark, d) -> DataFrame:
-    rows = t(spark, d, "lineitem").where(F.col("l_suppkey") % 5 == 0).groupBy(F.col("l_returnflag").alias("species"), F.year("l_shipdate").alias("year"))
-    return rows.agg(F.bround(F.avg(F.dayofyear("l_shipdate")), 0).cast("int").alias("onset_doy"))
+    rows = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("species"), F.col("l_suppkey").alias("station_id"), F.year("l_shipdate").alias("year"), F.col("l_linenumber").alias("phase"), F.dayofyear("l_shipdate").alias("doy"))
+    return phenology.yearly_onset(rows, t(spark, d, "supplier").where(F.col("s_suppkey") % 5 == 0).select(F.col("s_suppkey").alias("station_id")))
 
 
 @query("d8_b21_onset", f"WITH {_ONSET} SELECT * FROM o")
@@ -393,8 +407,7 @@ def _(spark, d):
 
 @query("d9_onset_stats", f"WITH {_ONSET} SELECT species, round(avg(onset_doy), 6) AS mean, round(stddev_samp(onset_doy), 6) AS std, min(onset_doy) AS lo, max(onset_doy) AS hi, count(*) AS years, min(year) AS first_year, max(year) AS last_year FROM o GROUP BY 1")
 def _(spark, d):
-    o = _onset(spark, d).groupBy("species").agg(F.avg("onset_doy").alias("mean"), F.stddev_samp("onset_doy").alias("std"), F.min("onset_doy").alias("lo"), F.max("onset_doy").alias("hi"), F.count("*").alias("years"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
-    return o.select("species", *r6("mean", "std"), "lo", "hi", "years", "first_year", "last_year")
+    return phenology.onset_stats(_onset(spark, d)).select("species", *r6("mean", "std"), "lo", "hi", "years", "first_year", "last_year")
 
 
 _METRICS = "count(*) AS n, round(avg(abs_error), 6) AS mae, round(sqrt(avg(error * error)), 6) AS rmse, round(median(abs_error), 6) AS median_ae, round(avg((level_actual = level_predicted)::INT), 6) AS level_accuracy, max(actual) AS max_actual, round(avg(error), 6) + 0.0 AS bias"
@@ -473,13 +486,13 @@ def _(spark, d):
     return features.degree_days(daily(spark, d)).select("station", "date", F.col("gdd").cast("double").alias("gdd"))
 
 
-@query("e10_e12_rolling_weather", f"WITH {HOURLY}, {WINDOWS} SELECT station, ts, round(avg(sun) OVER {_X} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 6) AS sunshine_rolling_3d, round(avg(sun) OVER {_X} ROWS BETWEEN 55 PRECEDING AND CURRENT ROW), 6) AS sunshine_rolling_7d, sum(rain) OVER {_X} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS rain_rolling_3d, sum(rain) OVER {_X} ROWS BETWEEN 55 PRECEDING AND CURRENT ROW) AS rain_rolling_7d, coalesce(ti - lag(ti, 8) OVER {_X}), 0)::DOUBLE AS temp_delta_1d, coalesce(ti - lag(ti, 24) OVER {_X}), 0)::DOUBLE AS temp_delta_3d FROM w")
+@query("e10_e12_rolling_weather", f"WITH {HOURLY}, {WINDOWS} SELECT station, ts, round(avg(sun) OVER {_X} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 6) AS sunshine_rolling_3d, round(avg(sun) OVER {_X} ROWS BETWEEN 55 PRECEDING AND CURRENT ROW), 6) AS sunshine_rolling_7d, sum(rain) OVER {_X} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS rain_rolling_3d, sum(rain) OVER {_X} ROWS BETWEEN 55 PRECEDING AND CURRENT ROW) AS rain_rolling_7d, round(avg(ti) OVER {_X} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 6) + 0.0 AS temp_rolling_3d, round(avg(ti) OVER {_X} ROWS BETWEEN 55 PRECEDING AND CURRENT ROW), 6) + 0.0 AS temp_rolling_7d, coalesce(ti - lag(ti, 8) OVER {_X}), 0)::DOUBLE AS temp_delta_1d, coalesce(ti - lag(ti, 24) OVER {_X}), 0)::DOUBLE AS temp_delta_3d FROM w")
 def _(spark, d):
     h = hourly(spark, d)
     ints = h.groupBy("station", sc.window_start(F.col("time")).alias("ts")).agg(F.sum("temperature_2m").cast("long").alias("a"), F.count("*").alias("n")).select("station", "ts", F.expr("a div n").cast("double").alias("ti"))
     w = weather3(spark, d).join(ints, ["station", "ts"]).withColumn("temperature_mean", F.col("ti"))
     out = features.rolling_weather(w)
-    return out.select("station", "ts", *r6("sunshine_rolling_3d", "sunshine_rolling_7d"), "rain_rolling_3d", "rain_rolling_7d", "temp_delta_1d", "temp_delta_3d")
+    return out.select("station", "ts", *r6("sunshine_rolling_3d", "sunshine_rolling_7d"), "rain_rolling_3d", "rain_rolling_7d", *r6("temp_rolling_3d", "temp_rolling_7d"), "temp_delta_1d", "temp_delta_3d")
 
 
 def _streak_sql(keys: str, cond: str, source: str) -> str:
@@ -492,9 +505,9 @@ def _(spark, d):
     return features.streak(with_month(spark, d), F.col("value") > F.col("activation_temp") * 4, "streak", ["station", "species"]).select("station", "species", "ts", "streak")
 
 
-@query("e14_dry_streak", f"WITH {HOURLY}, {WINDOWS}, {_streak_sql('station', 'rain < 12', 'w')} SELECT station, ts, streak FROM z")
+@query("e14_dry_streak", f"WITH {HOURLY}, {WINDOWS}, {_streak_sql('station', 'rain < 0.1', 'w')} SELECT station, ts, streak AS dry_streak FROM z")
 def _(spark, d):
-    return features.streak(weather3(spark, d), F.col("precipitation_sum") < 12, "streak", ["station"]).select("station", "ts", "streak")
+    return features.weather_features(weather3(spark, d)).select("station", "ts", "dry_streak")
 
 
 _SPARSE = f"{DAILY}, c AS (SELECT station, min(date) AS date, arg_min(temperature, date)::DOUBLE AS v FROM d GROUP BY station, date_diff('day', DATE '1995-01-01', date) // 16)"
@@ -595,8 +608,7 @@ def _(spark, d):
 
 @query("d21_danger_listing", "SELECT p_partkey, p_size % 4 AS level, repeat('█', (p_size % 4)::INT) AS bar FROM part")
 def _(spark, d):
-    p = t(spark, d, "part").withColumn("level", F.col("p_size") % 4)
-    return p.select("p_partkey", "level", F.expr("repeat('█', level)").alias("bar")).orderBy("p_partkey")
+    return phenology.danger_listing(t(spark, d, "part").select("p_partkey", ((F.col("p_size") % 4) + 0.5).alias("level")))
 
 
 # ---- more of the same families ----------------------------------------------------------------------------------------
@@ -609,11 +621,11 @@ def _(spark, d):
     return params(spark, d).select("species", sc.typical_onset(observed, table, F.col("season_start")).alias("onset"))
 
 
-@query("b19_thresholds", f"{JOINED} SELECT station, species, ts, greatest(0, value * 3 - gdd_threshold) AS gdd_above_threshold, (value > activation_temp AND value % 13 < activation_temp AND value * 3 >= gdd_threshold)::INT::DOUBLE AS cold_to_warm_flip, value - value % 13 AS warm_after_cold FROM j")
+@query("b19_thresholds", f"{JOINED}, i AS (SELECT *, sum(1 - m) OVER {_W}) AS isl FROM (SELECT *, (value > activation_temp)::INT AS m FROM j)), q AS (SELECT *, sum(m) OVER (PARTITION BY station, species, isl ORDER BY ts) AS warm FROM i) SELECT station, species, ts, greatest(0, value * 3 - gdd_threshold) AS gdd_above_threshold, (value > activation_temp AND value % 13 < activation_temp AND value * 3 >= gdd_threshold)::INT::DOUBLE AS cold_to_warm_flip, value - value % 13 AS warm_after_cold, warm::DOUBLE AS consecutive_warm_hrs, round(greatest(-3, least(5, (value * 3 - gdd_threshold) / greatest(gdd_threshold, 1))), 6) + 0.0 AS onset_anomaly FROM q")
 def _(spark, d):
     v = F.col("value")
     df = with_month(spark, d).withColumns({"temp_rolling_3d": v, "temp_rolling_7d": v % 13, "gdd": v * 3, "temperature_mean": v})
-    return features.threshold_features(df).select("station", "species", "ts", "gdd_above_threshold", "cold_to_warm_flip", "warm_after_cold")
+    return features.threshold_features(df).select("station", "species", "ts", "gdd_above_threshold", "cold_to_warm_flip", "warm_after_cold", "consecutive_warm_hrs", *r6("onset_anomaly"))
 
 
 @query("c5_c6_assimilate", f"{JOINED}, o AS (SELECT station, species, ts, value + 7 AS observed FROM s WHERE hour(ts) = 6), x AS (SELECT species, ts::DATE AS date, (count(*) % 7) / 2.0 AS expert FROM s WHERE day(ts) % 3 = 0 GROUP BY 1, 2), n AS (SELECT j.*, observed, round_even(expert, 0)::INT AS target, {_NUMBER.format('(' + _LEVEL + ')')} AS own FROM j LEFT JOIN o USING (station, species, ts) LEFT JOIN x ON x.species = j.species AND x.date = j.ts::DATE), k AS (SELECT *, greatest(0, least(3, own + sign(target - own)))::INT AS step FROM n) SELECT station, species, ts, round(CASE WHEN observed IS NOT NULL THEN observed WHEN target IS NULL OR target = own THEN value ELSE greatest(0, 0.5 * value + 0.5 * ({_MID.format('step')})) END, 6)::DOUBLE AS value, observed IS NOT NULL AS is_observed FROM k")

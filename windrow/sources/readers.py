@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.functions.scalar import danger_code, epoch_window
-from windrow.params import CALENDAR, SPECIES, WEATHER
+from windrow.operators import phenology
+from windrow.params import CALENDAR, SOIL, SPECIES, WEATHER
 
+# Fields and parameters of the landed payloads.
 MEASUREMENTS = "measurements array<struct<polle: string, location: string, data: array<struct<`from`: bigint, `to`: bigint, value: double>>>>"
 HOURLY = [
     "temperature_2m", "precipitation", "wind_speed_10m", "wind_direction_10m", "relative_humidity_2m", "sunshine_duration", "shortwave_radiation", "boundary_layer_height", "dew_point_2m", "cape",
@@ -21,7 +23,6 @@ HISTORY = "station string, species string, ts timestamp_ntz, value double, is_me
 DANGER_SPECIES = {"Erle": "Alnus", "Ambrosia": "Ambrosia", "Beifuss": "Artemisia", "Birke": "Betula", "Hasel": "Corylus", "Esche": "Fraxinus", "Graeser": "Poaceae", "Roggen": "Poaceae"}
 ONSET_FILES = {"Hasel": "Corylus", "Haenge-Birke": "Betula", "Esche": "Fraxinus", "Beifuss": "Artemisia"}
 GRID_SPECIES = {"alder_pollen": "Alnus", "birch_pollen": "Betula", "grass_pollen": "Poaceae", "mugwort_pollen": "Artemisia", "ragweed_pollen": "Ambrosia"}
-ONSET_PHASE = 5
 
 
 def renamed(column: Column, names: dict[str, str]) -> Column:
@@ -46,10 +47,14 @@ def chunked_measurements(spark: SparkSession, paths: list[str], species: list[st
 
 
 def hourly_weather(spark: SparkSession, path: str, station: str) -> DataFrame:
-    """(station, time, a column per parameter); parameters that the payload lacks are null."""
+    """(station, time, a column per parameter); parameters that the payload lacks are null.
+
+    Of the soil parameters a payload's first present one is kept, whatever its values, and the other is null.
+    """
     raw = spark.read.schema(WEATHER_JSON).option("multiLine", True).json(path)
     empty = F.array().cast("array<double>")  # a null array would null all of arrays_zip
-    arrays = [F.col("hourly.time").alias("time"), *[F.coalesce(F.col(f"hourly.{n}"), empty).alias(n) for n in HOURLY]]
+    second = {names[1]: F.col(f"hourly.{names[0]}").isNull() for names in SOIL.values()}
+    arrays = [F.col("hourly.time").alias("time"), *[F.when(second.get(n, F.lit(True)) & F.col(f"hourly.{n}").isNotNull(), F.col(f"hourly.{n}")).otherwise(empty).alias(n) for n in HOURLY]]
     each = raw.select(F.inline(F.arrays_zip(*arrays)))
     return each.select(F.lit(station).alias("station"), F.col("time").try_cast("timestamp_ntz").alias("time"), *HOURLY)
 
@@ -78,9 +83,7 @@ def onset(spark: SparkSession, path: str, species: str, stations: list[int] | No
     raw = raw.toDF(*[c.strip() for c in raw.columns])
     number = lambda c: F.trim(F.col(c)).try_cast("int")
     rows = raw.select(number("Stations_id").alias("station_id"), number("Referenzjahr").alias("year"), number("Phase_id").alias("phase"), number("Jultag").alias("doy"))
-    rows = rows.where((F.col("phase") == ONSET_PHASE) & F.col("doy").isNotNull())
-    rows = rows if stations is None else rows.where(F.col("station_id").isin(stations))
-    return rows.groupBy(F.lit(species).alias("species"), "year").agg(F.bround(F.avg("doy"), 0).cast("int").alias("onset_doy"))
+    return phenology.yearly_onset(rows.withColumn("species", F.lit(species)), stations)
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
