@@ -141,3 +141,22 @@ def test_readers(spark, tmp_path):
     assert [(r.species, str(r.date), r.level) for r in got] == [("Poaceae", "2024-05-01", 2.0), ("Poaceae", "2024-05-02", 1.0), ("Poaceae", "2024-05-03", 2.5)]
     o = "Stations_id ; Referenzjahr ; Phase_id ; Jultag ;\n 1 ; 2020 ; 5 ; 100 ;\n 2 ; 2020 ; 5 ; 103 ;\n 1 ; 2021 ; 6 ; 90 ;\n 1 ; 2022 ; 5 ;  ;\n"
     assert [(r.year, r.onset_doy) for r in readers.onset(spark, put("o.txt", o), "Betula", [1, 2]).collect()] == [(2020, 102)]
+
+
+def test_soil_of_either_payload(spark, tmp_path):
+    """The first soil parameter that a payload has is taken, whatever its values; without any it is 0."""
+    from windrow.operators.weather import to_windows
+    from windrow.sources.readers import hourly_weather
+
+    times = '"time": ["2024-01-01T00:00", "2024-01-01T01:00"]'
+    payloads = {
+        "archive": ('"soil_temperature_0_to_7cm": [7, 9], "soil_moisture_0_to_7cm": [0.2, 0.4]', 8.0, 0.3), "forecast": ('"soil_temperature_6cm": [1, 3], "soil_moisture_3_to_9cm": [0.1, 0.3]', 2.0, 0.2),
+        "both": ('"soil_temperature_6cm": [1, null], "soil_temperature_0_to_7cm": [7, 9], "soil_moisture_3_to_9cm": [null, null], "soil_moisture_0_to_7cm": [0.2, 0.4]', 1.0, 0.0), "none": ('"cape": [1, 2]', 0.0, 0.0),
+    }
+    every = None
+    for name, (text, temperature, moisture) in payloads.items():
+        (tmp_path / f"{name}.json").write_text('{"hourly": {%s, %s}}' % (times, text))
+        hourly = hourly_weather(spark, str(tmp_path / f"{name}.json"), name)
+        every = hourly if every is None else every.unionByName(hourly)
+    got = {r.station: (r.soil_temperature_mean, round(r.soil_moisture_mean, 9)) for r in to_windows(every).collect()}
+    assert got == {name: (a, b) for name, (_, a, b) in payloads.items()}

@@ -1,4 +1,4 @@
-"""Compositions: training frame, collection, backtest, recursive forecast."""
+"""Compositions: collection, training and serving frames, backtest, recursive forecast, and the runs that chain them."""
 
 from __future__ import annotations
 
@@ -6,11 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.functions.scalar import blend, calendar, confidence, days_since_onset, level, season_active, season_gate, typical_onset
+from windrow.operators import align, evaluate, models
 from windrow.operators import features as ft
-from windrow.operators import models
 from windrow.operators.evaluate import with_errors
-from windrow.operators.forecast import KEYS, day_index
-from windrow.params import INTRADAY, LAG_FEATURES, LAGS, PHENOLOGY, VEGETATION, WEATHER, with_params
+from windrow.operators.forecast import KEYS, day_index, recent_logs
+from windrow.operators.weather import horizon, one_per_window
+from windrow.params import FEATURES, INTRADAY, LAG_FEATURES, LAGS, PHENOLOGY, VEGETATION, WEATHER, with_params
+
+
+def collect(values: DataFrame, archive: DataFrame, species: list[str], recent: DataFrame | None = None, aliases: DataFrame | None = None, vegetation: DataFrame | None = None, external: DataFrame | None = None, as_of=None) -> DataFrame:
+    """The fact table's new rows from what has landed: alias stations merged, archive weather before recent, every species.
+
+    ``values``: (station, species, ts, value), with a column chunk where they come from a backfill by chunks, of which
+    the last that has a key wins; ``archive`` and ``recent``: weather windows; ``vegetation``: (station, date, ndvi, evi,
+    ndvi_delta) by day; ``external``: (station, species, ts, cams_pollen); ``as_of``: windows after it are left out.
+    """
+    if "chunk" in values.columns:
+        values = align.merge_chunks(values)
+    values = align.merge_aliases(values, aliases) if aliases is not None else values.groupBy(*align.KEY).agg(F.max("value").alias("value"))
+    weather = archive if recent is None else align.prefer(archive, recent, ["station", "ts"])
+    return align.build_history(values, weather, vegetation, external, species, as_of)
+
+
+def backfill(values: DataFrame, archive: DataFrame, species: list[str], recent: DataFrame | None = None, **more) -> DataFrame:
+    """``collect`` without an external forecast; with archive weather only where ``recent`` is None."""
+    return collect(values, archive, species, recent, **more, external=None)
 
 
 def feature_frame(history: DataFrame, weather: DataFrame, params: DataFrame, onset: DataFrame | None = None, lags: bool = True) -> DataFrame:
@@ -37,18 +57,74 @@ def training_frame(history: DataFrame, weather: DataFrame, params: DataFrame, on
     return ft.drop_warm_up(feature_frame(history, weather, params, onset)).fillna(0.0)
 
 
+def serving_frame(weather: DataFrame, ahead: DataFrame, species: list[str], params: DataFrame, onset: DataFrame | None = None, vegetation: DataFrame | None = None, days: int = 5) -> DataFrame:
+    """Features without lags of the ``days`` from each station's first window in ``ahead``, for every species.
+
+    Weather features see the stored windows and the forecast ones, of which the forecast wins: the same functions as for
+    training on one table.
+    """
+    both = align.prefer(ahead, weather, ["station", "ts"])
+    grid = horizon(ahead, days).select("station", "ts").distinct().withColumn("species", F.explode(F.array(*map(F.lit, species))))
+    if vegetation is not None:
+        grid = align.attach_daily(grid, vegetation, VEGETATION)
+    return feature_frame(grid, both, params, onset, lags=False)
+
+
+def train(history: DataFrame, params: DataFrame, stage, onset: DataFrame | None = None, features: list[str] = FEATURES, **how) -> models.Classes:
+    """A model of each tuning class from the fact table.  ``stage`` writes a DataFrame to shared storage and reads it back."""
+    frame = stage(training_frame(history, one_per_window(history, WEATHER), params, onset))
+    return models.fit_classes(frame, features, **how)
+
+
+def run(table: str, staging: str, new: DataFrame, ahead: DataFrame, params: DataFrame, stage, model: models.Classes | None = None, onset: DataFrame | None = None, expert: DataFrame | None = None, days: int = 5, features: list[str] = FEATURES, **how) -> DataFrame:
+    """Upsert ``new`` (from ``collect``, with ingest_ts) into the fact table at ``table``, and forecast the windows ``ahead``.
+
+    Without a model one is trained on the table first.  Windows of ``ahead`` that the table already has are observed; the
+    state is of the windows before them.
+    """
+    align.upsert_table(table, new, staging)
+    stored = new.sparkSession.read.parquet(table).drop("month_start")
+    model = train(stored, params, stage, onset, features, **how) if model is None else model
+    species = [r.species for r in params.select("species").distinct().orderBy("species").collect()]  # a dimension
+    serving = stage(serving_frame(one_per_window(stored, WEATHER), ahead, species, params, onset, days=days))
+    first = serving.groupBy("station").agg(F.min("ts").alias("first"))
+    past = stored.join(F.broadcast(first), "station").where(F.col("ts") < F.col("first")).drop("first")
+    series = serving.select(*KEYS).distinct().join(recent_logs(past), KEYS, "left").withColumn("logs", F.coalesce("logs", F.array_repeat(F.lit(0.0), 56)))
+    observed = stored.where("is_measured").join(F.broadcast(first), "station").where(F.col("ts") >= F.col("first")).select(*KEYS, "ts", F.col("value").alias("observed"))
+    return recursive_forecast(model, serving, series, stage, observed, expert)
+
+
+def benchmark(history: DataFrame, params: DataFrame, stage, onset: DataFrame | None = None, expert: DataFrame | None = None, n_folds: int | None = None, features: list[str] = FEATURES, **how) -> dict[str, DataFrame]:
+    """Backtest over monthly folds and its reports: results, overall, by_species, by_fold, bias, very_high, in_season, worst, expert."""
+    frame = stage(training_frame(history, one_per_window(history, WEATHER), params, onset))
+    results = stage(backtest(frame, evaluate.fold_table(history, n_folds=n_folds), features, **how))
+    season = with_params(results, params).where(season_active(F.month("ts"), F.col("season_start"), F.col("season_end")))
+    found = {
+        "results": results, "overall": evaluate.metrics(results), "by_species": evaluate.metrics(results, ["species"]), "by_fold": evaluate.metrics(results, ["fold"]), "bias": evaluate.bias_report(results),
+        "very_high": evaluate.metrics(results, ["species"], F.col("level_actual") == "very_high"), "in_season": evaluate.metrics(season, ["species"]), "worst": evaluate.worst(results),
+    }
+    return found if expert is None else found | {"expert": evaluate.head_to_head(results, expert)}
+
+
+RESULTS = "station string, species string, ts timestamp_ntz, fold int, actual double, predicted double, error double, abs_error double, level_actual string, level_predicted string"
+
+
 def backtest(frame: DataFrame, folds: DataFrame, features: list[str], **tuning) -> DataFrame:
-    """One step ahead, per fold: fit before the month, predict it, gate, errors and levels.
+    """One step ahead, per fold: fit the tuning classes before the month, predict it, gate, errors and levels.
 
-    ``folds`` (fold, month_start) is a few rows; each fold is a distributed fit.
+    ``folds`` (fold, month_start) is a few rows; each fold is a distributed fit.  Rows of species without a model in a
+    fold are left out, as are folds without any; without folds there are no rows.
     """
     out = None
     for f in folds.orderBy("month_start").collect():
         month = F.lit(str(f.month_start)).cast("date")
-        model = models.fit(frame.where(F.to_date("ts") < month), features, **tuning)
+        model = models.fit_classes(frame.where(F.to_date("ts") < month), features, **tuning)
         test = frame.where(F.to_date(F.trunc(F.to_date("ts"), "month")) == month)
-        got = models.predict(model, test, [*KEYS, "ts"]).withColumn("fold", F.lit(f.fold))
-        out = got if out is None else out.unionByName(got)
+        if model.models:
+            got = models.predict(model, test).where("p is not null").withColumn("fold", F.lit(f.fold))
+            out = got if out is None else out.unionByName(got)
+    if out is None:
+        return frame.sparkSession.createDataFrame([], RESULTS)
     gate = season_gate(F.col("month"), F.col("season_start"), F.col("season_end"))
     cut = lambda c: level(F.col(c), F.col("low_max"), F.col("moderate_max"), F.col("high_max"))
     out = out.withColumn("actual", F.col("value")).withColumn("predicted", F.when(gate, F.col("predicted")).otherwise(0.0))
@@ -68,19 +144,22 @@ def state_features(df: DataFrame) -> DataFrame:
     return df.withColumns(columns)
 
 
-def recursive_forecast(model: models.Staged, serving: DataFrame, state: DataFrame, stage, observed: DataFrame | None = None, expert: DataFrame | None = None) -> DataFrame:
+def recursive_forecast(model: models.Staged | models.Classes, serving: DataFrame, state: DataFrame, stage, observed: DataFrame | None = None, expert: DataFrame | None = None) -> DataFrame:
     """(station, species, ts, level, value, confidence, is_observed) for every window of ``serving``, one job a window for all series.
 
     ``serving``: features of the future windows without lags, species parameters included.  ``state``: (station, species,
     logs) of 56 values before the first window.  ``stage``: writes a DataFrame to shared storage and reads it back, which
     cuts the lineage after each step.  In a step the order is observe or predict, blend, gate, append; the state gets the
-    gated value before blending.
+    gated value before blending.  A species without a model goes on from its last value, less a fifth each step.
+    Series without a state are left out.
     """
     state = stage(state.select(*KEYS, "logs", F.array().cast("array<double>").alias("today"), F.lit(None).cast("date").alias("day")))
     serving = stage(day_index(serving))
     out = None
     for row in serving.select("ts").distinct().orderBy("ts").collect():  # the windows of one horizon
-        now = serving.where(F.col("ts") == F.lit(row.ts)).join(state, KEYS)
+        here = serving.where(F.col("ts") == F.lit(row.ts))
+        absent = state.join(here.select(*KEYS).distinct(), KEYS, "left_anti")  # series without this window keep their state
+        now = here.join(state, KEYS)
         now = now.withColumn("today", F.when(F.col("day") == F.to_date("ts"), F.col("today")).otherwise(F.array().cast("array<double>")))
         got = models.predict(model, state_features(now), [*KEYS, "ts"])
         got = got.join(observed.select(*KEYS, "ts", "observed"), [*KEYS, "ts"], "left") if observed is not None else got.withColumn("observed", F.lit(None).cast("double"))
@@ -88,15 +167,18 @@ def recursive_forecast(model: models.Staged, serving: DataFrame, state: DataFram
         got = got.join(expert.select("species", "date", F.col("level").alias("expert")), ["species", "date"], "left") if expert is not None else got.withColumn("expert", F.lit(None).cast("double"))
         low, moderate, high = F.col("low_max"), F.col("moderate_max"), F.col("high_max")
         gate = season_gate(F.col("month"), F.col("season_start"), F.col("season_end"))
+        got = got.withColumn("has_model", F.col("predicted").isNotNull()).withColumn("predicted", F.coalesce("predicted", 0.8 * F.expm1(F.element_at("logs", -1))))
         raw = F.coalesce("observed", "predicted")
         blended = F.when(F.col("observed").isNull(), blend(F.col("predicted"), F.col("expert"), low, moderate, high)).otherwise(F.col("observed"))
         got = got.withColumn("kept", F.when(gate, raw).otherwise(0.0)).withColumn("final", F.when(gate, blended).otherwise(0.0))
         got = got.withColumn("new", F.log1p("kept")).withColumn("is_observed", F.col("observed").isNotNull())
-        got = stage(got.select(*KEYS, "ts", "day_index", "low_max", "moderate_max", "high_max", "final", "new", "is_observed", "logs", "today", F.col("date").alias("day")))
-        state = got.select(*KEYS, F.slice(F.concat("logs", F.array("new")), -56, 56).alias("logs"), F.concat("today", F.array("new")).alias("today"), "day")
-        part = got.select(*KEYS, "ts", level(F.col("final"), low, moderate, high).alias("level"), F.col("final").alias("value"), confidence(F.col("day_index"), F.lit(True), F.col("is_observed")).alias("confidence"), "is_observed")
+        got = got.select(*KEYS, "ts", "day_index", "low_max", "moderate_max", "high_max", "final", "new", "is_observed", "has_model", "logs", "today", F.col("date").alias("day"))
+        got = stage(got.unionByName(absent, allowMissingColumns=True))
+        new = F.when(F.col("ts").isNull(), F.array().cast("array<double>")).otherwise(F.array("new"))
+        state = got.select(*KEYS, F.slice(F.concat("logs", new), -56, 56).alias("logs"), F.concat("today", new).alias("today"), "day")
+        part = got.where("ts is not null").select(*KEYS, "ts", level(F.col("final"), low, moderate, high).alias("level"), F.col("final").alias("value"), confidence(F.col("day_index"), F.col("has_model"), F.col("is_observed")).alias("confidence"), "is_observed")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-__all__ = ["LAG_FEATURES", "backtest", "feature_frame", "recursive_forecast", "state_features", "training_frame"]
+__all__ = ["LAG_FEATURES", "backfill", "backtest", "benchmark", "collect", "feature_frame", "recursive_forecast", "run", "serving_frame", "state_features", "train", "training_frame"]

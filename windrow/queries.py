@@ -17,6 +17,7 @@ from windrow.operators import align, evaluate, features, forecast, models, pheno
 from windrow.params import with_params
 from windrow.plans import pipelines
 from windrow.shared import scratch, written
+from windrow.sources import readers
 from windrow.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -600,12 +601,6 @@ def _(spark, d):
     return forecast.web_measurements(series(spark, d).withColumn("value", F.col("value") / 8)).withColumn("value", F.col("value").cast("double"))
 
 
-@query("h1_window_documents")
-def _(spark, d):
-    f = series(spark, d).withColumn("level", F.lit("low")).withColumn("confidence", F.lit(0.9))
-    return forecast.window_document(f, "2024-01-01T00:00:00")
-
-
 @query("d21_danger_listing", "SELECT p_partkey, p_size % 4 AS level, repeat('█', (p_size % 4)::INT) AS bar FROM part")
 def _(spark, d):
     return phenology.danger_listing(t(spark, d, "part").select("p_partkey", ((F.col("p_size") % 4) + 0.5).alias("level")))
@@ -692,20 +687,66 @@ def _(spark, d):
 @query("j1_j3_staged_model")
 def _(spark, d):
     frame = written(_frame(spark, d), "frame")
-    model = models.fit(frame, MODEL_FEATURES, iterations=5, trees=5, depth=4)
-    return models.predict(model, frame, ["station", "species", "ts"]).select("station", "species", "ts", "value", "p", "regression", "predicted")
+    model = models.fit(frame, MODEL_FEATURES)
+    return models.predict(model, frame).select("station", "species", "ts", "value", "p", "regression", "predicted")
+
+
+@query("j5_j12_tuning_classes")
+def _(spark, d):
+    """Every species' model, species being named so that three tuning classes have rows."""
+    named = F.create_map(*[F.lit(x) for pair in (("click", "Corylus"), ("view", "Poaceae"), ("purchase", "Populus")) for x in pair])
+    frame = _frame(spark, d).withColumn("species", F.coalesce(named[F.col("species")], F.col("species")))
+    frame = written(frame, "frame")
+    model = models.fit_classes(frame, MODEL_FEATURES, iterations=5, trees=10)
+    return models.predict(model, frame).select("station", "species", "ts", "value", models.tuning_class(F.col("species")).alias("tuning"), "p", "regression", "predicted")
 
 
 @query("j7_recursive_forecast")
 def _(spark, d):
     s, w, p = series(spark, d), weather3(spark, d), params(spark, d)
-    cut = F.lit("2024-01-30").cast("timestamp_ntz")
+    cut = F.lit("2024-01-25 12:00:00").cast("timestamp_ntz")
     frame = written(pipelines.training_frame(s, w, p), "frame")
-    model = models.fit(frame.where(F.col("ts") < cut), MODEL_FEATURES, iterations=3, trees=3, depth=3)
-    ahead = pipelines.feature_frame(s, w, p, lags=False).where((F.col("ts") >= cut) & (F.col("ts") < cut + F.expr("interval 9 hours")))
+    model = models.fit(frame.where(F.col("ts") < cut), MODEL_FEATURES)
+    ahead = weather.horizon(pipelines.feature_frame(s, w, p, lags=False).where(F.col("ts") >= cut), 5)
     return pipelines.recursive_forecast(model, ahead, forecast.recent_logs(s.where(F.col("ts") < cut)), written)
 
 
+@query("j13_i1_i4_run_train")
+def _(spark, d):
+    """Collect, upsert, train a model of each class, forecast two days and a half of which half a day is observed already."""
+    s, w, p = series(spark, d), weather3(spark, d), params(spark, d)
+    species = ["click", "view", "purchase", "error", "signup", "absent"]
+    cut, seen = (F.lit(x).cast("timestamp_ntz") for x in ("2024-01-25 12:00:00", "2024-01-26 00:00:00"))
+    new = pipelines.collect(s.where(F.col("ts") < seen), w, species).withColumn("ingest_ts", seen)
+    ahead = w.where((F.col("ts") >= cut) & (F.col("ts") < cut + F.expr("interval 60 hours")))
+    return pipelines.run(scratch(spark, "fact"), scratch(spark, "staging"), new, ahead, p, written, features=MODEL_FEATURES, iterations=5, trees=10)
+
+
+def _shipments(spark, d) -> DataFrame:
+    """Daily series over years with their weather, as a fact table."""
+    rows = t(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("station"), F.col("l_returnflag").alias("species"), F.date_trunc("day", "l_shipdate").cast("timestamp_ntz").alias("ts"))
+    values = rows.agg(F.greatest(F.lit(0.0), F.max("l_quantity") - 20).cast("double").alias("value"))
+    days = t(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("station"), F.date_trunc("day", "l_shipdate").cast("timestamp_ntz").alias("ts"))
+    air = days.agg((F.avg("l_discount") * 300).alias("temperature_mean"), F.floor(F.avg("l_tax") * 100).cast("double").alias("precipitation_sum"), F.avg("l_quantity").alias("humidity_mean"))
+    return align.build_history(values, features.complete(air, [c for c in pipelines.WEATHER if c not in air.columns]), None, None, ["A", "N", "R"])
+
+
+@query("j11_j13_benchmark")
+def _(spark, d):
+    p = params(spark, d).where("species = 'click'").drop("species").withColumn("species", F.explode(F.array(*map(F.lit, ("A", "N", "R")))))
+    reports = pipelines.benchmark(written(_shipments(spark, d), "fact"), p, written, n_folds=3, features=[f for f in MODEL_FEATURES if f != "hour_of_day"], iterations=5, trees=10)
+    return reports["by_fold"]
+
+
+@query("i2_backfill", f"WITH {HOURLY}, {WINDOWS}, c AS (SELECT 'st' || (user_id % 7) AS station, event_type AS species, time_bucket(INTERVAL 3 HOUR, ts) AS ts, event_id % 3 AS chunk, max(value) AS v FROM events GROUP BY 1, 2, 3, 4), s AS (SELECT station, species, ts, arg_max(v, chunk) AS value FROM c GROUP BY 1, 2, 3), g AS (SELECT DISTINCT s.station, s.ts, sp.species FROM s JOIN w USING (station, ts), (SELECT unnest({_FOUR}) AS species) sp) SELECT g.station, g.species, g.ts, coalesce(s.value, 0) AS value, s.value IS NOT NULL AS is_measured, CASE WHEN day(g.ts) < 20 THEN w.tmax ELSE w.tmax + 100 END AS temperature_max FROM g JOIN w USING (station, ts) LEFT JOIN s ON s.station = g.station AND s.ts = g.ts AND s.species = g.species")
+def _(spark, d):
+    values = readings(spark, d).withColumn("ts", sc.window_start(F.col("ts"))).withColumn("chunk", F.col("event_id") % 3)
+    w = weather3(spark, d)
+    recent = w.withColumn("temperature_max", F.col("temperature_max") + 100)
+    history = pipelines.backfill(values, w.where(F.dayofmonth("ts") < 20), ["click", "view", "purchase", "absent"], recent)
+    return history.select("station", "species", "ts", "value", "is_measured", "temperature_max")
+
+
 # ---- K: streams ----------------------------------------------------------------------------------------------------
 
 _EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -734,9 +775,91 @@ def _(spark, d):
     return _streamed(spark, streams.first_reading(hourly_keys).select("station", "species", "ts"), "append", align.KEY)
 
 
-@query("k4_stream_lag_state")
+@query("k4_stream_lag_state", f"WITH r AS (SELECT *, floor(value) AS v FROM ({READINGS})), l AS (SELECT station, species, ts, v AS value, list(ln(1 + v)) OVER (PARTITION BY station, species ORDER BY ts, v ROWS BETWEEN 56 PRECEDING AND 1 PRECEDING) AS logs FROM r) SELECT station, species, ts, value, coalesce(len(logs), 0)::INT AS n, round(coalesce(list_sum(logs), 0), 6) AS total, round(logs[1], 6) AS oldest, round(logs[-1], 6) AS newest FROM l")
+def _(spark, d):
+    path = scratch(spark, "stream")
+    streams.run_available(streams.lag_state(_landed(spark, d)), lambda b, n: b.write.mode("append").parquet(path), scratch(spark, "offsets"), "update")
+    got = spark.read.schema("station string, species string, ts timestamp, value double, logs array<double>").parquet(path)
+    total = F.aggregate("logs", F.lit(0.0), lambda a, x: a + x)
+    return got.select("station", "species", F.col("ts").cast("timestamp_ntz").alias("ts"), "value", F.size("logs").alias("n"), F.round(total, 6).alias("total"), F.round(F.get("logs", F.lit(0)), 6).alias("oldest"), F.round(F.try_element_at("logs", F.lit(-1)), 6).alias("newest"))
+
+
+# ---- documents and landed payloads, made from the given tables in the shared folder and read back --------------------------
+
+
+@query("h1_window_documents", f"WITH {SERIES}, f AS (SELECT station, ts, species, value / 8 AS v FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY station, ts ORDER BY v DESC, species) AS rank FROM f WHERE v > 0.5), w AS (SELECT DISTINCT station, ts FROM f) SELECT station, ts::DATE::VARCHAR AS date, strftime(ts, '%H:%M') AS \"from\", CASE WHEN hour(ts) = 21 THEN '24:00' ELSE strftime(ts + INTERVAL 3 HOUR, '%H:%M') END AS \"to\", coalesce(rank - 1, -1)::INT AS place, species AS name, CASE WHEN species IS NULL THEN NULL ELSE 'low' END AS level, round_even(v, 1)::DOUBLE AS value, CASE WHEN species IS NULL THEN NULL ELSE 0.667 END::DOUBLE AS confidence FROM w LEFT JOIN k USING (station, ts)")
+def _(spark, d):
+    f = series(spark, d).withColumns({"value": F.col("value") / 8, "level": F.lit("low"), "confidence": F.lit(0.6666)})
+    docs = written(forecast.window_document(f, "2024-01-01T00:00:00"), "documents")
+    shape = "generated string, location string, forecast array<struct<date: string, windows: array<struct<`from`: string, `to`: string, species: array<struct<name: string, level: string, value: double, confidence: double>>>>>>"
+    days = docs.select(F.from_json("document", shape).alias("d")).select(F.col("d.location").alias("station"), F.explode("d.forecast").alias("day"))
+    windows = days.select("station", F.col("day.date").alias("date"), F.explode("day.windows").alias("w"))
+    each = windows.select("station", "date", F.col("w.from").alias("from"), F.col("w.to").alias("to"), F.posexplode_outer("w.species").alias("place", "x"))
+    return each.select("station", "date", "from", "to", F.coalesce("place", F.lit(-1)).alias("place"), "x.*")
+
+
+def _land(df: DataFrame, key: list[str], name: str) -> str:
+    """Write the column ``payload`` as one file per key, as a provider would leave it; the folder."""
+    path = scratch(df.sparkSession, name)
+    df.repartition(*key).write.partitionBy(*key).text(path)
+    return path
+
+
+@query("a1_a2_measurements", f"SELECT station, species, time_bucket(INTERVAL 3 HOUR, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Berlin') AS ts, value FROM ({READINGS}) WHERE species IN ('click', 'view')")
+def _(spark, d):
+    item = F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("from"), (F.unix_seconds(F.col("ts").cast("timestamp")) + 10_800).alias("to"), "value")
+    rows = readings(spark, d).withColumn("species", F.when(F.col("species") == "error", "Varia").otherwise(F.col("species"))).withColumn("day", F.to_date("ts"))
+    polle = rows.groupBy("station", "day", "species").agg(F.struct(F.col("species").alias("polle"), F.col("station").alias("location"), F.collect_list(item).alias("data")).alias("m"))
+    payloads = polle.groupBy("station", "day").agg(F.to_json(F.struct(F.collect_list("m").alias("measurements"))).alias("payload"))
+    return readers.measurements(spark, _land(payloads, ["day", "station"], "measurements"), ["click", "view"]).select("station", "species", "ts", "value")
+
+
+@query("a5_a6_hourly_weather", f"WITH {HOURLY} SELECT station, time, t AS temperature_2m, p AS precipitation, wd AS wind_direction_10m, CASE WHEN day(time) % 2 = 0 THEN s7 END AS soil_temperature_6cm, CASE WHEN day(time) % 2 = 1 THEN s7 END AS soil_temperature_0_to_7cm FROM h WHERE station = 'st1'")
+def _(spark, d):
+    """Days of even date have both soil parameters, of which the first is kept; the others have the second only."""
+    h = hourly(spark, d).where("station = 'st1'").withColumn("soil", F.col("soil_temperature_0_to_7cm")).withColumn("day", F.to_date("time"))
+    names = ["temperature_2m", "precipitation", "wind_direction_10m", "soil"]
+    rows = h.groupBy("day").agg(F.sort_array(F.collect_list(F.struct("time", *names))).alias("r"))
+    texts = lambda n: F.transform("r", lambda x: F.coalesce(x[n].cast("string"), F.lit("null")))
+    arrays = {n: texts(n) for n in names}
+    text = F.concat(F.lit('{"hourly": {"time": '), F.to_json(F.transform("r", lambda x: x["time"].cast("string"))), *[F.concat(F.lit(f', "{n}": ['), F.array_join(a, ","), F.lit("]")) for n, a in list(arrays.items())[:3]],
+        F.when(F.dayofmonth("day") % 2 == 0, F.concat(F.lit(', "soil_temperature_6cm": ['), F.array_join(arrays["soil"], ","), F.lit("]"))).otherwise(""), F.lit(', "soil_temperature_0_to_7cm": ['), F.array_join(arrays["soil"], ","), F.lit("]}}"))
+    path = _land(rows.select("day", text.alias("payload")), ["day"], "weather")
+    return readers.hourly_weather(spark, path, "st1").select("station", "time", *names[:3], "soil_temperature_6cm", "soil_temperature_0_to_7cm")
+
+
+@query("a7_composites", "WITH o AS (SELECT o_orderdate::DATE AS date, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'EVI' ELSE 'NDVI' END AS band FROM orders), g AS (SELECT date, max(o_orderkey) FILTER (band = 'NDVI') AS n, max(o_orderkey) FILTER (band = 'EVI') AS e FROM o GROUP BY 1) SELECT 'here' AS station, date, (n % 10000) / 10000.0::DOUBLE AS ndvi, (e % 10000) / 10000.0::DOUBLE AS evi FROM g WHERE n IS NOT NULL")
+def _(spark, d):
+    o = t(spark, d, "orders").withColumn("date", F.to_date("o_orderdate")).withColumn("year", F.year("date"))
+    band = F.when(F.col("o_orderkey") % 3 == 0, "250m_16_days_EVI").otherwise("250m_16_days_NDVI")
+    rows = o.groupBy("year").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", F.col("date").cast("string").alias("calendar_date"), band.alias("band"), F.array(F.col("o_orderkey") % 10_000).alias("data")))).alias("subset"))
+    payload = F.to_json(F.struct(F.transform("subset", lambda x: F.struct(x["calendar_date"].alias("calendar_date"), x["band"].alias("band"), x["data"].alias("data"))).alias("subset")))
+    return readers.composites(spark, _land(rows.select("year", payload.alias("payload")), ["year"], "vegetation"), "here")
+
+
+_CODES = ["0", "0-1", "1", "1-2", "2", "2-3", "3", "-1"]
+
+
+@query("a10_danger_levels", "WITH p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Betula' ELSE 'Poaceae' END AS species, p_size FROM part), x AS (SELECT species, k.k AS k, CASE (p_size + k.k) % 8 WHEN 7 THEN 0 ELSE ((p_size + k.k) % 8) / 2.0 END AS level, p_partkey FROM p, (SELECT unnest(range(3)) AS k) k) SELECT 7::INT AS region, DATE '2024-04-01' + (p_partkey % 100)::INT + k::INT AS date, species, max(level)::DOUBLE AS level FROM x GROUP BY ALL")
+def _(spark, d):
+    codes = F.array(*map(F.lit, _CODES))
+    names = F.array(*map(F.lit, ["Birke", "Graeser", "Roggen"]))
+    day = lambda k: codes[((F.col("p_size") + k) % 8).cast("int")]
+    p = t(spark, d, "part").withColumn("name", names[(F.col("p_partkey") % 3).cast("int")]).withColumn("day", F.col("p_partkey") % 100).withColumn("run", F.floor(F.col("p_partkey") / 100))
+    entry = F.struct(day(0).alias("today"), day(1).alias("tomorrow"), day(2).alias("dayafter_to"))
+    last = F.date_format(F.date_add(F.lit("2024-04-01").cast("date"), F.col("day").cast("int")), "yyyy-MM-dd")
+    body = F.struct(F.concat(last, F.lit(" 11:00 Uhr")).alias("last_update"), F.array(F.struct(F.lit(7).alias("partregion_id"), F.create_map("name", entry).alias("Pollen")), F.struct(F.lit(8).alias("partregion_id"), F.create_map(F.lit("Birke"), entry).alias("Pollen"))).alias("content"))
+    return readers.danger_levels(spark, _land(p.select("day", F.col("p_partkey").alias("part"), F.to_json(body).alias("payload")).repartition(8), ["day", "part"], "danger"), 7, "2024-01-01")
+
+
+@query("a11_onset_files", "SELECT 'Betula' AS species, year(l_shipdate)::INT AS year, round_even(avg(dayofyear(l_shipdate)), 0)::INT AS onset_doy FROM lineitem WHERE l_linenumber = 5 AND l_suppkey IN (3, 7, 12) AND l_quantity <> 10 GROUP BY 2")
 def _(spark, d):
-    return _streamed(spark, streams.lag_state(_landed(spark, d)), "update", ["station", "species", "ts", "value", "logs"])
+    rows = t(spark, d, "lineitem")
+    text = lambda c, n: F.lpad(c.cast("string"), n, " ")
+    fields = [text(F.col("l_suppkey"), 8).alias(" Stations_id"), text(F.year("l_shipdate"), 6).alias("Referenzjahr "), text(F.col("l_linenumber"), 4).alias("Phase_id"), F.when(F.col("l_quantity") == 10, "   ").otherwise(text(F.dayofyear("l_shipdate"), 4)).alias(" Jultag")]
+    path = scratch(spark, "onset")
+    rows.select(*fields).write.option("sep", ";").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return readers.onset(spark, path, "Betula", [3, 7, 12])
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

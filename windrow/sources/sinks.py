@@ -14,7 +14,3 @@ def table(df: DataFrame, path: str, csv: bool = False) -> None:
     writer = df.write.mode("overwrite")
     writer.option("header", True).csv(path) if csv else writer.parquet(path)
 
-
-def save_models(models: dict[str, object], folder: str) -> None:
-    for name, model in models.items():
-        model.write().overwrite().save(f"{folder}/{name}")

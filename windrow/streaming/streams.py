@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from windrow.operators.align import KEY
 
 
-def read_landed(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def read_landed(spark: SparkSession, path: str, schema: str, files: int | None = None) -> DataFrame:
+    """A stream of a folder's Parquet files, ``files`` of them a micro-batch at most (None: all that have landed)."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(path)
 
 
 def windowed(events: DataFrame, late: str = "14 days", hours: int = 3) -> DataFrame:
@@ -31,24 +33,26 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
 
 
-def lag_state(events: DataFrame, n: int = 56) -> DataFrame:
+def lag_state(events: DataFrame, n: int = 56, rows_out: int = 10_000) -> DataFrame:
     """(station, species, ts, value, logs): each reading with the logs of up to n readings before it, kept across batches.
 
-    The state of a series is an array of n numbers at most.  Readings of one batch are ordered by time; one that comes
-    after a batch with later readings sees those readings, as state isn't rewound.
+    The state of a series is an array of n numbers at most.  Readings of one batch are ordered by time, then value, and
+    given out ``rows_out`` at a time; one that comes after a batch with later readings sees those readings, as state
+    isn't rewound.  A batch's readings of a series (two numbers each) are in one task: bound them by the stream's
+    maxFilesPerTrigger.
     """
     import numpy as np
     import pandas as pd
 
     def update(key, frames, state):
-        logs = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        rows = []
-        for ts, value in zip(pdf["ts"], pdf["value"]):
-            rows.append((key[0], key[1], ts, value, list(logs)))
-            logs = (logs + [float(np.log1p(value))])[-n:]
-        state.update((logs,))
-        yield pd.DataFrame(rows, columns=["station", "species", "ts", "value", "logs"])
+        rows = pd.concat([f[["ts", "value"]] for f in frames]).sort_values(["ts", "value"], kind="stable")
+        before = np.array(state.get[0] if state.exists else [], float)
+        logs = np.concatenate([before, np.log1p(rows["value"].to_numpy(float))])
+        state.update((logs[max(0, len(logs) - n) :].tolist(),))
+        for start in range(0, len(rows), rows_out):
+            part = rows.iloc[start : start + rows_out]
+            ends = range(len(before) + start, len(before) + start + len(part))
+            yield pd.DataFrame({"station": key[0], "species": key[1], "ts": part["ts"], "value": part["value"], "logs": [logs[max(0, e - n) : e] for e in ends]})
 
     timed = events.select("station", "species", F.col("ts").cast("timestamp").alias("ts"), "value")
     return timed.groupBy("station", "species").applyInPandasWithState(update, "station string, species string, ts timestamp, value double, logs array<double>", "logs array<double>", "update", "NoTimeout")
