@@ -160,3 +160,31 @@ def test_soil_of_either_payload(spark, tmp_path):
         every = hourly if every is None else every.unionByName(hourly)
     got = {r.station: (r.soil_temperature_mean, round(r.soil_moisture_mean, 9)) for r in to_windows(every).collect()}
     assert got == {name: (a, b) for name, (_, a, b) in payloads.items()}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 5000])
+def test_exact_medians(spark, n):
+    import random
+    import statistics
+
+    from windrow.operators.evaluate import medians
+
+    r = random.Random(n)
+    rows = [(r.choice(["a", "b", None]), float(r.choice([3, 3, 3, r.randrange(100)]))) for _ in range(n)] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    groups = {g: [v for k, v in rows if k == g and v is not None] for g in ("a", "b", None)}
+    assert {x.g: x.median for x in medians(df, "v", ["g"], accuracy=50).collect()} == {g: statistics.median(v) for g, v in groups.items() if v}
+    whole = [v for _, v in rows if v is not None]
+    assert [x.median for x in medians(df, "v", accuracy=50).collect()] == ([statistics.median(whole)] if whole else [])
+
+
+def test_scratch_of_a_scope_is_deleted(spark):
+    from windrow.shared import discard, exists, scope, written
+
+    with scope(spark, "work"):
+        inner = written(spark.range(3))
+        assert inner.count() == 3
+    outer = written(spark.range(2))
+    assert not exists(spark, inner.written_to) and exists(spark, outer.written_to)
+    discard(outer)
+    assert not exists(spark, outer.written_to)

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """From ``spark.checkpoint.dir``.  Only where that is absent (local runs, tests) a fresh local folder is chosen and remembered."""
+    """From ``spark.checkpoint.dir``.  Only where that is absent and Spark runs within one process (local runs, tests) a
+    fresh local folder is chosen and remembered; on a cluster its absence is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -19,7 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/windrow/{name}-{uuid.uuid4().hex}"
+    return f"{_scope.get() or f'{shared_dir(spark)}/windrow'}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[str]:
+    """What is written to scratch paths inside goes to one folder, which is deleted at the end: no plan may read it after."""
+    folder = scratch(spark, name)
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        delete(spark, folder)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
@@ -30,7 +50,20 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no plan will read again."""
+    for df in tables:
+        delete(df.sparkSession, df.written_to)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
