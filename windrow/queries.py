@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from windrow.functions import scalar as sc
 from windrow.operators import align, evaluate, features, forecast, models, phenology, vegetation, weather
-from windrow.params import with_params
+from windrow.params import FEATURES, with_params
 from windrow.plans import pipelines
 from windrow.shared import scratch, written
 from windrow.sources import readers
@@ -679,9 +679,43 @@ def _frame(spark, d) -> DataFrame:
 MODEL_FEATURES = ["lag_1", "lag_2", "lag_8", "lag_56", "rolling_8", "max_8", "windows_since_active", "hour_of_day", "temperature_mean", "humidity_mean", "gdd", "dry_streak", "season_active"]
 
 
-@query("i3_training_frame", f"WITH {SERIES}, {HOURLY}, {WINDOWS}, {PARAMS}, j AS (SELECT s.*, month(s.ts)::INT AS month, row_number() OVER (PARTITION BY s.station, s.species ORDER BY s.ts) AS rn, lag(ln(1 + s.value)) OVER (PARTITION BY s.station, s.species ORDER BY s.ts) AS l1 FROM s JOIN w USING (station, ts)) SELECT station, species, ts, round(l1, 6) AS lag_1, (CASE WHEN season_start <= season_end THEN month BETWEEN season_start AND season_end ELSE month >= season_start OR month <= season_end END)::INT::DOUBLE AS season_active FROM j JOIN p USING (species) WHERE rn > 56")
-def _(spark, d):
-    return _frame(spark, d).select("station", "species", "ts", *r6("lag_1"), "season_active")
+def _training_sql() -> str:
+    """The training frame's every feature, from the windows table on, in SQL of its own."""
+    x, day = "(PARTITION BY station ORDER BY ts ROWS BETWEEN {} PRECEDING AND CURRENT ROW)", "(PARTITION BY station, ts::DATE)"
+    weather_sql = {
+        "temp_vs_daily_max": f"CASE WHEN max(tmean) OVER {day} > 0 THEN tmean / max(tmean) OVER {day} ELSE 0 END", "precip_in_prior_window": "coalesce((lag(rain) OVER o > 0.1)::INT, 0)", "temp_rate_of_change": "coalesce(tmean - lag(tmean) OVER o, 0)",
+        "temp_delta_1d": "coalesce(tmean - lag(tmean, 8) OVER o, 0)", "temp_delta_3d": "coalesce(tmean - lag(tmean, 24) OVER o, 0)", "temp_x_sunshine": "tmean * sun / 3600", "dry_warm": "tmean * (100 - rh) / 100", "wind_x_dry_warm": "wsmax * (tmean * (100 - rh) / 100)",
+        "wind_dir_sin": "sin(radians(wdir))", "wind_dir_cos": "cos(radians(wdir))", "wind_from_south": "greatest(0, -cos(radians(wdir)))", "wind_from_north": "greatest(0, cos(radians(wdir)))", "transport_south": "wsmax * greatest(0, -cos(radians(wdir)))", "transport_north": "wsmax * greatest(0, cos(radians(wdir)))",
+    } | {f"{name}_rolling_{days}d": f"{f}({c}) OVER {x.format(n)}" for days, n in ((3, 23), (7, 55)) for name, f, c in (("temp", "avg", "tmean"), ("sunshine", "avg", "sun"), ("rain", "sum", "rain"))}
+    plain = [(name, sql) for name, sql, _ in _WEATHER_SQL if name != "wind_direction"]
+    row = "(PARTITION BY station, species ORDER BY ts"
+    lags = {f"lag_{k}": f"lag(l, {k}) OVER {row})" for k in (1, 2, 3, 8, 16, 24, 56)} | {f"{name}_{n}": f"{f}(l) OVER {row} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for f, name in (("avg", "rolling"), ("max", "max")) for n in (8, 56)}
+    lags |= {"morning_avg": "coalesce(avg(l) OVER (PARTITION BY station, species, ts::DATE ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)", "windows_since_active": f"CASE WHEN rn = 1 THEN 999 ELSE rn - 1 - coalesce(max(CASE WHEN value > 0 THEN rn END) OVER {row} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END"}
+    calendar = {"day_of_year": "dayofyear(ts)", "day_of_year_sin": "sin(2 * pi() * dayofyear(ts) / 365.25)", "day_of_year_cos": "cos(2 * pi() * dayofyear(ts) / 365.25)", "month": "month(ts)", "hour_of_day": "hour(ts)", "hour_sin": "sin(2 * pi() * hour(ts) / 24)", "hour_cos": "cos(2 * pi() * hour(ts) / 24)"}
+    species_sql = {
+        "season_active": "(CASE WHEN season_start <= season_end THEN month(ts) BETWEEN season_start AND season_end ELSE month(ts) >= season_start OR month(ts) <= season_end END)::INT", "gdd_above_threshold": "greatest(0, gdd - gdd_threshold)",
+        "cold_to_warm_flip": "(temp_rolling_3d > activation_temp AND temp_rolling_7d < activation_temp AND gdd >= gdd_threshold)::INT", "warm_after_cold": "temp_rolling_3d - temp_rolling_7d", "onset_anomaly": "greatest(-3, least(5, (gdd - gdd_threshold) / greatest(gdd_threshold, 1)))",
+        "days_since_typical_onset": "greatest(-60, dayofyear(ts) - coalesce(mean, typical_onset_doy))",
+    }
+    also = lambda d: ", ".join(f"{sql} AS {name}" for name, sql in d.items())
+    islands = lambda keys, cond, name, source: f"SELECT * EXCLUDE (m, isl), sum(m) OVER (PARTITION BY {keys}, isl ORDER BY ts) AS {name} FROM (SELECT *, sum(1 - m) OVER (PARTITION BY {keys} ORDER BY ts) AS isl FROM (SELECT *, coalesce(({cond})::INT, 0) AS m FROM {source}))"
+    steps = [
+        SERIES, HOURLY, WINDOWS, PARAMS, "w1 AS (SELECT *, " + also(dict(plain)) + f", {also(weather_sql)} FROM w WINDOW o AS (PARTITION BY station ORDER BY ts))", f"w2 AS ({islands('station', 'rain < 0.1', 'dry_streak', 'w1')})",
+        "g AS (SELECT station, date, sum(greatest(0, t - 5)) OVER (PARTITION BY station, year(date) ORDER BY date) AS gdd FROM (SELECT station, ts::DATE AS date, avg(tmean) AS t FROM w GROUP BY 1, 2))",
+        "ons AS (SELECT 'view' AS species, 11.5 AS mean)", "j AS (SELECT s.species, s.value, w2.*, g.gdd, p.* EXCLUDE (species), ons.mean FROM s JOIN w2 USING (station, ts) JOIN g ON g.station = s.station AND g.date = s.ts::DATE JOIN p ON p.species = s.species LEFT JOIN ons ON ons.species = s.species)",
+        f"j2 AS ({islands('station, species', 'tmean > activation_temp', 'consecutive_warm_hrs', 'j')})", f"n AS (SELECT *, ln(1 + value) AS l, row_number() OVER {row}) AS rn FROM j2)", f"z AS (SELECT *, {also(lags)}, {also(calendar)}, {also(species_sql)} FROM n)",
+    ]
+    names = [*dict(plain), *weather_sql, "dry_streak", "gdd", "consecutive_warm_hrs", *lags, *calendar, *species_sql]
+    return f"WITH {', '.join(steps)} SELECT station, species, ts, value, " + ", ".join(f"round(coalesce({c}, 0) + 0.0000013, 5)::DOUBLE AS {c}" for c in names) + ", " + ", ".join(f"0.0::DOUBLE AS {c}" for c in ("ndvi", "evi", "ndvi_delta", "cams_pollen")) + " FROM z WHERE rn > 56"
+
+
+@query("i3_training_frame", _training_sql())
+def _(spark, d):
+    """All features but the direction in degrees, which is there as sine and cosine; one species has an observed onset."""
+    onset = spark.createDataFrame([("view", 11.5)], "species string, mean double")
+    frame = pipelines.training_frame(series(spark, d), weather3(spark, d), params(spark, d), onset)
+    names = [f for f in FEATURES if f != "wind_direction"]
+    return frame.select("station", "species", "ts", "value", *[F.round(F.col(c).cast("double") + 0.0000013, 5).alias(c) for c in names])  # off the ties of rounding
 
 
 @query("j1_j3_staged_model")
