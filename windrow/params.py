@@ -25,7 +25,7 @@ DEFAULT_GDD_THRESHOLD, DEFAULT_ACTIVATION_TEMP, DEFAULT_LEVELS = 200.0, 10.0, (1
 GDD_BASE = 5.0
 SCHEMA = "species string, season_start int, season_end int, gdd_threshold double, activation_temp double, typical_onset_doy int, low_max double, moderate_max double, high_max double"
 
-# Names of columns, and the soil parameters of the forecast and the archive, the first present being taken.
+# Fixed values from here to LAG_FEATURES: names of columns; the soil parameters of the forecast and the archive, the first present being taken.
 SOIL = {"temperature": ["soil_temperature_6cm", "soil_temperature_0_to_7cm"], "moisture": ["soil_moisture_3_to_9cm", "soil_moisture_0_to_7cm"]}
 WEATHER = [
     "temperature_max", "temperature_min", "temperature_mean", "precipitation_sum", "wind_speed_max", "wind_direction", "humidity_mean", "sunshine_duration", "shortwave_radiation_sum",
