@@ -72,8 +72,8 @@ class MilModel:
         return found
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 0.2, l1: float = 6e-3, l2: float = 1e-4, least_docs: int = 4) -> MilModel:
-    """Fit on a bounded sample.  Without examples of both classes the model scores every sentence near 0."""
+def fit(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 0.2, l1: float = 1e-2, l2: float = 1e-4, least_docs: int = 4) -> MilModel:
+    """Fit on a bounded sample, both classes weighing alike in sum.  Without examples of both every sentence scores near 0."""
     y = np.array(labels, dtype=float)
     if len(y) == 0 or y.min() == y.max():
         return MilModel({}, -30.0)
@@ -98,13 +98,14 @@ def fit(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 0.
     of_word, of_feature = np.array(pairs).reshape(-1, 2).T
     w, b = np.zeros(len(features)), -math.log(max(2.0, 3 * len(docs) / max(1.0, y.sum())))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    share = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, len(y) - y.sum()))[docs]
     for t in range(1, rounds + 1):
         of_words = np.bincount(of_word, w[of_feature], len(words)) if len(w) else np.zeros(len(words))
         z = b + np.bincount(sentence, of_words[tokens], len(docs))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.exp(-np.bincount(docs, np.logaddexp(0, z), len(y)))
         ratio = none / np.maximum(1e-9, 1 - none)
-        g = -p * np.where(y > 0, ratio, -1.0)[docs] / len(y)
+        g = -p * np.where(y > 0, ratio, -1.0)[docs] * share
         gb = g.sum()
         gw = np.bincount(of_feature, np.bincount(tokens, g[sentence], len(words))[of_word], len(w)) + l2 * w if len(w) else w
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
