@@ -37,7 +37,7 @@ def vector(text: Column) -> Column:
     """array<bigint>: 8 exact lanes, 84 longs of three likeness lanes, the number of clauses; zeros for null or empty."""
     text = F.coalesce(text, F.lit(""))
     paragraphs = F.filter(F.split(text, r"\n+"), lambda p: p != "")
-    clauses = F.filter(F.transform(F.split(text, r"[\n.,;:!?|]+"), F.trim), lambda c: c != "")
+    clauses = F.filter(F.transform(F.split(text, r"[\n.,;:!?|]+"), lambda c: F.trim(c)), lambda c: c != "")
 
     def exact(acc: Column, h: Column) -> Column:
         return F.array(*[_and(acc[k] + _and(F.shiftright(h[k // 2], 32 * (k % 2)), _LOW32), _LOW32) for k in range(EXACT)])
