@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -66,6 +67,38 @@ def test_toxicity_edges(spark):
     assert toxicity.op1_toxicity(docs(spark, EDGE), labels).count() == len(EDGE)
 
 
+def test_toxicity_on_held_out_labels(spark):
+    """The contract's columns against a plain loop, and rows that were not learned from told right."""
+    sf = lambda n: spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet")
+    d, labels = sf("documents"), sf("labels").toPandas()
+    got = toxicity.op1_toxicity(d, sf("labels")).toPandas()
+    assert sorted(got.doc_id) == sorted(r.doc_id for r in d.select("doc_id").collect())
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in got.doc_id]).all() and (got.predicted == (got.score >= 0.7)).all() and got.score.between(0, 1).all()
+    both = got.merge(labels, on="doc_id")
+    held = both[both.held_out]
+    assert (held.predicted == held.toxic).mean() > 0.91 and held.toxic[held.predicted == 1].mean() > 0.95
+    model = toxicity.train(d.where("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1"), sf("labels"))
+    texts = {r.doc_id: r.text for r in d.limit(60).collect()}
+    scores = {r.doc_id: r.score for r in toxicity.score(d.where(F.col("doc_id").isin(list(texts))), model).collect()}
+    assert all(scores[i] == pytest.approx(model.score(t)[0]) for i, t in texts.items())
+
+
+LONG = "Long words. " * 60_000
+
+
+def test_very_long_texts(spark):
+    d = spark.createDataFrame([(1, LONG, "en"), (2, "x" * 700_000, "en"), (3, LONG + "end", "de")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    assert toxicity.op1_toxicity(d, labels).count() == 3 and langid.op9_langid(d).count() == 3
+    got = fingerprint.op8_fingerprint(d).orderBy("doc_id").collect()
+    assert [r.n_chars for r in got] == [len(LONG), 700_000, len(LONG) + 3] and got[0].near_next < 0.2
+    pages = d.select(F.col("doc_id").alias("page_id"), F.lit("http://a/b").alias("url"), F.col("text").alias("html"))
+    assert [r.payload_bytes for r in warc.op2_warc(pages).orderBy("page_id").collect()] == [len(LONG), 700_000, len(LONG) + 3]
+    assert [r.n_chars for r in htmltext.op3_html(pages).orderBy("page_id").collect()] == [len(LONG) - 1, 700_000, len(LONG) + 3]
+    bench = spark.createDataFrame([(1, PROBLEM)], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.matches(d.withColumn("text", F.concat("text", F.lit(" " + PROBLEM))), bench).orderBy("doc_id").collect()] == [1, 2, 3]
+
+
 # ---- WARC -----------------------------------------------------------------------------------------------------------
 
 
@@ -79,6 +112,26 @@ def test_warc_round_trip(spark):
     assert warc.op2_warc(pages.limit(0)).count() == 0
 
 
+def test_warc_matches_a_plain_loop(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    rows = [(r.page_id, (r.html or "").encode()) for r in pages.select("page_id", "html").collect()]
+    first = {}
+    for i, b in rows:
+        first[b] = max(i, first.get(b, i))
+    want = {i: (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if first[b] == i else "revisit", None if first[b] == i else first[b]) for i, b in rows}
+    assert {r.page_id: tuple(r)[1:] for r in warc.op2_warc(pages).collect()} == want
+
+
+def test_warc_reads_in_many_tasks_and_takes_repeated_rows(spark):
+    pages = spark.createDataFrame([(i % 90, "http://a", "p" * 3000 + str(i % 7)) for i in range(100)], "page_id long, url string, html string")
+    index = warc.write_archive(pages, f"{warc.shared_dir(spark)}/many-tasks", frame_bytes=4000)
+    read = warc.read_archive(index, task_bytes=5_000)
+    assert read.rdd.getNumPartitions() >= 5 and read.count() == 100
+    largest = {max(i for i in range(90) if i % 7 == k) for k in range(7)}
+    got = warc.op2_warc(pages.where("page_id > 9")).collect()
+    assert {r.page_id for r in got if r.record_type == "response"} == largest
+
+
 def test_bundles_are_plain_zstandard_with_a_seek_table(tmp_path):
     import io
 
@@ -114,6 +167,60 @@ def test_main_text_without_an_article_element():
     assert htmltext.main_text(page) == f"Head {p} point one point two {p}"
 
 
+SENTENCES = ["It was, as they said, a long day.", "Nobody came; the road was empty.", "Then, at last, the rain stopped!", "What else could be done?", "She read the letter, twice, and left."]
+
+
+def page(r, named):
+    """A page and its text: named ones have article and telling names, bare ones nothing but div."""
+    text = lambda n: " ".join(r.choice(SENTENCES) for _ in range(n))
+    article = [("h1", "Of a long day")] + [(r.choice(["p", "p", "p", "h2"]), None) for _ in range(r.randint(4, 9))] + [("p", text(6))]
+    article = [(t, x or (text(r.randint(1, 8)) if t == "p" else "More of it")) for t, x in article]
+    body = "".join(f"<{t}>{x}</{t}>" + ("" if named or i % 3 else "<div>Share</div><div>Advertisement</div>") for i, (t, x) in enumerate(article))
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>Section {i}</a></li>" for i in range(r.randint(3, 9))) + "</ul>"
+    teasers = "".join(f"<div><a href='/t{i}'>Read on about this</a> <span>{i} min</span></div>" for i in range(r.randint(2, 5)))
+    if named:
+        page = f"<body><nav>{menu}</nav><header>The Paper</header><div class='ad'>{text(2)}</div><main><article>{body}</article></main><aside>{teasers}</aside><section class='comments'><p>{text(3)}</p></section><footer>Imprint, contact.</footer></body>"
+    else:
+        page = f"<body><div>{menu}</div><div>The Paper</div><div class='x7'><div class='a1'>{body}</div><div class='q2'>{teasers}</div></div><div><span>Imprint</span></div></body>"
+    return page, " ".join(x for _, x in article)
+
+
+def test_main_text_of_named_and_bare_pages(monkeypatch):
+    """Word precision and recall of both kinds; without the paths' scores bare pages come out worse."""
+    r = random.Random(6)
+    pages = [(*page(r, named), named) for named in (True, False) for _ in range(100)]
+
+    def quality(named):
+        shares = []
+        for html, want, kind in pages:
+            if kind == named:
+                got, want = htmltext.main_text(html).split(), want.split()
+                same = sum((Counter(got) & Counter(want)).values())
+                shares.append((same / max(1, len(got)), same / len(want)))
+        return np.mean(shares, axis=0)
+
+    assert (quality(True) > 0.99).all() and (quality(False) > 0.99).all()
+    monkeypatch.setattr(htmltext, "content_blocks", lambda found, share=0.2: np.ones(len(found), bool))
+    assert quality(False)[0] < 0.97
+
+
+def test_path_scores_match_a_plain_loop():
+    r = random.Random(8)
+    for named in (True, False, False):
+        found = [b for b in htmltext.blocks(page(r, named)[0]) if not b.outside]
+        paths = sorted({b.path for b in found}, key=[b.path for b in found].index)
+        of = {p: [b for b in found if b.path == p] for p in paths}
+        length = {p: sum(max(0, len(b.text) - b.links) for b in bs) / len(bs) for p, bs in of.items()}
+        marks = {p: sum(len(htmltext._PUNCTUATION.findall(b.text)) for b in bs) / len(bs) for p, bs in of.items()}
+        weight = {k: np.exp(-k * k / 2) for k in range(-2, 3)}
+        smooth = lambda v, i: sum(w * v[found[min(max(i + k, 0), len(found) - 1)].path] for k, w in weight.items()) / sum(weight.values())
+        fused = [smooth(length, i) * (1 + smooth(marks, i)) for i in range(len(found))]
+        want = [min(np.mean([f for f, b in zip(fused, found) if b.path == p]), 4 * length[p] * (1 + marks[p])) * (4 if any(b.article for b in of[p]) else 1) for p in paths]
+        path, score = htmltext.path_scores(found)
+        assert [paths[i] for i in path] == [b.path for b in found] and score == pytest.approx(want)
+        assert htmltext.content_blocks(found).tolist() == [want[i] >= 0.2 * max(want) and want[i] > 0 for i in path]
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<!--", "</p></p>", "<p>", "&am", "<a href='", "<script>x", "text only" * 1000])
 def test_html_edges(page):
     assert isinstance(htmltext.main_text(page), str)
@@ -213,6 +320,55 @@ def test_passages_and_their_removal(spark):
     assert substring.passages(docs(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("slices", [[(0, 30), (30, 60)], [(0, 39), (21, 60)], [(0, 35), (12, 47), (25, 60)], [(0, 37), (8, 45), (15, 52), (23, 60)]])
+def test_slices_in_smaller_ids_take_no_passage_away(spark, slices):
+    """Two documents share 60 words of which smaller ids hold slices too short to report."""
+    texts = []
+    for i in range(20):
+        shared = words(60, 3000 + i)
+        texts += [" ".join(words(20, 4000 + 10 * i + k) + shared[a:b] + words(20, 5000 + 10 * i + k)) for k, (a, b) in enumerate(slices)]
+        texts += [" ".join(words(20, 6000 + 2 * i + k) + shared + words(20, 7000 + 2 * i + k)) for k in (0, 1)]
+    n = len(slices) + 2
+    found = {(r.doc_id, r.source_id) for r in substring.passages(docs(spark, texts)).where("end_word - start_word >= 55").collect()}
+    assert found == {(n * i + n - 1, n * i + n - 2) for i in range(20)}
+
+
+@pytest.mark.parametrize("identity,least", [(0.8, 0.85), (0.85, 0.9), (0.9, 0.95)])
+def test_recall_of_randomly_edited_passages(spark, identity, least):
+    """Passages of 60 words of which a share is replaced at random."""
+    r, texts, edited = random.Random(9), [], []
+    for i in range(100):
+        t = words(60, 8000 + i)
+        out = set(r.sample(range(60), round(60 * (1 - identity))))
+        texts.append(" ".join(words(30, 9000 + i) + t + words(30, 10_000 + i)))
+        edited.append(" ".join(words(30, 11_000 + i) + [f"e{i}x{k}" if k in out else w for k, w in enumerate(t)] + words(30, 12_000 + i)))
+    found = {(x.doc_id, x.source_id) for x in substring.passages(docs(spark, texts + edited)).collect()}
+    assert found <= {(i + 100, i) for i in range(100)} and len(found) >= 100 * least
+
+
+def test_split_seeds_link_as_much(spark, monkeypatch):
+    """A passage of very many documents, whose seeds are split, is found in all of them but the first."""
+    whole = substring.frequent_seeds
+    monkeypatch.setattr(substring, "frequent_seeds", lambda docs, *a: whole(docs, *a, one_doc_in=1, together=20))
+    shared = words(60, 13)
+    texts = [" ".join(words(20, 14_000 + i) + shared + words(20, 15_000 + i)) for i in range(300)]
+    found = {r.doc_id for r in substring.passages(docs(spark, texts)).where("end_word - start_word >= 60").collect()}
+    assert found == set(range(1, 300))
+
+
+def test_passages_of_repeated_ids(spark):
+    one, two = words(60, 16), words(60, 17)
+    rows = spark.createDataFrame([(1, " ".join(one)), (1, " ".join(two)), (2, " ".join(one)), (2, " ".join(one)), (3, " ".join(two)), (None, " ".join(one))], "doc_id long, text string")
+    assert {(r.doc_id, r.source_id) for r in substring.passages(rows).collect()} == {(2, 1), (3, 1)}
+
+
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
+    text = "Gr\u00fc\u00dfe an ALLE, an alle! \u0130stanbul \u03a3\u03bf\u03c6\u03cc\u03c2 " * 30
+    whole = substring.word_codes(text)
+    monkeypatch.setattr(substring, "_PIECE", 7)
+    assert (substring.word_codes(text) == whole).all() and len(whole) == len(substring._WORD.findall(text)) and whole[2] == whole[4] and whole[1] == whole[3]
+
+
 def test_unlike_stretches_part_passages(spark):
     one, two, other = words(52, 60), words(52, 61), [words(28, s) for s in (62, 63)]
     long, more = words(110, 64), words(30, 65)
@@ -387,6 +543,32 @@ def test_fingerprints_are_homomorphic(spark):
     assert r.x == r.y == r.zp and r.xp == r.z != r.x
 
 
+def test_fingerprints_match_a_plain_loop(spark):
+    import struct
+
+    texts = EDGE[3:] + ["One, two; one.\n\nThree? Four\nOne, two; one."]
+    h = lambda t, k: xxhash.xxh64_intdigest(struct.pack("<i", k), xxhash.xxh64_intdigest(t.encode(), 42))
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", fingerprint.vector(F.col("t")).alias("v")).orderBy("i").collect()
+    for r, text in zip(got, texts):
+        exact, lanes = [0] * 8, [0] * 252
+        for p in filter(None, text.split("\n")):
+            for k in range(8):
+                exact[k] = (exact[k] + (h(p, k // 2) >> 32 * (k % 2))) % 2**32
+        clauses = [c.strip(" ") for c in fingerprint_split(text) if c.strip(" ")]
+        for c in clauses:
+            for k in range(84):
+                for j in range(3):
+                    lanes[3 * k + j] = (lanes[3 * k + j] + (h(c, k // 21) >> (k % 21 + 21 * j) & 1)) % 2**20
+        packed = [sum(lanes[3 * k + j] << 21 * j for j in range(3)) for k in range(84)]
+        assert r.v == [*exact, *packed, len(clauses)]
+
+
+def fingerprint_split(text):
+    import re
+
+    return re.split(r"[\n.,;:!?|]+", text)
+
+
 def test_fingerprint_query(spark):
     texts = EDGE + ["\n".join(f"{' '.join(words(4, k * 10 + i))}." for i in range(30)) for k in range(3)]
     got = fingerprint.op8_fingerprint(docs(spark, texts)).orderBy("doc_id").toPandas()
@@ -450,6 +632,24 @@ def test_language_held_out_accuracy(spark):
     assert (got.lang_pred == got.lang)[got.held_out].mean() > 0.97
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the cat and the dog are in the house of the man " + str(i), "en") for i in range(4000)] + [(10_000 + i, "der hund und die katze sind in dem haus " + str(i), "de") for i in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(d, sample=100)
+    assert model.classes == ["de", "en"] and model.predict("die katze und der hund")[0] == "de"
+
+
+def test_empty_tables_repeats_and_clashes(spark):
+    d, v = docs(spark, EDGE), vocabulary(spark)
+    pages = d.select(F.col("doc_id").alias("page_id"), F.lit("http://a/b").alias("url"), F.col("text").alias("html"), F.lit("z").alias("text"), F.lit(1).alias("n_chars"), F.lit(2).alias("path"))
+    for empty in (htmltext.op3_html(pages.limit(0)), bpe.op7_bpe(d.limit(0), v), langid.op9_langid(d.limit(0)), urlfilter.op10_urls(pages.limit(0)), toxicity.op1_toxicity(d.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))):
+        assert empty.count() == 0
+    clash = d.unionByName(d).withColumns({"lang_pred": F.lit("q"), "bucket": F.lit(3), "held_out": F.lit(7), "ids": F.lit(0)})
+    clash = clash.withColumn("lang", F.when(F.col("doc_id") > 4, "en"))
+    assert langid.op9_langid(clash).count() == bpe.op7_bpe(clash, v).count() == 2 * len(EDGE)
+    assert htmltext.op3_html(pages.unionByName(pages)).count() == 2 * len(EDGE)
+
+
 def test_language_edges(spark):
     got = langid.op9_langid(docs(spark, [*EDGE, "123 !?"])).orderBy("doc_id").collect()
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)] * 9
