@@ -151,6 +151,7 @@ def like_edges(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, si
     first = first.select("key", F.struct("fp", "wide", "n").alias("first"))
     held = held.join(first, "key").withColumn("chance", F.xxhash64("fp", "key")).withColumn("part", F.pmod(F.xxhash64("chance"), F.ceil(F.col("many") / together)))
     before = F.lag(F.struct("fp", "wide", "n")).over(Window.partitionBy("key", "part").orderBy("chance"))
+    held = held.repartition("key", "part")  # else the window would take the join's partitioning, by the key alone
     pairs = held.withColumn("before", before).select("fp", "wide", "n", F.explode(F.array("first", "before")).alias("o"))
     near = F.bit_count(F.col("wide").bitwiseXOR(F.col("o.wide"))) <= most_bits
     pairs = pairs.where((F.col("fp") != F.col("o.fp")) & near & (F.least("n", "o.n") >= similarity * F.greatest("n", "o.n")))
