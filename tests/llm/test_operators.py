@@ -533,6 +533,15 @@ def test_bpe_is_tiktoken(spark):
         assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
 
 
+def test_another_pattern_needs_its_own_cut(spark):
+    with pytest.raises(ValueError):
+        bpe.TreeEncoder({bytes([i]): i for i in range(256)}, r"\S+|\s+")
+    import re
+
+    enc = bpe.TreeEncoder({bytes([i]): i for i in range(256)}, r"\S+|\s+", leaf_chars=4, cut=re.compile(r"\S(?=\s)"))
+    assert bytes(enc.encode("one two.\nthree  four")) == b"one two.\nthree  four"
+
+
 # ---- fingerprints ---------------------------------------------------------------------------------------------------
 
 

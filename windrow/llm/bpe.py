@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -33,6 +34,8 @@ class TreeEncoder:
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = 1024, cut: re.Pattern = CUT):
+        if cut is CUT and pattern != public_tokenizers.PATTERN:
+            raise ValueError("CUT holds for the public pattern only: give the places where matches of this pattern end for sure")
         self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.leaf_chars, self.cut = leaf_chars, cut
         self.bytes_of = {i: b for b, i in ranks.items()}
@@ -85,16 +88,19 @@ class TreeEncoder:
 
 
 class Vocabulary:
-    """A vocabulary file's bytes (some MB at most), read once by the driver and broadcast."""
+    """A vocabulary file's bytes (some MB at most), read once by the driver and broadcast.
 
-    def __init__(self, spark, path: str, pattern: str):
+    A pattern other than the public one needs a ``cut``, see TreeEncoder.
+    """
+
+    def __init__(self, spark, path: str, pattern: str, cut: re.Pattern = CUT):
         with open(path, "rb") as f:
             self.raw = spark.sparkContext.broadcast(f.read())
-        self.pattern = pattern
+        self.pattern, self.cut = pattern, cut
 
     def encoder(self) -> TreeEncoder:
         """Made anew for each task, so that idle Python workers don't keep one."""
-        return TreeEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, self.raw.value.splitlines())}, self.pattern)
+        return TreeEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, self.raw.value.splitlines())}, self.pattern, cut=self.cut)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,7 +139,11 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass, so a task has one Python worker and ids don't travel."""
+    """(id, n_tokens, ids_sha256, decoded_sha256) per row: encode and decode in one pass, so a task has one Python worker and ids don't travel.
+
+    Null texts count as empty and have no tokens; repeated rows give repeated results; an empty table gives no rows; other
+    columns aren't read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = vocabulary.encoder()
@@ -152,4 +162,5 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id",
 
 
 def op7_bpe(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``round_trip`` of every row."""
     return round_trip(docs, vocabulary).withColumnRenamed("id", "doc_id")

@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: MilModel, locate: float = 0.5) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: MilModel, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores below ``threshold``."""
+    """The rows of ``docs``, all columns, whose text scores below ``threshold``; null and empty texts stay, repeated rows alike."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,5 +173,10 @@ def reject(docs: DataFrame, model: MilModel, threshold: float = 0.7) -> DataFram
 
 
 def op1_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """``score`` of every row by the model of labelled rows whose id's checksum modulo 3 isn't 1; null and empty texts score 0.
+
+    A doc_id labelled both ways is toxic; labels without an id or of other values don't count; without labels all score
+    near 0.
+    """
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_sentences", "spans")
