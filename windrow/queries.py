@@ -17,7 +17,7 @@ from windrow.operators import align, evaluate, features, forecast, models, pheno
 from windrow.params import FEATURES, with_params
 from windrow.plans import pipelines
 from windrow.shared import scratch, written
-from windrow.sources import readers
+from windrow.sources import readers, sinks
 from windrow.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -306,6 +306,16 @@ def _(spark, d):
     return align.upsert(rows.where("event_id % 2 = 0").drop("event_id"), rows.where("event_id % 2 = 1").drop("event_id")).select("station", "species", "ts", "value")
 
 
+@query("a13_a14_f5_table", SQL["a14_g3_upsert"])
+def _(spark, d):
+    """The same by way of the table: two batches upserted into a partitioned one, which is then scanned."""
+    path, staging = scratch(spark, "fact"), scratch(spark, "staging")
+    rows = readings(spark, d).withColumn("ingest_ts", F.col("ts").cast("timestamp")).withColumn("ts", sc.window_start(F.col("ts")))
+    for parity in (1, 0):
+        align.upsert_table(path, rows.where(F.col("event_id") % 2 == parity).drop("event_id"), staging)
+    return readers.history(spark, path).select("station", "species", "ts", "value")
+
+
 @query("a19_daily_only", f"WITH {SERIES} SELECT station, species, bool_and(hour(ts) = 0) AS is_daily FROM s GROUP BY 1, 2")
 def _(spark, d):
     return align.daily_only(series(spark, d))
@@ -832,6 +842,25 @@ def _(spark, d):
     return each.select("station", "date", "from", "to", F.coalesce("place", F.lit(-1)).alias("place"), "x.*")
 
 
+@query("a15_web_documents", SQL["h2_web_measurements"])
+def _(spark, d):
+    """The rows of the species documents, as written to text files and read back."""
+    path = scratch(spark, "web")
+    sinks.documents(forecast.web_document(series(spark, d).withColumn("value", F.col("value") / 8), "2024-01-01T00:00:00"), path)
+    shape = "measurements array<struct<polle: string, location: string, data: array<struct<`from`: bigint, `to`: bigint, value: double>>>>"
+    each = spark.read.text(path).select(F.explode(F.from_json("value", shape)["measurements"]).alias("m"))
+    return each.select(F.col("m.location").alias("station"), F.col("m.polle").alias("species"), F.inline("m.data"))
+
+
+@query("a16_a17_csv_results", f"WITH {RESULTS} SELECT station, species, ts, fold, actual, predicted, error, level_actual, level_predicted FROM e")
+def _(spark, d):
+    """Backtest results as written to CSV files and read back."""
+    path = scratch(spark, "results")
+    sinks.table(results(spark, d).drop("abs_error"), path, csv=True)
+    kinds = "station string, species string, ts timestamp_ntz, fold int, actual double, predicted double, error double, level_actual string, level_predicted string"
+    return spark.read.schema(kinds).option("header", True).csv(path)
+
+
 def _land(df: DataFrame, key: list[str], name: str) -> str:
     """Write the column ``payload`` as one file per key, as a provider would leave it; the folder."""
     path = scratch(df.sparkSession, name)
