@@ -63,6 +63,54 @@ def test_recursive_forecast_keeps_order_and_observations(spark, made, tmp_path):
     assert [r.value for r in got[:2]] == [r.observed for r in observed.orderBy("species").collect()]
 
 
+def test_series_without_a_model_or_a_window_go_on(spark, made, tmp_path):
+    """Without a model each step is four fifths of the one before; a series that lacks a window keeps its state."""
+    values, weather, _ = made
+    cut, gap = (F.lit(x).cast("timestamp_ntz") for x in ("2024-04-12 06:00:00", "2024-04-12 09:00:00"))
+    serving = pipelines.feature_frame(values, weather, species_params(spark), lags=False).where((F.col("ts") >= cut) & (F.col("ts") < cut + F.expr("interval 12 hours")))
+    serving = serving.where(~((F.col("species") == "Salix") & (F.col("ts") == gap)))
+    n = [0]
+
+    def stage(df):
+        n[0] += 1
+        df.write.parquet(str(tmp_path / str(n[0])))
+        return spark.read.parquet(str(tmp_path / str(n[0])))
+
+    past = values.where(F.col("ts") < cut)
+    last = {r.species: r.v for r in past.groupBy("species").agg(F.max_by("value", "ts").alias("v")).collect()}
+    got = pipelines.recursive_forecast(models.Classes({}), serving, recent_logs(past), stage).orderBy("species", "ts").collect()
+    assert [r.value for r in got] == pytest.approx([last["Betula"] * 0.8**k for k in (1, 2, 3, 4)] + [last["Salix"] * 0.8**k for k in (1, 2, 3)])
+    assert all(r.confidence == pytest.approx(0.45) for r in got)
+
+
+def test_run_trains_forecasts_and_takes_observations(spark, made, tmp_path):
+    values, weather, _ = made
+    n = [0]
+
+    def stage(df):
+        n[0] += 1
+        df.write.parquet(str(tmp_path / str(n[0])))
+        return spark.read.parquet(str(tmp_path / str(n[0])))
+
+    cut = F.lit("2024-04-13").cast("timestamp_ntz")
+    from windrow.operators.features import complete
+    from windrow.params import WEATHER
+
+    air = complete(weather, WEATHER).select("station", "ts", *WEATHER)
+    new = pipelines.collect(values.where(F.col("ts") < cut + F.expr("interval 3 hours")), air, ["Betula", "Salix"]).withColumn("ingest_ts", F.lit("2024-04-13").cast("timestamp"))
+    ahead = air.where((F.col("ts") >= cut) & (F.col("ts") < cut + F.expr("interval 9 hours")))
+    two = species_params(spark).where("species in ('Betula', 'Salix')")
+    got = pipelines.run(str(tmp_path / "t"), str(tmp_path / "s"), new, ahead, two, stage, features=FEATURES, iterations=2, trees=2).orderBy("ts", "species").collect()
+    seen = {r.species: r.value for r in values.where(F.col("ts") == cut).collect()}
+    assert [r.is_observed for r in got] == [True, True, False, False, False, False] and [r.value for r in got[:2]] == [seen["Betula"], seen["Salix"]]
+    model = pipelines.train(spark.read.parquet(str(tmp_path / "t")), two, stage, features=FEATURES, iterations=2, trees=2)
+    assert list(model.models) == ["4-5-85"]
+    model.save(str(tmp_path / "m"))
+    assert list(models.Classes.load(spark, str(tmp_path / "m")).models) == ["4-5-85"]
+    reports = pipelines.benchmark(spark.read.parquet(str(tmp_path / "t")), two, stage, features=FEATURES)
+    assert reports["results"].count() == 0 and reports["overall"].first().n == 0  # no month has sixty days before it
+
+
 def test_backtest_has_levels_and_gate(spark, made):
     folds = spark.createDataFrame([(0, dt.date(2024, 4, 1))], "fold int, month_start date")
     got = pipelines.backtest(made[2], folds, FEATURES, iterations=2, trees=2, depth=2)
