@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.common import as_bytes, shared_dir, written
+from windrow.llm.common import shared_dir, written
 
 #: Fixed values of the formats: a skippable frame's magic number with which seek tables begin, and the one that ends them.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
