@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from windrow.llm import collocations
 from windrow.llm.bpe import op7_bpe
+from windrow.llm.collocations import op11_phrases
 from windrow.llm.common import table
 from windrow.llm.decontaminate import op6_decontaminate
 from windrow.llm.fingerprint import op8_fingerprint
@@ -28,9 +30,10 @@ QUERIES = {
     "op8_fingerprint": lambda spark, d: op8_fingerprint(table(spark, d, "documents")),
     "op9_langid": lambda spark, d: op9_langid(table(spark, d, "documents")),
     "op10_urls": lambda spark, d: op10_urls(table(spark, d, "pages")),
+    "op11_phrases": lambda spark, d: op11_phrases(table(spark, d, "documents")),
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_phrases": collocations.SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
