@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from windrow.llm import collocations
+from windrow.llm import chat, collocations
 from windrow.llm.bpe import op7_bpe
+from windrow.llm.chat import op12_chat
 from windrow.llm.collocations import op11_phrases
 from windrow.llm.common import table
 from windrow.llm.decontaminate import op6_decontaminate
@@ -31,9 +32,10 @@ QUERIES = {
     "op9_langid": lambda spark, d: op9_langid(table(spark, d, "documents")),
     "op10_urls": lambda spark, d: op10_urls(table(spark, d, "pages")),
     "op11_phrases": lambda spark, d: op11_phrases(table(spark, d, "documents")),
+    "op12_chat": lambda spark, d: op12_chat(table(spark, d, "conversations")),
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {"op11_phrases": collocations.SQL}
+SQL: dict[str, str] = {"op11_phrases": collocations.SQL, "op12_chat": chat.SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
