@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from windrow.llm import chat, collocations
+from windrow.llm import chat, collocations, divergence
 from windrow.llm.bpe import op7_bpe
 from windrow.llm.chat import op12_chat
 from windrow.llm.collocations import op11_phrases
 from windrow.llm.common import table
 from windrow.llm.decontaminate import op6_decontaminate
+from windrow.llm.divergence import op13_divergence
 from windrow.llm.fingerprint import op8_fingerprint
 from windrow.llm.htmltext import op3_html
 from windrow.llm.langid import op9_langid
@@ -33,9 +34,10 @@ QUERIES = {
     "op10_urls": lambda spark, d: op10_urls(table(spark, d, "pages")),
     "op11_phrases": lambda spark, d: op11_phrases(table(spark, d, "documents")),
     "op12_chat": lambda spark, d: op12_chat(table(spark, d, "conversations")),
+    "op13_divergence": lambda spark, d: op13_divergence(table(spark, d, "documents")),
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {"op11_phrases": collocations.SQL, "op12_chat": chat.SQL}
+SQL: dict[str, str] = {"op11_phrases": collocations.SQL, "op12_chat": chat.SQL, "op13_divergence": divergence.SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
