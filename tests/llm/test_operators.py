@@ -502,6 +502,34 @@ def test_slot_agreement():
     assert decontaminate.slot_agreement([("3", "5"), ("3", "5"), ("3", "6"), ("4", "4")]) == (4, 3, 1)
 
 
+def test_best_diagonals_match_all_pairs_of_positions():
+    """The value each slot takes, against a loop over every pair of equal windows; also through the transform for many."""
+    r = random.Random(3)
+    for case in range(60):
+        doc = [(r.randrange(4), p) for p in sorted(r.sample(range(60), r.randrange(1, 40)))]
+        item = [(r.randrange(5), p) for p in sorted(r.sample(range(30), r.randrange(1, 20)))]
+        much = Counter(p - q for h, p in doc for g, q in item if h == g)
+        want = [max([(much[p - q], -(p - q)) for h, p in doc if h == g], default=None) for g, q in item]
+        a, b = np.array(doc), np.array(item)
+        found, many, diagonal = decontaminate.alignment(a[:, 0], a[:, 1], b[:, 0], b[:, 1])
+        assert [None if f < 0 else (int(m), -int(d)) for f, m, d in zip(found, many, diagonal)] == want
+        assert all(f < 0 or (doc[f][0] == g and doc[f][1] - q == d) for f, d, (g, q) in zip(found, diagonal, item))
+    n, k = 30_000, 3_000
+    found, many, diagonal = decontaminate.alignment(np.zeros(n, int), np.arange(n) * 2, np.zeros(k, int), np.arange(k) * 2 + 1)
+    assert set(many.tolist()) == {k} and set(diagonal.tolist()) == {-1} and found.tolist() == list(range(k))
+
+
+def test_long_runs_of_like_windows(spark):
+    """An item of 2,000 numbers in a document of 100,000: no product of their positions."""
+    r = random.Random(4)
+    numbers = [str(r.randrange(10**6)) for _ in range(100_000)]
+    bench = spark.createDataFrame([(1, "; ".join(numbers[500:700])), (2, "; ".join(numbers[:2000])), (3, "; ".join(["7", "8"] * 100))], "item_id long, text string")
+    texts = ["; ".join(numbers), "; ".join(numbers[500:4500]), "no numbers here but some words to read instead", "; ".join(["7", "8"] * 500)]
+    got = {(x.doc_id, x.item_id): x for x in decontaminate.matches(docs(spark, texts), bench).collect()}
+    assert {(0, 1), (0, 2), (1, 1), (3, 3)} <= set(got) and 2 not in {d for d, _ in got}
+    assert not got[1, 1].reparameterised and not got[3, 3].reparameterised and got[1, 1].consistency == 1
+
+
 def test_decontamination_matches_brute_force(spark):
     d, b = (pd.read_parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "benchmark"))
     plain = lambda t: " " + " ".join(decontaminate.re.findall(r"[^\W_]+", t.lower())) + " "

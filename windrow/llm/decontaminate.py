@@ -258,10 +258,11 @@ def windows(rows: DataFrame, id_col: str, text_col: str, width: int, short: tupl
                     n = len(at)
                     if among is not None and len(h):
                         at = at[_among(h[at], among.value)]
-                    out += [(ids[i], ties[i], version, wide, int(h[p]), int(t.raw[p]), _slots(t, p, wide), n) for p in at.tolist()]
-                if len(out) > 20_000:
-                    yield _batch(out)
-                    out = []
+                    for p in at.tolist():
+                        out.append((ids[i], ties[i], version, wide, int(h[p]), int(t.raw[p]), _slots(t, p, wide), n))
+                        if len(out) > 20_000:
+                            yield _batch(out)
+                            out = []
             yield _batch(out)
 
     text = F.col(text_col).cast("string")
@@ -276,21 +277,58 @@ def slot_agreement(pairs: list[tuple[str, str]]) -> tuple[int, int, int]:
     return len(pairs), sum(c.most_common(1)[0][1] for c in seen.values()), sum(a == b for a, b in pairs)
 
 
-def consistency(lines: list[dict]) -> tuple[float, bool]:
-    """(share of the slots that go over consistently, whether a value has changed) of a pair's windows.
+def alignment(h: np.ndarray, pos: np.ndarray, ih: np.ndarray, ipos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each item window (ih, ipos) the document window of its hash on the best diagonal: (number or -1, windows on the diagonal, diagonal).
 
-    Each slot of the item counts once, with the document's value on the diagonal (distance of positions) that has most
-    windows.  A slot whose item value doesn't come again can't be inconsistent; without slots the share is 1.
+    A diagonal is a distance of positions; the best has most common windows, of equals it is the least.  Room and, beyond
+    some products of repeated windows, time follow the two lengths, not the pairs of positions.
     """
-    much = Counter(x["pos"] - x["ipos"] for x in lines)
+    order = np.lexsort((pos, h))
+    h, pos = h[order], pos[order]
+    first, last = np.searchsorted(h, ih, "left"), np.searchsorted(h, ih, "right")
+    low = int(pos.min() - ipos.max())
+    much = np.zeros(int(pos.max() - ipos.min()) - low + 1, np.int64)
+    by_hash = np.argsort(ih, kind="stable")
+    for own in np.split(by_hash, np.flatnonzero(np.diff(ih[by_hash])) + 1):
+        there, here = pos[first[own[0]] : last[own[0]]], ipos[own]
+        if len(there) * len(here) > 50_000_000 and len(much) < 1 << 22:
+            x, y = np.zeros(1 << len(much).bit_length()), np.zeros(1 << len(much).bit_length())
+            x[there - there.min()], y[here - here.min()] = 1, 1
+            both = np.fft.irfft(np.fft.rfft(x) * np.conj(np.fft.rfft(y)), len(x))
+            far = np.arange(here.min() - here.max(), there.max() - there.min() + 1)
+            much[far + there.min() - here.min() - low] += np.rint(both[far]).astype(np.int64)
+        else:
+            for i in here.tolist():
+                much[there - (i + low)] += 1
+    top = np.argsort(-much, kind="stable")[:32] + low
+    found, windows_, diagonal = np.full(len(ih), -1), np.zeros(len(ih), np.int64), np.zeros(len(ih), np.int64)
+    for k, (lo, hi, i) in enumerate(zip(first.tolist(), last.tolist(), ipos.tolist(), strict=True)):
+        if lo == hi:
+            continue
+        there = pos[lo:hi]
+        at = np.minimum(np.searchsorted(there, top + i), hi - lo - 1)
+        on = np.flatnonzero(there[at] == top + i)
+        j = at[on[0]] if len(on) else np.argmax(much[there - (i + low)])
+        found[k], diagonal[k] = order[lo + j], there[j] - i
+        windows_[k] = much[diagonal[k] - low]
+    return found, windows_, diagonal
+
+
+def consistency(h: np.ndarray, pos: np.ndarray, slots: pa.Array, ih: np.ndarray, ipos: np.ndarray, islots: pa.Array) -> tuple[float, bool]:
+    """(share of the slots that go over consistently, whether a value has changed) of a document's and an item's windows.
+
+    Each slot of the item counts once, with the document's value on the best diagonal of its windows.  A slot whose item
+    value doesn't come again can't be inconsistent; without slots the share is 1.
+    """
+    found, many, diagonal = alignment(h, pos, ih, ipos)
+    k = np.flatnonzero(found >= 0)
     best: dict[int, tuple[tuple[int, int], str, str]] = {}
-    for x in lines:
-        d = x["pos"] - x["ipos"]
-        for a, b in zip(x["islots"], x["slots"]):
-            if a["at"] not in best or (much[d], -d) > best[a["at"]][0]:
-                best[a["at"]] = ((much[d], -d), a["value"], b["value"])
-    slots, held, same = slot_agreement([(a, b) for _, a, b in best.values()])
-    return (held / slots if slots else 1.0), same < slots
+    for rank, x, y in zip(zip(many[k].tolist(), (-diagonal[k]).tolist()), islots.take(pa.array(k)).to_pylist(), slots.take(pa.array(found[k])).to_pylist(), strict=True):
+        for a, b in zip(x, y):
+            if a["at"] not in best or rank > best[a["at"]][0]:
+                best[a["at"]] = (rank, a["value"], b["value"])
+    slots_, held, same = slot_agreement([(a, b) for _, a, b in best.values()])
+    return (held / slots_ if slots_ else 1.0), same < slots_
 
 
 PAIRS = "doc_id long, tie long, item_id long, n_windows int, matched int, consistency double, reparameterised boolean"
@@ -329,13 +367,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 5, containment:
     pairs = written(found.select(*doc, "h").join(rare.select("h", *item, "distinct", "need"), "h").select(*doc, *item, "distinct", "need").distinct(), "pairs-asked")
     of_docs = pairs.withColumnRenamed("doc_id", "d").withColumnRenamed("tie", "t")
     hits = found.join(of_docs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t"))).drop("d", "t")
-    hits = hits.join(parts.drop("n"), [*item, "h"])
-    lines = hits.groupBy(*doc, *item, "distinct", "need").agg(F.collect_set(F.struct("h", "pos", "ipos", "islots", "slots")).alias("w"), F.count_distinct("h").alias("matched"))
-    lines = lines.where("matched >= need").select("doc_id", "tie", "item_id", F.col("distinct").cast("int"), F.col("matched").cast("int"), "w")
+    hits = hits.join(parts.select(*item, "h").distinct(), [*item, "h"])
+    lines = hits.groupBy(*doc, *item, "distinct", "need").agg(F.collect_set(F.struct("h", "pos", "slots")).alias("w"))
+    lines = lines.withColumn("matched", F.size(F.array_distinct("w.h"))).where("matched >= need")
+    whole = parts.groupBy(*item).agg(F.collect_set(F.struct("h", "ipos", "islots")).alias("v"))  # a row an item and template
+    lines = lines.join(whole, item).select("doc_id", "tie", "item_id", F.col("distinct").cast("int"), F.col("matched").cast("int"), "w", "v")
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts_of = lambda cell: [cell.field(0).to_numpy(), cell.field(1).to_numpy().astype(np.int64), cell.field(2)]
         for batch in batches:
-            judged = [consistency(w) for w in column_rows(batch.column(5), 16)]
+            judged = [consistency(*parts_of(w.values), *parts_of(v.values)) for w, v in zip(batch.column(5), batch.column(6), strict=True)]
             cells = [*batch.columns[:5], pa.array([j[0] for j in judged], pa.float64()), pa.array([j[1] for j in judged], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cells, ["doc_id", "tie", "item_id", "n_windows", "matched", "consistency", "reparameterised"])
 
