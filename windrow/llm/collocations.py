@@ -138,7 +138,7 @@ class Filter:
         return out
 
 
-def word_counts(docs: DataFrame, seed: int, together: int = 1_000_000) -> DataFrame:
+def word_counts(docs: DataFrame, seed: int, together: int = 300_000) -> DataFrame:
     """(lang, word, h, f) of every word; tasks add up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,6 +304,8 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 30, absorbed: in
         frontier *= 4
     for k in _KEYS:
         found = found.join(words.select(F.col("h").alias(k), F.col("word").alias(f"w{k[1]}")), k, "left")
+    least_score = _thetas(found.withColumn("bound", F.col("score")), top, scale)  # so that few more than ``top`` rows are ranked
+    found = found.join(least_score, "lang").where("score >= theta").drop("theta")
     phrases = found.join(totals, "lang").select("lang", F.concat_ws(" ", "w1", "w2", "w3", "w4").alias("phrase"), "a", "l", "r", "n", "score")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     return phrases.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
