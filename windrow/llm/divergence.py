@@ -28,21 +28,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from windrow.llm.common import written
+from windrow.llm.common import as_bytes, column_rows, written
 from windrow.shared import discard, scratch
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Letters in lower case, other characters of ASCII as blanks, all else as it is.
+_FOLD = bytes(ord(chr(c).lower()) if chr(c).isascii() and chr(c).isalpha() else 0x20 if c < 0x80 else c for c in range(256))
 #: Stands in some documents of each fit, so that no vocabulary is empty; no term holds it.
 _SENTINEL = "\x00"
 _VECTOR = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
 _RESULT = "lang string, source string, part string, item string, value long, rank int"
 
 
-def terms(text: Column) -> Column:
-    """array<string> of the runs of letters and of characters beyond ASCII, lower-cased in A-Z."""
-    words = F.split(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _BETWEEN, " "), " ", -1)
-    return F.array_remove(words, "")
+def terms_of(texts: list[bytes]) -> pa.ListArray:
+    """list<string> of the runs of letters and of characters beyond ASCII of each text, lower-cased in A-Z."""
+    b = np.frombuffer(b"\n".join(texts).translate(_FOLD), np.uint8)
+    inside = np.zeros(len(b) + 2, bool)
+    inside[1:-1] = b != 0x20
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(b[inside[1:-1]]))
+    firsts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, firsts).astype(np.int32)), words)
+
+
+def tokenised(docs: DataFrame, size: int = 1 << 22) -> DataFrame:
+    """(lang, source, terms) of each row of (lang, source, text), some ``size`` bytes of text at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, n, begin = [], 0, 0
+            for i, text in enumerate(column_rows(as_bytes(batch.column(2)))):
+                held.append(text)
+                n += len(text)
+                if n >= size or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(held)), batch.column(1).slice(begin, len(held)), terms_of(held)], ["lang", "source", "terms"])
+                    held, n, begin = [], 0, i + 1
+
+    return docs.mapInArrow(run, "lang string, source string, terms array<string>")
 
 
 def _vocabulary_sizes(tokens: DataFrame, min_df: int, one_in: int = 256) -> dict[str, tuple[int, int]]:
@@ -175,7 +199,8 @@ def divergence(docs: DataFrame, min_df: int = 10, first: int = 10, most_terms: i
     plain = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
     path = scratch(spark, "terms")
     # folders by language, so that each fit reads its own; hex digits, as names of folders know neither case nor emptiness
-    docs.select(*plain, terms(F.col("text").cast("string")).alias("terms")).withColumn("folder", F.concat(F.lit("x"), F.hex("lang"))).write.partitionBy("folder").parquet(path)
+    rows = docs.select(*plain, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    tokenised(rows).withColumn("folder", F.concat(F.lit("x"), F.hex("lang"))).write.partitionBy("folder").parquet(path)
     everything = spark.read.schema("lang string, source string, terms array<string>, folder string").parquet(path)
     groups = everything.groupBy("lang", "source").agg(F.count("*").alias("docs"))
     numbered = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
