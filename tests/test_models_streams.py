@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from windrow.operators import align, models
-from windrow.operators.forecast import recent_logs
+from windrow.operators.forecast import bridge_gaps, recent_state
 from windrow.params import SPECIES_PARAMS, species_params
 from windrow.plans import pipelines
 from windrow.streaming import streams
@@ -58,7 +58,7 @@ def test_recursive_forecast_keeps_order_and_observations(spark, made, tmp_path):
         return spark.read.parquet(str(tmp_path / str(n[0])))
 
     observed = values.where(F.col("ts") == cut).select("station", "species", "ts", F.col("value").alias("observed"))
-    got = pipelines.recursive_forecast(model, serving, recent_logs(values.where(F.col("ts") < cut)), stage, observed).orderBy("ts", "species").collect()
+    got = pipelines.recursive_forecast(model, serving, recent_state(values.where(F.col("ts") < cut)), observed).orderBy("ts", "species").collect()
     assert len(got) == 8 and [r.is_observed for r in got[:2]] == [True, True] and not any(r.is_observed for r in got[2:])
     assert [r.value for r in got[:2]] == [r.observed for r in observed.orderBy("species").collect()]
 
@@ -78,7 +78,7 @@ def test_series_without_a_model_or_a_window_go_on(spark, made, tmp_path):
 
     past = values.where(F.col("ts") < cut)
     last = {r.species: r.v for r in past.groupBy("species").agg(F.max_by("value", "ts").alias("v")).collect()}
-    got = pipelines.recursive_forecast(models.Classes({}), serving, recent_logs(past), stage).orderBy("species", "ts").collect()
+    got = pipelines.recursive_forecast(models.Classes({}), serving, recent_state(past)).orderBy("species", "ts").collect()
     assert [r.value for r in got] == pytest.approx([last["Betula"] * 0.8**k for k in (1, 2, 3, 4)] + [last["Salix"] * 0.8**k for k in (1, 2, 3)])
     assert all(r.confidence == pytest.approx(0.45) for r in got)
 

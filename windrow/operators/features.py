@@ -6,28 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from windrow.operators import sharded
 from windrow.params import DERIVED, GDD_BASE, LAGS, col_or_zero
 from windrow.functions.scalar import onset_anomaly, wind_vector
 
 KEYS = ["station", "species"]
 
 
-def lag_features(df: DataFrame) -> DataFrame:
+def _lag_columns(parts: list[str]) -> dict[str, Column]:
+    s = Window.partitionBy(*parts).orderBy("ts")
+    columns: dict[str, Column] = {f"lag_{k}": F.lag("_log", k).over(s) for k in LAGS}
+    for n in (8, 56):
+        columns[f"rolling_{n}"] = F.avg("_log").over(s.rowsBetween(-n, -1))
+        columns[f"max_{n}"] = F.max("_log").over(s.rowsBetween(-n, -1))
+    day = Window.partitionBy(*parts, "_day").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    return columns | {"morning_avg": F.coalesce(F.avg("_log").over(day), F.lit(0.0))}
+
+
+def lag_features(df: DataFrame, shard_days: int | None = None) -> DataFrame:
     """Lags, shifted rolling means and maxima of log1p(value), today's earlier mean, windows since the last positive value.
 
-    All share one shuffle on (station, species), which also serves the frame within a day, and one sort.
+    All share one shuffle on (station, species), which also serves the frame within a day.  ``shard_days``: series are
+    cut into shards of so many days, for those too long for one task; the rows are the same.
     """
+    df = df.withColumn("_log", F.log1p("value")).withColumn("_day", F.to_date("ts"))
+    if shard_days:
+        df = sharded.with_halo(sharded.since_active(df, KEYS, shard_days), KEYS, shard_days, max(LAGS))
+        return sharded.drop_halo(df.withColumns(_lag_columns([*KEYS, sharded.SHARD]))).drop("_log", "_day")
     s = Window.partitionBy(*KEYS).orderBy("ts")
-    day = Window.partitionBy(*KEYS, "_day").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_log", F.log1p("value")).withColumn("_rn", F.row_number().over(s)).withColumn("_day", F.to_date("ts"))
+    df = df.withColumn("_rn", F.row_number().over(s))
     past = s.rowsBetween(Window.unboundedPreceding, -1)
     last_active = F.last(F.when(F.col("value") > 0, F.col("_rn")), ignorenulls=True).over(past)
     since = F.when(F.col("_rn") == 1, F.lit(999)).otherwise(F.col("_rn") - 1 - F.coalesce(last_active, F.lit(0)))
-    columns: dict[str, Column] = {f"lag_{k}": F.lag("_log", k).over(s) for k in LAGS}
-    for n in (8, 56):
-        columns[f"rolling_{n}"] = F.avg("_log").over(s.rowsBetween(-n, -1))
-        columns[f"max_{n}"] = F.max("_log").over(s.rowsBetween(-n, -1))
-    columns |= {"windows_since_active": since.cast("double"), "morning_avg": F.coalesce(F.avg("_log").over(day), F.lit(0.0))}
+    columns = _lag_columns(KEYS) | {"windows_since_active": since.cast("double")}
     return df.withColumns(columns).drop("_log", "_rn", "_day")
 
 
@@ -35,14 +46,18 @@ def drop_warm_up(df: DataFrame) -> DataFrame:
     return df.dropna(subset=[f"lag_{k}" for k in LAGS])
 
 
-def intraday_features(weather: DataFrame) -> DataFrame:
-    w, day = Window.partitionBy("station").orderBy("ts"), Window.partitionBy("station", F.to_date("ts"))
+def _intraday_columns(parts: list[str]) -> dict[str, Column]:
+    w, day = Window.partitionBy(*parts).orderBy("ts"), Window.partitionBy(*parts, F.to_date("ts"))
     t, top = F.col("temperature_mean"), F.max("temperature_mean").over(day)
-    return weather.withColumns({
+    return {
         "temp_vs_daily_max": F.when(top > 0, t / top).otherwise(0.0),
         "precip_in_prior_window": F.coalesce((F.lag("precipitation_sum").over(w) > 0.1).cast("double"), F.lit(0.0)),
         "temp_rate_of_change": F.coalesce(t - F.lag("temperature_mean").over(w), F.lit(0.0)),
-    })
+    }
+
+
+def intraday_features(weather: DataFrame) -> DataFrame:
+    return weather.withColumns(_intraday_columns(["station"]))
 
 
 def degree_days(daily: DataFrame, base: float = GDD_BASE, keys: tuple[str, ...] = ("station",)) -> DataFrame:
@@ -51,8 +66,10 @@ def degree_days(daily: DataFrame, base: float = GDD_BASE, keys: tuple[str, ...]
     return daily.withColumn("gdd", F.sum(F.greatest(F.col("temperature") - base, F.lit(0))).over(w))
 
 
-def streak(df: DataFrame, holds: Column, name: str, keys: list[str]) -> DataFrame:
+def streak(df: DataFrame, holds: Column, name: str, keys: list[str], shard_days: int | None = None) -> DataFrame:
     """Consecutive rows up to this one where ``holds``; 0 where it doesn't (nulls don't)."""
+    if shard_days:
+        return sharded.streak(df, holds, name, keys, shard_days)
     w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_m", F.coalesce(holds, F.lit(False)).cast("int"))
     df = df.withColumn("_island", F.sum(1 - F.col("_m")).over(w))
@@ -60,9 +77,8 @@ def streak(df: DataFrame, holds: Column, name: str, keys: list[str]) -> DataFram
     return df.withColumn(name, F.sum("_m").over(within).cast("double")).drop("_m", "_island")
 
 
-def rolling_weather(weather: DataFrame) -> DataFrame:
-    """Rolling means and sums over 24 and 56 rows, the current one included, and changes over 8 and 24 rows."""
-    w = Window.partitionBy("station").orderBy("ts")
+def _rolling_columns(parts: list[str]) -> dict[str, Column]:
+    w = Window.partitionBy(*parts).orderBy("ts")
     columns: dict[str, Column] = {}
     for days, n in ((3, 24), (7, 56)):
         frame = w.rowsBetween(1 - n, 0)
@@ -71,7 +87,19 @@ def rolling_weather(weather: DataFrame) -> DataFrame:
         columns[f"rain_rolling_{days}d"] = F.sum("precipitation_sum").over(frame)
     for name, n in (("temp_delta_1d", 8), ("temp_delta_3d", 24)):
         columns[name] = F.coalesce(F.col("temperature_mean") - F.lag("temperature_mean", n).over(w), F.lit(0.0))
-    return weather.withColumns(columns)
+    return columns
+
+
+def rolling_weather(weather: DataFrame) -> DataFrame:
+    """Rolling means and sums over 24 and 56 rows, the current one included, and changes over 8 and 24 rows."""
+    return weather.withColumns(_rolling_columns(["station"]))
+
+
+def sharded_weather(weather: DataFrame, shard_days: int) -> DataFrame:
+    """``intraday_features`` and ``rolling_weather`` by shards of so many days."""
+    parts = ["station", sharded.SHARD]
+    rows = sharded.with_halo(weather, ["station"], shard_days, 56)
+    return sharded.drop_halo(rows.withColumns(_intraday_columns(parts) | _rolling_columns(parts)))
 
 
 def interactions(weather: DataFrame) -> DataFrame:
@@ -80,16 +108,20 @@ def interactions(weather: DataFrame) -> DataFrame:
     return weather.withColumns({"temp_x_sunshine": F.col("temperature_mean") * F.col("sunshine_duration") / 3600, "dry_warm": dry_warm, "wind_x_dry_warm": F.col("wind_speed_max") * dry_warm, **wind})
 
 
-def weather_features(weather: DataFrame) -> DataFrame:
-    """All that depends on the station alone, once per (station, window): rolling, streak, degree days, interactions."""
-    df = rolling_weather(interactions(intraday_features(weather)))
-    df = streak(df, F.col("precipitation_sum") < 0.1, "dry_streak", ["station"])
+def weather_features(weather: DataFrame, shard_days: int | None = None) -> DataFrame:
+    """All that depends on the station alone, once per (station, window): rolling, streak, degree days, interactions.
+
+    Degree days are windows over the days of one year, whatever the shards.
+    """
+    df = interactions(weather)
+    df = sharded_weather(df, shard_days) if shard_days else rolling_weather(intraday_features(df))
+    df = streak(df, F.col("precipitation_sum") < 0.1, "dry_streak", ["station"], shard_days)
     daily = weather.groupBy("station", F.to_date("ts").alias("date")).agg(F.avg("temperature_mean").alias("temperature"))
     daily = degree_days(daily).select("station", "date", "gdd")
     return df.withColumn("date", F.to_date("ts")).join(daily, ["station", "date"], "left").drop("date")
 
 
-def threshold_features(df: DataFrame) -> DataFrame:
+def threshold_features(df: DataFrame, shard_days: int | None = None) -> DataFrame:
     """What depends on the species' thresholds, for rows of (station, species, ts) with weather features and parameters."""
     r3, r7, act = F.col("temp_rolling_3d"), F.col("temp_rolling_7d"), F.col("activation_temp")
     df = df.withColumns({
@@ -98,7 +130,7 @@ def threshold_features(df: DataFrame) -> DataFrame:
         "warm_after_cold": r3 - r7,
         "onset_anomaly": onset_anomaly(F.col("gdd"), F.col("gdd_threshold")),
     })
-    return streak(df, F.col("temperature_mean") > act, "consecutive_warm_hrs", KEYS)
+    return streak(df, F.col("temperature_mean") > act, "consecutive_warm_hrs", KEYS, shard_days)
 
 
 def complete(df: DataFrame, names: list[str]) -> DataFrame:
@@ -106,4 +138,4 @@ def complete(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({n: col_or_zero(df, n) for n in names})
 
 
-__all__ = ["DERIVED", "complete", "degree_days", "drop_warm_up", "interactions", "intraday_features", "lag_features", "rolling_weather", "streak", "threshold_features", "weather_features"]
+__all__ = ["DERIVED", "complete", "degree_days", "drop_warm_up", "interactions", "intraday_features", "lag_features", "rolling_weather", "sharded_weather", "streak", "threshold_features", "weather_features"]

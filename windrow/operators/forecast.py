@@ -19,6 +19,46 @@ def recent_logs(df: DataFrame, n: int = 56) -> DataFrame:
     return logs.select(*KEYS, F.concat(F.array_repeat(F.lit(0.0), F.lit(n) - F.size("logs")), "logs").alias("logs"))
 
 
+def recent_state(df: DataFrame, n: int = 56) -> DataFrame:
+    """(station, species, logs, run, today, day, last): what a recursion goes on from after a series' rows.
+
+    ``logs`` as of ``recent_logs``; ``run``: the rows since the last one of a positive value, however far back; ``today``:
+    the logs of the last row's ``day``, oldest first; ``last``: the last row's time.
+    """
+    ends = df.groupBy(*KEYS).agg(F.max("ts").alias("last"), F.max(F.when(F.col("value") > 0, F.col("ts"))).alias("active"))
+    rows = df.select(*KEYS, "ts", "value").join(ends, KEYS)
+    entry = F.when(F.to_date("ts") == F.to_date("last"), F.struct("ts", F.log1p("value").alias("v")))
+    sums = rows.groupBy(*KEYS).agg(F.count_if(F.col("active").isNull() | (F.col("ts") > F.col("active"))).alias("run"), F.transform(F.sort_array(F.collect_list(entry)), lambda s: s["v"]).alias("today"), F.to_date(F.max("last")).alias("day"), F.max("last").alias("last"))
+    return recent_logs(df, n).join(sums, KEYS)
+
+
+def bridge_gaps(state: DataFrame, begins: DataFrame, on_gap: str = "decay", hours: int = 3, decay: float = 0.8, n: int = 56) -> DataFrame:
+    """``state`` (of ``recent_state``) brought up to each series' first window in ``begins``: (station, species, first).
+
+    A recursion counts windows, so a state must end right before the first one.  "decay" puts a window in for each that is
+    missing, with ``decay`` of the value before, as a series without a model goes on; "error" fails on the first such
+    series.  Series that aren't in ``begins`` are left out.
+    """
+    if on_gap not in ("decay", "error"):
+        raise ValueError(f"on_gap is {on_gap!r}")
+    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    df = state.join(begins.select(*KEYS, "first"), KEYS)
+    df = df.withColumn("_g", F.greatest(F.lit(0), F.floor((seconds("first") - seconds("last")) / (3600 * hours)).cast("int") - 1))
+    if on_gap == "error":
+        name = F.concat_ws(" ", F.lit("windows are missing before the first one of"), "station", "species")
+        return df.withColumn("_g", F.when(F.col("_g") > 0, F.raise_error(name).cast("int")).otherwise(F.col("_g"))).where("_g = 0").drop("_g", "first")
+    start = F.greatest(F.lit(1), F.col("_g") - (n + 24 // hours))  # earlier ones are beyond the state
+    k = F.when(F.col("_g") > 0, F.sequence(start, F.col("_g"))).otherwise(F.array().cast("array<int>"))
+    value = lambda i: F.log1p(F.expm1("_end") * F.pow(F.lit(decay), i))
+    at = lambda i: F.to_date(F.col("last") + F.make_dt_interval(F.lit(0), i * hours))
+    df = df.withColumn("_k", k).withColumn("_end", F.element_at("logs", -1))
+    of_day = F.transform(F.filter("_k", lambda i: at(i) == F.to_date("first")), value)
+    today = F.when(F.col("day") == F.to_date("first"), F.concat("today", of_day)).otherwise(of_day)
+    run = F.when(F.col("_end") > 0, F.col("run")).otherwise(F.col("run") + F.col("_g"))
+    last = F.col("first") - F.make_dt_interval(F.lit(0), F.lit(hours))
+    return df.select(*KEYS, F.slice(F.concat("logs", F.transform("_k", value)), -n, n).alias("logs"), run.alias("run"), F.when(F.col("_g") > 0, today).otherwise(F.col("today")).alias("today"), F.when(F.col("_g") > 0, F.to_date("first")).otherwise(F.col("day")).alias("day"), F.when(F.col("_g") > 0, last).otherwise(F.col("last")).alias("last"))
+
+
 def day_index(windows: DataFrame) -> DataFrame:
     return windows.withColumn("day_index", F.dense_rank().over(Window.partitionBy("station").orderBy(F.to_date("ts"))) - 1)
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.functions.scalar import blend, calendar, confidence, days_since_onset, level, season_active, season_gate, typical_onset
-from windrow.operators import align, evaluate, models
+from windrow.operators import align, evaluate, models, recursion
 from windrow.operators import features as ft
 from windrow.operators.evaluate import with_errors
-from windrow.operators.forecast import KEYS, day_index, recent_logs
+from windrow.operators.forecast import KEYS, bridge_gaps, day_index, recent_state
 from windrow.operators.weather import horizon, one_per_window
 from windrow.params import FEATURES, INTRADAY, LAG_FEATURES, LAGS, PHENOLOGY, VEGETATION, WEATHER, with_params
 
@@ -33,14 +33,15 @@ def backfill(values: DataFrame, archive: DataFrame, species: list[str], recent:
     return collect(values, archive, species, recent, **more, external=None)
 
 
-def feature_frame(history: DataFrame, weather: DataFrame, params: DataFrame, onset: DataFrame | None = None, lags: bool = True) -> DataFrame:
+def feature_frame(history: DataFrame, weather: DataFrame, params: DataFrame, onset: DataFrame | None = None, lags: bool = True, shard_days: int | None = None) -> DataFrame:
     """All features for all series in one plan: weather once per (station, window), thresholds after the species join, then lags.
 
-    ``history``: (station, species, ts, value) and any of the vegetation and external columns; ``onset``: (species, mean).
+    ``history``: (station, species, ts, value) and any of the vegetation and external columns; ``onset``: (species, mean);
+    ``shard_days``: windows are made in shards of so many days, for series too long for one task.
     """
-    ready = ft.weather_features(ft.complete(weather, WEATHER))
+    ready = ft.weather_features(ft.complete(weather, WEATHER), shard_days)
     df = history.drop(*[c for c in ready.columns if c not in ("station", "ts")]).join(ready, ["station", "ts"])
-    df = ft.threshold_features(with_params(df, params)).withColumns(calendar(F.col("ts")))
+    df = ft.threshold_features(with_params(df, params), shard_days).withColumns(calendar(F.col("ts")))
     if onset is None:
         df = df.withColumn("mean", F.lit(None).cast("double"))
     else:
@@ -49,49 +50,60 @@ def feature_frame(history: DataFrame, weather: DataFrame, params: DataFrame, ons
     df = df.withColumn("days_since_typical_onset", days_since_onset(F.col("day_of_year").cast("double"), usual)).drop("mean")
     df = df.withColumn("season_active", season_active(F.col("month"), F.col("season_start"), F.col("season_end")).cast("double"))
     df = ft.complete(df, [*VEGETATION, *PHENOLOGY, *INTRADAY, "cams_pollen"])
-    return ft.lag_features(df) if lags else df
+    return ft.lag_features(df, shard_days) if lags else df
 
 
-def training_frame(history: DataFrame, weather: DataFrame, params: DataFrame, onset: DataFrame | None = None) -> DataFrame:
+def training_frame(history: DataFrame, weather: DataFrame, params: DataFrame, onset: DataFrame | None = None, shard_days: int | None = None) -> DataFrame:
     """Rows after the warm-up of 56 windows, without nulls."""
-    return ft.drop_warm_up(feature_frame(history, weather, params, onset)).fillna(0.0)
+    return ft.drop_warm_up(feature_frame(history, weather, params, onset, shard_days=shard_days)).fillna(0.0)
 
 
-def serving_frame(weather: DataFrame, ahead: DataFrame, species: list[str], params: DataFrame, onset: DataFrame | None = None, vegetation: DataFrame | None = None, days: int = 5) -> DataFrame:
+def serving_frame(weather: DataFrame, ahead: DataFrame, species: list[str], params: DataFrame, onset: DataFrame | None = None, vegetation: DataFrame | None = None, days: int = 5, external: DataFrame | None = None, past: DataFrame | None = None) -> DataFrame:
     """Features without lags of the ``days`` from each station's first window in ``ahead``, for every species.
 
     Weather features see the stored windows and the forecast ones, of which the forecast wins: the same functions as for
-    training on one table.
+    training on one table.  ``vegetation``: (station, date, ndvi, evi, ndvi_delta); ``external``: (station, species, ts,
+    cams_pollen); ``past``: the fact table's rows before, on which the runs of warm windows of a species go on.
     """
     both = align.prefer(ahead, weather, ["station", "ts"])
     grid = horizon(ahead, days).select("station", "ts").distinct().withColumn("species", F.explode(F.array(*map(F.lit, species))))
     if vegetation is not None:
         grid = align.attach_daily(grid, vegetation, VEGETATION)
-    return feature_frame(grid, both, params, onset, lags=False)
+    if external is not None:
+        grid = align.attach(grid, external, align.KEY, ["cams_pollen"])
+    grid = grid.withColumn("_ahead", F.lit(True))
+    if past is not None:
+        grid = grid.unionByName(past.select("station", "species", "ts").join(grid.select("station", "ts").distinct(), ["station", "ts"], "left_anti").withColumn("_ahead", F.lit(False)), allowMissingColumns=True)
+    return feature_frame(grid, both, params, onset, lags=False).where("_ahead").drop("_ahead")
 
 
-def train(history: DataFrame, params: DataFrame, stage, onset: DataFrame | None = None, features: list[str] = FEATURES, **how) -> models.Classes:
+def train(history: DataFrame, params: DataFrame, stage, onset: DataFrame | None = None, features: list[str] = FEATURES, shard_days: int | None = None, **how) -> models.Classes:
     """A model of each tuning class from the fact table.  ``stage`` writes a DataFrame to shared storage and reads it back."""
-    frame = stage(training_frame(history, one_per_window(history, WEATHER), params, onset))
+    frame = stage(training_frame(history, one_per_window(history, WEATHER), params, onset, shard_days))
     return models.fit_classes(frame, features, **how)
 
 
-def run(table: str, staging: str, new: DataFrame, ahead: DataFrame, params: DataFrame, stage, model: models.Classes | None = None, onset: DataFrame | None = None, expert: DataFrame | None = None, days: int = 5, features: list[str] = FEATURES, **how) -> DataFrame:
+def run(table: str, staging: str, new: DataFrame, ahead: DataFrame, params: DataFrame, stage, model: models.Classes | None = None, onset: DataFrame | None = None, expert: DataFrame | None = None, days: int = 5, features: list[str] = FEATURES, vegetation: DataFrame | None = None, external: DataFrame | None = None, on_gap: str = "decay", **how) -> DataFrame:
     """Upsert ``new`` (from ``collect``, with ingest_ts) into the fact table at ``table``, and forecast the windows ``ahead``.
 
     Without a model one is trained on the table first.  Windows of ``ahead`` that the table already has are observed; the
-    state is of the windows before them.
+    state is of the windows before them.  ``vegetation`` and ``external`` are what ``collect`` takes, for the days ahead.
+    Windows that are missing between a series' last row and its first one ahead are bridged (``on_gap``: "decay", or
+    "error", see operators.forecast.bridge_gaps).
     """
     align.upsert_table(table, new, staging)
     stored = new.sparkSession.read.parquet(table).drop("month_start")
     model = train(stored, params, stage, onset, features, **how) if model is None else model
     species = [r.species for r in params.select("species").distinct().orderBy("species").collect()]  # a dimension
-    serving = stage(serving_frame(one_per_window(stored, WEATHER), ahead, species, params, onset, days=days))
-    first = serving.groupBy("station").agg(F.min("ts").alias("first"))
-    past = stored.join(F.broadcast(first), "station").where(F.col("ts") < F.col("first")).drop("first")
-    series = serving.select(*KEYS).distinct().join(recent_logs(past), KEYS, "left").withColumn("logs", F.coalesce("logs", F.array_repeat(F.lit(0.0), 56)))
-    observed = stored.where("is_measured").join(F.broadcast(first), "station").where(F.col("ts") >= F.col("first")).select(*KEYS, "ts", F.col("value").alias("observed"))
-    return recursive_forecast(model, serving, series, stage, observed, expert)
+    first = ahead.groupBy("station").agg(F.min("ts").alias("first"))
+    past = stored.join(first, "station").where(F.col("ts") < F.col("first"))
+    serving = stage(serving_frame(one_per_window(stored, WEATHER), ahead, species, params, onset, vegetation, days, external, past))
+    empty = F.array().cast("array<double>")
+    begins = serving.groupBy(*KEYS).agg(F.min("ts").alias("first"))
+    series = begins.select(*KEYS).join(bridge_gaps(recent_state(past.drop("first")), begins, on_gap), KEYS, "left")
+    series = series.withColumn("logs", F.coalesce("logs", F.array_repeat(F.lit(0.0), 56))).withColumn("today", F.coalesce("today", empty))
+    observed = stored.where("is_measured").join(first, "station").where(F.col("ts") >= F.col("first")).select(*KEYS, "ts", F.col("value").alias("observed"))
+    return recursive_forecast(model, serving, series, observed, expert)
 
 
 def benchmark(history: DataFrame, params: DataFrame, stage, onset: DataFrame | None = None, expert: DataFrame | None = None, n_folds: int | None = None, features: list[str] = FEATURES, **how) -> dict[str, DataFrame]:
@@ -133,52 +145,33 @@ def backtest(frame: DataFrame, folds: DataFrame, features: list[str], **tuning)
 
 
 def state_features(df: DataFrame) -> DataFrame:
-    """Lag features from a state column ``logs`` (oldest first, 56 long) and ``today`` (today's earlier logs)."""
+    """Lag features from a state's columns (operators.forecast.recent_state): logs, run, today, day."""
     at = lambda k: F.element_at("logs", -k)
     tail = lambda n: F.slice("logs", -n, n)
     mean = lambda a, n: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
-    zeros = F.aggregate(F.reverse("logs"), F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda s, x: F.struct(F.when(s["go"] & (x <= 0), s["n"] + 1).otherwise(s["n"]).alias("n"), (s["go"] & (x <= 0)).alias("go")))["n"]
     columns = {f"lag_{k}": at(k) for k in LAGS}
-    columns |= {"rolling_8": mean(tail(8), 8), "rolling_56": mean(F.col("logs"), 56), "max_8": F.array_max(tail(8)), "max_56": F.array_max("logs"), "windows_since_active": zeros.cast("double")}
-    columns["morning_avg"] = F.when(F.size("today") > 0, mean(F.col("today"), F.size("today"))).otherwise(0.0)
+    columns |= {"rolling_8": mean(tail(8), 8), "rolling_56": mean(F.col("logs"), 56), "max_8": F.array_max(tail(8)), "max_56": F.array_max("logs"), "windows_since_active": F.coalesce(F.col("run").cast("double"), F.lit(999.0))}
+    columns["morning_avg"] = F.when((F.col("day") == F.to_date("ts")) & (F.size("today") > 0), mean(F.col("today"), F.size("today"))).otherwise(0.0)
     return df.withColumns(columns)
 
 
-def recursive_forecast(model: models.Staged | models.Classes, serving: DataFrame, state: DataFrame, stage, observed: DataFrame | None = None, expert: DataFrame | None = None) -> DataFrame:
-    """(station, species, ts, level, value, confidence, is_observed) for every window of ``serving``, one job a window for all series.
+def recursive_forecast(model: models.Staged | models.Classes, serving: DataFrame, state: DataFrame, observed: DataFrame | None = None, expert: DataFrame | None = None) -> DataFrame:
+    """(station, species, ts, level, value, confidence, is_observed) for every window of ``serving``, in one job.
 
-    ``serving``: features of the future windows without lags, species parameters included.  ``state``: (station, species,
-    logs) of 56 values before the first window.  ``stage``: writes a DataFrame to shared storage and reads it back, which
-    cuts the lineage after each step.  In a step the order is observe or predict, blend, gate, append; the state gets the
-    gated value before blending.  A species without a model goes on from its last value, less a fifth each step.
-    Series without a state are left out.
+    ``serving``: features of the future windows without lags, species parameters included.  ``state``: of
+    operators.forecast.recent_state, from the rows before the first window.  In a step the order is observe or predict,
+    blend, gate, append; the state gets the gated value before blending.  A species without a model goes on from its last
+    value, less a fifth each step.  Series without a state are left out.
     """
-    state = stage(state.select(*KEYS, "logs", F.array().cast("array<double>").alias("today"), F.lit(None).cast("date").alias("day")))
-    serving = stage(day_index(serving))
-    out = None
-    for row in serving.select("ts").distinct().orderBy("ts").collect():  # the windows of one horizon
-        here = serving.where(F.col("ts") == F.lit(row.ts))
-        absent = state.join(here.select(*KEYS).distinct(), KEYS, "left_anti")  # series without this window keep their state
-        now = here.join(state, KEYS)
-        now = now.withColumn("today", F.when(F.col("day") == F.to_date("ts"), F.col("today")).otherwise(F.array().cast("array<double>")))
-        got = models.predict(model, state_features(now), [*KEYS, "ts"])
-        got = got.join(observed.select(*KEYS, "ts", "observed"), [*KEYS, "ts"], "left") if observed is not None else got.withColumn("observed", F.lit(None).cast("double"))
-        got = got.withColumn("date", F.to_date("ts"))
-        got = got.join(expert.select("species", "date", F.col("level").alias("expert")), ["species", "date"], "left") if expert is not None else got.withColumn("expert", F.lit(None).cast("double"))
-        low, moderate, high = F.col("low_max"), F.col("moderate_max"), F.col("high_max")
-        gate = season_gate(F.col("month"), F.col("season_start"), F.col("season_end"))
-        got = got.withColumn("has_model", F.col("predicted").isNotNull()).withColumn("predicted", F.coalesce("predicted", 0.8 * F.expm1(F.element_at("logs", -1))))
-        raw = F.coalesce("observed", "predicted")
-        blended = F.when(F.col("observed").isNull(), blend(F.col("predicted"), F.col("expert"), low, moderate, high)).otherwise(F.col("observed"))
-        got = got.withColumn("kept", F.when(gate, raw).otherwise(0.0)).withColumn("final", F.when(gate, blended).otherwise(0.0))
-        got = got.withColumn("new", F.log1p("kept")).withColumn("is_observed", F.col("observed").isNotNull())
-        got = got.select(*KEYS, "ts", "day_index", "low_max", "moderate_max", "high_max", "final", "new", "is_observed", "has_model", "logs", "today", F.col("date").alias("day"))
-        got = stage(got.unionByName(absent, allowMissingColumns=True))
-        new = F.when(F.col("ts").isNull(), F.array().cast("array<double>")).otherwise(F.array("new"))
-        state = got.select(*KEYS, F.slice(F.concat("logs", new), -56, 56).alias("logs"), F.concat("today", new).alias("today"), "day")
-        part = got.where("ts is not null").select(*KEYS, "ts", level(F.col("final"), low, moderate, high).alias("level"), F.col("final").alias("value"), confidence(F.col("day_index"), F.col("has_model"), F.col("is_observed")).alias("confidence"), "is_observed")
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = day_index(serving)
+    rows = rows.join(observed.select(*KEYS, "ts", "observed"), [*KEYS, "ts"], "left") if observed is not None else rows.withColumn("observed", F.lit(None).cast("double"))
+    rows = rows.withColumn("open", season_gate(F.col("month"), F.col("season_start"), F.col("season_end")))
+    got = recursion.forecast(model, rows, state).withColumn("date", F.to_date("ts"))
+    got = got.join(expert.select("species", "date", F.col("level").alias("expert")), ["species", "date"], "left") if expert is not None else got.withColumn("expert", F.lit(None).cast("double"))
+    low, moderate, high = F.col("low_max"), F.col("moderate_max"), F.col("high_max")
+    blended = F.coalesce("observed", blend(F.col("predicted"), F.col("expert"), low, moderate, high))
+    final, seen = F.when(F.col("open"), blended).otherwise(0.0), F.col("observed").isNotNull()
+    return got.select(*KEYS, "ts", level(final, low, moderate, high).alias("level"), final.alias("value"), confidence(F.col("day_index"), F.col("has_model"), seen).alias("confidence"), seen.alias("is_observed"))
 
 
 __all__ = ["LAG_FEATURES", "backfill", "backtest", "benchmark", "collect", "feature_frame", "recursive_forecast", "run", "serving_frame", "state_features", "train", "training_frame"]

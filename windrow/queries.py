@@ -689,8 +689,8 @@ def _frame(spark, d) -> DataFrame:
 MODEL_FEATURES = ["lag_1", "lag_2", "lag_8", "lag_56", "rolling_8", "max_8", "windows_since_active", "hour_of_day", "temperature_mean", "humidity_mean", "gdd", "dry_streak", "season_active"]
 
 
-def _training_sql() -> str:
-    """The training frame's every feature, from the windows table on, in SQL of its own."""
+def _training_sql(where: str = "rn > 56", **late: str) -> str:
+    """The training frame's every feature, from the windows table on, in SQL of its own; ``late``: vegetation and external columns, else 0."""
     x, day = "(PARTITION BY station ORDER BY ts ROWS BETWEEN {} PRECEDING AND CURRENT ROW)", "(PARTITION BY station, ts::DATE)"
     weather_sql = {
         "temp_vs_daily_max": f"CASE WHEN max(tmean) OVER {day} > 0 THEN tmean / max(tmean) OVER {day} ELSE 0 END", "precip_in_prior_window": "coalesce((lag(rain) OVER o > 0.1)::INT, 0)", "temp_rate_of_change": "coalesce(tmean - lag(tmean) OVER o, 0)",
@@ -716,7 +716,7 @@ def _training_sql() -> str:
         f"j2 AS ({islands('station, species', 'tmean > activation_temp', 'consecutive_warm_hrs', 'j')})", f"n AS (SELECT *, ln(1 + value) AS l, row_number() OVER {row}) AS rn FROM j2)", f"z AS (SELECT *, {also(lags)}, {also(calendar)}, {also(species_sql)} FROM n)",
     ]
     names = [*dict(plain), *weather_sql, "dry_streak", "gdd", "consecutive_warm_hrs", *lags, *calendar, *species_sql]
-    return f"WITH {', '.join(steps)} SELECT station, species, ts, value, " + ", ".join(f"round(coalesce({c}, 0) + 0.0000013, 5)::DOUBLE AS {c}" for c in names) + ", " + ", ".join(f"0.0::DOUBLE AS {c}" for c in ("ndvi", "evi", "ndvi_delta", "cams_pollen")) + " FROM z WHERE rn > 56"
+    return f"WITH {', '.join(steps)} SELECT station, species, ts, value, " + ", ".join(f"round(coalesce({c}, 0) + 0.0000013, 5)::DOUBLE AS {c}" for c in names) + ", " + ", ".join(f"{late.get(c, '0.0')}::DOUBLE AS {c}" for c in ("ndvi", "evi", "ndvi_delta", "cams_pollen")) + f" FROM z WHERE {where}"
 
 
 @query("i3_training_frame", _training_sql())
@@ -728,6 +728,60 @@ def _(spark, d):
     return frame.select("station", "species", "ts", "value", *[F.round(F.col(c).cast("double") + 0.0000013, 5).alias(c) for c in names])  # off the ties of rounding
 
 
+_CUT = "2024-01-25 12:00:00"
+_EVEN = "CASE WHEN day(ts) % 2 = 0 THEN {} ELSE 0 END"
+_LATE = {"ndvi": _EVEN.format("day(ts) / 64.0"), "evi": _EVEN.format("day(ts) / 128.0"), "ndvi_delta": _EVEN.format("0.25"), "cams_pollen": "CASE WHEN hour(ts) < 18 THEN hour(ts) + length(species) ELSE 0 END"}
+
+
+def _served(spark, d) -> DataFrame:
+    """The serving frame's first step, each series with the state of the rows before it, vegetation and external forecast put in."""
+    s, w = series(spark, d), weather3(spark, d)
+    cut = F.lit(_CUT).cast("timestamp_ntz")
+    ahead, past = w.where(F.col("ts") >= cut), s.where(F.col("ts") < cut)
+    days = w.select("station", F.to_date("ts").alias("date")).distinct().where(F.dayofmonth("date") % 2 == 0)
+    late = days.select("station", "date", (F.dayofmonth("date") / 64).alias("ndvi"), (F.dayofmonth("date") / 128).alias("evi"), F.lit(0.25).alias("ndvi_delta"))
+    species = ["click", "view", "purchase", "error", "signup"]
+    each = ahead.select("station", "ts").withColumn("species", F.explode(F.array(*map(F.lit, species)))).where(F.hour("ts") < 18)
+    external = each.select("station", "species", "ts", (F.hour("ts") + F.length("species")).cast("double").alias("cams_pollen"))
+    onset = spark.createDataFrame([("view", 11.5)], "species string, mean double")
+    frame = pipelines.serving_frame(w.where(F.col("ts") < cut), ahead, species, params(spark, d), onset, late, external=external, past=past)
+    first = ahead.groupBy("station").agg(F.min("ts").alias("ts"))
+    return pipelines.state_features(frame.join(first, ["station", "ts"]).join(forecast.recent_state(past), ["station", "species"]))
+
+
+@query("i4_serving_as_training", _training_sql(f"rn > 56 AND (station, ts) IN (SELECT (station, min(ts)) FROM w WHERE ts >= TIMESTAMP '{_CUT}' GROUP BY station)", **_LATE))
+def _(spark, d):
+    """Every feature as it is served, for the rows that the table turned out to have, against the SQL of the training frame."""
+    got = _served(spark, d).join(series(spark, d), ["station", "species", "ts"])
+    names = [f for f in FEATURES if f not in ("wind_direction", "ndvi", "evi", "ndvi_delta", "cams_pollen")]
+    return got.select("station", "species", "ts", "value", *[F.round(F.col(c).cast("double") + 0.0000013, 5).alias(c) for c in names], "ndvi", "evi", "ndvi_delta", "cams_pollen")
+
+
+@query("e1_sharded_lags", SQL["e1_lags"])
+def _(spark, d):
+    """As e1_lags, by shards of two days, which are shorter than a halo."""
+    return features.lag_features(series(spark, d), shard_days=2).select("station", "species", "ts", *r6(*[f"lag_{k}" for k in (1, 2, 3, 8, 16, 24, 56)]))
+
+
+@query("e5_sharded_since_active", SQL["e5_since_active"])
+def _(spark, d):
+    return features.lag_features(series(spark, d), shard_days=1).select("station", "species", "ts", "windows_since_active")
+
+
+@query("e13_sharded_streak", SQL["e13_warm_streak"])
+def _(spark, d):
+    return features.streak(with_month(spark, d), F.col("value") > F.col("activation_temp") * 4, "streak", ["station", "species"], 1).select("station", "species", "ts", "streak")
+
+
+@query("i3_sharded_training_frame", SQL["i3_training_frame"])
+def _(spark, d):
+    """The whole training frame by shards of five days."""
+    onset = spark.createDataFrame([("view", 11.5)], "species string, mean double")
+    frame = pipelines.training_frame(series(spark, d), weather3(spark, d), params(spark, d), onset, shard_days=5)
+    names = [f for f in FEATURES if f != "wind_direction"]
+    return frame.select("station", "species", "ts", "value", *[F.round(F.col(c).cast("double") + 0.0000013, 5).alias(c) for c in names])
+
+
 @query("j1_j3_staged_model")
 def _(spark, d):
     frame = written(_frame(spark, d), "frame")
@@ -752,7 +806,7 @@ def _(spark, d):
     frame = written(pipelines.training_frame(s, w, p), "frame")
     model = models.fit(frame.where(F.col("ts") < cut), MODEL_FEATURES)
     ahead = weather.horizon(pipelines.feature_frame(s, w, p, lags=False).where(F.col("ts") >= cut), 5)
-    return pipelines.recursive_forecast(model, ahead, forecast.recent_logs(s.where(F.col("ts") < cut)), written)
+    return pipelines.recursive_forecast(model, ahead, forecast.recent_state(s.where(F.col("ts") < cut)))
 
 
 @query("j13_i1_i4_run_train")
