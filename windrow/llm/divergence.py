@@ -17,6 +17,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -69,6 +70,11 @@ def tokenised(docs: DataFrame, size: int = 1 << 22) -> DataFrame:
     return docs.mapInArrow(run, "lang string, source string, terms array<string>")
 
 
+def _folder(lang: str) -> str:
+    """A name of one length, as those of folders know neither case nor emptiness nor any length."""
+    return hashlib.sha1(lang.encode()).hexdigest()
+
+
 def _vocabulary_sizes(tokens: DataFrame, min_df: int, one_in: int = 256) -> dict[str, tuple[int, int]]:
     """lang -> (documents, about how many terms it keeps, rather too many), for languages of ``min_df`` documents or more; a row a language."""
     rows = tokens.groupBy("lang").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_df)
@@ -93,7 +99,7 @@ def _in_blocks(tokens: DataFrame, blocks: int) -> DataFrame:
 
 
 def document_vectors(tokens: DataFrame, min_df: int, most_terms: int = 1_000_000) -> tuple[DataFrame | None, DataFrame | None]:
-    """(vectors, vocabulary) of a written table (lang, source, terms): (lang, block, source, features) and (lang, block, index, term).
+    """(vectors, vocabulary) of a written table (lang, source, terms, folder), which has a folder a language: (lang, block, source, features) and (lang, block, index, term).
 
     A language's terms in ``min_df`` or more of its documents are kept, all of them.  A vocabulary of over ``most_terms``
     has several blocks.  None and None where no language has ``min_df`` documents.
@@ -101,7 +107,7 @@ def document_vectors(tokens: DataFrame, min_df: int, most_terms: int = 1_000_000
     spark = tokens.sparkSession
     paths, vocabularies = [], []
     for lang, (_, size) in sorted(_vocabulary_sizes(tokens, min_df).items()):
-        own = tokens.where(F.col("lang") == lang)
+        own = tokens.where((F.col("folder") == _folder(lang)) & (F.col("lang") == lang))
         blocks = max(1, -(-size // most_terms))
         if blocks > 1:
             own = written(_in_blocks(own, blocks), "blocks")
@@ -198,9 +204,8 @@ def divergence(docs: DataFrame, min_df: int = 10, first: int = 10, most_terms: i
     spark = docs.sparkSession
     plain = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
     path = scratch(spark, "terms")
-    # folders by language, so that each fit reads its own; hex digits, as names of folders know neither case nor emptiness
     rows = docs.select(*plain, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    tokenised(rows).withColumn("folder", F.concat(F.lit("x"), F.hex("lang"))).write.partitionBy("folder").parquet(path)
+    tokenised(rows).withColumn("folder", F.sha1("lang")).write.partitionBy("folder").parquet(path)
     everything = spark.read.schema("lang string, source string, terms array<string>, folder string").parquet(path)
     groups = everything.groupBy("lang", "source").agg(F.count("*").alias("docs"))
     numbered = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
