@@ -215,12 +215,79 @@ def test_path_scores_match_a_plain_loop():
         weight = {k: np.exp(-k * k / 2) for k in range(-2, 3)}
         smooth = lambda v, i: sum(w * v[found[min(max(i + k, 0), len(found) - 1)].path] for k, w in weight.items()) / sum(weight.values())
         fused = [smooth(length, i) * (1 + smooth(marks, i)) for i in range(len(found))]
-        want = [min(np.mean([f for f, b in zip(fused, found) if b.path == p]), 4 * length[p] * (1 + marks[p])) * (4 if any(b.article for b in of[p]) else 1) for p in paths]
+        want = [min(np.mean([f for f, b in zip(fused, found) if b.path == p]), 4 * length[p] * (1 + marks[p])) * (4 if any(b.article for b in of[p]) else 1) * (0.03 if any(b.marked for b in of[p]) else 1) for p in paths]
         path, score = htmltext.path_scores(found)
         assert [paths[i] for i in path] == [b.path for b in found] and score == pytest.approx(want)
         assert htmltext.content_blocks(found).tolist() == [want[i] >= 0.2 * max(want) and want[i] > 0 for i in path]
 
 
+P1 = "Long enough a paragraph, with commas, and a full stop. It goes on for a while, as articles do."
+
+
+@pytest.mark.parametrize("inner", [
+    f"<section class='side-effects'><p>{P1}</p></section>", f"<div class='menu-of-the-day'><p>{P1}</p></div>", f"<p class='notice-board'>{P1}</p>", "<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> is, as said, true.</p>",
+])
+def test_names_and_formulas_within_the_article_stay(inner):
+    want = " ".join(htmltext.re.sub("<[^>]*>", " " if "section" in inner else "", inner).split())
+    assert htmltext.main_text(f"<body><nav><a href=1>Home</a></nav><article><h1>Head</h1><p>{P1}</p>{inner}<p>{P1}</p></article></body>") == f"Head {P1} {want} {P1}"
+
+
+def test_other_shapes_of_articles():
+    items = "".join(f"<li>Point {i}, which says a good deal, as points go.</li>" for i in range(6))
+    got = htmltext.main_text(f"<body><div id=menu><ul><li><a href=1>Home</a></li></ul></div><div><h1>Head over it</h1><ul>{items}</ul></div></body>")
+    assert got.startswith("Head over it Point 0,") and got.endswith("as points go.")
+    assert htmltext.main_text(f"<main><div><p>{P1}</p></div><div><p>{P1}</p></div><p>End.</p></main>") == f"{P1} {P1} End."
+    assert htmltext.main_text("<body><nav><a href=1>Home</a></nav><article><p><a href=2>All of it is a link, and no more.</a></p></article>") == "All of it is a link, and no more."
+    assert htmltext.main_text(f"<article><header><h1>Title</h1><p>By someone</p></header><p>{P1}</p></article>") == f"Title {P1}"
+    assert htmltext.main_text(f"<body><div class='notice'><p>{P1}</p><p>{P1}</p></div></body>") == f"{P1} {P1}"  # all that there is
+
+
+def test_unclosed_elements():
+    menu = "<ul><li><a href=1>Home</a><li><a href=2>About</a></ul>"
+    for tag in ("nav", "header", "aside", "form"):
+        assert htmltext.main_text(f"<body><{tag}>{menu}<article><h1>Head</h1><p>{P1}</p></article></body>") == f"Head {P1}"
+        assert htmltext.main_text(f"<body><{tag}>{menu}<div><h1>Head</h1><p>{P1}</p></div></body>") == f"Head {P1}"
+    assert htmltext.main_text(f"<body><article><h1>Head</h1><p>{P1}</p></article><footer>Imprint") == f"Head {P1}"
+    assert htmltext.main_text(f"<body><div><div><p>{P1}</p><p>{P1}</p></div><svg><p>{P1}</p>") == f"{P1} {P1} {P1}"
+
+
+@pytest.mark.parametrize("shape", [lambda n: "<div>Word {}, and more." * n, lambda n: "<div>" * n + f"<p>{P1}</p>" * 3 + "</div>" * n, lambda n: "<section>" * n + f"<p>{P1}</p>", lambda n: "<ul><li>Word, and more." * n, lambda n: f"<p>{P1}" * n + "</b>" * n])
+def test_deep_and_unclosed_pages_take_time_by_their_length(shape):
+    import time
+
+    text = shape(16_000)
+    began = time.perf_counter()
+    got = htmltext.main_text(text)
+    assert time.perf_counter() - began < 5 and len(got) >= 0.9 * len("".join(b.text for b in htmltext.blocks(text)))
+
+
+def test_the_container_matches_a_search_over_all_elements():
+    """Against sums over every element's whole subtree."""
+    r = random.Random(11)
+    for k in range(40):
+        whole = htmltext.parsed(page(r, k % 2 == 0)[0])
+        found = [b for b in whole.blocks if not b.outside]
+        content = htmltext.content_blocks(found)
+
+        def above(e):
+            return [e] + (above(whole.parent[e]) if e else [])
+
+        def mass(e):
+            return sum(len(b.text) - b.links for b, c in zip(found, content) if c and e in above(b.element))
+
+        here = 0
+        while True:
+            inner = [e for e in range(1, len(whole.parent)) if whole.parent[e] == here and any(e in above(b.element) for b in found)]
+            best = max(inner, key=mass, default=0)
+            held = [b for b in found if best in above(b.element)]
+            if not best or mass(best) < 0.7 * mass(here) or whole.name[best] in htmltext._NO_CONTAINER or len(held) == 1 and held[0].element == best:
+                break
+            here = best
+            if whole.name[here] in ("article", "main"):
+                break
+        assert htmltext._container(whole, found, content) == here
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<!--", "</p></p>", "<p>", "&am", "<a href='", "<script>x", "text only" * 1000])
 def test_html_edges(page):
     assert isinstance(htmltext.main_text(page), str)
