@@ -6,18 +6,18 @@ then calibrated by one temperature, fitted on a held-back part of the sample.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm.common import column_rows, remainder
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _BLOCK = 1 << 18
 
 
@@ -130,16 +130,20 @@ def document_frequencies(docs: DataFrame, features: Features) -> tuple[np.ndarra
     return df, rows
 
 
-def train(docs: DataFrame, sample: int = 6000, max_chars: int = 20_000, features: Features = Features()) -> LanguageModel:
+def train(docs: DataFrame, sample: int = 6000, max_chars: int = 8_000, most_classes: int = 500, features: Features = Features()) -> LanguageModel:
     """Learn from rows with a text and a lang: document frequencies from all of them, weights from a bounded sample.
 
     The sample is some ``sample`` rows, an equal share of each lang (all rows of a rarer one), by hashed ids among texts
-    of up to ``max_chars`` code points, without repeated texts; a fifth of it is held back to fit the temperature.
+    of up to ``max_chars`` code points, without repeated texts; a fifth of it is held back to fit the temperature.  The
+    model has a weight for each bucket and lang, so more than ``most_classes`` langs are an error; labels in disorder are
+    told so, not dropped.
     """
     known = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     df, rows = document_frequencies(known, features)
     small = known.where(F.length("text") <= max_chars)
-    counts = small.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()  # a row a language
+    counts = small.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_classes + 1).collect()  # a row a language
+    if len(counts) > most_classes:
+        raise ValueError(f"more than {most_classes} languages")
     each = sample / max(1, len(counts))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     part = (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) * F.create_map(*[F.lit(x) for r in counts for x in (r.lang, float(r["count"]))])[F.col("lang")] if counts else F.lit(0.0)
