@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from windrow.functions.scalar import calendar
-from windrow.shared import exists
+from windrow.shared import delete, exists, folders, rename
 
 KEY = ["station", "species", "ts"]
 
@@ -72,21 +73,84 @@ def upsert(stored: DataFrame, new: DataFrame) -> DataFrame:
     return keep_last(both, KEY, [F.col("ingest_ts"), F.col("value")])
 
 
-def upsert_table(path: str, new: DataFrame, staging: str) -> None:
-    """Upsert into a Parquet table partitioned by month_start: only the months of ``new`` are read, staged and rewritten."""
-    spark = new.sparkSession
-    new = new.withColumn("month_start", F.to_date(F.trunc(F.to_date("ts"), "month")))
-    months = [r[0] for r in new.select("month_start").distinct().collect()]  # calendar months
-    if not months:
-        return
-    rows = upsert(spark.read.parquet(path).where(F.col("month_start").isin(months)), new) if exists(spark, path) else keep_last(new, KEY, [F.col("ingest_ts"), F.col("value")])
-    staged = f"{staging}/{uuid.uuid4().hex}"
-    rows.repartition("month_start").sortWithinPartitions(*KEY).write.parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month_start").parquet(path)
+def _month(ts: Column) -> Column:
+    return F.to_date(F.trunc(F.to_date(ts), "month"))
+
+
+def months_of(spark: SparkSession, path: str) -> list[datetime.date]:
+    """The months that a table by month_start has, from its folders' names."""
+    names = [n.removeprefix("month_start=") for n in folders(spark, path) if n.startswith("month_start=")]
+    return [datetime.date.fromisoformat(n) for n in names if n != "__HIVE_DEFAULT_PARTITION__"]
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Settle a swap that was broken off: a month whose new version isn't there gets its old one back."""
+    for swap in folders(spark, f"{path}/_replaced"):
+        for month in folders(spark, f"{path}/_replaced/{swap}"):
+            if not exists(spark, f"{path}/{month}"):
+                rename(spark, f"{path}/_replaced/{swap}/{month}", f"{path}/{month}")
+    delete(spark, f"{path}/_replaced")
+
+
+def _swap(spark: SparkSession, path: str, staged: str, swap: str) -> None:
+    """Put the staged months in the place of the table's, one after the other; old versions go when all are in place."""
+    for month in folders(spark, staged):
+        if exists(spark, f"{path}/{month}"):
+            rename(spark, f"{path}/{month}", f"{path}/_replaced/{swap}/{month}")
+        rename(spark, f"{staged}/{month}", f"{path}/{month}")
+    delete(spark, f"{path}/_replaced/{swap}")
+
+
+def upsert_table(path: str, new: DataFrame, staging: str | None = None) -> None:
+    """Upsert into a Parquet table partitioned by month_start: only the months of ``new`` are read, staged and rewritten.
+
+    ``new`` is computed once, as it is staged by month.  Merged months are dealt out by ranges of the key from sampled
+    bounds, so that a month of many rows is written by several tasks to several files, each sorted by the key.  The table
+    isn't touched until all are staged; then whole folders are moved.  An upsert that failed can be run again: ``recover``
+    puts back what a broken swap had moved aside, and keyed rows come out the same.  ``staging`` must be on the table's file
+    system; by default it is a hidden folder in it.  One upsert of a table runs at a time.
+    """
+    spark, swap = new.sparkSession, uuid.uuid4().hex
+    recover(spark, path)
+    root = f"{staging or f'{path}/_staging'}/{swap}"
+    new.withColumn("month_start", _month(F.col("ts"))).write.partitionBy("month_start").parquet(f"{root}/new")
+    months = months_of(spark, f"{root}/new")
+    if months:
+        fresh = spark.read.schema(new.schema).parquet(f"{root}/new")
+        known = sorted(set(months) & set(months_of(spark, path)))
+        stored = spark.read.option("basePath", path).option("mergeSchema", True).parquet(*[f"{path}/month_start={m}" for m in known]) if known else None
+        rows = keep_last(fresh, KEY, [F.col("ingest_ts"), F.col("value")]) if stored is None else upsert(stored, fresh)
+        rows = rows.repartitionByRange("month_start", *KEY).sortWithinPartitions("month_start", *KEY)
+        rows.write.partitionBy("month_start").parquet(f"{root}/merged")
+        _swap(spark, path, f"{root}/merged", swap)
+    delete(spark, root)
 
 
 def retain(df: DataFrame, as_of: Column, days: int = 730) -> DataFrame:
-    return df.where(F.col("ts") >= as_of - F.make_dt_interval(F.lit(days)))
+    """The rows of the last ``days``; of a table by month_start only the months that may have some are read."""
+    start = as_of - F.make_dt_interval(F.lit(days))
+    kept = df.where(F.col("ts") >= start)
+    return kept.where(F.col("month_start") >= _month(start)) if "month_start" in df.columns else kept
+
+
+def between(df: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Rows with start <= ts < end of a table by month_start, other months not being read."""
+    if start is not None:
+        df = df.where((F.col("ts") >= start) & (F.col("month_start") >= _month(start)))
+    return df if end is None else df.where((F.col("ts") < end) & (F.col("month_start") <= _month(end)))
+
+
+def expire(spark: SparkSession, path: str, as_of: datetime.datetime, days: int = 730) -> list[datetime.date]:
+    """Drop the months of a table by month_start that end before the last ``days``, by their folders; returns them.
+
+    Nothing is read or rewritten, so the oldest month that stays may have older rows, which ``retain`` leaves out.
+    """
+    recover(spark, path)
+    start = (as_of - datetime.timedelta(days=days)).date()
+    gone = [m for m in months_of(spark, path) if (m.replace(day=28) + datetime.timedelta(days=4)).replace(day=1) <= start]
+    for m in gone:
+        delete(spark, f"{path}/month_start={m}")
+    return gone
 
 
 def daily_only(df: DataFrame) -> DataFrame:

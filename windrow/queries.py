@@ -6,6 +6,7 @@ and sparse composites; lineitem holds backtest results and onsets; part holds da
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -316,6 +317,27 @@ def _(spark, d):
     return readers.history(spark, path).select("station", "species", "ts", "value")
 
 
+@query("a13_month_range", SQL["a14_g3_upsert"].replace("SELECT station", "SELECT * FROM (SELECT station", 1) + ") WHERE ts >= TIMESTAMP '2024-01-10 12:00:00' AND ts < TIMESTAMP '2024-02-05'")
+def _(spark, d):
+    """A range of the table, read by its months; other months than January come from readings moved by some weeks."""
+    path = scratch(spark, "fact")
+    rows = readings(spark, d).withColumn("ingest_ts", F.col("ts").cast("timestamp")).withColumn("ts", sc.window_start(F.col("ts"))).drop("event_id")
+    moved = rows.withColumn("ts", F.col("ts") + F.when(F.dayofmonth("ts") > 15, F.expr("interval 60 days")).otherwise(F.expr("interval -60 days")))
+    align.upsert_table(path, rows.unionByName(moved))
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    return readers.history(spark, path, at("2024-01-10 12:00:00"), at("2024-02-05")).select("station", "species", "ts", "value")
+
+
+@query("a20_expired_table", f"WITH {DAILY} SELECT station, date::TIMESTAMP AS ts, temperature::DOUBLE AS value FROM d WHERE date::TIMESTAMP >= TIMESTAMP '2001-08-01' - INTERVAL 730 DAY")
+def _(spark, d):
+    """Years of days as a table by month; months beyond the retention are dropped on disk, the rest read by month."""
+    path = scratch(spark, "fact")
+    rows = daily(spark, d).select("station", F.lit("all").alias("species"), F.col("date").cast("timestamp_ntz").alias("ts"), F.col("temperature").cast("double").alias("value"), F.current_timestamp().alias("ingest_ts"))
+    align.upsert_table(path, rows)
+    align.expire(spark, path, datetime.datetime(2001, 8, 1))
+    return align.retain(readers.history(spark, path), F.lit("2001-08-01").cast("timestamp_ntz")).select("station", "ts", "value")
+
+
 @query("a19_daily_only", f"WITH {SERIES} SELECT station, species, bool_and(hour(ts) = 0) AS is_daily FROM s GROUP BY 1, 2")
 def _(spark, d):
     return align.daily_only(series(spark, d))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.functions.scalar import danger_code, epoch_window
-from windrow.operators import phenology
+from windrow.operators import align, phenology
 from windrow.params import CALENDAR, SOIL, SPECIES, WEATHER
 
 # Fields and parameters of the landed payloads.
@@ -86,8 +86,10 @@ def onset(spark: SparkSession, path: str, species: str, stations: list[int] | No
     return phenology.yearly_onset(rows.withColumn("species", F.lit(species)), stations)
 
 
-def history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(HISTORY).parquet(path)
+def history(spark: SparkSession, path: str, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """The fact table, or its rows from ``start`` on and before ``end``: other months' files aren't listed or read."""
+    rows = spark.read.schema(HISTORY).parquet(path)
+    return rows if start is None and end is None else align.between(rows, start, end)
 
 
 def history_csv(spark: SparkSession, path: str, station: str) -> DataFrame:
