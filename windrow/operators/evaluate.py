@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from windrow.functions.scalar import level_number
+from windrow.shared import written
 
 NUMBER = level_number
 
@@ -15,20 +16,57 @@ def with_errors(df: DataFrame) -> DataFrame:
     return df.withColumn("error", F.col("predicted") - F.col("actual")).withColumn("abs_error", F.abs("error"))
 
 
-def medians(rows: DataFrame, value: str, by: list[str] = (), accuracy: int = 10_000) -> DataFrame:
+_GRID = [i / 100 for i in range(101)]
+
+
+def _brackets(value: Column, accuracy: int) -> Column:
+    """An approximate quantile's two sides of the middle."""
+    return F.percentile_approx(value, [max(0.0, 0.5 - 2 / accuracy), min(1.0, 0.5 + 2 / accuracy)], accuracy)
+
+
+def _beside(rows: DataFrame, bounds: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with their group's n, lo and hi."""
+    named = bounds.select(*[F.col(c).alias(f"_{c}") for c in by], "_n", "_lo", "_hi")
+    if by:
+        return rows.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).drop(*[f"_{c}" for c in by])
+    one = named.first()
+    return rows.withColumns({"_n": F.lit(one["_n"]), "_lo": F.lit(one["_lo"]).cast("double"), "_hi": F.lit(one["_hi"]).cast("double")})
+
+
+def _narrowed(rows: DataFrame, bounds: DataFrame, by: list[str], most: int, accuracy: int) -> DataFrame:
+    """``bounds`` of fewer than some ``most`` distinct values each: each pass over the rows keeps a few hundredths of a bracket."""
+    size = None
+    while True:
+        inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+        sums = _beside(rows, bounds, by).where(F.col("_v") <= F.col("_hi")).groupBy(*by, "_n", "_lo", "_hi").agg(
+            F.count_if(~inside).alias("_below"), F.count_if(inside).alias("_c"), F.approx_count_distinct(F.when(inside, F.col("_v"))).alias("_d"), F.percentile_approx(F.when(inside, F.col("_v")), _GRID, accuracy).alias("_q"),
+        )
+        sums = written(sums, "brackets")  # a row a group
+        largest = sums.agg(F.max("_d")).first()[0] or 0
+        if largest <= most or largest == size:
+            return bounds
+        size = largest
+        share = lambda rank: (rank - F.col("_below")) / F.col("_c") * 100
+        lo = F.greatest(F.lit(0), F.floor(share(F.floor((F.col("_n") - 1) / 2))).cast("int") - 1)
+        hi = F.least(F.lit(100), F.ceil(share(F.floor(F.col("_n") / 2) + 1)).cast("int") + 1)
+        bounds = sums.select(*by, "_n", F.when(F.col("_d") > most, F.get("_q", lo)).otherwise(F.col("_lo")).alias("_lo"), F.when(F.col("_d") > most, F.get("_q", hi)).otherwise(F.col("_hi")).alias("_hi"))
+
+
+def medians(rows: DataFrame, value: str, by: list[str] = (), accuracy: int = 10_000, most: int = 10_000, bounds: DataFrame | None = None) -> DataFrame:
     """(by, median): exact, the mean of the middle two of an even number; nulls don't count.
 
-    An approximate quantile brackets the middle; only the values inside are counted exactly, each distinct one once, so
-    that no task holds all of a group's values.
+    An approximate quantile brackets the middle, at first within some thousandths of a group's values; passes over the
+    rows narrow the bracket until ``most`` distinct values or so are inside, which alone are counted exactly.  So no task
+    holds more of a group, however large it is.  ``bounds``: (by, _n, _lo, _hi), if the caller has them.
     """
+    by = list(by)
     rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    near = F.percentile_approx("_v", [max(0.0, 0.5 - 2 / accuracy), min(1.0, 0.5 + 2 / accuracy)], accuracy)
-    bounds = rows.groupBy(*by).agg(near.alias("_b"), F.count("*").alias("_n")).select(*[F.col(c).alias(f"_{c}") for c in by], "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
-    if by:
-        joined = rows.join(bounds, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
-    else:
-        one = bounds.first()
-        joined = rows.withColumns({"_n": F.lit(one["_n"]), "_lo": F.lit(one["_lo"]).cast("double"), "_hi": F.lit(one["_hi"]).cast("double")})
+    if bounds is None:
+        bounds = rows.groupBy(*by).agg(_brackets(F.col("_v"), accuracy).alias("_b"), F.count("*").alias("_n")).select(*by, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
+        bounds = written(bounds, "brackets")
+    if (bounds.agg(F.max("_n")).first()[0] or 0) * 8 / accuracy > most:  # at most as many are inside otherwise
+        bounds = _narrowed(rows, bounds, by, most, accuracy)
+    joined = _beside(rows, bounds, by)
     inside = F.when(F.col("_v").between(F.col("_lo"), F.col("_hi")), F.col("_v"))
     counts = joined.where(F.col("_v") <= F.col("_hi")).groupBy(*by, "_n", inside.alias("_v")).agg(F.count("*").alias("c"))
     found = counts.groupBy(*by, "_n").agg(F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("c"))), F.lit(0)).alias("below"), F.sort_array(F.collect_list(F.when(F.col("_v").isNotNull(), F.struct("_v", "c")))).alias("s"))
@@ -41,16 +79,25 @@ def medians(rows: DataFrame, value: str, by: list[str] = (), accuracy: int = 10_
 
 
 def metrics(results: DataFrame, by: list[str] = (), where: Column | None = None) -> DataFrame:
-    """n, mae, rmse, median_ae, level_accuracy, max_actual, bias, over all rows or by columns."""
+    """n, mae, rmse, median_ae, level_accuracy, max_actual, bias, over all rows or by columns.
+
+    One pass makes all but the median, and its bracket; a second one the median.
+    """
+    by = list(by)
     rows = results if where is None else results.where(where)
     found = rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg("abs_error").alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"),
         F.avg((F.col("level_actual") == F.col("level_predicted")).cast("double")).alias("level_accuracy"), F.max("actual").alias("max_actual"), F.avg("error").alias("bias"),
+        F.count("abs_error").alias("_n"), _brackets(F.col("abs_error").cast("double"), 10_000).alias("_b"),
     )
-    middle = medians(rows, "abs_error", by).withColumnRenamed("median", "median_ae")
+    found = written(found, "metrics")  # a row a group
+    bounds = found.where("_n > 0").select(*by, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
+    found = found.drop("_n", "_b")
+    if not by and bounds.isEmpty():
+        return found.withColumn("median_ae", F.lit(None).cast("double"))
+    middle = medians(rows, "abs_error", by, bounds=bounds).withColumnRenamed("median", "median_ae")
     if not by:
-        one = middle.first()
-        return found.withColumn("median_ae", F.lit(one.median_ae if one else None).cast("double"))
+        return found.withColumn("median_ae", F.lit(middle.first().median_ae).cast("double"))
     named = middle.select(*[F.col(c).alias(f"_{c}") for c in by], "median_ae")
     return found.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left").drop(*[f"_{c}" for c in by])
 

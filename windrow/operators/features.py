@@ -23,12 +23,44 @@ def _lag_columns(parts: list[str]) -> dict[str, Column]:
     return columns | {"morning_avg": F.coalesce(F.avg("_log").over(day), F.lit(0.0))}
 
 
-def lag_features(df: DataFrame, shard_days: int | None = None) -> DataFrame:
+def _time_lag_columns(parts: list[str], step: int) -> dict[str, Column]:
+    s = Window.partitionBy(*parts).orderBy("_epoch")
+    columns: dict[str, Column] = {f"lag_{k}": F.max("_log").over(s.rangeBetween(-k * step, -k * step)) for k in LAGS}
+    for n in (8, 56):
+        columns[f"rolling_{n}"] = F.avg("_log").over(s.rangeBetween(-n * step, -1))
+        columns[f"max_{n}"] = F.max("_log").over(s.rangeBetween(-n * step, -1))
+    day = Window.partitionBy(*parts, "_day").orderBy("_epoch").rangeBetween(Window.unboundedPreceding, -1)
+    return columns | {"morning_avg": F.coalesce(F.avg("_log").over(day), F.lit(0.0))}
+
+
+def _time_lag_features(df: DataFrame, shard_days: int | None, hours: int) -> DataFrame:
+    step, active = 3600 * hours, F.when(F.col("value") > 0, F.col("_epoch"))
+    df = df.withColumn("_log", F.log1p("value")).withColumn("_day", F.to_date("ts")).withColumn("_epoch", F.unix_seconds(F.col("ts").cast("timestamp")))
+    if shard_days:
+        df = sharded.with_time_halo(sharded.with_ends(df, active, KEYS, shard_days), shard_days, max(LAGS) * step)
+        parts = [*KEYS, sharded.SHARD]
+    else:
+        df, parts = df.withColumns({"_active_before": F.lit(None).cast("long"), "_first_before": F.lit(None).cast("long")}), KEYS
+    upto = Window.partitionBy(*parts).orderBy("_epoch").rangeBetween(Window.unboundedPreceding, -1)
+    last = F.greatest(F.max(active).over(upto), F.col("_active_before"))
+    first = F.least(F.min("_epoch").over(Window.partitionBy(*parts)), F.col("_first_before"))
+    since = F.when(F.col("_epoch") == first, 999.0).otherwise(F.coalesce((F.col("_epoch") - last) / step - 1, (F.col("_epoch") - first) / step))
+    df = df.withColumns(_time_lag_columns(parts, step) | {"windows_since_active": since})
+    return (sharded.drop_halo(df) if shard_days else df).drop("_log", "_day", "_epoch", "_active_before", "_first_before")
+
+
+def lag_features(df: DataFrame, shard_days: int | None = None, frames: str = "rows", hours: int = 3) -> DataFrame:
     """Lags, shifted rolling means and maxima of log1p(value), today's earlier mean, windows since the last positive value.
 
     All share one shuffle on (station, species), which also serves the frame within a day.  ``shard_days``: series are
-    cut into shards of so many days, for those too long for one task; the rows are the same.
+    cut into shards of so many days, for those too long for one task; the rows are the same.  ``frames``: "rows" counts
+    rows, so that gaps shift what a lag means; "time" counts ``hours`` on the clock: lag_8 is the value 8 windows ago or
+    null, rolling_8 the mean of those of the last 8 windows that are there.
     """
+    if frames not in ("rows", "time"):
+        raise ValueError(f"frames are {frames!r}")
+    if frames == "time":
+        return _time_lag_features(df, shard_days, hours)
     df = df.withColumn("_log", F.log1p("value")).withColumn("_day", F.to_date("ts"))
     if shard_days:
         df = sharded.with_halo(sharded.since_active(df, KEYS, shard_days), KEYS, shard_days, max(LAGS))
@@ -90,9 +122,35 @@ def _rolling_columns(parts: list[str]) -> dict[str, Column]:
     return columns
 
 
-def rolling_weather(weather: DataFrame) -> DataFrame:
-    """Rolling means and sums over 24 and 56 rows, the current one included, and changes over 8 and 24 rows."""
-    return weather.withColumns(_rolling_columns(["station"]))
+def _time_rolling_columns(parts: list[str], step: int) -> dict[str, Column]:
+    w = Window.partitionBy(*parts).orderBy("_epoch")
+    columns: dict[str, Column] = {}
+    for days, n in ((3, 24), (7, 56)):
+        frame = w.rangeBetween((1 - n) * step, 0)
+        columns[f"temp_rolling_{days}d"] = F.avg("temperature_mean").over(frame)
+        columns[f"sunshine_rolling_{days}d"] = F.avg("sunshine_duration").over(frame)
+        columns[f"rain_rolling_{days}d"] = F.sum("precipitation_sum").over(frame)
+    for name, n in (("temp_delta_1d", 8), ("temp_delta_3d", 24)):
+        columns[name] = F.coalesce(F.col("temperature_mean") - F.max("temperature_mean").over(w.rangeBetween(-n * step, -n * step)), F.lit(0.0))
+    return columns
+
+
+def rolling_weather(weather: DataFrame, frames: str = "rows", hours: int = 3, shard_days: int | None = None) -> DataFrame:
+    """Rolling means and sums over 24 and 56 windows, the current one included, and changes over 8 and 24.
+
+    ``frames``: "rows" counts rows, "time" ``hours`` on the clock (operators.features.lag_features); ``shard_days`` as there.
+    """
+    if frames not in ("rows", "time"):
+        raise ValueError(f"frames are {frames!r}")
+    parts = ["station", sharded.SHARD] if shard_days else ["station"]
+    if frames == "rows":
+        rows = sharded.with_halo(weather, ["station"], shard_days, 56) if shard_days else weather
+        out = rows.withColumns(_rolling_columns(parts))
+    else:
+        rows = weather.withColumn("_epoch", F.unix_seconds(F.col("ts").cast("timestamp")))
+        rows = sharded.with_time_halo(rows, shard_days, 56 * 3600 * hours) if shard_days else rows
+        out = rows.withColumns(_time_rolling_columns(parts, 3600 * hours)).drop("_epoch")
+    return sharded.drop_halo(out) if shard_days else out
 
 
 def sharded_weather(weather: DataFrame, shard_days: int) -> DataFrame:

@@ -95,3 +95,20 @@ def since_active(df: DataFrame, keys: list[str], days: int, name: str = "windows
     since = F.when(F.col("_last").isNotNull(), F.col("_rn") - 1 - F.col("_last")).otherwise(F.col("_rn") - 1 + F.col("carry"))
     since = F.when((F.col("_rn") == 1) & (F.col("before") == 0), F.lit(999)).otherwise(since)
     return rows.withColumn(name, since.cast("double")).drop("_m", "_rn", "_last", "carry", "before", SHARD)
+
+
+def with_time_halo(df: DataFrame, days: int, seconds: int) -> DataFrame:
+    """Every row with its shard, and copies for each later shard that begins within ``seconds`` after the row, which ``_halo`` marks."""
+    own = shard_of(F.col("ts"), days)
+    late = shard_of(F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp")) + seconds), days)
+    rows = df.withColumn("_to", F.sequence(own, late)).withColumn("_own", own).withColumn(SHARD, F.explode("_to"))
+    return rows.withColumn(HALO, F.col(SHARD) != F.col("_own")).drop("_to", "_own")
+
+
+def with_ends(df: DataFrame, active: Column, keys: list[str], days: int) -> DataFrame:
+    """``df`` (with _epoch) and, of the rows in earlier shards, the last active one's time and the first one's: _active_before, _first_before."""
+    rows = with_shards(df, days)
+    before = Window.partitionBy(*keys).orderBy(SHARD).rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
+    ends = rows.groupBy(*keys, SHARD).agg(F.max(active).alias("_a"), F.min("_epoch").alias("_f"))
+    ends = ends.select(*keys, SHARD, F.max("_a").over(before).alias("_active_before"), F.min("_f").over(before).alias("_first_before"))
+    return same_keys(rows, ends, [*keys, SHARD]).drop(SHARD)

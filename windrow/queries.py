@@ -565,6 +565,18 @@ def _(spark, d):
     return vegetation.daily(odd, "v", "hermite").select("station", "date", F.round("v", 4).alias("v"))
 
 
+@query("e15_spline")
+def _(spark, d):
+    """The not-a-knot spline by day, which tests hold against a dense solve."""
+    return vegetation.daily(_sparse(spark, d), "v", "spline").select("station", "date", *r6("v"))
+
+
+@query("d13_narrowed_medians", f"WITH {RESULTS} SELECT species, fold, median(error)::DOUBLE AS median FROM e GROUP BY ALL")
+def _(spark, d):
+    """Medians whose brackets are narrowed by passes over the rows, as those of very large groups are."""
+    return evaluate.medians(results(spark, d).withColumn("error", F.col("error").cast("double")), "error", ["species", "fold"], accuracy=100, most=3)
+
+
 @query("e17_reindex", f"WITH {_SPARSE}, r AS (SELECT d.station, d.date, (SELECT arg_max(v, c.date) FROM c WHERE c.station = d.station AND c.date <= d.date) AS v FROM d) SELECT station, date, coalesce(v, 0) AS v FROM r")
 def _(spark, d):
     return vegetation.reindex(_sparse(spark, d), daily(spark, d), ["v"]).select("station", "date", "v")
@@ -750,6 +762,48 @@ def _(spark, d):
     return frame.select("station", "species", "ts", "value", *[F.round(F.col(c).cast("double") + 0.0000013, 5).alias(c) for c in names])  # off the ties of rounding
 
 
+_USERS = "su AS (SELECT 'u' || user_id AS station, event_type AS species, time_bucket(INTERVAL 3 HOUR, ts) AS ts, greatest(0, floor(max(value)) - 20)::DOUBLE AS value FROM events GROUP BY 1, 2, 3), lu AS (SELECT *, ln(1 + value) AS l, min(ts) OVER (PARTITION BY station, species) AS first FROM su)"
+_RANGE = "(PARTITION BY station, species ORDER BY ts RANGE BETWEEN {} AND {})"
+_AGO, _LATELY = "INTERVAL {0} HOUR PRECEDING", "INTERVAL 1 SECOND PRECEDING"
+_TIME_LAGS = (
+    f"WITH {_USERS}, a AS (SELECT *, max(CASE WHEN value > 0 THEN ts END) OVER {_RANGE.format('UNBOUNDED PRECEDING', _LATELY)} AS active FROM lu) SELECT station, species, ts, "
+    + ", ".join(f"round(max(l) OVER {_RANGE.format(_AGO.format(3 * k), _AGO.format(3 * k))}, 6) AS lag_{k}" for k in (1, 2, 3, 8, 16, 24, 56))
+    + ", " + ", ".join(f"round({f}(l) OVER {_RANGE.format(_AGO.format(3 * n), _LATELY)}, 6) AS {name}_{n}" for f, name in (("avg", "rolling"), ("max", "max")) for n in (8, 56))
+    + ", round(coalesce(avg(l) OVER (PARTITION BY station, species, ts::DATE ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS morning_avg, (CASE WHEN ts = first THEN 999 ELSE coalesce(date_diff('hour', active, ts) / 3 - 1, date_diff('hour', first, ts) / 3) END)::DOUBLE AS windows_since_active FROM a"
+)
+
+
+def _user_series(spark, d) -> DataFrame:
+    """A series for each user and species: few rows, many gaps."""
+    e = t(spark, d, "events").groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("station"), F.col("event_type").alias("species"), sc.window_start(F.col("ts")).alias("ts"))
+    return e.agg(F.greatest(F.lit(0.0), F.floor(F.max("value")) - 20.0).cast("double").alias("value"))
+
+
+@query("e1_e5_time_frames", _TIME_LAGS)
+def _(spark, d):
+    """Lags and frames by the clock, so that gaps don't shift them."""
+    return features.lag_features(_user_series(spark, d), frames="time").select("station", "species", "ts", *r6(*pipelines.LAG_FEATURES))
+
+
+@query("e1_e5_time_frames_sharded", _TIME_LAGS)
+def _(spark, d):
+    return features.lag_features(_user_series(spark, d), shard_days=3, frames="time").select("station", "species", "ts", *r6(*pipelines.LAG_FEATURES))
+
+
+_TIME_X = "(PARTITION BY station ORDER BY ts RANGE BETWEEN INTERVAL {0} HOUR PRECEDING AND {1})"
+
+
+@query("e10_e12_time_weather", f"WITH {HOURLY}, {WINDOWS}, y AS (SELECT * FROM w WHERE hour(ts) <> 9) SELECT station, ts, " + ", ".join(f"round({f}({c}) OVER {_TIME_X.format(n, 'CURRENT ROW')}, 6) + 0.0 AS {name}_rolling_{days}d" for days, n in ((3, 69), (7, 165)) for name, f, c in (("temp", "avg", "ti"), ("sunshine", "avg", "sun"), ("rain", "sum", "rain"))) + ", " + ", ".join(f"coalesce(ti - max(ti) OVER {_TIME_X.format(h, f'INTERVAL {h} HOUR PRECEDING')}, 0)::DOUBLE AS temp_delta_{n}d" for n, h in ((1, 24), (3, 72))) + " FROM y")
+def _(spark, d):
+    """Every ninth hour's window is missing from the weather."""
+    h = hourly(spark, d)
+    ints = h.groupBy("station", sc.window_start(F.col("time")).alias("ts")).agg(F.sum("temperature_2m").cast("long").alias("a"), F.count("*").alias("n")).select("station", "ts", F.expr("a div n").cast("double").alias("ti"))
+    w = weather3(spark, d).join(ints, ["station", "ts"]).withColumn("temperature_mean", F.col("ti")).where(F.hour("ts") != 9)
+    out = features.rolling_weather(w, "time", shard_days=4)
+    names = [f"{n}_rolling_{k}d" for k in (3, 7) for n in ("temp", "sunshine", "rain")]
+    return out.select("station", "ts", *r6(*names), "temp_delta_1d", "temp_delta_3d")
+
+
 _CUT = "2024-01-25 12:00:00"
 _EVEN = "CASE WHEN day(ts) % 2 = 0 THEN {} ELSE 0 END"
 _LATE = {"ndvi": _EVEN.format("day(ts) / 64.0"), "evi": _EVEN.format("day(ts) / 128.0"), "ndvi_delta": _EVEN.format("0.25"), "cams_pollen": "CASE WHEN hour(ts) < 18 THEN hour(ts) + length(species) ELSE 0 END"}
