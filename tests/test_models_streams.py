@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,43 @@ def test_backtest_has_levels_and_gate(spark, made):
     assert got.where("fold = 0").count() == got.count() > 0 and got.where("predicted < 0 or level_predicted is null").count() == 0
 
 
+def test_recursive_backtest_sees_nothing_after_its_origins(spark, made):
+    """Values from an origin on don't change what is forecast from it; those before it do."""
+    values, weather, frame = made
+    folds = spark.createDataFrame([(0, dt.date(2024, 4, 1))], "fold int, month_start date")
+    how = dict(mode="recursive", days=4, iterations=3, trees=3, depth=3)
+
+    def run(v):
+        got = pipelines.backtest(frame, folds, FEATURES, history=v, **how).collect()
+        return {(r.species, r.ts): (r.origin, r.step, r.predicted) for r in got}
+
+    base = run(values)
+    steps = {o: sorted(s for (sp, _), (p, s, _) in base.items() if p == o and sp == "Betula") for o in {v[0] for v in base.values()}}
+    assert sorted(steps) == [dt.date(2024, 4, d) for d in (1, 5, 9, 13)][: len(steps)] and all(s == list(range(1, len(s) + 1)) for s in steps.values()) and len(steps) >= 2
+    cut = dt.datetime(2024, 4, 5)
+    later = run(values.withColumn("value", F.when(F.col("ts") >= F.lit(cut), F.col("value") + 77).otherwise(F.col("value"))))
+    for k, (origin, step, p) in base.items():
+        if origin <= cut.date():
+            assert later[k] == (origin, step, p)
+    assert any(later[k] != base[k] for k in base)
+    for mode, history in (("recursive", None), ("else", values)):
+        with pytest.raises(ValueError):
+            pipelines.backtest(frame, folds, FEATURES, mode=mode, history=history)
+
+
+def test_observed_values_out_of_season(spark, made):
+    values, weather, frame = made
+    model = models.Classes({})
+    cut = F.lit("2024-04-12").cast("timestamp_ntz")
+    closed = species_params(spark).withColumns({"season_start": F.lit(9), "season_end": F.lit(10)})
+    serving = pipelines.feature_frame(values, weather, closed, lags=False).where((F.col("ts") >= cut) & (F.col("ts") < cut + F.expr("interval 6 hours")))
+    observed = values.where(F.col("ts") == cut).select("station", "species", "ts", F.lit(33.0).alias("observed"))
+    state = recent_state(values.where(F.col("ts") < cut))
+    for gated, want in ((True, [0.0, 0.0]), (False, [33.0, 0.0])):
+        got = pipelines.recursive_forecast(model, serving.where("species = 'Betula'"), state, observed, gate_observed=gated).orderBy("ts").collect()
+        assert [r.value for r in got] == want
+
+
 def test_species_table():
     assert len(SPECIES_PARAMS) == 11
 
@@ -145,14 +183,33 @@ def test_stream_upsert_takes_late_rows(spark, tmp_path):
     assert [r.value for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [2.0]
 
 
-def test_lag_state_goes_on_between_runs(spark, tmp_path):
-    schema = "station string, species string, ts timestamp_ntz, value double"
-    got = {}
-    for h in (0, 3):
-        spark.createDataFrame([("s", "a", dt.datetime(2024, 1, 1, h), 0.0)], schema).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = streams.lag_state(streams.read_landed(spark, str(tmp_path / "in"), schema))
-        streams.run_available(stream, lambda b, _: got.update({r.ts: len(r.logs) for r in b.collect()}), str(tmp_path / "c"))
-    assert sorted(got.values()) == [0, 1]
+SCHEMA = "station string, species string, ts timestamp_ntz, value double"
+
+
+def fed(spark, tmp_path, batches, **how):
+    """What the lag state gives out for batches that land one after the other, each run going on from the checkpoint."""
+    streams.use_state_store(spark)
+    got = []
+    for rows in batches:
+        spark.createDataFrame([(*k, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), float(v)) for k, h, v in rows], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streams.lag_state(streams.read_landed(spark, str(tmp_path / "in"), SCHEMA), **how)
+        streams.run_available(stream, lambda b, _: got.extend((r.station, (r.ts - dt.datetime(2024, 1, 1)).total_seconds() / 3600, round(r.value, 6), [round(x, 6) for x in np.expm1(r.logs)]) for r in b.collect()), str(tmp_path / "c"), "append")
+    return got
+
+
+def test_lag_state_goes_on_between_runs_and_takes_late_readings(spark, tmp_path):
+    a, b = ("s", "a"), ("t", "a")
+    got = fed(spark, tmp_path, [[(a, 0, 1), (b, 0, 7)], [(a, 6, 3), (a, 3, 2)], [(a, 4, 9), (a, 9, 4)], [(a, 12, 5)]], n=3)
+    assert sorted(got) == [("s", 0, 1, []), ("s", 3, 2, [1]), ("s", 4, 9, [1, 2]), ("s", 6, 3, [1, 2]), ("s", 9, 4, [2, 9, 3]), ("s", 12, 5, [9, 3, 4]), ("t", 0, 7, [])]
+
+
+def test_lag_state_drops_what_is_too_late_and_ends_silent_series(spark, tmp_path):
+    a, b = ("s", "a"), ("t", "a")
+    batches = [[(a, 0, 1), (b, 0, 7)], [(b, 24 * 5, 8)], [(b, 24 * 6, 9), (a, 1, 4)], [(b, 24 * 7, 9)], [(a, 24 * 8, 2)]]
+    got = fed(spark, tmp_path, batches, late="1 day", silent=3)
+    of = {(s, h): logs for s, h, _, logs in got}
+    assert ("s", 1) not in of and of["s", 24 * 8] == []  # its state had ended
+    assert of["t", 24 * 5][-1:] in ([7.0], []) and of["t", 24 * 7][-1] == 9
 
 
 def test_first_reading_wins(spark, tmp_path):

@@ -158,6 +158,17 @@ def daily_only(df: DataFrame) -> DataFrame:
     return df.groupBy("station", "species").agg(F.every(F.hour("ts") == 0).alias("is_daily"))
 
 
+def split(df: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows before a time, rows from it on): what a model may learn from, and what it is tested on."""
+    return df.where(F.col("ts") < at), df.where(F.col("ts") >= at)
+
+
+def common_days(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(date): days on which both have rows."""
+    days = lambda df: df.select(F.to_date("ts").alias("date"))
+    return days(a).intersect(days(b))
+
+
 def coverage_audit(dates: DataFrame, start: Column, end: Column, slack: int = 32, overlap: int = 16) -> DataFrame:
     """(station, covered, refetch_from): whether the stored dates reach within ``slack`` days of both ends, and where to fetch from."""
     span = dates.groupBy("station").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))

@@ -151,28 +151,28 @@ def fold(flat: dict[str, FlatModel], static: list[str], names: list[str], length
     return predicted, made
 
 
-def forecast(model: models.Staged | models.Classes, windows: DataFrame, state: DataFrame) -> DataFrame:
+def forecast(model: models.Staged | models.Classes, windows: DataFrame, state: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """``windows`` with predicted and has_model, one job for all series and steps.
 
     ``windows``: (station, species, ts, open, observed, features ...), a horizon's rows a series, which stand in one row
     of an array; other columns come along.  ``state``: (station, species, logs, run, today, day) of operators.forecast.
-    Series without a state are left out.  The models' trees are broadcast: classes * trees * 2**(depth + 1) nodes.
+    Series without a state are left out.  ``keys`` tell series apart, the species among them.  The models' trees are broadcast: classes * trees * 2**(depth + 1) nodes.
     """
     flat = flatten(model)
     static = sorted({c for m in flat.values() for c in m.features} - set(LAG_FEATURES))
     shared = windows.sparkSession.sparkContext.broadcast(flat)
-    along = [c for c in windows.columns if c not in (*KEYS, "ts")]
+    along = [c for c in windows.columns if c not in (*keys, "ts")]
     x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in static]) if static else F.array().cast("array<double>")
-    rows = windows.select(*KEYS, F.struct("ts", *along).alias("w"), x.alias("x"))
-    rows = rows.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct(F.col("w.ts").alias("ts"), "w", "x"))).alias("s"))
-    rows = rows.join(state.select(*KEYS, "logs", "run", "today", "day"), KEYS)
+    rows = windows.select(*keys, F.struct("ts", *along).alias("w"), x.alias("x"))
+    rows = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("w.ts").alias("ts"), "w", "x"))).alias("s"))
+    rows = rows.join(state.select(*keys, "logs", "run", "today", "day"), keys)
     days = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
     part = lambda f: F.transform("s", f)
     rows = rows.select(
-        *KEYS, models.tuning_class(F.col("species")).alias("class"), part(lambda e: e["w"]).alias("w"), part(lambda e: e["x"]).alias("x"), part(lambda e: days(F.to_date(e["ts"]))).alias("days"), part(lambda e: F.coalesce(e["w"]["open"], F.lit(False))).alias("open"),
+        *keys, models.tuning_class(F.col("species")).alias("class"), part(lambda e: e["w"]).alias("w"), part(lambda e: e["x"]).alias("x"), part(lambda e: days(F.to_date(e["ts"]))).alias("days"), part(lambda e: F.coalesce(e["w"]["open"], F.lit(False))).alias("open"),
         part(lambda e: e["w"]["observed"].cast("double")).alias("observed"), "logs", F.coalesce(F.col("run").cast("long"), F.lit(-1)).alias("run"), F.coalesce("today", F.array().cast("array<double>")).alias("today"), F.coalesce(days(F.col("day")), F.lit(-(10**6))).alias("state_day"),
     )
-    shape = rows.select(*KEYS, "w").withColumn("predicted", F.array().cast("array<double>")).withColumn("made", F.array().cast("array<boolean>")).schema
+    shape = rows.select(*keys, "w").withColumn("predicted", F.array().cast("array<double>")).withColumn("made", F.array().cast("array<boolean>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +186,7 @@ def forecast(model: models.Staged | models.Classes, windows: DataFrame, state: D
                 flat_("observed").to_numpy(zero_copy_only=False).astype(float), logs, col["run"].to_numpy().copy(), col["today"].to_pylist(), col["state_day"].to_numpy().copy(),
             )
             ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([col["station"], col["species"], col["w"], pa.ListArray.from_arrays(ends, pa.array(got)), pa.ListArray.from_arrays(ends, pa.array(made))], ["station", "species", "w", "predicted", "made"])
+            yield pa.RecordBatch.from_arrays([*(col[k] for k in keys), col["w"], pa.ListArray.from_arrays(ends, pa.array(got)), pa.ListArray.from_arrays(ends, pa.array(made))], [*keys, "w", "predicted", "made"])
 
-    done = rows.mapInArrow(run, shape).select(*KEYS, F.explode(F.arrays_zip("w", "predicted", "made")).alias("z"))
-    return done.select(*KEYS, "z.w.*", F.col("z.predicted").alias("predicted"), F.col("z.made").alias("has_model"))
+    done = rows.mapInArrow(run, shape).select(*keys, F.explode(F.arrays_zip("w", "predicted", "made")).alias("z"))
+    return done.select(*keys, "z.w.*", F.col("z.predicted").alias("predicted"), F.col("z.made").alias("has_model"))

@@ -222,7 +222,10 @@ def _(spark, d):
 
 @query("b20_past_only", f"WITH {SERIES} SELECT * FROM s WHERE ts <= TIMESTAMP '2024-01-15 12:00:00'")
 def _(spark, d):
-    return series(spark, d).where(F.col("ts") <= F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
+    """Only what lies before a time goes into the fact table: its measured rows are those of the series."""
+    w = series(spark, d).select("station", "ts").distinct()
+    h = align.build_history(series(spark, d), w, None, None, ["click", "view", "purchase", "error", "signup"], F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
+    return h.where("is_measured").select("station", "species", "ts", "value")
 
 
 @query("b22_valid_composites", f"WITH {DAILY} SELECT station, date, (temperature * 2 - 8) / 70.0 AS ndvi FROM d WHERE (temperature * 2 - 8) / 70.0 < 1.0 AND (temperature * 2 - 8) / 70.0 > -0.2")
@@ -338,6 +341,16 @@ def _(spark, d):
     return align.retain(readers.history(spark, path), F.lit("2001-08-01").cast("timestamp_ntz")).select("station", "ts", "value")
 
 
+@query("f5_order_in_files", f"WITH {SERIES} SELECT count(*) AS n, 0::BIGINT AS unordered FROM s")
+def _(spark, d):
+    """A stored month's files are each in the key's order: no row stands before one of a smaller key in its file."""
+    path = scratch(spark, "fact")
+    align.upsert_table(path, series(spark, d).withColumn("ingest_ts", F.current_timestamp()))
+    rows = spark.read.parquet(path).select("*", F.struct(*align.KEY).alias("key"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    before = F.lag("key").over(Window.partitionBy("file").orderBy("at"))
+    return rows.withColumn("before", before).agg(F.count("*").alias("n"), F.count_if(F.col("before") > F.col("key")).alias("unordered"))
+
+
 @query("a19_daily_only", f"WITH {SERIES} SELECT station, species, bool_and(hour(ts) = 0) AS is_daily FROM s GROUP BY 1, 2")
 def _(spark, d):
     return align.daily_only(series(spark, d))
@@ -372,7 +385,8 @@ def _(spark, d):
 
 @query("c9_split", f"WITH {SERIES} SELECT station, species, ts, value, CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 'train' ELSE 'test' END AS part FROM s")
 def _(spark, d):
-    return series(spark, d).withColumn("part", F.when(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz"), "train").otherwise("test"))
+    train, test = align.split(series(spark, d), F.lit("2024-01-20").cast("timestamp_ntz"))
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
 _EXPERT = "x AS (SELECT species, ts::DATE AS date, (count(*) % 7) / 2.0 AS level FROM e GROUP BY 1, 2)"
@@ -395,8 +409,8 @@ def _(spark, d):
 @query("g4_common_days", f"WITH {SERIES} SELECT ts::DATE AS date FROM s WHERE species = 'click' AND station = 'st1' INTERSECT SELECT ts::DATE FROM s WHERE species = 'error' AND station = 'st2'")
 def _(spark, d):
     s = series(spark, d)
-    days = lambda sp, st: s.where((F.col("species") == sp) & (F.col("station") == st)).select(F.to_date("ts").alias("date"))
-    return days("click", "st1").intersect(days("error", "st2"))
+    of = lambda sp, st: s.where((F.col("species") == sp) & (F.col("station") == st))
+    return align.common_days(of("click", "st1"), of("error", "st2"))
 
 
 # ---- D: aggregation ------------------------------------------------------------------------------------------------
@@ -589,6 +603,21 @@ def _(spark, d):
     return logs.select("station", "species", F.round(total, 6).alias("total"), F.size("logs").alias("n"), F.round(F.element_at("logs", -1), 6).alias("newest"))
 
 
+@query("e18_recent_order", f"WITH {SERIES}, n AS (SELECT *, row_number() OVER (PARTITION BY station, species ORDER BY ts DESC) AS rn FROM s) SELECT station, species, (57 - rn)::INT AS place, round(ln(1 + value), 6) AS log FROM n WHERE rn <= 56")
+def _(spark, d):
+    """Every place of a series' state that a row of it fills."""
+    each = forecast.recent_logs(series(spark, d)).select("station", "species", F.posexplode("logs").alias("place", "log"))
+    rows = series(spark, d).groupBy("station", "species").count()
+    return each.join(rows, ["station", "species"]).where("place >= 56 - count").select("station", "species", (F.col("place") + 1).alias("place"), *r6("log"))
+
+
+@query("e18_recent_state", f"WITH {SERIES}, e AS (SELECT station, species, max(ts) AS last, max(CASE WHEN value > 0 THEN ts END) AS active FROM s GROUP BY 1, 2) SELECT station, species, last, count(*) FILTER (active IS NULL OR ts > active) AS run, count(*) FILTER (ts::DATE = last::DATE)::INT AS n_today, round(sum(ln(1 + value)) FILTER (ts::DATE = last::DATE), 6) AS today FROM s JOIN e USING (station, species) GROUP BY 1, 2, 3")
+def _(spark, d):
+    """What a recursion goes on from: the run since the last active window, and the last day's logs."""
+    today = F.aggregate("today", F.lit(0.0), lambda a, x: a + x)
+    return forecast.recent_state(series(spark, d)).select("station", "species", "last", "run", F.size("today").alias("n_today"), F.round(today, 6).alias("today"))
+
+
 @query("e19_day_index", f"WITH {SERIES} SELECT station, species, ts, (dense_rank() OVER (PARTITION BY station ORDER BY ts::DATE) - 1)::INT AS day_index FROM s")
 def _(spark, d):
     return forecast.day_index(series(spark, d)).select("station", "species", "ts", "day_index")
@@ -912,6 +941,14 @@ def _(spark, d):
     return reports["by_fold"]
 
 
+@query("j11_recursive_backtest")
+def _(spark, d):
+    """Errors by fold and step of forecasts from rolling origins, each four days on."""
+    p = params(spark, d).where("species = 'click'").drop("species").withColumn("species", F.explode(F.array(*map(F.lit, ("A", "N", "R")))))
+    reports = pipelines.benchmark(written(_shipments(spark, d), "fact"), p, written, n_folds=2, features=[f for f in MODEL_FEATURES if f != "hour_of_day"], mode="recursive", days=4, iterations=5, trees=10)
+    return evaluate.metrics(reports["results"], ["fold", "step"])
+
+
 @query("i2_backfill", f"WITH {HOURLY}, {WINDOWS}, c AS (SELECT 'st' || (user_id % 7) AS station, event_type AS species, time_bucket(INTERVAL 3 HOUR, ts) AS ts, event_id % 3 AS chunk, max(value) AS v FROM events GROUP BY 1, 2, 3, 4), s AS (SELECT station, species, ts, arg_max(v, chunk) AS value FROM c GROUP BY 1, 2, 3), g AS (SELECT DISTINCT s.station, s.ts, sp.species FROM s JOIN w USING (station, ts), (SELECT unnest({_FOUR}) AS species) sp) SELECT g.station, g.species, g.ts, coalesce(s.value, 0) AS value, s.value IS NOT NULL AS is_measured, CASE WHEN day(g.ts) < 20 THEN w.tmax ELSE w.tmax + 100 END AS temperature_max FROM g JOIN w USING (station, ts) LEFT JOIN s ON s.station = g.station AND s.ts = g.ts AND s.species = g.species")
 def _(spark, d):
     values = readings(spark, d).withColumn("ts", sc.window_start(F.col("ts"))).withColumn("chunk", F.col("event_id") % 3)
@@ -951,9 +988,18 @@ def _(spark, d):
 
 @query("k4_stream_lag_state", f"WITH r AS (SELECT *, floor(value) AS v FROM ({READINGS})), l AS (SELECT station, species, ts, v AS value, list(ln(1 + v)) OVER (PARTITION BY station, species ORDER BY ts, v ROWS BETWEEN 56 PRECEDING AND 1 PRECEDING) AS logs FROM r) SELECT station, species, ts, value, coalesce(len(logs), 0)::INT AS n, round(coalesce(list_sum(logs), 0), 6) AS total, round(logs[1], 6) AS oldest, round(logs[-1], 6) AS newest FROM l")
 def _(spark, d):
-    path = scratch(spark, "stream")
-    streams.run_available(streams.lag_state(_landed(spark, d)), lambda b, n: b.write.mode("append").parquet(path), scratch(spark, "offsets"), "update")
-    got = spark.read.schema("station string, species string, ts timestamp, value double, logs array<double>").parquet(path)
+    """In five batches by time, the state going from one to the next."""
+    path, landed = scratch(spark, "stream"), scratch(spark, "landed")
+    events = t(spark, d, "events")
+    for day in range(0, 35, 7):
+        of = F.datediff("ts", F.lit("2024-01-01").cast("date"))
+        last = F.lit(True) if day == 28 else of < day + 7
+        events.where((of >= day if day else F.lit(True)) & last).coalesce(1).write.mode("append").parquet(landed)
+    streams.use_state_store(spark)
+    e = streams.read_landed(spark, landed, _EVENTS, files=1)
+    rows = e.select(F.concat(F.lit("st"), (F.col("user_id") % 7).cast("string")).alias("station"), F.col("event_type").alias("species"), "ts", F.floor("value").cast("double").alias("value"))
+    streams.run_available(streams.lag_state(rows), lambda b, n: b.write.mode("append").parquet(path), scratch(spark, "offsets"), "append")
+    got = spark.read.schema("station string, species string, ts timestamp, value double, logs array<double>").parquet(path).withColumn("value", F.round("value", 6))
     total = F.aggregate("logs", F.lit(0.0), lambda a, x: a + x)
     return got.select("station", "species", F.col("ts").cast("timestamp_ntz").alias("ts"), "value", F.size("logs").alias("n"), F.round(total, 6).alias("total"), F.round(F.get("logs", F.lit(0)), 6).alias("oldest"), F.round(F.try_element_at("logs", F.lit(-1)), 6).alias("newest"))
 
@@ -1007,18 +1053,47 @@ def _(spark, d):
     return readers.measurements(spark, _land(payloads, ["day", "station"], "measurements"), ["click", "view"]).select("station", "species", "ts", "value")
 
 
-@query("a5_a6_hourly_weather", f"WITH {HOURLY} SELECT station, time, t AS temperature_2m, p AS precipitation, wd AS wind_direction_10m, CASE WHEN day(time) % 2 = 0 THEN s7 END AS soil_temperature_6cm, CASE WHEN day(time) % 2 = 1 THEN s7 END AS soil_temperature_0_to_7cm FROM h WHERE station = 'st1'")
+_FIELDS = dict(zip(readers.HOURLY[:12], ("t", "p", "ws", "wd", "rh", "sun", "sw", "pbl", "dew", "cape", "dr", "isd"), strict=True))
+
+
+@query("a5_a6_hourly_weather", f"WITH {HOURLY} SELECT station, time, " + ", ".join(f"{c} AS {n}" for n, c in _FIELDS.items()) + ", CASE WHEN day(time) % 2 = 0 THEN s7 END AS soil_temperature_6cm, CASE WHEN day(time) % 2 = 1 THEN s7 END AS soil_temperature_0_to_7cm, CASE WHEN day(time) % 2 = 0 THEN m7 END AS soil_moisture_3_to_9cm, CASE WHEN day(time) % 2 = 1 THEN m7 END AS soil_moisture_0_to_7cm FROM h")
+def _(spark, d):
+    """Files of all stations, told by their folders, in one plan.  Days of even date have both soil parameters of a kind,
+    of which the first is kept; the others have the second only."""
+    h = hourly(spark, d).withColumn("soil", F.col("soil_temperature_0_to_7cm")).withColumn("moist", F.col("soil_moisture_0_to_7cm")).withColumn("day", F.to_date("time"))
+    names = [*_FIELDS, "soil", "moist"]
+    rows = h.groupBy("station", "day").agg(F.sort_array(F.collect_list(F.struct("time", *names))).alias("r"))
+    texts = {n: F.array_join(F.transform(F.col(f"r.{n}"), lambda x: F.coalesce(x.cast("string"), F.lit("null"))), ",") for n in names}
+    part = lambda key, n: F.concat(F.lit(f', "{key}": ['), texts[n], F.lit("]"))
+    first = F.when(F.dayofmonth("day") % 2 == 0, F.concat(part("soil_temperature_6cm", "soil"), part("soil_moisture_3_to_9cm", "moist"))).otherwise("")
+    text = F.concat(F.lit('{"hourly": {"time": '), F.to_json(F.transform("r", lambda x: x["time"].cast("string"))), *[part(n, n) for n in _FIELDS], first, part("soil_temperature_0_to_7cm", "soil"), part("soil_moisture_0_to_7cm", "moist"), F.lit("}}"))
+    path = _land(rows.select("station", "day", text.alias("payload")), ["station", "day"], "weather")
+    return readers.hourly_weather(spark, path, readers.of_file("/station=([^/]+)/")).select("station", "time", *readers.HOURLY)
+
+
+@query("a4_chunk_files", SQL["a4_merge_chunks"])
+def _(spark, d):
+    """Measurements by chunks as files, each with its number in its folder's name, read in one plan."""
+    item = F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("from"), (F.unix_seconds(F.col("ts").cast("timestamp")) + 10_800).alias("to"), "value")
+    rows = readings(spark, d).withColumn("part", F.col("event_id") % 3).withColumn("day", F.to_date("ts"))
+    polle = rows.groupBy("part", "day", "station", "species").agg(F.struct(F.col("species").alias("polle"), F.col("station").alias("location"), F.collect_list(item).alias("data")).alias("m"))
+    payloads = polle.groupBy("part", "day").agg(F.to_json(F.struct(F.collect_list("m").alias("measurements"))).alias("payload"))
+    path = _land(payloads, ["part", "day"], "chunks")
+    species = ["click", "view", "purchase", "error", "signup"]
+    return align.merge_chunks(readers.chunked_measurements(spark, path, species, "UTC", readers.of_file("/part=([^/]+)/").cast("int"))).select("station", "species", "ts", "value")
+
+
+@query("a7_station_composites", "WITH o AS (SELECT o_orderpriority AS station, o_orderdate::DATE AS date, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'EVI' ELSE 'NDVI' END AS band FROM orders), g AS (SELECT station, date, max(o_orderkey) FILTER (band = 'NDVI') AS n, max(o_orderkey) FILTER (band = 'EVI') AS e FROM o GROUP BY 1, 2) SELECT station, date, (n % 10000) / 10000.0::DOUBLE AS ndvi, (e % 10000) / 10000.0::DOUBLE AS evi FROM g WHERE n IS NOT NULL")
 def _(spark, d):
-    """Days of even date have both soil parameters, of which the first is kept; the others have the second only."""
-    h = hourly(spark, d).where("station = 'st1'").withColumn("soil", F.col("soil_temperature_0_to_7cm")).withColumn("day", F.to_date("time"))
-    names = ["temperature_2m", "precipitation", "wind_direction_10m", "soil"]
-    rows = h.groupBy("day").agg(F.sort_array(F.collect_list(F.struct("time", *names))).alias("r"))
-    texts = lambda n: F.transform("r", lambda x: F.coalesce(x[n].cast("string"), F.lit("null")))
-    arrays = {n: texts(n) for n in names}
-    text = F.concat(F.lit('{"hourly": {"time": '), F.to_json(F.transform("r", lambda x: x["time"].cast("string"))), *[F.concat(F.lit(f', "{n}": ['), F.array_join(a, ","), F.lit("]")) for n, a in list(arrays.items())[:3]],
-        F.when(F.dayofmonth("day") % 2 == 0, F.concat(F.lit(', "soil_temperature_6cm": ['), F.array_join(arrays["soil"], ","), F.lit("]"))).otherwise(""), F.lit(', "soil_temperature_0_to_7cm": ['), F.array_join(arrays["soil"], ","), F.lit("]}}"))
-    path = _land(rows.select("day", text.alias("payload")), ["day"], "weather")
-    return readers.hourly_weather(spark, path, "st1").select("station", "time", *names[:3], "soil_temperature_6cm", "soil_temperature_0_to_7cm")
+    """Composites of several stations and years in one plan, the station being in the folder's name."""
+    o = t(spark, d, "orders").withColumn("date", F.to_date("o_orderdate")).withColumn("year", F.year("date")).withColumn("place", F.substring("o_orderpriority", 1, 1))
+    band = F.when(F.col("o_orderkey") % 3 == 0, "250m_16_days_EVI").otherwise("250m_16_days_NDVI")
+    rows = o.groupBy("place", "year").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", F.col("date").cast("string").alias("calendar_date"), band.alias("band"), F.array(F.col("o_orderkey") % 10_000).alias("data")))).alias("subset"))
+    payload = F.to_json(F.struct(F.transform("subset", lambda x: F.struct(x["calendar_date"].alias("calendar_date"), x["band"].alias("band"), x["data"].alias("data"))).alias("subset")))
+    path = _land(rows.select("place", "year", payload.alias("payload")), ["place", "year"], "vegetation")
+    places = o.groupBy("place").agg(F.first("o_orderpriority").alias("name"))
+    got = readers.composites(spark, path, readers.of_file("/place=([^/]+)/"))
+    return got.join(places, got["station"] == places["place"]).select(F.col("name").alias("station"), "date", "ndvi", "evi")
 
 
 @query("a7_composites", "WITH o AS (SELECT o_orderdate::DATE AS date, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'EVI' ELSE 'NDVI' END AS band FROM orders), g AS (SELECT date, max(o_orderkey) FILTER (band = 'NDVI') AS n, max(o_orderkey) FILTER (band = 'EVI') AS e FROM o GROUP BY 1) SELECT 'here' AS station, date, (n % 10000) / 10000.0::DOUBLE AS ndvi, (e % 10000) / 10000.0::DOUBLE AS evi FROM g WHERE n IS NOT NULL")
@@ -1045,6 +1120,29 @@ def _(spark, d):
     return readers.danger_levels(spark, _land(p.select("day", F.col("p_partkey").alias("part"), F.to_json(body).alias("payload")).repartition(8), ["day", "part"], "danger"), 7, "2024-01-01")
 
 
+@query("a11_onset_species", "SELECT CASE l_returnflag WHEN 'A' THEN 'Corylus' ELSE 'Betula' END AS species, year(l_shipdate)::INT AS year, round_even(avg(dayofyear(l_shipdate)), 0)::INT AS onset_doy FROM lineitem WHERE l_linenumber = 5 AND l_suppkey % 4 = 3 AND l_quantity <> 10 AND l_returnflag IN ('A', 'N') GROUP BY 1, 2")
+def _(spark, d):
+    """Files of three plants, two of them known, told by their names; the stations are a table."""
+    rows = t(spark, d, "lineitem")
+    text = lambda c, n: F.lpad(c.cast("string"), n, " ")
+    plant = F.element_at(F.create_map(*[F.lit(x) for pair in (("A", "Jahresmelder Hasel"), ("N", "Jahresmelder Haenge-Birke"), ("R", "Jahresmelder Ahorn")) for x in pair]), F.col("l_returnflag"))
+    fields = [text(F.col("l_suppkey"), 8).alias(" Stations_id"), text(F.year("l_shipdate"), 6).alias("Referenzjahr "), text(F.col("l_linenumber"), 4).alias("Phase_id"), F.when(F.col("l_quantity") == 10, "   ").otherwise(text(F.dayofyear("l_shipdate"), 4)).alias(" Jultag")]
+    path = scratch(spark, "onset")
+    rows.select(*fields, plant.alias("plant")).write.partitionBy("plant").option("sep", ";").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return readers.onset(spark, path, stations=t(spark, d, "supplier").where("s_suppkey % 4 = 3").select(F.col("s_suppkey").cast("int").alias("station_id")))
+
+
+@query("a12_read", "WITH g AS (SELECT l_suppkey % 5 AS lat, l_linenumber AS lon, CASE l_returnflag WHEN 'A' THEN 'Betula' ELSE 'Poaceae' END AS species, date_trunc('day', l_shipdate) AS base, date_trunc('day', l_shipdate) + INTERVAL 1 HOUR * (l_partkey % 48)::INT AS ts, l_quantity AS v FROM lineitem WHERE l_returnflag IN ('A', 'N') AND l_quantity <> 13), k AS (SELECT lat, lon, species, ts, arg_max(v, (base, v)) AS v FROM g GROUP BY ALL), st AS (SELECT 's' || s_suppkey AS station, s_nationkey % 5 AS lat, s_suppkey % 7 + 1 AS lon FROM supplier WHERE s_suppkey <= 20) SELECT station, species, time_bucket(INTERVAL 3 HOUR, ts) AS ts, round(avg(v), 6) AS cams_pollen FROM st JOIN k USING (lat, lon) GROUP BY ALL")
+def _(spark, d):
+    """Runs of a gridded forecast as files: base time and lead hours, variables, nulls; at the stations' nearest points by window."""
+    rows = t(spark, d, "lineitem")
+    variable = F.element_at(F.create_map(*[F.lit(x) for pair in (("A", "birch_pollen"), ("N", "grass_pollen"), ("R", "dust")) for x in pair]), F.col("l_returnflag"))
+    grid = rows.select(F.date_trunc("day", "l_shipdate").cast("timestamp_ntz").alias("base"), (F.col("l_suppkey") % 5).cast("double").alias("lat"), F.col("l_linenumber").cast("double").alias("lon"), (F.col("l_partkey") % 48).cast("int").alias("lead_h"), variable.alias("variable"), F.when(F.col("l_quantity") != 13, F.col("l_quantity").cast("double")).alias("value"))
+    path = written(grid, "grid").written_to
+    st = t(spark, d, "supplier").where("s_suppkey <= 20").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("station"), (F.col("s_nationkey") % 5 + 0.25).cast("double").alias("station_lat"), (F.col("s_suppkey") % 7 + 1.25).cast("double").alias("station_lon"))
+    return readers.external_forecast(spark, path, st).select("station", "species", "ts", *r6("cams_pollen"))
+
+
 @query("a11_onset_files", "SELECT 'Betula' AS species, year(l_shipdate)::INT AS year, round_even(avg(dayofyear(l_shipdate)), 0)::INT AS onset_doy FROM lineitem WHERE l_linenumber = 5 AND l_suppkey IN (3, 7, 12) AND l_quantity <> 10 GROUP BY 2")
 def _(spark, d):
     rows = t(spark, d, "lineitem")

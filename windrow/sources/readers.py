@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.functions.scalar import danger_code, epoch_window
-from windrow.operators import align, phenology
+from windrow.operators import align, phenology, weather
 from windrow.params import CALENDAR, SOIL, SPECIES, WEATHER
 
 # Fields and parameters of the landed payloads.
@@ -25,6 +25,20 @@ ONSET_FILES = {"Hasel": "Corylus", "Haenge-Birke": "Betula", "Esche": "Fraxinus"
 GRID_SPECIES = {"alder_pollen": "Alnus", "birch_pollen": "Betula", "grass_pollen": "Poaceae", "mugwort_pollen": "Artemisia", "ragweed_pollen": "Ambrosia"}
 
 
+def of_file(pattern: str) -> Column:
+    """What the first group of a pattern takes from the path of the file that a row comes from: one plan reads any number of files."""
+    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+
+
+def named_in_file(names: dict[str, str]) -> Column:
+    """The value of the longest key that the name of a row's file or its folder holds, else null (keys are a few fixed names)."""
+    name = F.array_join(F.slice(F.split(F.url_decode("_metadata.file_path"), "/"), -2, 2), "/")
+    found = F.lit(None).cast("string")
+    for key in sorted(names, key=len):  # later ones, which are longer, are asked first
+        found = F.when(F.contains(F.lower(name), F.lit(key.lower())), names[key]).otherwise(found)
+    return found
+
+
 def renamed(column: Column, names: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), column)
 
@@ -37,34 +51,42 @@ def measurements(spark: SparkSession, path: str, species: list[str] | None = Non
     return each.select(F.col("location").alias("station"), F.col("polle").alias("species"), epoch_window(F.col("from"), zone).alias("ts"), "value")
 
 
-def chunked_measurements(spark: SparkSession, paths: list[str], species: list[str] = SPECIES, zone: str = "Europe/Berlin") -> DataFrame:
-    """The same with the chunk's number, paths being in order of time: input of operators.align.merge_chunks."""
-    parts = [measurements(spark, p, species, zone).withColumn("chunk", F.lit(i)) for i, p in enumerate(paths)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def chunked_measurements(spark: SparkSession, path: str, species: list[str] = SPECIES, zone: str = "Europe/Berlin", chunk: Column | None = None) -> DataFrame:
+    """The same with the chunk that each file is of, input of operators.align.merge_chunks: one plan for all files.
+
+    ``chunk`` is a column of the file's metadata, by default its path, so that chunks named by their dates are in order.
+    """
+    chunk = F.col("_metadata.file_path") if chunk is None else chunk
+    rows = spark.read.schema(MEASUREMENTS).option("multiLine", True).json(path).select(chunk.alias("chunk"), F.inline("measurements"))
+    each = rows.where(F.col("polle").isin(species)).select("chunk", "location", "polle", F.inline("data"))
+    return each.select(F.col("location").alias("station"), F.col("polle").alias("species"), epoch_window(F.col("from"), zone).alias("ts"), "value", "chunk")
 
 
-def hourly_weather(spark: SparkSession, path: str, station: str) -> DataFrame:
+def hourly_weather(spark: SparkSession, path: str, station: str | Column) -> DataFrame:
     """(station, time, a column per parameter); parameters that the payload lacks are null.
 
+    ``station``: the station's name, or a column of the file's metadata (``of_file``) where files of many are read.
+
     Of the soil parameters a payload's first present one is kept, whatever its values, and the other is null.
     """
     raw = spark.read.schema(WEATHER_JSON).option("multiLine", True).json(path)
     empty = F.array().cast("array<double>")  # a null array would null all of arrays_zip
     second = {names[1]: F.col(f"hourly.{names[0]}").isNull() for names in SOIL.values()}
     arrays = [F.col("hourly.time").alias("time"), *[F.when(second.get(n, F.lit(True)) & F.col(f"hourly.{n}").isNotNull(), F.col(f"hourly.{n}")).otherwise(empty).alias(n) for n in HOURLY]]
-    each = raw.select(F.inline(F.arrays_zip(*arrays)))
-    return each.select(F.lit(station).alias("station"), F.col("time").try_cast("timestamp_ntz").alias("time"), *HOURLY)
+    each = raw.select((station if isinstance(station, Column) else F.lit(station)).alias("station"), F.inline(F.arrays_zip(*arrays)))
+    return each.select("station", F.col("time").try_cast("timestamp_ntz").alias("time"), *HOURLY)
 
 
-def composites(spark: SparkSession, path: str, station: str, scale: float = 10_000.0) -> DataFrame:
-    """(station, date, ndvi, evi) for dates that have an NDVI record; of several records of a band the last."""
-    raw = spark.read.schema(SUBSET_JSON).option("multiLine", True).json(path).select(F.posexplode("subset").alias("pos", "s"))
-    band = lambda part: F.max_by(F.col("s.data")[0] / scale, F.when(F.upper("s.band").contains(part), F.col("pos")))
-    by_date = raw.groupBy(F.to_date("s.calendar_date").alias("date")).agg(band("NDVI").alias("ndvi"), band("EVI").alias("evi"))
-    return by_date.where(F.col("ndvi").isNotNull()).select(F.lit(station).alias("station"), "date", "ndvi", "evi")
+def composites(spark: SparkSession, path: str, station: str | Column, scale: float = 10_000.0) -> DataFrame:
+    """(station, date, ndvi, evi) for dates that have an NDVI record; of several records of a band the last of the last file.
+
+    ``station`` as for ``hourly_weather``.
+    """
+    of = station if isinstance(station, Column) else F.lit(station)
+    raw = spark.read.schema(SUBSET_JSON).option("multiLine", True).json(path).select(of.alias("station"), F.col("_metadata.file_path").alias("file"), F.posexplode("subset").alias("pos", "s"))
+    band = lambda part: F.max_by(F.col("s.data")[0] / scale, F.when(F.upper("s.band").contains(part), F.struct("file", "pos")))
+    by_date = raw.groupBy("station", F.to_date("s.calendar_date").alias("date")).agg(band("NDVI").alias("ndvi"), band("EVI").alias("evi"))
+    return by_date.where(F.col("ndvi").isNotNull()).select("station", "date", "ndvi", "evi")
 
 
 def danger_levels(spark: SparkSession, path: str, region: int, run_date: str) -> DataFrame:
@@ -77,13 +99,37 @@ def danger_levels(spark: SparkSession, path: str, region: int, run_date: str) ->
     return each.groupBy(F.lit(region).alias("region"), F.date_add("start", F.col("k")).alias("date"), "species").agg(F.max(danger_code(F.col("code"))).alias("level"))
 
 
-def onset(spark: SparkSession, path: str, species: str, stations: list[int] | None = None) -> DataFrame:
-    """(species, year, onset_doy): flowering onsets of the chosen stations, their mean by year rounded half to even."""
+def onset(spark: SparkSession, path: str, species: str | None = None, stations: list[int] | DataFrame | None = None) -> DataFrame:
+    """(species, year, onset_doy): flowering onsets of the chosen stations, their mean by year rounded half to even.
+
+    Without ``species`` each file's name tells it (ONSET_FILES); files of other plants are left out.
+    """
     raw = spark.read.option("sep", ";").option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
-    raw = raw.toDF(*[c.strip() for c in raw.columns])
+    of = F.lit(species) if species is not None else named_in_file(ONSET_FILES)
+    raw = raw.select(of.alias("species"), *[F.col(f"`{c}`").alias(c.strip()) for c in raw.columns]).where("species is not null")
     number = lambda c: F.trim(F.col(c)).try_cast("int")
-    rows = raw.select(number("Stations_id").alias("station_id"), number("Referenzjahr").alias("year"), number("Phase_id").alias("phase"), number("Jultag").alias("doy"))
-    return phenology.yearly_onset(rows.withColumn("species", F.lit(species)), stations)
+    rows = raw.select(number("Stations_id").alias("station_id"), number("Referenzjahr").alias("year"), number("Phase_id").alias("phase"), number("Jultag").alias("doy"), "species")
+    return phenology.yearly_onset(rows, stations)
+
+
+GRID = "base timestamp_ntz, lat double, lon double, lead_h int, variable string, value double"
+
+
+def gridded_forecast(spark: SparkSession, path: str, names: dict[str, str] = GRID_SPECIES) -> DataFrame:
+    """(lat, lon, species, ts, value): an external forecast on a grid, ``ts`` being the run's base time and the lead hours.
+
+    Of several runs the latest that has an hour of a point is kept; unknown variables and null values are left out.
+    """
+    raw = spark.read.schema(GRID).parquet(path)
+    rows = raw.select("lat", "lon", renamed(F.col("variable"), names).alias("species"), (F.col("base") + F.make_dt_interval(F.lit(0), F.col("lead_h"))).alias("ts"), "base", "value")
+    rows = rows.where(F.col("species").isNotNull() & F.col("value").isNotNull())
+    return rows.groupBy("lat", "lon", "species", "ts").agg(F.max_by("value", F.struct("base", "value")).alias("value"))
+
+
+def external_forecast(spark: SparkSession, path: str, stations: DataFrame, hours: int = 3) -> DataFrame:
+    """(station, species, ts, cams_pollen): the forecast at each station's nearest grid point, as means by window."""
+    near = align.nearest_grid(gridded_forecast(spark, path), stations)
+    return weather.window_mean(near, "value", hours).withColumnRenamed("value", "cams_pollen")
 
 
 def history(spark: SparkSession, path: str, start: Column | None = None, end: Column | None = None) -> DataFrame:
