@@ -132,6 +132,26 @@ def test_warc_reads_in_many_tasks_and_takes_repeated_rows(spark):
     assert {r.page_id for r in got if r.record_type == "response"} == largest
 
 
+def test_lookup_parses_the_records_asked_for(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "http://a", f"page {i} " * 50) for i in range(200)], "page_id long, url string, html string")
+    index = warc.write_archive(pages, f"{warc.shared_dir(spark)}/lookup", frame_bytes=1 << 20)
+    assert index.select("bundle", "frame").distinct().count() < 10  # many records a frame
+    ids = spark.createDataFrame([(7,), (7,), (150,), (999,), (None,)], "page_id long")
+    assert {r.page_id: bytes(r.payload).decode() for r in warc.lookup(index, ids).collect()} == {i: f"page {i} " * 50 for i in (7, 150)}
+    assert warc.lookup(index, ids.limit(0)).count() == 0
+
+
+def test_names_of_object_stores():
+    for scheme in ("s3a", "s3n", "s3"):
+        try:
+            files, path = warc.store(f"{scheme}://bucket/folder/a.zst")
+        except (OSError, NotImplementedError) as e:
+            assert "Unrecognized" not in str(e)
+        else:
+            assert files.type_name == "s3" and path == "bucket/folder/a.zst"
+    assert warc.store("/tmp/x")[1] == "/tmp/x" and warc.store("file:///tmp/x")[1] == "/tmp/x"
+
+
 def test_bundles_are_plain_zstandard_with_a_seek_table(tmp_path):
     import io
 
@@ -719,6 +739,15 @@ def test_likeness_is_near_the_share_of_clauses(spark):
     assert np.sqrt((error[np.array(want) > 0.2] ** 2).mean()) < 0.08 and abs(error.mean()) < 0.04
 
 
+def test_rows_that_stand_many_times_are_fingerprinted_once(spark):
+    """With the same results as one by one: each is the next of the one before, the last is followed by the next other row."""
+    rows = [(None, "null row, many times. " * 3)] * 700 + [(5, "five, many times. " * 4)] * 401 + [(5, "five, once only.")] + [(i, f"row {i}, and some words. " * (i % 5)) for i in range(40)] + [(90, "the last, twice.")] * 2
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, vec string, n int")
+    plain = lambda most: Counter(map(tuple, fingerprint.op8_fingerprint(df, most).collect()))
+    assert plain(100) == plain(10**6) and plain(1).total() == len(rows) and plain(1) == plain(100)
+    assert {v for k, v in plain(100).items() if k[0] is None} == {699, 1}
+
+
 def test_fingerprint_edges(spark):
     d = docs(spark, ["sole"])
     assert fingerprint.op8_fingerprint(d).first().near_next == 1.0 and fingerprint.op8_fingerprint(d.limit(0)).count() == 0

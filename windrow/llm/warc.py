@@ -130,13 +130,20 @@ def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "payload", "sha1", F.when(revisit, F.col("first_id")).alias("refers_to"), revisit.alias("revisit"))
 
 
+def store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it; Spark's names for object stores are understood."""
+    scheme, sep, rest = uri.partition("://")
+    known = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
+    return fs.FileSystem.from_uri(f"{known.get(scheme, scheme)}{sep}{rest}")
+
+
 def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 28, level: int = 3) -> DataFrame:
     """Write every page to bundles in ``folder`` (a path or URI that all executors share); the index, as a written table."""
-    files, root = fs.FileSystem.from_uri(folder)
+    files, root = store(folder)
     files.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = fs.FileSystem.from_uri(folder)
+        files, root = store(folder)
         bundle, places = None, []
 
         def done() -> pa.RecordBatch:
@@ -176,7 +183,7 @@ def read_archive(index: DataFrame, payloads: bool = True, task_bytes: int = 1 <<
     size = index.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, min(100_000, -(-size // task_bytes)))
     runs = index.withColumn("run", F.floor(F.col("frame") / 16)).repartition(tasks, "bundle", "run")
-    frames = runs.groupBy("bundle", "run", "frame").agg(F.array_sort(F.collect_set("offset")).alias("offsets"))
+    frames = runs.groupBy("bundle", "run", "frame").agg(F.array_sort(F.collect_set(F.struct("offset", "length"))).alias("places"))
     frames = frames.drop("run").sortWithinPartitions("bundle", "frame")
 
     def page(urn: str | None) -> int | None:
@@ -189,11 +196,10 @@ def read_archive(index: DataFrame, payloads: bool = True, task_bytes: int = 1 <<
             for row in batch.to_pylist():
                 if row["bundle"] not in readers:
                     readers.clear()
-                    readers[row["bundle"]] = BundleReader(*fs.FileSystem.from_uri(row["bundle"]))
-                wanted, found = set(row["offsets"]), []
-                for offset, _, headers, http, payload in parse_records(readers[row["bundle"]].frame(row["frame"])):
-                    if offset not in wanted:
-                        continue
+                    readers[row["bundle"]] = BundleReader(*store(row["bundle"]))
+                content, found = memoryview(readers[row["bundle"]].frame(row["frame"])), []
+                for place in row["places"]:  # of a frame only what the index names is parsed
+                    _, _, headers, http, payload = next(parse_records(bytes(content[place["offset"] : place["offset"] + place["length"]])))
                     digest = headers["warc-payload-digest"].removeprefix("sha1:")
                     kind = headers["warc-type"]
                     if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
@@ -206,6 +212,11 @@ def read_archive(index: DataFrame, payloads: bool = True, task_bytes: int = 1 <<
     return frames.mapInArrow(run, RECORDS)
 
 
+def lookup(index: DataFrame, ids: DataFrame, payloads: bool = True) -> DataFrame:
+    """The records of the pages in ``ids`` (page_id): their frames alone are fetched, and of these their records parsed."""
+    return read_archive(written(index.join(ids.select("page_id").distinct(), "page_id", "left_semi"), "warc-lookup"), payloads)
+
+
 def op2_warc(pages: DataFrame) -> DataFrame:
     """Every page written to an archive in the shared folder and read back: a row per row; null html is an empty payload."""
     folder = f"{shared_dir(pages.sparkSession)}/windrow/warc-{uuid.uuid4().hex}"
