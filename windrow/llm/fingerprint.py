@@ -158,24 +158,47 @@ def with_next(rows: DataFrame, key: str, order: list[str], carried: list[str], r
     return led.drop(*where, "to", "copy", "home")
 
 
-def op8_fingerprint(docs: DataFrame) -> DataFrame:
+def _repeated(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with n, None), or where some (key, tie, text) stand more than ``most`` times, those once with their number, the rest with 1."""
+    counts = written(rows.groupBy("key", "tie").agg(F.count("*").alias("n")).where(F.col("n") > most), "repeated")
+    if counts.isEmpty():
+        return rows.withColumn("n", _long(1)), None
+    hot = rows.join(counts.select("key", "tie"), ["key", "tie"], "left_semi").groupBy("doc_id", "key", "tie", "text").agg(F.count("*").alias("n"))
+    plain = rows.join(counts.select("key", "tie"), ["key", "tie"], "left_anti").withColumn("n", _long(1))
+    return plain.unionByName(hot), counts
+
+
+def _times(rows: DataFrame, n: str, block: int = 10_000) -> DataFrame:
+    """Each row ``n`` times, dealt out over tasks by blocks."""
+    blocks = rows.withColumn("_b", F.explode(F.sequence(_long(0), F.floor((F.col(n) - 1) / block)))).hint("rebalance")
+    left = F.least(_long(block), F.col(n) - F.col("_b") * block)
+    return blocks.withColumn("_c", F.explode(F.sequence(_long(1), left))).drop("_b", "_c", n)
+
+
+def op8_fingerprint(docs: DataFrame, most_repeats: int = 1000) -> DataFrame:
     """Every text's fingerprint, that of its edited text, and their likeness; null texts count as empty.
 
     Rows follow each other by (doc_id, hash of the text), null ids first, so repeated rows are each other's next; a sole
-    row is its own next.  Other columns aren't read.
+    row is its own next.  A row that stands more than ``most_repeats`` times is fingerprinted once, as its own next and
+    before the next other row, and the results are repeated.  Other columns aren't read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", F.coalesce("doc_id", _long(-(2**63))).alias("key"), F.xxhash64("text").alias("tie"), "text", vector(F.col("text")).alias("vec"))
-    both = with_next(rows, "key", ["tie"], ["text", "vec"])
+    rows = rows.select("doc_id", F.coalesce("doc_id", _long(-(2**63))).alias("key"), F.xxhash64("text").alias("tie"), "text")
+    rows, hot = _repeated(rows, most_repeats)
+    both = with_next(rows.withColumn("vec", vector(F.col("text"))), "key", ["tie"], ["text", "vec"])
+    if hot is not None:  # all but the last of equal rows are followed by themselves
+        pairs = F.array(F.struct(F.col("next").alias("next"), _long(1).alias("n")), F.struct(F.struct("text", "vec").alias("next"), (F.col("n") - 1).alias("n")))
+        both = both.withColumn("_p", F.explode(F.filter(pairs, lambda p: p["n"] > 0))).withColumns({"next": F.col("_p.next"), "n": F.col("_p.n")}).drop("_p")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), "vec", F.col("next.vec").alias("next_vec"), edited.alias("edited"))
-    both = both.select("doc_id", "n_chars", "vec", "next_vec", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), vector(F.col("edited")).alias("edited_vec"))
+    both = both.select("doc_id", "n", n.cast("long").alias("n_chars"), "vec", F.col("next.vec").alias("next_vec"), edited.alias("edited"))
+    both = both.select("doc_id", "n", "n_chars", "vec", "next_vec", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), vector(F.col("edited")).alias("edited_vec"))
     lanes = both.select("*", _centred(F.col("vec")).alias("a"), _centred(F.col("edited_vec")).alias("b"), _centred(F.col("next_vec")).alias("c"))
-    return lanes.select(
-        "doc_id", "n_chars", "edited_sha256", as_hex(F.col("vec")).alias("fingerprint"), as_hex(F.col("edited_vec")).alias("edited_fingerprint"),
+    found = lanes.select(
+        "doc_id", "n", "n_chars", "edited_sha256", as_hex(F.col("vec")).alias("fingerprint"), as_hex(F.col("edited_vec")).alias("edited_fingerprint"),
         likeness(F.col("vec"), F.col("edited_vec"), F.col("a"), F.col("b")).alias("near_edited"),
         likeness(F.col("vec"), F.col("next_vec"), F.col("a"), F.col("c")).alias("near_next"),
     )
+    return found.drop("n") if hot is None else _times(found, "n")
