@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from windrow.functions.scalar import calendar
-from windrow.shared import delete, exists, folders, rename
+from windrow.shared import delete, exists, folders, rename, small
 
 KEY = ["station", "species", "ts"]
 
@@ -22,8 +22,8 @@ def keep_last(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 
 def merge_aliases(rows: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Maximum per (station, species, ts) after alias codes are replaced (``aliases``: alias, station; a small dimension)."""
-    named = rows.join(F.broadcast(aliases), rows["station"] == aliases["alias"], "left").select(F.coalesce(aliases["station"], rows["station"]).alias("station"), "species", "ts", "value")
+    """Maximum per (station, species, ts) after alias codes are replaced (``aliases``: alias, station)."""
+    named = rows.join(small(aliases), rows["station"] == aliases["alias"], "left").select(F.coalesce(aliases["station"], rows["station"]).alias("station"), "species", "ts", "value")
     return named.groupBy(*KEY).agg(F.max("value").alias("value"))
 
 

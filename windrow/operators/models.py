@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from windrow.functions.scalar import regression_weight, stage_blend
-from windrow.shared import exists
+from windrow.shared import exists, small
 
 # Tuning classes of species as (classifier depth, regressor depth, quantile).
 TUNING = {
@@ -89,7 +89,7 @@ def weighted_leaf_quantiles(scored: DataFrame, alpha: float) -> DataFrame:
 def fit(frame: DataFrame, features: list[str], iterations: int = 20, trees: int = 20, depth: int = DEFAULT_TUNING[1], alpha: float = DEFAULT_TUNING[2], active_depth: int = DEFAULT_TUNING[0], seed: int = 42) -> Staged:
     """Fit on rows of (value, species, features) without nulls; species that aren't eligible don't count."""
     weight = F.when(F.col("value") > 0, F.col("positive_weight")).otherwise(1.0)
-    rows = frame.join(F.broadcast(eligibility(frame).where("eligible").select("species", "positive_weight")), "species")
+    rows = frame.join(small(eligibility(frame).where("eligible").select("species", "positive_weight")), "species")
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     rows = assembler.transform(rows.withColumns({"active": (F.col("value") > 0).cast("double"), "label": F.log1p("value"), "class_weight": weight, "weight": regression_weight(F.col("value"))}))
     rows = rows.select("species", "value", "features", "active", "label", "class_weight", "weight").persist()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrow.shared import small
+
 # Species, season months, degree-day thresholds, activation temperatures, onset days, level thresholds.
 SPECIES = ["Alnus", "Ambrosia", "Artemisia", "Betula", "Corylus", "Fraxinus", "Poaceae", "Populus", "Quercus", "Salix", "Urtica"]
 #: species: season start and end month, degree-day threshold, activation temperature, typical onset day, low, moderate, high maximum
@@ -49,8 +51,8 @@ def species_params(spark: SparkSession) -> DataFrame:
 
 
 def with_params(df: DataFrame, params: DataFrame) -> DataFrame:
-    """``df`` with the parameters of its species (a dimension of one row a species, at most some thousands), defaults where it is unknown."""
-    joined = df.join(F.broadcast(params), "species", "left")
+    """``df`` with the parameters of its species (a dimension of one row a species; broadcast if it is small), defaults where it is unknown."""
+    joined = df.join(small(params), "species", "left")
     defaults = {"gdd_threshold": DEFAULT_GDD_THRESHOLD, "activation_temp": DEFAULT_ACTIVATION_TEMP, "low_max": DEFAULT_LEVELS[0], "moderate_max": DEFAULT_LEVELS[1], "high_max": DEFAULT_LEVELS[2]}
     return joined.fillna(defaults)
 

@@ -13,6 +13,7 @@ from windrow.operators.evaluate import with_errors
 from windrow.operators.forecast import KEYS, bridge_gaps, day_index, recent_state
 from windrow.operators.weather import horizon, one_per_window
 from windrow.params import FEATURES, INTRADAY, LAG_FEATURES, LAGS, PHENOLOGY, VEGETATION, WEATHER, with_params
+from windrow.shared import small
 
 
 def collect(values: DataFrame, archive: DataFrame, species: list[str], recent: DataFrame | None = None, aliases: DataFrame | None = None, vegetation: DataFrame | None = None, external: DataFrame | None = None, as_of=None) -> DataFrame:
@@ -46,7 +47,7 @@ def feature_frame(history: DataFrame, weather: DataFrame, params: DataFrame, ons
     if onset is None:
         df = df.withColumn("mean", F.lit(None).cast("double"))
     else:
-        df = df.join(F.broadcast(onset.select("species", "mean")), "species", "left")
+        df = df.join(small(onset.select("species", "mean")), "species", "left")
     usual = typical_onset(F.col("mean"), F.col("typical_onset_doy"), F.col("season_start"))
     df = df.withColumn("days_since_typical_onset", days_since_onset(F.col("day_of_year").cast("double"), usual)).drop("mean")
     df = df.withColumn("season_active", season_active(F.col("month"), F.col("season_start"), F.col("season_end")).cast("double"))

@@ -904,6 +904,18 @@ def _(spark, d):
     return models.predict(model, frame).select("station", "species", "ts", "value", models.tuning_class(F.col("species")).alias("tuning"), "p", "regression", "predicted")
 
 
+@query("a18_saved_models", f"WITH {SERIES} SELECT count(*) AS n, 0::BIGINT AS changed FROM (SELECT *, row_number() OVER {_W}) AS rn FROM s SEMI JOIN (SELECT DISTINCT 'st' || (user_id % 7) AS station, time_bucket(INTERVAL 3 HOUR, ts) AS ts FROM events) w USING (station, ts)) WHERE rn > 56")
+def _(spark, d):
+    """Models of the tuning classes saved, loaded and applied: how many predictions of the loaded ones differ."""
+    frame = written(_frame(spark, d), "frame")
+    model = models.fit_classes(frame, MODEL_FEATURES, iterations=3, trees=4)
+    folder = scratch(spark, "models")
+    model.save(folder)
+    again = models.predict(models.Classes.load(spark, folder), frame).select("station", "species", "ts", F.col("predicted").alias("again"))
+    both = models.predict(model, frame).join(again, ["station", "species", "ts"])
+    return both.agg(F.count("*").alias("n"), F.count_if(~F.col("predicted").eqNullSafe(F.col("again"))).alias("changed"))
+
+
 @query("j7_recursive_forecast")
 def _(spark, d):
     s, w, p = series(spark, d), weather3(spark, d), params(spark, d)

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _scope: ContextVar[str | None] = ContextVar("scope", default=None)
 
@@ -61,6 +62,11 @@ def discard(*tables: DataFrame) -> None:
         delete(df.sparkSession, df.written_to)
 
 
+def small(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """``df`` with the hint to broadcast it if it has ``most`` rows at most, which is looked up; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
