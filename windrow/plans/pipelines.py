@@ -60,7 +60,7 @@ def training_frame(history: DataFrame, weather: DataFrame, params: DataFrame, on
     return ft.drop_warm_up(feature_frame(history, weather, params, onset, shard_days=shard_days)).fillna(0.0)
 
 
-def serving_frame(weather: DataFrame, ahead: DataFrame, species: list[str], params: DataFrame, onset: DataFrame | None = None, vegetation: DataFrame | None = None, days: int = 5, external: DataFrame | None = None, past: DataFrame | None = None) -> DataFrame:
+def serving_frame(weather: DataFrame, ahead: DataFrame, species: list[str], params: DataFrame, onset: DataFrame | None = None, vegetation: DataFrame | None = None, days: int = 5, external: DataFrame | None = None, past: DataFrame | None = None, shard_days: int | None = None) -> DataFrame:
     """Features without lags of the ``days`` from each station's first window in ``ahead``, for every species.
 
     Weather features see the stored windows and the forecast ones, of which the forecast wins: the same functions as for
@@ -76,7 +76,7 @@ def serving_frame(weather: DataFrame, ahead: DataFrame, species: list[str], para
     grid = grid.withColumn("_ahead", F.lit(True))
     if past is not None:
         grid = grid.unionByName(past.select("station", "species", "ts").join(grid.select("station", "ts").distinct(), ["station", "ts"], "left_anti").withColumn("_ahead", F.lit(False)), allowMissingColumns=True)
-    return feature_frame(grid, both, params, onset, lags=False).where("_ahead").drop("_ahead")
+    return feature_frame(grid, both, params, onset, lags=False, shard_days=shard_days).where("_ahead").drop("_ahead")
 
 
 def train(history: DataFrame, params: DataFrame, stage, onset: DataFrame | None = None, features: list[str] = FEATURES, shard_days: int | None = None, **how) -> models.Classes:
@@ -100,7 +100,7 @@ def run(table: str, staging: str, new: DataFrame, ahead: DataFrame, params: Data
     species = [r.species for r in params.select("species").distinct().orderBy("species").collect()]  # a dimension
     first = ahead.groupBy("station").agg(F.min("ts").alias("first"))
     past = stored.join(first, "station").where(F.col("ts") < F.col("first"))
-    serving = stage(serving_frame(one_per_window(stored, WEATHER), ahead, species, params, onset, vegetation, days, external, past))
+    serving = stage(serving_frame(one_per_window(stored, WEATHER), ahead, species, params, onset, vegetation, days, external, past, how.get("shard_days")))
     empty = F.array().cast("array<double>")
     begins = serving.groupBy(*KEYS).agg(F.min("ts").alias("first"))
     series = begins.select(*KEYS).join(bridge_gaps(recent_state(past.drop("first")), begins, on_gap), KEYS, "left")

@@ -976,7 +976,11 @@ _EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 
 def _landed(spark, d) -> DataFrame:
-    e = spark.readStream.schema(_EVENTS).option("pathGlobFilter", "events.parquet").parquet(d)
+    """The readings as a stream of five files, each a week's, and each a micro-batch of its own."""
+    landed, events, of = scratch(spark, "landed"), t(spark, d, "events"), F.datediff("ts", F.lit("2024-01-01").cast("date"))
+    for week in range(5):  # one after the other, as files are taken by their age
+        events.where(F.least(F.greatest(F.floor(of / 7), F.lit(0)), F.lit(4)) == week).coalesce(1).write.mode("append").parquet(landed)
+    e = streams.read_landed(spark, landed, _EVENTS, files=1)
     return e.select(F.concat(F.lit("st"), (F.col("user_id") % 7).cast("string")).alias("station"), F.col("event_type").alias("species"), "ts", F.floor("value").cast("double").alias("value"))
 
 
@@ -1000,17 +1004,10 @@ def _(spark, d):
 
 @query("k4_stream_lag_state", f"WITH r AS (SELECT *, floor(value) AS v FROM ({READINGS})), l AS (SELECT station, species, ts, v AS value, list(ln(1 + v)) OVER (PARTITION BY station, species ORDER BY ts, v ROWS BETWEEN 56 PRECEDING AND 1 PRECEDING) AS logs FROM r) SELECT station, species, ts, value, coalesce(len(logs), 0)::INT AS n, round(coalesce(list_sum(logs), 0), 6) AS total, round(logs[1], 6) AS oldest, round(logs[-1], 6) AS newest FROM l")
 def _(spark, d):
-    """In five batches by time, the state going from one to the next."""
-    path, landed = scratch(spark, "stream"), scratch(spark, "landed")
-    events = t(spark, d, "events")
-    for day in range(0, 35, 7):
-        of = F.datediff("ts", F.lit("2024-01-01").cast("date"))
-        last = F.lit(True) if day == 28 else of < day + 7
-        events.where((of >= day if day else F.lit(True)) & last).coalesce(1).write.mode("append").parquet(landed)
+    """The state going from one batch to the next."""
+    path = scratch(spark, "stream")
     streams.use_state_store(spark)
-    e = streams.read_landed(spark, landed, _EVENTS, files=1)
-    rows = e.select(F.concat(F.lit("st"), (F.col("user_id") % 7).cast("string")).alias("station"), F.col("event_type").alias("species"), "ts", F.floor("value").cast("double").alias("value"))
-    streams.run_available(streams.lag_state(rows), lambda b, n: b.write.mode("append").parquet(path), scratch(spark, "offsets"), "append")
+    streams.run_available(streams.lag_state(_landed(spark, d)), lambda b, n: b.write.mode("append").parquet(path), scratch(spark, "offsets"), "append")
     got = spark.read.schema("station string, species string, ts timestamp, value double, logs array<double>").parquet(path).withColumn("value", F.round("value", 6))
     total = F.aggregate("logs", F.lit(0.0), lambda a, x: a + x)
     return got.select("station", "species", F.col("ts").cast("timestamp_ntz").alias("ts"), "value", F.size("logs").alias("n"), F.round(total, 6).alias("total"), F.round(F.get("logs", F.lit(0)), 6).alias("oldest"), F.round(F.try_element_at("logs", F.lit(-1)), 6).alias("newest"))
@@ -1132,6 +1129,16 @@ def _(spark, d):
     return readers.danger_levels(spark, _land(p.select("day", F.col("p_partkey").alias("part"), F.to_json(body).alias("payload")).repartition(8), ["day", "part"], "danger"), 7, "2024-01-01")
 
 
+@query("a10_older_history", f"WITH {SERIES} SELECT 'here' AS station, station || ' ' || species AS species, ts, value, value / 4 AS temperature_max, 0::DOUBLE AS soil_moisture_mean FROM s")
+def _(spark, d):
+    """An older history as CSV, without the station and some of today's columns, which are completed."""
+    path = scratch(spark, "history")
+    old = series(spark, d).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("date"), F.concat_ws(" ", "station", "species").alias("species"), "value", (F.col("value") / 4).alias("temperature_max"))
+    sinks.table(old, path, csv=True)
+    rows = features.complete(readers.history_csv(spark, path, "here"), ["temperature_max", "soil_moisture_mean"])
+    return rows.select("station", "species", "ts", "value", "temperature_max", "soil_moisture_mean")
+
+
 @query("a11_onset_species", "SELECT CASE l_returnflag WHEN 'A' THEN 'Corylus' ELSE 'Betula' END AS species, year(l_shipdate)::INT AS year, round_even(avg(dayofyear(l_shipdate)), 0)::INT AS onset_doy FROM lineitem WHERE l_linenumber = 5 AND l_suppkey % 4 = 3 AND l_quantity <> 10 AND l_returnflag IN ('A', 'N') GROUP BY 1, 2")
 def _(spark, d):
     """Files of three plants, two of them known, told by their names; the stations are a table."""
