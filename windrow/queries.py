@@ -856,8 +856,11 @@ def _served(spark, d) -> DataFrame:
 
 @query("i4_serving_as_training", _training_sql(f"rn > 56 AND (station, ts) IN (SELECT (station, min(ts)) FROM w WHERE ts >= TIMESTAMP '{_CUT}' GROUP BY station)", **_LATE))
 def _(spark, d):
-    """Every feature as it is served, for the rows that the table turned out to have, against the SQL of the training frame."""
-    got = _served(spark, d).join(series(spark, d), ["station", "species", "ts"])
+    """Every feature as it is served, for the rows that the table turned out to have, against the SQL of the training frame;
+    series of under 56 rows before, which it leaves out, are left out here."""
+    rows = series(spark, d)
+    warm = rows.where(F.col("ts") < F.lit(_CUT).cast("timestamp_ntz")).groupBy("station", "species").count().where("count >= 56").drop("count")
+    got = _served(spark, d).join(rows, ["station", "species", "ts"]).join(warm, ["station", "species"])
     names = [f for f in FEATURES if f not in ("wind_direction", "ndvi", "evi", "ndvi_delta", "cams_pollen")]
     return got.select("station", "species", "ts", "value", *[F.round(F.col(c).cast("double") + 0.0000013, 5).alias(c) for c in names], "ndvi", "evi", "ndvi_delta", "cams_pollen")
 
