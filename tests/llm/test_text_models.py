@@ -130,6 +130,9 @@ def test_toxicity_gradient_matches_differences():
 def test_url_features_and_fit_match_plain_loops():
     def grams(host, path, bits):
         out = {}
+        path = path.rstrip("/")
+        for end in ("/index.html", ".html", ".php"):
+            path = path.removesuffix(end)
         for kind, text in enumerate((f"^{host}$", f"^{path}$")):
             raw = urlfilter.re.sub(r"\d+", "0", text.lower()).encode()
             found = set()
@@ -150,6 +153,8 @@ def test_url_features_and_fit_match_plain_loops():
         host, path = urlfilter.split_url(u)
         at, x = urlfilter.url_features(host, path, 12)
         assert sorted((b, round(v, 9)) for b, v in zip(at.tolist(), x.tolist())) == sorted((b, round(v, 9)) for (_, b), v in grams(host, path, 12).items())
+    score = urlfilter.fit(rows, 12, rounds=5).score
+    assert len({score("m.casino-win.example.com", p) for p in ("/en/4033.html", "/en/3413", "/en/1/", "/en/7/index.PHP")}) == 1
     w, b, seen, seen_b = defaultdict(float), 0.0, defaultdict(lambda: 1e-8), 1e-8
     each = [([(k[1], v) for k, v in grams(*urlfilter.split_url(u), 12).items()], y) for u, y in rows]
     for _ in range(30):

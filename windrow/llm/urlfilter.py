@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: (rule, verdict); a rule is a host and a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
+_ENDING = re.compile(r"(?:(?:/index)?\.(?:html?|php|aspx?|jsp))?/*\Z", re.I)
+
 #: The labelled table that comes with the package: a label (1 unwanted, 0 wanted) and a URL a line.
 LABELLED = "labelled_urls.txt"
 
@@ -70,8 +72,10 @@ class UrlModel:
 def url_features(host: str, path: str, bits: int, sizes=(3, 4, 5)) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, values) of the distinct character n-grams of host and of path, each part of length 1 as a vector.
 
-    Ends of the parts are marked, and runs of digits are alike.
+    Ends of the parts are marked, and runs of digits are alike; a page's file ending and slashes at the end of a path don't
+    count, so that a verdict doesn't hang on them.
     """
+    path = _ENDING.sub("", path)
     found, values = [], []
     for kind, text in enumerate((f"^{host}$", f"^{path}$")):
         b = np.frombuffer(re.sub(r"\d+", "0", text.lower()).encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
