@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from windrow.operators import align, models
-from windrow.operators.forecast import bridge_gaps, recent_state
+from windrow.operators.forecast import recent_state
 from windrow.params import SPECIES_PARAMS, species_params
 from windrow.plans import pipelines
 from windrow.streaming import streams

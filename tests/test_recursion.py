@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from windrow.operators import features as ft
 from windrow.operators import models, recursion, sharded
 from windrow.operators.forecast import bridge_gaps, recent_state
-from windrow.params import LAG_FEATURES, species_params
+from windrow.params import species_params
 from windrow.plans import pipelines
 
 FEATURES = ["lag_1", "lag_2", "lag_56", "rolling_8", "rolling_56", "max_8", "morning_avg", "windows_since_active", "hour_of_day", "temperature_mean"]
@@ -64,7 +64,7 @@ def test_one_job_equals_the_loop(spark, made, classes):
     assert set(got) == set(want) and len(got) == 52
     assert [got[k][0] for k in want] == pytest.approx(list(want.values()), abs=1e-9)
     known = set(model.models) if classes else None
-    assert all(m == (not classes or pipelines.models.CLASSES is not None and _class(spark, k[1]) in known) for k, (_, m) in got.items())
+    assert all(m == (not classes or _class(spark, k[1]) in known) for k, (_, m) in got.items())
     assert len({round(v, 6) for v in want.values()}) > 20
 
 
