@@ -37,7 +37,6 @@ _FOLD = bytes(ord(chr(c).lower()) if chr(c).isascii() and chr(c).isalpha() else
 #: Stands in some documents of each fit, so that no vocabulary is empty; no term holds it.
 _SENTINEL = "\x00"
 _VECTOR = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
-_RESULT = "lang string, source string, part string, item string, value long, rank int"
 
 
 def terms_of(texts: list[bytes]) -> pa.ListArray:
