@@ -433,6 +433,74 @@ def test_recall_of_randomly_edited_passages(spark, identity, least):
     assert found <= {(i + 100, i) for i in range(100)} and len(found) >= 100 * least
 
 
+def edited(passage, share, r):
+    """The passage with a share of its words replaced, left out, or followed by a new one."""
+    out = []
+    at = set(r.sample(range(len(passage)), round(share * len(passage))))
+    for i, w in enumerate(passage):
+        how = r.randrange(3) if i in at else 3
+        out += [[f"e{r.randrange(10**9)}"], [], [w, f"e{r.randrange(10**9)}"], [w]][how]
+    return out
+
+
+@pytest.mark.parametrize("n, identity, least", [(45, 0.8, 0.8), (45, 0.85, 0.9), (50, 0.8, 0.9), (60, 0.8, 0.9)])
+def test_recall_with_words_left_out_and_put_in(spark, n, identity, least):
+    r, many = random.Random(n), 60
+    whole = [words(n, 10_000 + i) for i in range(many)]
+    texts = [" ".join(words(60, i) + p + words(60, 1000 + i)) for i, p in enumerate(whole)]
+    again = [" ".join(words(40, 2000 + i) + edited(p, 1 - identity, r) + words(40, 3000 + i)) for i, p in enumerate(whole)]
+    found = {(x.doc_id, x.source_id) for x in substring.passages(docs(spark, texts + again)).collect()}
+    assert found <= {(many + i, i) for i in range(many)} and len(found) >= least * many
+
+
+def test_common_words_match_a_plain_recursion():
+    r = random.Random(5)
+    for _ in range(200):
+        b, a = ([r.randrange(4) for _ in range(r.randrange(12))] for _ in range(2))
+        best = [[0] * (len(a) + 1) for _ in range(len(b) + 1)]
+        for i, x in enumerate(b):
+            for j, y in enumerate(a):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        runs = substring.common(np.array(b, int), np.array(a, int))
+        assert len(runs) == best[-1][-1] and all(b[i] == a[j] and n == 1 for i, j, n in runs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(runs, runs[1:]))
+
+
+def test_no_passage_is_thought_hopeless():
+    r = random.Random(6)
+    for _ in range(300):
+        b, a = (np.array([r.randrange(9) for _ in range(r.randrange(3, 40))]) for _ in range(2))
+        held = set(a.tolist())
+        like = [x in held for x in b.tolist()]
+        some = any(sum(like[i:j]) >= 0.8 * (j - i) for i in range(len(b)) for j in range(i + 6, len(b) + 1))
+        assert substring.hopeful(b, a, 6, 0.8) == (some and len(a) >= 6 * 0.8)
+
+
+def test_passages_close_to_another_are_aligned_too(spark):
+    """A passage with many edits beside an exact one, in one chain, is found like one by itself."""
+    r = random.Random(9)
+    one, two = words(60, 1), words(60, 2)
+    first, second = words(30, 3) + one + words(12, 4) + two + words(30, 5), words(20, 6) + one + words(14, 7) + edited(two, 0.18, r) + words(20, 8)
+    rows = substring.passages(docs(spark, [" ".join(first), " ".join(second)])).collect()
+    assert {i for x in rows for i in range(x.start_word, x.end_word)} >= {*range(20, 80), *range(100, 145)}
+
+
+def test_repeats_within_one_document(spark):
+    r = random.Random(10)
+    p, rest = words(55, 1), [words(50, 10 + i) for i in range(4)]
+    thrice = rest[0] + p + rest[1] + p + rest[2] + edited(p, 0.1, r) + rest[3]
+    over = words(45, 7) * 6
+    texts = [" ".join(thrice), " ".join(over), " ".join(words(400, 8)), None, "", "one two", "so so " * 400]
+    assert {(x.doc_id, x.source_id) for x in substring.passages(docs(spark, texts)).collect()} == set()
+    rows = substring.passages(docs(spark, texts), within=True).collect()
+    assert all(x.doc_id == x.source_id and x.source_start < x.start_word for x in rows)
+    found = {d: {i for x in rows if x.doc_id == d for i in range(x.start_word, x.end_word)} for d in range(7)}
+    assert found[0] >= set(range(155, 210)) and not found[0] & set(range(155)) and max(found[0]) > 300
+    assert found[1] == set(range(45, 270)) and not any(found[d] for d in (2, 3, 4, 5))
+    kept = {x.doc_id: x.text for x in substring.remove_repeats(docs(spark, texts), within=True).collect()}
+    assert kept[1].split() == over[:45] and kept[0].count(p[30]) == 1 and kept[2] == texts[2]
+
+
 def test_split_seeds_link_as_much(spark, monkeypatch):
     """A passage of very many documents, whose seeds are split, is found in all of them but the first."""
     whole = substring.frequent_seeds
