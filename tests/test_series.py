@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,6 +144,26 @@ def test_readers(spark, tmp_path):
     assert [(r.year, r.onset_doy) for r in readers.onset(spark, put("o.txt", o), "Betula", [1, 2]).collect()] == [(2020, 102)]
 
 
+def test_danger_payloads_of_one_file(spark, tmp_path):
+    """Payloads a line are read as those of a file each; the query lands as few files as its table has parts, not one a row."""
+    from windrow.queries import QUERIES
+    from windrow.shared import scope
+
+    entry = lambda day, code: {"last_update": f"{day} 11:00", "content": [{"partregion_id": 7, "Pollen": {"Birke": {"today": code, "tomorrow": "1", "dayafter_to": "0"}}}]}
+    payloads = [json.dumps(entry(f"2024-04-0{k}", code)) for k, code in ((1, "3"), (2, "2"), (3, "-1"))]
+    (tmp_path / "lines").write_text("\n".join(payloads))
+    (tmp_path / "each").mkdir()
+    for k, x in enumerate(payloads):
+        (tmp_path / "each" / f"{k}.json").write_text(x)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    got = rows(readers.danger_levels(spark, str(tmp_path / "lines"), 7, "2024-01-01", by_line=True))
+    assert got == rows(readers.danger_levels(spark, str(tmp_path / "each"), 7, "2024-01-01")) and len(got) == 5
+    with scope(spark, "danger-test") as folder:
+        assert QUERIES["a10_danger_levels"](spark, "/root/testdata/sf0.001").count() > 0
+        files = [f for _, _, names in os.walk(folder.removeprefix("file:")) for f in names if f.startswith("part-")]
+    assert 0 < len(files) <= 8
+
+
 def test_soil_of_either_payload(spark, tmp_path):
     """The first soil parameter that a payload has is taken, whatever its values; without any it is 0."""
     from windrow.operators.weather import to_windows

@@ -89,9 +89,12 @@ def composites(spark: SparkSession, path: str, station: str | Column, scale: flo
     return by_date.where(F.col("ndvi").isNotNull()).select("station", "date", "ndvi", "evi")
 
 
-def danger_levels(spark: SparkSession, path: str, region: int, run_date: str) -> DataFrame:
-    """(region, date, species, level): maximum per date and species; unknown codes are 0, an unreadable date the run's."""
-    raw = spark.read.schema(DANGER_JSON).option("multiLine", True).json(path)
+def danger_levels(spark: SparkSession, path: str, region: int, run_date: str, by_line: bool = False) -> DataFrame:
+    """(region, date, species, level): maximum per date and species; unknown codes are 0, an unreadable date the run's.
+
+    A file is one payload or, ``by_line``, holds one a line: many payloads are then few files, which split into tasks.
+    """
+    raw = spark.read.schema(DANGER_JSON).option("multiLine", not by_line).json(path)
     start = F.coalesce(F.try_to_timestamp(F.substring("last_update", 1, 10), F.lit("yyyy-MM-dd")).cast("date"), F.lit(run_date).cast("date"))
     rows = raw.select(start.alias("start"), F.inline("content")).where(F.col("partregion_id") == region).select("start", F.explode("Pollen").alias("name", "days"))
     rows = rows.withColumn("species", renamed(F.col("name"), DANGER_SPECIES)).where(F.col("species").isNotNull())
