@@ -46,6 +46,19 @@ def test_fit_predict_and_leaf_quantiles(spark, made, tmp_path):
     assert covered > 0.5
 
 
+def test_nothing_to_fit(spark, made):
+    """Where no species has both classes, predictions are null and a forecast goes on from the last value."""
+    values, weather, frame = made
+    model = models.fit(frame.withColumn("value", F.col("value") + 30), FEATURES, iterations=2, trees=2, depth=2)
+    got = models.predict(model, frame).select("station", "species", "ts", "value", "p", "regression", "predicted")
+    assert got.count() == 288 and got.where("p is not null or regression is not null or predicted is not null").isEmpty()
+    assert models.fit(frame.withColumn("species", F.lit(None).cast("string")), FEATURES).models == {}
+    cut = F.lit("2024-04-13").cast("timestamp_ntz")
+    serving = pipelines.feature_frame(values, weather, species_params(spark), lags=False).where((F.col("ts") >= cut) & (F.col("ts") < cut + F.expr("interval 12 hours")))
+    ahead = pipelines.recursive_forecast(model, serving, recent_state(values.where(F.col("ts") < cut))).collect()
+    assert len(ahead) == 8 and not any(r.is_observed for r in ahead)
+
+
 def test_recursive_forecast_keeps_order_and_observations(spark, made, tmp_path):
     values, weather, frame = made
     model = models.fit(frame, FEATURES, iterations=2, trees=2, depth=2)

@@ -86,10 +86,17 @@ def weighted_leaf_quantiles(scored: DataFrame, alpha: float) -> DataFrame:
     return weighted_quantiles(each, ["tree", "leaf"], alpha)
 
 
-def fit(frame: DataFrame, features: list[str], iterations: int = 20, trees: int = 20, depth: int = DEFAULT_TUNING[1], alpha: float = DEFAULT_TUNING[2], active_depth: int = DEFAULT_TUNING[0], seed: int = 42) -> Staged:
-    """Fit on rows of (value, species, features) without nulls; species that aren't eligible don't count."""
+def fit(frame: DataFrame, features: list[str], iterations: int = 20, trees: int = 20, depth: int = DEFAULT_TUNING[1], alpha: float = DEFAULT_TUNING[2], active_depth: int = DEFAULT_TUNING[0], seed: int = 42) -> Staged | Classes:
+    """Fit on rows of (value, species, features) without nulls; species that aren't eligible don't count.
+
+    Where none is, as in a table whose values are all over 0, there is nothing to tell apart: the model is one of no class,
+    which predicts null.
+    """
     weight = F.when(F.col("value") > 0, F.col("positive_weight")).otherwise(1.0)
-    rows = frame.join(small(eligibility(frame).where("eligible").select("species", "positive_weight")), "species")
+    fit_for = eligibility(frame).where("eligible and species is not null").select("species", "positive_weight")
+    if fit_for.isEmpty():
+        return Classes({})
+    rows = frame.join(small(fit_for), "species")
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     rows = assembler.transform(rows.withColumns({"active": (F.col("value") > 0).cast("double"), "label": F.log1p("value"), "class_weight": weight, "weight": regression_weight(F.col("value"))}))
     rows = rows.select("species", "value", "features", "active", "label", "class_weight", "weight").persist()
@@ -161,7 +168,7 @@ def fit_classes(frame: DataFrame, features: list[str], least_rows: int = LEAST_R
     A class without an eligible species isn't fitted, nor any where the frame has under ``least_rows`` rows.
     """
     named = frame.withColumn("_class", tuning_class(F.col("species")))
-    counts = eligibility(frame).where("eligible").groupBy(tuning_class(F.col("species")).alias("_class")).agg(F.sum("n").alias("n")).collect()  # a row a class
+    counts = eligibility(frame).where("eligible and species is not null").groupBy(tuning_class(F.col("species")).alias("_class")).agg(F.sum("n").alias("n")).collect()  # a row a class
     if frame.limit(least_rows).count() < least_rows:
         return Classes({})
     found = {}
