@@ -164,6 +164,20 @@ def test_danger_payloads_of_one_file(spark, tmp_path):
     assert 0 < len(files) <= 8
 
 
+def test_rows_meet_stations_by_point(spark):
+    """A query over the nearest points joins a row a point, not every row of a point with each of its stations."""
+    from windrow.queries import QUERIES
+
+    made = []
+    whole = align.nearest_grid
+    try:
+        align.nearest_grid = lambda grid, *more: made.append((grid.count(), grid.select("lat", "lon").distinct().count())) or whole(grid, *more)
+        QUERIES["a12_nearest_grid"](spark, "/root/testdata/sf0.01").collect()
+    finally:
+        align.nearest_grid = whole
+    assert made == [(100, 100)]
+
+
 def test_soil_of_either_payload(spark, tmp_path):
     """The first soil parameter that a payload has is taken, whatever its values; without any it is 0."""
     from windrow.operators.weather import to_windows

@@ -192,9 +192,11 @@ def pivot_species(df: DataFrame, species: list[str]) -> DataFrame:
 
 
 def nearest_grid(grid: DataFrame, stations: DataFrame, most_axis: int = 20_000) -> DataFrame:
-    """Per station the series at the nearest latitude and, on its own, the nearest longitude; ties take the smaller one.
+    """Per station the rows at the nearest latitude and, on its own, the nearest longitude; ties take the smaller one.
 
-    The grid's axes, some hundreds of numbers however many rows it has, are gathered; longer ones are an error.
+    Each row of a point comes once for every station that is nearest to it, so what is to be summed up is best summed up
+    by point before.  The grid is read three times: it should be a
+    table.  Its axes, some hundreds of numbers however many rows it has, are gathered; longer ones are an error.
     """
 
     def nearest(axis: str) -> Column:

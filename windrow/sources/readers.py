@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.functions.scalar import danger_code, epoch_window
-from windrow.operators import align, phenology, weather
+from windrow.functions.scalar import danger_code, epoch_window, window_start
+from windrow.operators import align, phenology
 from windrow.params import CALENDAR, SOIL, SPECIES, WEATHER
+from windrow.shared import written
 
 # Fields and parameters of the landed payloads.
 MEASUREMENTS = "measurements array<struct<polle: string, location: string, data: array<struct<`from`: bigint, `to`: bigint, value: double>>>>"
@@ -131,8 +132,9 @@ def gridded_forecast(spark: SparkSession, path: str, names: dict[str, str] = GRI
 
 def external_forecast(spark: SparkSession, path: str, stations: DataFrame, hours: int = 3) -> DataFrame:
     """(station, species, ts, cams_pollen): the forecast at each station's nearest grid point, as means by window."""
-    near = align.nearest_grid(gridded_forecast(spark, path), stations)
-    return weather.window_mean(near, "value", hours).withColumnRenamed("value", "cams_pollen")
+    points = gridded_forecast(spark, path).groupBy("lat", "lon", "species", window_start(F.col("ts"), hours).alias("ts")).agg(F.sum("value").alias("total"), F.count("*").alias("n"))
+    near = align.nearest_grid(written(points, "points"), stations)
+    return near.groupBy(*align.KEY).agg((F.sum("total") / F.sum("n")).alias("cams_pollen"))
 
 
 def history(spark: SparkSession, path: str, start: Column | None = None, end: Column | None = None) -> DataFrame:
