@@ -34,3 +34,16 @@ def test_stages_take_empty_tables_and_nulls(spark):
 
 def test_run_is_the_stages_in_order():
     assert [n for n, _ in cp.STAGES] == ["toxicity", "simhash_near_dedup", "substring_dedup", "decontamination", "bpe"]
+
+
+def test_a_seed_of_many_documents_is_linked_without_a_join(spark):
+    """Parts of a frequent seed lead to the least document of all through a window over one row a part and place."""
+    from windrow.llm.substring import linked
+
+    line = " ".join(f"w{i}" for i in range(60))
+    docs = spark.range(1, 2501).selectExpr("id as doc", f"concat('{line} u', id) as text")
+    found = linked(docs, 4, 4, 40, 12)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    seeds = found.where("doc = 2500").select("p", "long").distinct().count()
+    assert found.select("doc").distinct().count() == 2499 and found.where("src = 1").select("doc").distinct().count() > 100
+    assert found.where("src >= doc").isEmpty() and found.count() <= 2 * 2499 * seeds
