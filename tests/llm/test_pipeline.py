@@ -36,6 +36,28 @@ def test_run_is_the_stages_in_order():
     assert [n for n, _ in cp.STAGES] == ["toxicity", "simhash_near_dedup", "substring_dedup", "decontamination", "bpe"]
 
 
+def test_similar_texts_that_share_no_block(spark):
+    """Every pair of texts of the asked similarity is in one component, by brute force, also where an edit spoils the only block."""
+    import random
+
+    from windrow.llm.simhash import near_duplicates
+
+    rng = random.Random(3)
+    texts = []
+    for n in [30, 34, 40, 46, 60, 90] * 6:
+        words = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        texts.append(" ".join(words))
+        for at in (0, n - 1, n // 2)[: rng.randrange(1, 4)]:
+            texts.append(" ".join([*words[:at], f"x{rng.randrange(10**6)}", *words[at + 1 :]]))
+    texts += ["a b c", "a b c d", None, ""]
+    sets = [{tuple(w[i : i + min(5, len(w))]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").split() for t in texts)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    component = {r.id: r.component for r in near_duplicates(df, similarity=0.8).collect()}
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(alike) > 40 and all(component[i] == component[j] for i, j in alike)
+    assert len({component[i] for i in range(len(texts))}) >= 36  # different texts stay apart
+
+
 def test_a_seed_of_many_documents_is_linked_without_a_join(spark):
     """Parts of a frequent seed lead to the least document of all through a window over one row a part and place."""
     from windrow.llm.substring import linked

@@ -157,18 +157,24 @@ def like_edges(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, si
     pairs = pairs.where((F.col("fp") != F.col("o.fp")) & near & (F.least("n", "o.n") >= similarity * F.greatest("n", "o.n")))
     pairs = written(pairs.select(F.least("fp", "o.fp").alias("a"), F.greatest("fp", "o.fp").alias("b")).distinct(), "like-pairs")
 
+    return verified(pairs, nodes.select(F.col("fp").alias("key"), "id", "tie"), docs, id_col, text_col, similarity, k)
+
+
+def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, k: int = 5) -> DataFrame:
+    """The ``pairs`` (a, b) whose whole texts share ``similarity`` of their distinct word ``k``-grams; ``named``: (key, id, tie) of the text that a key stands for."""
+
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for fps, texts in ((batch.column(c).slice(s, 256) for c in (0, 1)) for s in range(0, batch.num_rows, 256)):
+            for keys, texts in ((batch.column(c).slice(s, 256) for c in (0, 1)) for s in range(0, batch.num_rows, 256)):
                 codes = map(word_codes, texts.to_pylist())
                 sets = [np.unique(grams(c, min(k, len(c)))).tobytes() for c in codes]
-                yield pa.RecordBatch.from_arrays([fps, pa.array(sets, pa.binary())], ["fp", "grams"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(sets, pa.binary())], ["key", "grams"])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "id", "tie"), "fp")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(named, "key")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("tie"), F.col(text_col).cast("string").alias("text"))
-    sets = asked.join(texts, ["id", "tie"]).dropDuplicates(["fp"]).select("fp", "text").mapInArrow(shingles, "fp long, grams binary")
+    sets = asked.join(texts, ["id", "tie"]).dropDuplicates(["key"]).select("key", "text").mapInArrow(shingles, "key long, grams binary")
     sets = written(sets, "like-grams")
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("gb")), "b")
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,6 +188,67 @@ def like_edges(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, si
     return both.select("a", "b", "ga", "gb").mapInArrow(verify, "a long, b long")
 
 
+def prefixes(docs: DataFrame, similarity: float, k: int, common=None) -> DataFrame:
+    """(tie, n, tokens): of each row's distinct ``k``-grams their number and the first n - ceil(similarity * n) + 1 in one order of all k-grams.
+
+    Two sets of that similarity have one of these in common, whatever the order (prefix filter).  ``common``: a broadcast
+    pair of arrays, sorted hashes and counts, of grams that come last, the most frequent at the end; without it all
+    grams are given.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ties, texts in ((batch.column(c).slice(s, 256) for c in (0, 1)) for s in range(0, batch.num_rows, 256)):
+                sizes, tokens = [], []
+                for text in texts.to_pylist():
+                    codes = word_codes(text or "")
+                    h = np.unique(grams(codes, min(k, len(codes)))) if len(codes) else codes
+                    sizes.append(len(h))
+                    if common is not None:
+                        hashes, counts = common.value
+                        if len(hashes):
+                            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                            h = h[np.lexsort((h, np.where(hashes[at] == h, counts[at], 0)))]
+                        h = h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
+                    tokens.append(h.view(np.int64))
+                yield pa.RecordBatch.from_arrays([ties, pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["tie", "n", "tokens"])
+
+    return docs.select("tie", "text").mapInArrow(run, "tie long, n int, tokens array<long>")
+
+
+def rest_edges(found: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, k: int = 5, one_doc_in: int = 32, least: int = 3, most: int = 100_000) -> DataFrame:
+    """(a, b): edges between fingerprints for all pairs of texts of ``similarity`` that ``roots`` (fp, root) hasn't in one component yet.
+
+    Exact: every two such texts share a k-gram of their prefixes, and all pairs of different components that share one
+    and have sizes near enough are verified on their whole texts.  Grams that are frequent in one of ``one_doc_in``
+    documents come last in the order, which only saves candidates.  Copies and near copies that are linked already are
+    one component, so what is left to pair is what ``like_edges`` missed and what is merely similar.
+    """
+    rows = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("tie"), F.col(text_col).cast("string").alias("text"))
+    some = prefixes(rows.where(F.pmod(F.xxhash64("tie"), F.lit(one_doc_in)) == 0), similarity, k).dropDuplicates(["tie"])
+    counts = some.select(F.explode("tokens").alias("h")).groupBy("h").count().where(F.col("count") >= least)
+    often = sorted((np.int64(r.h).view(np.uint64), r["count"]) for r in counts.orderBy(F.desc("count"), "h").limit(most).collect())
+    common = docs.sparkSession.sparkContext.broadcast((np.array([h for h, _ in often], np.uint64), np.array([n for _, n in often], np.int64)))
+    texts = found.groupBy("tie").agg(F.min(F.struct("id", "fp")).alias("r")).select("tie", "r.*")
+    texts = written(texts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rest-texts")
+    held = prefixes(rows, similarity, k, common).dropDuplicates(["tie"]).where("n > 0").join(texts, "tie")
+    held = written(held.select("tie", "root", "n", "tokens"), "rest-prefixes").select("tie", "root", "n", F.explode("tokens").alias("token"))
+    shared = held.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
+    held = written(held.join(written(shared, "rest-tokens"), "token"), "rest-held")
+    of = held.groupBy("token", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    x, y = (of.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("root", "lo", "hi")]) for side in "xy")
+    meet = x.join(y, "token").where((F.col("root_x") < F.col("root_y")) & (F.col("hi_x") >= similarity * F.col("lo_y")) & (F.col("hi_y") >= similarity * F.col("lo_x")))
+    meet = written(meet.select("token", "root_x", "root_y"), "rest-meet")
+    for side in "xy":
+        meet = meet.join(held.select("token", F.col("root").alias(f"root_{side}"), F.col("tie").alias(f"tie_{side}"), F.col("n").alias(f"n_{side}")), ["token", f"root_{side}"])
+    meet = meet.where(F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y"))
+    pairs = written(meet.select(F.col("tie_x").alias("a"), F.col("tie_y").alias("b")).distinct(), "rest-pairs")
+    alike = verified(pairs, texts.select(F.col("tie").alias("key"), "id", "tie"), docs, id_col, text_col, similarity, k)
+    for side in "ab":
+        alike = alike.join(texts.select(F.col("tie").alias(side), F.col("fp").alias(f"fp_{side}")), side)
+    return alike.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, words_per_shingle: int = 3, similarity: float | None = None) -> DataFrame:
     """(id, fp, component): one row per input row; component is the smallest id reachable over links of <= radius bits.
 
@@ -198,6 +265,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if similarity is not None:
         edges = written(edges, "near-edges").unionByName(like_edges(found, docs, id_col, text_col, similarity))
     roots = connected_components(edges).withColumnRenamed("node", "fp")
+    if similarity is not None:
+        roots = written(roots, "near-roots")
+        rest = rest_edges(found, roots, docs, id_col, text_col, similarity)
+        roots = connected_components(roots.select(F.col("fp").alias("a"), F.col("root").alias("b")).unionByName(rest)).withColumnRenamed("node", "fp")
     rooted = written(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     groups = written(rooted.groupBy("root").agg(F.min("least").alias("component")), "simhash-groups")
     named = written(rooted.join(groups, "root").select("fp", "component"), "simhash-named")
