@@ -216,7 +216,7 @@ def prefixes(docs: DataFrame, similarity: float, k: int, common=None) -> DataFra
     return docs.select("tie", "text").mapInArrow(run, "tie long, n int, tokens array<long>")
 
 
-def rest_edges(found: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, k: int = 5, one_doc_in: int = 32, least: int = 3, most: int = 100_000) -> DataFrame:
+def rest_edges(found: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, k: int = 5, one_doc_in: int = 4, least: int = 2, most: int = 100_000) -> DataFrame:
     """(a, b): edges between fingerprints for all pairs of texts of ``similarity`` that ``roots`` (fp, root) hasn't in one component yet.
 
     Exact: every two such texts share a k-gram of their prefixes, and all pairs of different components that share one
