@@ -560,6 +560,23 @@ def test_repeats_of_frequent_lines_match_all_pairs(spark):
     assert len(want) >= 8 * 60 and want <= have
 
 
+@pytest.mark.parametrize("times", [1, 12])
+def test_a_passage_whose_lines_stand_elsewhere_before_and_between(spark, times):
+    """An edited passage is held against the one document that has it, though each of its lines is in earlier and in nearer ones, few or many."""
+    texts, want = [], set()
+    for i in range(12):
+        lines = [words(12, 2000 + 10 * i + n) for n in range(5)]
+        alone = [[words(20, 3000 + i) + line + words(20, 4000 + i) for line in lines] for _ in range(2 * times)]
+        passage = [w for line in lines for w in line]
+        texts += [[*t, f"a{i}", f"b{n}"] for n, group in enumerate(alone[:times]) for t in group] + [words(15, 5000 + i) + passage + words(15, 6000 + i)]
+        source = len(texts) - 1
+        texts += [[*t, f"c{i}", f"d{n}"] for n, group in enumerate(alone[times:]) for t in group]
+        texts.append(words(15, 7000 + i) + [f"e{i}" if n % 12 == 11 else w for n, w in enumerate(passage)] + words(15, 8000 + i))
+        want.add((len(texts) - 1, source))
+    found = {(x.doc_id, x.source_id) for x in substring.passages(docs(spark, [" ".join(t) for t in texts])).where("end_word - start_word >= 50").collect()}
+    assert len(want & found) >= 11
+
+
 def test_passages_with_scattered_edits(spark):
     """Passages of 60 words with every sixth, eighth or tenth changed: nearly all are found."""
     texts, edited = [], []
