@@ -69,3 +69,25 @@ def test_a_seed_of_many_documents_is_linked_without_a_join(spark):
     seeds = found.where("doc = 2500").select("p", "long").distinct().count()
     assert found.select("doc").distinct().count() == 2499 and found.where("src = 1").select("doc").distinct().count() > 100
     assert found.where("src >= doc").isEmpty() and found.count() <= 2 * 2499 * seeds
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """What was shuffled on the way to a written table goes with the write, not whenever the driver collects its garbage."""
+    import time
+
+    from windrow.shared import written
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk, before = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), spark.conf.get(key)
+
+    def files() -> set[str]:
+        return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+    old, held = files(), spark.range(100_000).repartition(4, "id")
+    written(held)
+    assert spark.conf.get(key) == before
+    for _ in range(50):
+        if files() <= old:
+            break
+        time.sleep(0.2)
+    assert files() <= old
