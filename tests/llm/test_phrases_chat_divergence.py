@@ -201,6 +201,21 @@ def test_divergence_as_summed_term_by_term(spark):
     assert {r[1:4:2] for r in want if r[0] == "xx"} == {("a", "b"), ("b", "a")}
 
 
+def test_vectors_are_added_up_by_source_before_they_are_shuffled(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(f"s{i % 3}", Vectors.sparse(50, {i % 7: 1.0, 7 + i % 5: float(i), 49: 2.0})) for i in range(40)]
+    want: dict[tuple[str, int], int] = {}
+    for source, v in [*rows, ("none", Vectors.sparse(50, {}))]:
+        for i, n in zip(v.indices.tolist(), v.values.tolist()):
+            want[source, i] = want.get((source, i), 0) + int(n)
+    vectors = spark.createDataFrame([*rows, ("none", Vectors.sparse(50, {}))], ["source", "features"])
+    for most in (10, 10**6):
+        found = divergence._added_up(vectors, most)
+        assert {(r.source, r["index"]): r.n for r in found.collect()} == {k: n for k, n in want.items()}
+        assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # no row an entry
+
+
 def test_divergence_edges(spark):
     assert divergence.divergence(documents(spark, [])).collect() == []
     assert sorted(map(tuple, divergence.divergence(documents(spark, EDGE)).collect())) == plain_divergence(EDGE)
