@@ -91,3 +91,18 @@ def test_written_tables_leave_no_shuffle_files(spark):
             break
         time.sleep(0.2)
     assert files() <= old
+
+
+def test_rest_edges_of_texts_with_frequent_grams(spark):
+    """Grams that many texts have, collected for their order, don't take the place of the texts; an alike pair without a root is linked."""
+    from windrow.llm.simhash import rest_edges, sketches
+
+    common = " ".join(f"c{i}" for i in range(10))
+    texts = [f"{common} " + " ".join(f"w{n}x{i}" for i in range(40)) for n in range(12)]
+    texts.append(texts[0] + " end")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sketches(docs, "doc_id", "text", 3).localCheckpoint()
+    fp = {r.id: r.fp for r in found.collect()}
+    roots = spark.createDataFrame([], "fp long, root long")
+    edges = {frozenset(r) for r in rest_edges(found, roots, docs, "doc_id", "text", 0.8, one_doc_in=1).collect()}
+    assert edges == {frozenset((fp[0], fp[12]))}

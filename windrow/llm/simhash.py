@@ -229,8 +229,8 @@ def rest_edges(found: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str,
     some = prefixes(rows.where(F.pmod(F.xxhash64("tie"), F.lit(one_doc_in)) == 0), similarity, k).dropDuplicates(["tie"])
     counts = some.select(F.explode("tokens").alias("h")).groupBy("h").count().where(F.col("count") >= least)
     with tidy(docs.sparkSession):
-        rows = counts.orderBy(F.desc("count"), "h").limit(most).collect()
-    often = sorted((np.int64(r.h).view(np.uint64), r["count"]) for r in rows)
+        often = counts.orderBy(F.desc("count"), "h").limit(most).collect()
+    often = sorted((np.int64(r.h).view(np.uint64), r["count"]) for r in often)
     common = docs.sparkSession.sparkContext.broadcast((np.array([h for h, _ in often], np.uint64), np.array([n for _, n in often], np.int64)))
     texts = found.groupBy("tie").agg(F.min(F.struct("id", "fp")).alias("r")).select("tie", "r.*")
     texts = written(texts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rest-texts")
