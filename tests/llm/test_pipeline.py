@@ -106,3 +106,34 @@ def test_rest_edges_of_texts_with_frequent_grams(spark):
     roots = spark.createDataFrame([], "fp long, root long")
     edges = {frozenset(r) for r in rest_edges(found, roots, docs, "doc_id", "text", 0.8, one_doc_in=1).collect()}
     assert edges == {frozenset((fp[0], fp[12]))}
+
+
+def test_seeds_in_buckets_are_the_same_in_fewer_bytes(spark):
+    """Seeds dealt out by bucket are those made a row each, in under half of a row's 40 bytes, and lead where all pairs say."""
+    import random
+
+    import numpy as np
+    from windrow.llm.substring import holders, opened, seeds
+
+    rng = random.Random(5)
+    rows = [(i * 10**15 - 7, " ".join(f"w{rng.randrange(40)}" for _ in range(400))) for i in range(1, 60)]
+    docs = spark.createDataFrame([*rows, (3, ""), (4, "one")], "doc long, text string").coalesce(1)
+    plain = sorted(map(tuple, seeds(docs, 4, 4, 40, 12).collect()))
+    packed = seeds(docs, 4, 4, 40, 12, None, 7).toArrow()
+    assert sorted(zip(*(c.tolist() for c in opened(packed)))) == plain and len(set(packed["bucket"].to_pylist())) == 7
+    near = seeds(docs.selectExpr("doc div 1000000000000000 as doc", "text"), 4, 4, 40, 12, None, 7).toArrow()
+    assert sum(len(v) for c in ("h", "part", "doc", "pos") for v in near[c].to_pylist()) < 20 * len(plain)
+
+    few, h = 4, np.array([rng.randrange(60) for _ in range(500)], np.int64)
+    part, doc, pos = (np.array([rng.randrange(n) for _ in h], t) for n, t in ((2, np.int32), (9, np.int64), (50, np.int32)))
+    part[h > 20] = 0
+    want, at = [], list(zip(h.tolist(), part.tolist(), doc.tolist(), pos.tolist()))
+    for a, p, d, x in at:
+        same = sorted((e, y) for b, q, e, y in at if (a, p) == (b, q))
+        often, before = p > 0 or len(same) > few, [s for s in same if s[0] < d]
+        to = before if not often else sorted({min(before), min(s for s in before if s[0] == before[-1][0])}) if before else []
+        if before or p > 0 or (often and len(same) > 1 and a % 2 == 0):
+            if before or (p > 0 and not before) or a % 2 == 0:
+                want.append((a if often else None, d, x, a % 2 == 1, p > 0 and not before, [tuple(s) for s in to]))
+    got = [(r["h"], r["doc"], r["pos"], r["long"], r["least"], sorted((s["doc"], s["q"]) for s in r["s"])) for r in holders(h, part, doc, pos, few).to_pylist()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
