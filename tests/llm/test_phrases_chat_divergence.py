@@ -236,3 +236,15 @@ def test_matrices_of_many_groups(spark):
                 want[g, h] += f(p, q) - f(p, y) - f(z, q) + f(z, y)
     got = {(x.a, x.b): x.value for x in divergence._meeting(df, block=4, most=3).collect()}
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_terms_are_sampled_where_texts_are_split(spark):
+    """Every occurrence of a sampled term, in its own language, as the terms of all texts say; the results of pairs are computed once."""
+    import zlib
+
+    rows = [(lang, "s", " ".join(f"{lang}w{chr(97 + i % 26)}{chr(97 + j % 26)}" for j in range(40))) for i, lang in enumerate(["en", "de", "en", "fr"] * 20)]
+    texts = spark.createDataFrame([*rows, ("en", "s", "")], "lang string, source string, text string")
+    every = [(r.lang, t) for r in divergence.tokenised(texts).collect() for t in r.terms]
+    assert sorted(map(tuple, divergence.tokenised(texts, 4).collect())) == sorted(x for x in every if zlib.crc32(x[1].encode()) % 4 == 0) != []
+    plan = divergence.divergence(texts.selectExpr("1L as doc_id", "*"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
