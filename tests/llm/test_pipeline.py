@@ -137,3 +137,33 @@ def test_seeds_in_buckets_are_the_same_in_fewer_bytes(spark):
                 want.append((a if often else None, d, x, a % 2 == 1, p > 0 and not before, [tuple(s) for s in to]))
     got = [(r["h"], r["doc"], r["pos"], r["long"], r["least"], sorted((s["doc"], s["q"]) for s in r["s"])) for r in holders(h, part, doc, pos, few).to_pylist()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_pairs_that_parities_tell_apart_are_not_verified(spark, monkeypatch):
+    """Of texts that share a rare gram only those near enough by parities meet with all their grams; bounds are no more than the sets' difference."""
+    import random
+
+    import numpy as np
+    from windrow.llm import simhash
+
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 5, 63, 64, 65, 300, 3000):
+        for m in (n, n + 1, n // 2, 4 * n):
+            x = np.unique(rng.integers(0, 2**64 - 1, n, np.uint64))
+            y = np.unique(np.concatenate([x[: rng.integers(0, n + 1)][:m], rng.integers(0, 2**64 - 1, m, np.uint64)]))
+            least = simhash.apart(simhash.parities(x), simhash.parities(y))
+            assert least == simhash.apart(simhash.parities(y), simhash.parities(x)) <= len(np.setxor1d(x, y))
+        assert simhash.apart(simhash.parities(x), simhash.parities(x)) == 0
+
+    held, real = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *rest: held.append(pairs.count()) or real(pairs, *rest))
+    r = random.Random(11)
+    words = [[f"w{r.randrange(10**6)}" for _ in range(60)] for _ in range(40)]
+    texts = [" ".join([*w[:30], "of", "one", "rare", "saying", "only", *w[30:]]) for w in words]
+    texts += [f"{texts[0]} more", f"{texts[1]} and more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = simhash.sketches(docs, "doc_id", "text", 3).localCheckpoint()
+    fp = {x.id: x.fp for x in found.collect()}
+    edges = simhash.rest_edges(found, spark.createDataFrame([], "fp long, root long"), docs, "doc_id", "text", 0.8, least=10**9)
+    assert {frozenset(e) for e in edges.collect()} == {frozenset((fp[0], fp[40])), frozenset((fp[1], fp[41]))}
+    assert held == [2]

@@ -189,22 +189,58 @@ def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, id_col: str, t
     return both.select("a", "b", "ga", "gb").mapInArrow(verify, "a long, b long")
 
 
+def parities(h: np.ndarray) -> bytes:
+    """Parity bits of a set of hashes, by their lower bits: as many bits as hashes or up to twice as many, a power of two, 64 at least.
+
+    Bits that differ between two sets, the longer map folded to the length of the other, are no more than the hashes that
+    only one of them has.
+    """
+    size = max(64, 1 << (len(h) - 1).bit_length()) if len(h) else 64
+    return np.packbits(np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Of how many elements two sets differ at least, from their ``parities``."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)))).sum())
+
+
+def near_enough(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) without those that are less alike than ``similarity`` by their ``bits`` (tie, n, bits) already; none is lost.
+
+    Sets of n and m elements of that similarity differ in (n + m) * (1 - similarity) / (1 + similarity) at most.  A map
+    has an eighth of a byte or a quarter for a gram, which has eight bytes, so that few texts meet with all their grams.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in (2, 3))
+            least = np.array([apart(x, y) for x, y in zip(column_rows(batch.column(4)), column_rows(batch.column(5)))], np.int64)
+            told = least * (1 + similarity) <= (n + m) * (1 - similarity) + 1e-6
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(told, pa.bool_()))
+
+    for side in "ab":
+        pairs = pairs.join(bits.select(F.col("tie").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+
+
 def prefixes(docs: DataFrame, similarity: float, k: int, common=None) -> DataFrame:
-    """(tie, n, tokens): of each row's distinct ``k``-grams their number and the first n - ceil(similarity * n) + 1 in one order of all k-grams.
+    """(tie, n, tokens, bits): of each row's distinct ``k``-grams their number, the first n - ceil(similarity * n) + 1 in one order of all k-grams, and the ``parities`` of all.
 
     Two sets of that similarity have one of these in common, whatever the order (prefix filter).  ``common``: a broadcast
     pair of arrays, sorted hashes and counts, of grams that come last, the most frequent at the end; without it all
-    grams are given.
+    grams are given, and no parities.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ties, texts in ((batch.column(c).slice(s, 256) for c in (0, 1)) for s in range(0, batch.num_rows, 256)):
-                sizes, tokens = [], []
+                sizes, tokens, bits = [], [], []
                 for text in texts.to_pylist():
                     codes = word_codes(text or "")
                     h = np.unique(grams(codes, min(k, len(codes)))) if len(codes) else codes
                     sizes.append(len(h))
+                    bits.append(None if common is None else parities(h))
                     if common is not None:
                         hashes, counts = common.value
                         if len(hashes):
@@ -212,17 +248,17 @@ def prefixes(docs: DataFrame, similarity: float, k: int, common=None) -> DataFra
                             h = h[np.lexsort((h, np.where(hashes[at] == h, counts[at], 0)))]
                         h = h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
                     tokens.append(h.view(np.int64))
-                yield pa.RecordBatch.from_arrays([ties, pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["tie", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([ties, pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["tie", "n", "tokens", "bits"])
 
-    return docs.select("tie", "text").mapInArrow(run, "tie long, n int, tokens array<long>")
+    return docs.select("tie", "text").mapInArrow(run, "tie long, n int, tokens array<long>, bits binary")
 
 
 def rest_edges(found: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, k: int = 5, one_doc_in: int = 4, least: int = 2, most: int = 100_000) -> DataFrame:
     """(a, b): edges between fingerprints for all pairs of texts of ``similarity`` that ``roots`` (fp, root) hasn't in one component yet.
 
     Exact: every two such texts share a k-gram of their prefixes, and all pairs of different components that share one
-    and have sizes near enough are verified on their whole texts.  Grams that are frequent in one of ``one_doc_in``
-    documents come last in the order, which only saves candidates.  Copies and near copies that are linked already are
+    and have sizes and ``parities`` near enough are verified on their whole texts.  Grams that are frequent in one of
+    ``one_doc_in`` documents come last in the order, which only saves candidates.  Copies and near copies that are linked already are
     one component, so what is left to pair is what ``like_edges`` missed and what is merely similar.
     """
     rows = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("tie"), F.col(text_col).cast("string").alias("text"))
@@ -235,7 +271,8 @@ def rest_edges(found: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str,
     texts = found.groupBy("tie").agg(F.min(F.struct("id", "fp")).alias("r")).select("tie", "r.*")
     texts = written(texts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rest-texts")
     held = prefixes(rows, similarity, k, common).dropDuplicates(["tie"]).where("n > 0").join(texts, "tie")
-    held = written(held.select("tie", "root", "n", "tokens"), "rest-prefixes").select("tie", "root", "n", F.explode("tokens").alias("token"))
+    grammed = written(held.select("tie", "root", "n", "tokens", "bits"), "rest-prefixes")
+    held = grammed.select("tie", "root", "n", F.explode("tokens").alias("token"))
     shared = held.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
     held = written(held.join(written(shared, "rest-tokens"), "token"), "rest-held")
     of = held.groupBy("token", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
@@ -246,6 +283,7 @@ def rest_edges(found: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str,
         meet = meet.join(held.select("token", F.col("root").alias(f"root_{side}"), F.col("tie").alias(f"tie_{side}"), F.col("n").alias(f"n_{side}")), ["token", f"root_{side}"])
     meet = meet.where(F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y"))
     pairs = written(meet.select(F.col("tie_x").alias("a"), F.col("tie_y").alias("b")).distinct(), "rest-pairs")
+    pairs = written(near_enough(pairs, grammed, similarity), "rest-near")
     alike = verified(pairs, texts.select(F.col("tie").alias("key"), "id", "tie"), docs, id_col, text_col, similarity, k)
     for side in "ab":
         alike = alike.join(texts.select(F.col("tie").alias(side), F.col("fp").alias(f"fp_{side}")), side)
