@@ -248,3 +248,42 @@ def test_terms_are_sampled_where_texts_are_split(spark):
     assert sorted(map(tuple, divergence.tokenised(texts, 4).collect())) == sorted(x for x in every if zlib.crc32(x[1].encode()) % 4 == 0) != []
     plan = divergence.divergence(texts.selectExpr("1L as doc_id", "*"))._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+@pytest.mark.parametrize("size", [1, 300, 1 << 22])
+def test_texts_are_folded_before_they_reach_a_vectorizer(spark, size):
+    """A source's counts come back from weights, capped document frequencies from the fit's documents, in fewer terms than the texts have."""
+    r = random.Random(9)
+    rows = [("en", f"s{i % 3}", " ".join(f"w{'xyz'[r.randrange(3)]}{'pqrst'[min(4, int(r.expovariate(1)))]}" for _ in range(50))) for i in range(60)] + [("en", "s1", ""), ("en", "none", "1 2")]
+    texts = spark.createDataFrame(rows, "lang string, source string, text string").coalesce(1)
+    counts, df = Counter(), Counter()
+    for _, source, text in rows:
+        counts.update((source, w) for w in re.findall("[a-z]+", text))
+        df.update(set(re.findall("[a-z]+", text)))
+    found, n = divergence.folded(texts, size=size).collect(), Counter()
+    for x in found:
+        assert len(set(x.terms)) == len(x.terms)
+        n.update({(x.source, w): x.weight for w in x.terms})
+    assert n == counts
+    fit = divergence.folded(texts, 10, size).collect()
+    seen = Counter(w for x in fit for w in x.terms)
+    assert all(len(set(x.terms)) == len(x.terms) for x in fit) and {w for w in seen if seen[w] >= 10} == {w for w in df if df[w] >= 10}
+    assert all(seen[w] <= df[w] for w in seen) and (size > 300 or len(fit) >= 40)
+    if size > 300:
+        assert len(fit) == 10 and sum(len(x.terms) for x in [*fit, *found]) < sum(counts.values()) / 4
+    assert divergence.folded(texts.limit(0), size=size).collect() == divergence.folded(texts.where("source = 'none'"), 10, size).collect() == []
+
+
+def test_sums_are_shuffled_as_arrays(spark):
+    """A row for a source and a range of indices meets the others of its kind, in tasks that compact what they hold."""
+    from pyspark.ml.linalg import Vectors
+
+    r, want = random.Random(4), Counter()
+    rows = [(f"s{i % 4}", 1 << i % 3, Vectors.sparse(5000, sorted((j, float(1 + i % 2)) for j in r.sample(range(5000), 300)))) for i in range(60)]
+    for source, weight, v in rows:
+        want.update({(source, i): int(n) * weight for i, n in zip(v.indices.tolist(), v.values.tolist())})
+    vectors = spark.createDataFrame(rows, ["source", "weight", "features"]).repartition(6)
+    for most in (50, 10**6):
+        found = divergence._added_up(vectors, most, 512)
+        assert {(x.source, x["index"]): x.n for x in found.collect()} == want and found.count() == len(want)
+        assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
